@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, htmltext, mixing, urlfilter, vectors, warc
-from millrace.session import stage_path, table
+from millrace.llm import decontaminate, htmltext, mixing, quality, suffix, urlfilter, vectors, warc
+from millrace.session import small_batches, stage_path, table
 
 #: Fixed values of the contract: action, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -14,6 +14,14 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 MIX_WEIGHTS = (5, 2, 1)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -24,6 +32,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -46,13 +59,16 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op4_source_mixing": op4_source_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc_archive": op6_warc_archive,
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_topk": op9_exact_topk,
