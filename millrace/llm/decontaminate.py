@@ -10,12 +10,14 @@ verbatim match and all places of its window.  No document crosses the network.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +150,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least_share: int =
     while block is not None:
         after = next(blocks, None)
         schema = work.schema if after or keep_text else work.drop("text").schema
-        work = work.mapInArrow(_Pass(spark.sparkContext.broadcast(block), schema.names), schema)
+        work = work.mapInArrow(_Pass(spark.sparkContext.broadcast(cloudpickle.dumps(block)), schema.names), schema)
         block = after
     ordered = F.array_join(F.array_sort("_items"), ",")
     hits = F.size("_hits").cast("long")
@@ -163,7 +165,7 @@ class _Pass:
         self.block, self.names = block, names
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = self.block.value
+        windows: Windows = pickle.loads(self.block.value)
         for batch in batches:
             # Arrow batches hold up to 10,000 rows; a shard ends after so many words
             texts = batch.column("text")
