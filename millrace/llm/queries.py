@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, htmltext, mixing, quality, suffix, urlfilter, vectors, warc
+from millrace.llm import chat, decontaminate, htmltext, jaccard, mixing, quality, suffix, urlfilter, vectors, warc
 from millrace.session import small_batches, stage_path, table
 
 #: Fixed values of the contract: action, host, path.
@@ -27,6 +27,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = jaccard.join_similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "class_size", "keeper")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,15 +47,19 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     field = warc.header_field
-    return warc.read_records(spark, path).select(
+    return warc.describe_records(spark, path).select(
         warc.page_of("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
         field("WARC-Type").alias("record_type"),
         warc.page_of("WARC-Refers-To").alias("refers_to"),
     )
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -67,9 +77,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc_archive": op6_warc_archive,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
@@ -123,6 +135,20 @@ SELECT page_id, payload_bytes,
 FROM h
 """
 
+SQL_OP7 = r"""
+WITH p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+c AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS turns,
+    string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+      || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+  FROM p GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, text, length(text)::BIGINT AS n_chars FROM c a
+WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.n > a.n AND b.turns[1 : a.n] = a.turns)
+  AND NOT EXISTS (SELECT 1 FROM c b WHERE b.n = a.n AND b.turns = a.turns AND b.conv_id < a.conv_id)
+"""
+
 SQL_OP9 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v
@@ -158,4 +184,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}
+ORACLES = {"op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}

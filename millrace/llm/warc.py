@@ -40,15 +40,15 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     Other columns are ignored; an empty table gives an archive without records.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    base = pages.select(F.col("page_id").cast("string").alias("page"), F.col("page_id"), "url", payload.alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("row", F.monotonically_increasing_id())
-    # bytes go to the archive's own spool once; what follows moves digests and ids alone
-    spool = f"{path}/spool"
-    base.write.parquet(spool)
-    base = pages.sparkSession.read.parquet(spool)
+    base = pages.select(F.col("page_id").cast("string").alias("page"), F.col("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    # the bytes are shuffled once, each payload at most once a map task
+    base.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # what follows moves digests and ids alone; row numbers are settled by writing them
+    index = base.select("page", "page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), base32_sha1(F.col("payload")).alias("sha1"))
+    index.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/index")
+    slim = pages.sparkSession.read.parquet(f"{path}/index")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    lead = base.groupBy("digest").agg(F.min(order).alias("lead"))
-    slim = base.select("page", "url", "digest", "row", F.octet_length("payload").cast("long").alias("length"), base32_sha1(F.col("payload")).alias("sha1"))
+    lead = slim.groupBy("digest").agg(F.min(order).alias("lead"))
     joined = slim.join(lead, "digest")
     response = (F.col("row") == F.col("lead.row")) | (F.col("length") < min_revisit_bytes)
     identity = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.concat(F.lit("row-"), row.cast("string"))), F.lit(">"))
@@ -64,9 +64,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
         _field("Content-Length", F.when(response, F.col("length")).otherwise(F.lit(0)).cast("string")),
         F.lit(CRLF),
     )
-    joined.select(header.alias("header"), "digest", "page").write.parquet(f"{path}/records")
-    keep = lead.select("digest", F.col("lead.row").alias("row"))
-    base.select("digest", "row", "payload").join(keep, ["digest", "row"], "left_semi").select("digest", "payload").write.parquet(f"{path}/payloads")
+    joined.select(header.alias("header"), "digest").write.parquet(f"{path}/records")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -76,14 +74,28 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("digest", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is not what its digest says: "), F.col("digest")))).alias("payload"))
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``header, digest`` of every record of an archive."""
+    return spark.read.schema("header string, digest string").parquet(f"{path}/records")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Rebuild every record: ``header, payload`` (the full payload, for revisits too) and ``record``, the exact WARC bytes."""
-    records = spark.read.schema("header string, digest string, page string").parquet(f"{path}/records")
-    whole = records.join(read_payloads(spark, path), "digest")
+    whole = read_headers(spark, path).join(read_payloads(spark, path), "digest")
     block = F.when(F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
     return whole.select("header", "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
+def describe_records(spark: SparkSession, path: str) -> DataFrame:
+    """``header, payload_bytes, payload_digest`` of every record, measured on the stored payloads.
+
+    The same join as :func:`read_records`, but each payload is read, verified and measured where it
+    is stored, once, and only the figures go to its records.
+    """
+    measured = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    return read_headers(spark, path).join(measured, "digest").drop("digest")
+
+
 def header_field(name: str) -> Column:
     """A field of a record's header block, null if it is not there."""
     found = F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
