@@ -1,4 +1,696 @@
-"""Registered queries: the engine's operators applied to the driver's tables, with their SQL."""
+"""Registered queries: the engine's operators applied to the driver's tables, with their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no source code; each query reads a table as the facts that an operator
+works on (an event as a finding, a part as a module, an order as a debt signal, ...).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import scalar
+from millrace.operators import behavior, clones, deps, findings, graph, intervals, score, textscan
+from millrace.session import table
+from millrace.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Adapters -------------------------------------------------------------------------------------
+
+EVENT_SEVERITY = "CASE WHEN value >= 100 THEN 'CRITICAL' WHEN value >= 50 THEN 'HIGH' WHEN value >= 20 THEN 'MEDIUM' WHEN value >= 1 THEN 'LOW' END"
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings: type is rule and category, user is file, id is line."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id"), F.concat(F.lit("SKY-"), F.upper("event_type")).alias("rule_id"), F.col("event_type").alias("category"), F.expr(EVENT_SEVERITY).alias("severity"),
+        F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py")).alias("file"), F.col("event_id").cast("int").alias("line"), "ts", "user_id", "value",
+    )
+
+
+PART_EDGES = """
+  SELECT DISTINCT src, dst FROM (
+    SELECT p_partkey AS src, p_size::BIGINT AS dst FROM part
+    UNION ALL SELECT p_partkey, replace(p_brand, 'Brand#', '')::BIGINT FROM part)"""
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as modules: each depends on the parts numbered by its size and by its brand."""
+    p = table(spark, sf_dir, "part")
+    brand = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("long")
+    return p.select(F.col("p_partkey").alias("src"), F.col("p_size").cast("long").alias("dst")).union(p.select("p_partkey", brand)).distinct()
+
+
+def priority_severity(priority: Column) -> Column:
+    """Order priorities as severities."""
+    return findings.lookup(F.substring(priority, 1, 1), {"1": "CRITICAL", "2": "HIGH", "3": "MEDIUM", "4": "LOW", "5": "INFO"})
+
+
+ORDER_SEVERITY = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CRITICAL' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' WHEN '4' THEN 'LOW' WHEN '5' THEN 'INFO' END"
+
+# Filters, baselines, rollups, ranking ---------------------------------------------------------
+
+
+@query(f"""
+WITH f AS (SELECT event_id, event_type AS category, {EVENT_SEVERITY} AS severity, 'src/u' || user_id || '.py' AS file FROM events)
+SELECT event_id, category, severity, file FROM f
+WHERE category IN ('error', 'click', 'view') AND contains(file, '/u1') AND severity IN ('CRITICAL', 'HIGH')
+""")
+def finding_filter(spark, sf_dir):
+    kept = findings.display_filter(event_findings(spark, sf_dir), "high", ["error", "click", "view"], "/u1")
+    return kept.select("event_id", "category", "severity", "file")
+
+
+@query("SELECT event_id, 'SKY-' || upper(event_type) AS rule_id FROM events WHERE event_type IN ('error', 'signup')")
+def rule_selection(spark, sf_dir):
+    return findings.select_rules(event_findings(spark, sf_dir), ["sky-error", "SKY-Signup"]).select("event_id", "rule_id")
+
+
+@query("""
+SELECT e.event_id FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = e.user_id AND s.s_acctbal < 0)
+  AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = e.user_id AND s.s_acctbal >= 5000 AND e.event_type = 'view')
+""")
+def inline_ignores(spark, sf_dir):
+    e = event_findings(spark, sf_dir).withColumn("line", F.lit(1))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/u"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file"), F.lit(1).alias("line"), F.when(F.col("s_acctbal") >= 0, "SKY-VIEW").alias("rule_id"), "s_acctbal")
+    return findings.drop_inline_ignored(e, s.where("s_acctbal < 0 or s_acctbal >= 5000")).select("event_id")
+
+
+@query("""
+SELECT doc_id, md5(coalesce(text, '')) AS fingerprint FROM documents
+WHERE source IN ('src1', 'src3', 'src5', 'src7', 'src9')
+  AND md5(coalesce(text, '')) NOT IN (SELECT md5(coalesce(text, '')) FROM documents WHERE source NOT IN ('src1', 'src3', 'src5', 'src7', 'src9'))
+""")
+def new_vs_baseline(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("fingerprint", findings.fingerprint("text"))
+    odd = F.col("source").isin("src1", "src3", "src5", "src7", "src9")
+    return findings.new_vs_baseline(d.where(odd), d.where(~odd)).select("doc_id", "fingerprint")
+
+
+@query("""
+SELECT source AS directory, count(*) AS total, count(DISTINCT lang) AS files,
+  count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE lang = 'fr') AS n_fr, count(*) FILTER (WHERE lang = 'de') AS n_de, count(*) FILTER (WHERE lang = 'es') AS n_es
+FROM documents GROUP BY source
+""")
+def directory_rollup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("file"), F.col("lang").alias("category"), F.lit("DOC").alias("rule_id"), F.lit("INFO").alias("severity"))
+    return findings.directory_rollup(d, ["en", "fr", "de", "es"]).select("directory", "total", "files", "n_en", "n_fr", "n_de", "n_es")
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, o_totalprice, {ORDER_SEVERITY} AS severity, o_orderstatus, o_custkey FROM orders)
+SELECT o_orderkey, score FROM (
+  SELECT o_orderkey, (CASE severity WHEN 'CRITICAL' THEN 400 WHEN 'HIGH' THEN 300 WHEN 'MEDIUM' THEN 200 WHEN 'LOW' THEN 100 ELSE 0 END
+    + CASE WHEN o_orderstatus = 'O' THEN 220 ELSE 0 END + CASE WHEN o_orderstatus = 'P' THEN 140 ELSE 0 END
+    + least(floor(o_totalprice / 5000)::INTEGER, 100))::DOUBLE AS score, o_custkey
+  FROM f) ORDER BY score DESC, o_custkey, o_orderkey LIMIT 100
+""")
+def rank_actions_topk(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", priority_severity(F.col("o_orderpriority")).alias("severity"), (F.col("o_orderstatus") == "O").alias("is_new_vs_baseline"), (F.col("o_orderstatus") == "P").alias("is_new_since_last_scan"), F.lit(False).alias("is_changed"),
+        F.lit("quality").alias("category"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("confidence"), F.lit(0.0).alias("priority_score"), F.lit(False).alias("is_dismissed"), F.lit(False).alias("is_snoozed"),
+        F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("file"), F.col("o_orderkey").alias("line"), F.lit("").alias("title"),
+    )
+    return findings.rank_actions(o, 100).select("o_orderkey", "score")
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 3
+""")
+def capped_findings(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return findings.cap_per_group(e, ["user_id", "event_type"], [F.col("value").desc(), "event_id"], 3).select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH g AS (
+  SELECT user_id % 5 AS agent, event_type AS category, CASE WHEN value >= 50 THEN 'HIGH' ELSE 'LOW' END AS severity, user_id % 2 = 0 AS ai FROM events)
+SELECT agent::VARCHAR AS agent, severity, category, count(*) AS n, count(*) FILTER (WHERE ai) AS n_ai,
+  round_even(count(*) FILTER (WHERE ai) * 100.0::DOUBLE / count(*), 1) AS ai_share
+FROM g GROUP BY GROUPING SETS ((agent), (severity), (category), ())
+""")
+def provenance_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id") % 5, F.when(F.col("value") >= 50, "HIGH").otherwise("LOW"), "event_type", F.col("user_id") % 2 == 0).toDF("agent", "severity", "category", "ai_authored")
+    return findings.provenance_stats(e.withColumn("agent", F.col("agent").cast("string"))).select("agent", "severity", "category", "n", "n_ai", "ai_share")
+
+
+@query("""
+WITH o AS (SELECT event_type AS pattern, CASE WHEN value >= 50 THEN 'keep' WHEN value >= 20 THEN 'snooze' ELSE 'dismiss' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT pattern, verdict, n / (n + 1.0)::DOUBLE AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, verdict DESC) AS r FROM o) WHERE r = 1
+""")
+def triage_learning(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return findings.triage_confidence(e.select(F.col("event_type").alias("pattern"), F.when(F.col("value") >= 50, "keep").when(F.col("value") >= 20, "snooze").otherwise("dismiss").alias("verdict")))
+
+
+@query("""
+WITH a AS (SELECT event_id AS i, user_id AS file, event_type AS c, epoch(date_trunc('second', ts))::BIGINT AS l FROM events WHERE event_type IN ('error', 'click')),
+  b AS (SELECT event_id AS i, user_id AS file, event_type AS c, epoch(date_trunc('second', ts))::BIGINT AS l FROM events WHERE event_type IN ('view', 'purchase')),
+  p AS (SELECT a.i AS ai, b.i AS bi FROM a JOIN b ON a.file = b.file AND abs(a.l - b.l) <= 600)
+SELECT c AS category, 'both' AS status, count(*) AS n FROM a WHERE i IN (SELECT ai FROM p) GROUP BY c
+UNION ALL SELECT c, 'only_ours', count(*) FROM a WHERE i NOT IN (SELECT ai FROM p) GROUP BY c
+UNION ALL SELECT c, 'only_theirs', count(*) FROM b WHERE i NOT IN (SELECT bi FROM p) GROUP BY c
+""")
+def scanner_comparison(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("category"), F.unix_timestamp("ts").alias("line"))
+    return findings.compare_scanners(e.where("category in ('error', 'click')"), e.where("category in ('view', 'purchase')"), 600).select("category", "status", "n")
+
+
+# Scores ---------------------------------------------------------------------------------------
+
+LETTER_SQL = "CASE WHEN score >= 97 THEN 'A+' WHEN score >= 93 THEN 'A' WHEN score >= 90 THEN 'A-' WHEN score >= 87 THEN 'B+' WHEN score >= 83 THEN 'B' WHEN score >= 80 THEN 'B-' WHEN score >= 77 THEN 'C+' WHEN score >= 73 THEN 'C' WHEN score >= 70 THEN 'C-' WHEN score >= 67 THEN 'D+' WHEN score >= 63 THEN 'D' WHEN score >= 60 THEN 'D-' ELSE 'F' END"
+
+
+@query(f"""
+WITH f AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'O' THEN {ORDER_SEVERITY} ELSE 'LOW' END AS s FROM orders),
+c AS (SELECT o_custkey, count(*) FILTER (WHERE s = 'CRITICAL') AS "CRITICAL", count(*) FILTER (WHERE s = 'HIGH') AS "HIGH", count(*) FILTER (WHERE s = 'MEDIUM') AS "MEDIUM", count(*) FILTER (WHERE s NOT IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS "LOW" FROM f GROUP BY 1),
+r AS (SELECT *, greatest(0, least(100, (CASE WHEN "CRITICAL" > 0 THEN 55 WHEN "HIGH" > 0 THEN 79 ELSE 100 END) - 15 * "CRITICAL" - 8 * "HIGH" - 3 * "MEDIUM" - "LOW"))::INTEGER AS score FROM c)
+SELECT o_custkey, "CRITICAL", "HIGH", "MEDIUM", "LOW", score, {LETTER_SQL} AS grade FROM r
+""")
+def severity_grade(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("severity", F.when(F.col("o_orderstatus") == "O", priority_severity(F.col("o_orderpriority"))).otherwise("LOW"))
+    return score.severity_score(o, ["o_custkey"])
+
+
+@query("""
+WITH l AS (SELECT d.source, count(*) FILTER (WHERE quality = 0) AS dead, sum(n_chars) AS chars FROM documents d JOIN labels USING (doc_id) GROUP BY 1),
+x AS (SELECT source, dead, dead / (chars / 100000.0::DOUBLE) AS density FROM l)
+SELECT source, dead, round_even(CASE WHEN density <= 0 THEN 100 WHEN density <= 5 THEN 100 + density / 5 * (85 - 100) WHEN density <= 15 THEN 85 + (density - 5) / (15 - 5) * (55 - 85)
+  WHEN density <= 30 THEN 55 + (density - 15) / (30 - 15) * (20 - 55) WHEN density <= 50 THEN 20 + (density - 30) / (50 - 30) * (0 - 20) ELSE 0 END::DOUBLE, 0)::INTEGER AS score
+FROM x
+""")
+def dead_density_score(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("dead"), F.sum("n_chars").alias("chars"))
+    return d.select("source", "dead", score.dead_density_score(F.col("dead") / (F.col("chars") / 100000.0)).alias("score"))
+
+
+@query("""
+SELECT user_id, n, CASE WHEN n = 0 THEN 100 ELSE greatest(0, 69 - (n - 1) * 20) END::INTEGER AS score
+FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error' AND value >= 50) AS n FROM events GROUP BY 1)
+""")
+def secrets_score(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if((F.col("event_type") == "error") & (F.col("value") >= 50)).alias("n"))
+    return e.select("user_id", "n", score.secrets_score(F.col("n")).alias("score"))
+
+
+@query(f"""
+WITH c AS (SELECT n_regionkey AS g, c_mktsegment AS seg, least(100, greatest(0, floor(avg(c_acctbal) / 60)))::INTEGER AS s, count(*) FILTER (WHERE c_acctbal < 0) AS neg FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+k AS (SELECT g, CASE seg WHEN 'AUTOMOBILE' THEN 'security' WHEN 'BUILDING' THEN 'quality' WHEN 'FURNITURE' THEN 'dead_code' WHEN 'HOUSEHOLD' THEN 'dependencies' ELSE 'secrets' END AS cat, s, neg FROM c),
+w AS (SELECT *, CASE cat WHEN 'security' THEN 30 WHEN 'quality' THEN 25 WHEN 'dead_code' THEN 15 ELSE 10 END AS w FROM k),
+r AS (SELECT g, least(round_even((sum(s * w)::DOUBLE / sum(w)), 0), CASE WHEN max(CASE WHEN cat = 'security' AND neg > 0 THEN 1 ELSE 0 END) = 1 THEN 79 ELSE 100 END)::INTEGER AS score FROM w GROUP BY 1)
+SELECT g AS region, score, {LETTER_SQL} AS grade FROM r
+""")
+def overall_grade(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = c.groupBy(F.col("n_regionkey").alias("region"), "c_mktsegment").agg(F.floor(F.avg("c_acctbal") / 60).alias("s"), F.count_if(F.col("c_acctbal") < 0).alias("n_critical"))
+    category = F.coalesce(findings.lookup(F.col("c_mktsegment"), {"AUTOMOBILE": "security", "BUILDING": "quality", "FURNITURE": "dead_code", "HOUSEHOLD": "dependencies"}), F.lit("secrets"))
+    return score.overall_grade(g.select("region", category.alias("category"), score.clamp(F.col("s")).alias("score"), "n_critical"), ["region"])
+
+
+DEBT_CTE = """
+d AS (
+  SELECT l_suppkey AS file, CASE l_returnflag WHEN 'A' THEN 'complexity' WHEN 'N' THEN 'architecture' ELSE 'dead_code' END AS dim,
+    CASE l_returnflag WHEN 'A' THEN 100 WHEN 'N' THEN 125 ELSE 65 END AS dw,
+    CASE l_linestatus WHEN 'F' THEN 'HIGH' ELSE 'LOW' END AS sev, CASE l_linestatus WHEN 'F' THEN 12 ELSE 3 END AS sw,
+    CASE WHEN l_quantity > 25 THEN least((l_quantity - 25) / 25, 2) ELSE 0 END AS ex
+  FROM lineitem),
+p AS (SELECT *, round_even(sw * (dw / 100.0::DOUBLE) * (1 + ex), 2) AS pts FROM d),
+g AS (SELECT file, dim, round(sum(pts), 4) AS pts, count(*) AS n, max(sw) AS sw FROM p GROUP BY 1, 2),
+h AS (
+  SELECT file, round(sum(pts) + (count(*) - 1) * 2, 2) AS score, sum(n)::BIGINT AS signal_count, count(*) AS dimension_count,
+    arg_max(dim, {'p': pts, 'd': dim}) AS primary_dimension, CASE max(sw) WHEN 12 THEN 'HIGH' ELSE 'LOW' END AS worst_severity
+  FROM g GROUP BY 1)
+"""
+
+
+def _debt_signals(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("file"), findings.lookup(F.col("l_returnflag"), {"A": "complexity", "N": "architecture"}, "dead_code").alias("dimension"),
+        F.when(F.col("l_linestatus") == "F", "HIGH").otherwise("LOW").alias("severity"), F.col("l_quantity").alias("metric_value"), F.lit(25.0).alias("threshold"),
+    )
+
+
+@query(f"WITH {DEBT_CTE} SELECT file, score, signal_count, dimension_count, primary_dimension, worst_severity, round(score + CASE worst_severity WHEN 'HIGH' THEN 3.0 ELSE 0.5 END, 2) AS priority_score FROM h")
+def debt_hotspots(spark, sf_dir):
+    return score.debt_hotspots(_debt_signals(spark, sf_dir))
+
+
+@query(f"""
+WITH {DEBT_CTE}, a AS (SELECT count(*) AS hotspot_count, sum(signal_count)::BIGINT AS signal_count, round(sum(score), 2) AS total_points, count(*)::DOUBLE AS normalizer FROM h)
+SELECT *, greatest(0, least(100, round_even(100 - total_points / normalizer, 0)))::INTEGER AS score_pct,
+  CASE WHEN greatest(0, least(100, round_even(100 - total_points / normalizer, 0))) >= 90 THEN 'LOW' WHEN greatest(0, least(100, round_even(100 - total_points / normalizer, 0))) >= 75 THEN 'MODERATE' WHEN greatest(0, least(100, round_even(100 - total_points / normalizer, 0))) >= 50 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_rating
+FROM a
+""")
+def debt_score(spark, sf_dir):
+    return score.debt_score(score.debt_hotspots(_debt_signals(spark, sf_dir)))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS key, CASE WHEN month(o_orderdate) <= 6 THEN 1 ELSE 2 END AS half, count(*)::DOUBLE AS score FROM orders GROUP BY 1, 2),
+  c AS (SELECT key, score FROM s WHERE half = 2), b AS (SELECT key, score FROM s WHERE half = 1)
+SELECT coalesce(c.key, b.key) AS key,
+  CASE WHEN b.score IS NULL THEN 'new' WHEN c.score IS NULL THEN 'resolved' WHEN c.score - b.score > 1 THEN 'worsened' WHEN c.score - b.score < -1 THEN 'improved' ELSE 'unchanged' END AS status,
+  CASE WHEN b.score IS NULL THEN c.score ELSE c.score - b.score END AS delta
+FROM c FULL OUTER JOIN b ON c.key = b.key
+""")
+def debt_baseline_status(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), (F.month("o_orderdate") <= 6).alias("early"))
+    half = lambda early: o.where(F.col("early") == early).groupBy("key").agg(F.count("*").cast("double").alias("score"))
+    return score.debt_status(half(False), half(True))
+
+
+@query("""
+WITH k AS (SELECT c_nationkey, CASE c_custkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 1 END AS w, c_acctbal >= 1000 AS ok FROM customer),
+a AS (SELECT c_nationkey, sum(w)::BIGINT AS weighted_max, coalesce(sum(w) FILTER (WHERE ok), 0)::BIGINT AS weighted_score, count(*) FILTER (WHERE ok) AS passed, count(*) AS total FROM k GROUP BY 1),
+p AS (SELECT *, round_even(weighted_score::DOUBLE / weighted_max * 100, 0)::INTEGER AS score_pct FROM a)
+SELECT *, CASE WHEN score_pct < 25 THEN 'CRITICAL' WHEN score_pct < 50 THEN 'HIGH' WHEN score_pct < 75 THEN 'MEDIUM' WHEN score_pct < 90 THEN 'LOW' ELSE 'SECURE' END AS risk_rating FROM p
+""")
+def defense_score(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_nationkey", findings.lookup(F.col("c_custkey") % 4, {0: "critical", 1: "high", 2: "medium", 3: "low"}).alias("severity"), (F.col("c_acctbal") >= 1000).alias("passed"))
+    return score.defense_score(c, ["c_nationkey"])
+
+
+@query("""
+WITH a AS (SELECT s_nationkey, count(*) FILTER (WHERE s_acctbal >= 2000) AS passed, count(*) AS total FROM supplier GROUP BY 1),
+p AS (SELECT *, round_even(passed::DOUBLE / total * 100, 0)::INTEGER AS score_pct FROM a)
+SELECT *, CASE WHEN score_pct >= 80 THEN 'EXCELLENT' WHEN score_pct >= 60 THEN 'GOOD' WHEN score_pct >= 40 THEN 'FAIR' ELSE 'POOR' END AS rating FROM p
+""")
+def ops_score(spark, sf_dir):
+    return score.ops_score(table(spark, sf_dir, "supplier").select("s_nationkey", (F.col("s_acctbal") >= 2000).alias("passed")), ["s_nationkey"])
+
+
+@query("""
+SELECT r_name AS control, count(c_custkey) AS checks, count(*) FILTER (WHERE c_acctbal >= 0) AS passed,
+  CASE WHEN count(c_custkey) = 0 THEN 'not_covered' WHEN count(c_custkey) = count(*) FILTER (WHERE c_acctbal >= 0) THEN 'covered' WHEN count(*) FILTER (WHERE c_acctbal >= 0) > 0 THEN 'partial' ELSE 'uncovered' END AS status
+FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name
+""")
+def control_coverage(spark, sf_dir):
+    mapping = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("control"), F.col("n_nationkey").alias("plugin"))
+    return score.control_coverage(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("plugin"), (F.col("c_acctbal") >= 0).alias("passed")), mapping)
+
+
+@query(f"""
+WITH f AS (SELECT user_id, {EVENT_SEVERITY} AS severity, CASE event_type WHEN 'error' THEN 'security' WHEN 'view' THEN 'quality' WHEN 'click' THEN 'secrets' WHEN 'signup' THEN 'dependencies' ELSE 'reliability' END AS c FROM events),
+a AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE severity = 'CRITICAL') AS cr, count(*) FILTER (WHERE severity = 'HIGH') AS hi, count(*) FILTER (WHERE c = 'security') AS se, count(*) FILTER (WHERE c = 'reliability') AS re, count(*) FILTER (WHERE c = 'quality') AS qu, count(*) FILTER (WHERE c = 'secrets') AS sc, count(*) FILTER (WHERE c = 'dependencies') AS de FROM f GROUP BY 1)
+SELECT user_id, total, concat_ws('; ', CASE WHEN cr > 0 THEN 'critical ' || cr || ' > 0' END, CASE WHEN hi > 5 THEN 'high ' || hi || ' > 5' END, CASE WHEN se > 10 THEN 'security ' || se || ' > 10' END,
+  CASE WHEN re > 0 THEN 'reliability ' || re || ' > 0' END, CASE WHEN qu > 10 THEN 'quality ' || qu || ' > 10' END, CASE WHEN sc > 0 THEN 'secrets ' || sc || ' > 0' END, CASE WHEN de > 0 THEN 'dependencies ' || de || ' > 0' END) AS reasons,
+  NOT (cr > 0 OR hi > 5 OR se > 10 OR re > 0 OR qu > 10 OR sc > 0 OR de > 0) AS passed
+FROM a
+""")
+def gate_reasons(spark, sf_dir):
+    category = findings.lookup(F.col("category"), {"error": "security", "view": "quality", "click": "secrets", "signup": "dependencies"}, "reliability")
+    f = event_findings(spark, sf_dir).withColumn("category", category).withColumn("complete", F.lit(True))
+    return score.gate(f, ["user_id"]).select("user_id", "total", F.array_join("reasons", "; ").alias("reasons"), "passed")
+
+
+@query("""
+WITH l AS (SELECT d.source, quality = 0 AS t, (n_chars < 200) AS p FROM documents d JOIN labels USING (doc_id)),
+c AS (SELECT source, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn FROM l GROUP BY 1)
+SELECT source, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS recall, round(CASE WHEN tn + fp = 0 THEN 1.0 ELSE tn::DOUBLE / (tn + fp) END, 6) AS absence FROM c
+""")
+def prf_benchmark(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 0).alias("truth"), (F.col("n_chars") < 200).alias("predicted"))
+    s = score.detection_scores(d, ["source"])
+    return s.select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "absence")])
+
+
+@query("""
+WITH k AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' AND value >= 100 THEN 1 ELSE 0 END) AS ok, max(CASE WHEN event_type = 'error' AND value >= 100 THEN 1 ELSE 0 END) AS bad,
+  max(CASE WHEN event_type = 'view' AND value >= 150 THEN 1 ELSE 0 END) AS alive, max(CASE WHEN event_type = 'click' AND value >= 100 THEN 1 ELSE 0 END) AS unsure FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN ok = 1 THEN 'safe_to_remove' WHEN bad = 1 THEN 'alive' WHEN alive = 1 THEN 'alive' WHEN unsure = 1 THEN 'uncertain' ELSE 'likely_dead' END AS classification FROM k
+""")
+def evidence_classify(spark, sf_dir):
+    e, v = F.col("event_type"), F.col("value")
+    kind = F.when((e == "purchase") & (v >= 100), "validation_passed").when((e == "error") & (v >= 100), "validation_failed").when((e == "view") & (v >= 150), "static_reference").when((e == "click") & (v >= 100), "dynamic_access").otherwise("none")
+    return score.classify_evidence(table(spark, sf_dir, "events").select("user_id", kind.alias("kind")), "user_id")
+
+
+@query(r"""
+SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND (NOT starts_with(trim(x, ' '), '#') OR starts_with(trim(x, ' '), '##!')))) AS loc FROM documents
+""")
+def lines_of_code(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return score.lines_of_code(d).select(F.col("path").alias("doc_id"), F.col("loc").cast("long").alias("loc"))
+
+
+# Intervals ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events), r AS (
+  SELECT o_custkey % 150 AS user_id, epoch(date_trunc('second', o_orderdate))::BIGINT - 315532800 + 86400 * 9131 AS s FROM orders)
+SELECT event_id FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.user_id = e.user_id AND e.t BETWEEN (r.s % 864000) + 1704067200 AND (r.s % 864000) + 1704067200 + 3600)
+""")
+def diff_overlap_semi(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("start"), F.unix_timestamp("ts").alias("end"))
+    s = (F.unix_timestamp("o_orderdate") - 315532800 + 86400 * 9131) % 864000 + 1704067200
+    r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 150).alias("user_id"), s.alias("start"), (s + 3600).alias("end"))
+    return intervals.overlap_semi(e, r, "user_id", width=1800).select("event_id")
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS file, l_orderkey * 10 + l_linenumber AS point_id, l_orderkey * 7 + l_partkey * 13 + l_linenumber AS u, (l_partkey % 1000)::INTEGER AS a FROM lineitem),
+  s AS (SELECT l_suppkey AS file, l_orderkey, l_linenumber, l_partkey, (l_partkey % 1000)::INTEGER AS a, (l_partkey % 1000)::INTEGER + l_quantity::INTEGER AS b FROM lineitem),
+  q AS (SELECT DISTINCT file, a AS at FROM p),
+  d AS (SELECT DISTINCT file, a, b FROM s)
+SELECT q.file, q.at, d.a AS start, d.b AS "end" FROM q JOIN d ON q.file = d.file AND q.at BETWEEN d.a AND d.b
+QUALIFY row_number() OVER (PARTITION BY q.file, q.at ORDER BY d.b - d.a, d.a) = 1
+""")
+def narrowest_enclosing(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 1000).cast("int").alias("a"), F.col("l_quantity").cast("int").alias("q"))
+    points = li.select("file", F.col("a").alias("at")).distinct().withColumn("point_id", F.col("at"))
+    spans = li.select("file", F.col("a").alias("start"), (F.col("a") + F.col("q")).alias("end")).distinct().withColumn("span_id", F.col("start"))
+    return intervals.narrowest_enclosing(points, spans, "file").select("file", "at", "start", "end")
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS k, datediff('day', DATE '1992-01-01', l_shipdate::DATE) AS s, datediff('day', DATE '1992-01-01', l_shipdate::DATE) + l_linenumber AS e FROM lineitem),
+m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x FROM r),
+i AS (SELECT *, sum(CASE WHEN x IS NULL OR s > x + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m)
+SELECT k AS l_suppkey, min(s)::INTEGER AS start, max(e)::INTEGER AS "end", count(*) AS n FROM i GROUP BY k, g
+""")
+def merge_ranges(spark, sf_dir):
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    r = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("start"), (day + F.col("l_linenumber")).alias("end"))
+    return intervals.merge_ranges(r, ["l_suppkey"])
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS t FROM events),
+g AS (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS p FROM e)
+SELECT event_id FROM g WHERE p IS NULL OR t - p > 3600
+""")
+def band_dedupe(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("t"))
+    return intervals.gap_dedupe(e, ["user_id", "event_type"], "t", 3600, ["event_id"]).select("event_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS t FROM events)
+SELECT a.event_id AS definition, b.event_id AS trace FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.t BETWEEN a.t - 300 AND a.t + 900
+""")
+def trace_band_join(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("t"))
+    a = e.where("event_type = 'signup'").select(F.col("event_id").alias("definition"), "user_id", F.col("t").alias("at"))
+    b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("trace"), "user_id", F.col("t").alias("other"))
+    return intervals.band_join(a, b, "user_id", "at", "other", 300, 900).select("definition", "trace")
+
+
+# Graphs ---------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH e AS ({PART_EDGES}), l AS (SELECT * FROM e WHERE src <> dst),
+ca AS (SELECT dst AS module, count(*) AS ca FROM l GROUP BY 1), ce AS (SELECT src AS module, count(*) AS ce FROM l GROUP BY 1),
+j AS (SELECT coalesce(ca.module, ce.module) AS module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM ca FULL OUTER JOIN ce ON ca.module = ce.module),
+i AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce::DOUBLE / (ca + ce) ELSE 0 END AS instability FROM j)
+SELECT module, ca, ce, instability, abs(instability - 1) AS distance,
+  CASE WHEN instability <= 0.3 THEN 'zone_of_pain' WHEN abs(instability - 1) <= 0.3 THEN 'main_sequence' ELSE 'off_sequence' END AS zone FROM i
+""")
+def module_coupling(spark, sf_dir):
+    return graph.coupling(part_edges(spark, sf_dir)).drop("abstractness")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT 'b' || replace(p_brand, 'Brand#', '') AS src, 's' || p_size AS dst FROM part UNION SELECT DISTINCT 's' || p_size, 't' || p_type FROM part WHERE p_size > 25),
+ca AS (SELECT dst AS m, count(*) AS ca FROM e GROUP BY 1), ce AS (SELECT src AS m, count(*) AS ce FROM e GROUP BY 1),
+i AS (SELECT coalesce(ca.m, ce.m) AS m, coalesce(ce, 0)::DOUBLE / (coalesce(ca, 0) + coalesce(ce, 0)) AS i FROM ca FULL OUTER JOIN ce ON ca.m = ce.m)
+SELECT e.src, e.dst, a.i AS i_src, b.i AS i_dst, CASE WHEN a.i < 0.1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE src LIKE 's%') e JOIN i a ON a.m = e.src JOIN i b ON b.m = e.dst WHERE a.i < 0.3 AND b.i > 0.7
+""")
+def dip_violations(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    size = F.concat(F.lit("s"), F.col("p_size").cast("string"))
+    e = p.select(F.concat(F.lit("b"), F.replace("p_brand", F.lit("Brand#"), F.lit(""))).alias("src"), size.alias("dst")).union(p.where("p_size > 25").select(size, F.concat(F.lit("t"), F.col("p_type")))).distinct()
+    back = e.where(F.col("src").startswith("s")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.dependency_inversions(e.union(back), graph.coupling(e)).select("src", "dst", "i_src", "i_dst", "severity")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey),
+l AS (SELECT src, dst, a.n_regionkey AS src_layer, b.n_regionkey AS dst_layer FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst)
+SELECT src, dst, src_layer, dst_layer, CASE WHEN dst_layer = src_layer + 1 THEN 'denied' ELSE 'not_allowed' END AS reason, 'HIGH' AS severity
+FROM l WHERE src_layer <> dst_layer AND (dst_layer = src_layer + 1 OR (src_layer IN (0, 1) AND dst_layer <> 4))
+""")
+def layer_policy(spark, sf_dir):
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    e = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
+    layers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("module"), F.col("n_regionkey").alias("layer"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("src_layer"))
+    allow, deny = regions.where("src_layer in (0, 1)").withColumn("dst_layer", F.lit(4)), regions.withColumn("dst_layer", F.col("src_layer") + 1)
+    return graph.layer_violations(e, layers, allow, deny)
+
+
+REACH_CTE = f"WITH RECURSIVE e AS ({PART_EDGES}), r AS (SELECT p_partkey AS node FROM part WHERE p_name LIKE 'small%' AND p_type = 'ECONOMY' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"
+
+
+def _roots(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_name like 'small%' and p_type = 'ECONOMY'").select(F.col("p_partkey").alias("node"))
+
+
+@query(f"{REACH_CTE} SELECT node FROM r")
+def reachable(spark, sf_dir):
+    return graph.reachable(part_edges(spark, sf_dir), _roots(spark, sf_dir)).select("node")
+
+
+@query(f"{REACH_CTE} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
+def unreachable(spark, sf_dir):
+    return graph.unreachable(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), part_edges(spark, sf_dir), _roots(spark, sf_dir))
+
+
+@query("""
+WITH RECURSIVE u AS (SELECT s_suppkey AS a, ((s_suppkey * s_nationkey) // 16)::BIGINT AS b FROM supplier),
+e AS (SELECT a, b FROM u WHERE a IS NOT NULL UNION SELECT b, a FROM u UNION SELECT a, a FROM u UNION SELECT b, b FROM u),
+r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node WHERE r.c < e.b OR r.c <= r.node)
+SELECT node, min(c) AS component FROM r GROUP BY node
+""")
+def connected_components(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.floor(F.col("s_suppkey") * F.col("s_nationkey") / 16).cast("long").alias("dst"))
+    return graph.components(s)
+
+
+KCORE_ROUNDS = 8
+
+
+def _kcore_sql(k: int) -> str:
+    out = [f"WITH e0 AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ({PART_EDGES}) WHERE src <> dst UNION SELECT dst, src FROM ({PART_EDGES}) WHERE src <> dst))"]
+    for i in range(KCORE_ROUNDS):
+        out.append(f"k{i} AS (SELECT a FROM e{i} GROUP BY a HAVING count(*) >= {k}), e{i + 1} AS (SELECT a, b FROM e{i} WHERE a IN (SELECT a FROM k{i}) AND b IN (SELECT a FROM k{i}))")
+    return ",\n".join(out) + f" SELECT DISTINCT a AS node FROM e{KCORE_ROUNDS}"
+
+
+@query(_kcore_sql(4))
+def kcore(spark, sf_dir):
+    return graph.k_core(part_edges(spark, sf_dir), 4)
+
+
+@query(f"""
+WITH RECURSIVE e AS ({PART_EDGES}), c AS (SELECT * FROM e WHERE src IN (SELECT dst FROM e)),
+r AS (SELECT src, dst FROM c UNION SELECT r.src, c.dst FROM r JOIN c ON c.src = r.dst)
+SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src
+""")
+def cycles_scc(spark, sf_dir):
+    return graph.strong_components(part_edges(spark, sf_dir))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * n_nationkey + n_regionkey) % 25 AS dst FROM nation),
+p AS (SELECT src AS start, dst AS cur, [src] AS nodes FROM e WHERE src <= dst
+  UNION ALL SELECT p.start, e.dst, list_append(p.nodes, e.src) FROM p JOIN e ON p.cur = e.src WHERE p.cur > p.start AND e.dst >= p.start AND NOT list_contains(p.nodes, p.cur) AND len(p.nodes) < 6),
+f AS (SELECT min(nodes) AS nodes FROM p WHERE start = cur GROUP BY list_sort(nodes))
+SELECT array_to_string(nodes, '>') AS nodes, len(nodes)::INTEGER AS length, CASE WHEN len(nodes) > 3 THEN 'HIGH' WHEN len(nodes) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM f
+""")
+def simple_cycles(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * F.col("n_nationkey") + F.col("n_regionkey")) % 25).alias("dst"))
+    return graph.simple_cycles(e).withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">"))
+
+
+def _dead_sql(rounds: int = 12) -> str:
+    out = [f"""WITH c AS (SELECT src AS caller, dst AS callee FROM ({PART_EDGES}) WHERE src <> dst),
+n AS (SELECT callee, count(*) AS n FROM c GROUP BY 1),
+d AS (SELECT p_partkey AS k, p_type = 'PROMO' OR p_size > 40 AS exported, coalesce(n.n, 0) AS refs FROM part LEFT JOIN n ON n.callee = p_partkey),
+d0 AS (SELECT k FROM d WHERE NOT exported AND refs = 0)"""]
+    for i in range(rounds):
+        out.append(f"d{i + 1} AS (SELECT k FROM d{i} UNION SELECT d.k FROM d JOIN (SELECT callee, bool_and(caller IN (SELECT k FROM d{i})) AS a, count(*) AS n FROM c GROUP BY 1) x ON x.callee = d.k WHERE NOT exported AND x.a AND refs <= x.n)")
+    return ",\n".join(out) + f" SELECT k AS def_key FROM d{rounds}"
+
+
+@query(_dead_sql())
+def transitive_dead(spark, sf_dir):
+    calls = part_edges(spark, sf_dir).where("src <> dst").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    refs = calls.groupBy(F.col("callee").alias("def_key")).agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("def_key"), ((F.col("p_type") == "PROMO") | (F.col("p_size") > 40)).alias("is_exported"))
+    d = p.join(refs, "def_key", "left").withColumns({"references": F.coalesce("n", F.lit(0)), "owner": F.lit(None).cast("long")}).drop("n")
+    return graph.transitive_dead(d, calls).select("def_key")
+
+
+# Clones and text ------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT md5(trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS "group", count(*) AS members, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1
+""")
+def exact_clones(spark, sf_dir):
+    return clones.exact_clones(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(None)
+def near_clones(spark, sf_dir):
+    return clones.near_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(r"""
+WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9+/=_.-]{16,})', 1)) AS token FROM documents),
+k AS (SELECT *, (token LIKE 'sk\_live\_%' ESCAPE '\' OR token LIKE 'ghp\_%' ESCAPE '\' OR starts_with(token, 'AKIA') OR starts_with(token, 'ASIA') OR starts_with(token, 'AIza') OR starts_with(token, 'SG.') OR starts_with(token, 'xoxb-') OR starts_with(token, 'xoxp-') OR starts_with(token, 'glpat-') OR starts_with(token, 'npm_') OR starts_with(token, 'pypi-') OR starts_with(token, 'sk_test_') OR starts_with(token, 'gho_') OR starts_with(token, 'ghu_') OR starts_with(token, 'ghs_') OR starts_with(token, 'ghr_') OR starts_with(token, 'github_pat_')) AS known FROM t),
+h AS (SELECT doc_id, token, known, -(SELECT sum(n / length(token)::DOUBLE * log2(n / length(token)::DOUBLE)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(token, '')) AS c) GROUP BY c)) AS bits FROM k)
+SELECT doc_id, token, CASE WHEN known THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM h
+WHERE known OR (length(token) >= 20 AND regexp_full_match(token, '[A-Za-z0-9+/=_-]+') AND bits > 3.0)
+""")
+def entropy_tokens(spark, sf_dir):
+    return textscan.secret_tokens(table(spark, sf_dir, "documents"), "doc_id", least_entropy=3.0)
+
+
+@query(r"""
+SELECT doc_id, lower(k) AS key_name, length(v)::INTEGER AS value_length FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(token|secret|password|passwd|api_?key|access_?key)\s*[:=]\s*["'']([^"''\n]{8,})["'']', 1)) AS k,
+    unnest(regexp_extract_all(text, '(?i)\b(token|secret|password|passwd|api_?key|access_?key)\s*[:=]\s*["'']([^"''\n]{8,})["'']', 2)) AS v FROM documents)
+""")
+def keyed_secrets(spark, sf_dir):
+    return textscan.keyed_secrets(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '\bsk_(?:live|test|proj)_[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g'), '\bgh[pousr]_[A-Za-z0-9_]{20,}\b', '[REDACTED]', 'g'), '\bxox[abprs]-[A-Za-z0-9-]{10,}\b', '[REDACTED]', 'g'),
+  '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b', '[REDACTED]', 'g'), '(?i)AWS_SECRET_ACCESS_KEY\s*[:=]\s*[''"]?[A-Za-z0-9/+=]{40,}', '[REDACTED]', 'g'),
+  '(?i)\b(token|secret|password|passwd|api_?key|access_?key)(\s*[:=]\s*)(["''][^"''\n]{8,}["''])', '\1\2[REDACTED]', 'g')) AS redacted_md5
+FROM documents
+""")
+def redact(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(scalar.redact(F.col("text"))).alias("redacted_md5"))
+
+
+@query(r"""
+SELECT page_id, len(regexp_extract_all(html, '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{200e}\x{200f}\x{202a}-\x{202e}]'))::INTEGER AS hidden FROM pages
+""")
+def zero_width(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(scalar.zero_width_chars(F.col("html"), 1 << 30)).alias("hidden"))
+
+
+@query(r"""
+SELECT conv_id, turn, role, length(regexp_replace(text, '[ \t]+', ' ', 'g'))::INTEGER AS collapsed FROM conversations
+""")
+def collapse_blanks(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length(scalar.collapse_blanks(F.col("text"))).alias("collapsed"))
+
+
+INJECTION_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN {k}" for k, (p, _) in enumerate(textscan.INJECTION_PATTERNS))
+
+
+@query(f"SELECT source, id, line, pattern FROM (SELECT *, CASE {INJECTION_SQL} END AS pattern FROM (SELECT 'benchmark' AS source, item_id AS id, 0 AS line, text FROM benchmark UNION ALL SELECT 'conversations', conv_id, turn::INTEGER, text FROM conversations)) WHERE pattern IS NOT NULL")
+def injection_patterns(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), F.lit(0).alias("line"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations"), "conv_id", F.col("turn").cast("int"), "text")
+    rows = b.union(c)
+    return rows.withColumn("pattern", textscan.first_pattern(F.col("text"))[0]).where("pattern is not null").drop("text")
+
+
+@query(None)
+def homoglyphs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(scalar.homoglyph_words(F.col("html"))).alias("words"))
+
+
+@query(None)
+def base64_blobs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(scalar.base64_texts(F.col("text"))).alias("decoded"))
+
+
+@query(None)
+def injection_scan(spark, sf_dir):
+    files = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), "text")
+    return textscan.scan_injection(files)
+
+
+@query("""
+SELECT event_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim('  Error  at LINE 12 in ' || event_type || ':' || event_id)), '[ \\t]+', ' ', 'g'), 'line [0-9]+', '', 'g'), ':[0-9]+', '', 'g')) AS norm FROM events
+""".replace("\\\\", "\\"))
+def normalize_messages(spark, sf_dir):
+    text = F.concat(F.lit("  Error  at LINE 12 in "), F.col("event_type"), F.lit(":"), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.trim(scalar.normalize_message(text)).alias("norm"))
+
+
+# Behaviour, dependencies, streaming -----------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ') AS answer, count(*) AS calls, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN contains(lower(answer), 'the') AND calls <= 6 AND u > 0 AND a > 0 THEN 'pass' ELSE 'fail' END AS status, 4::BIGINT AS assertions FROM c
+""")
+def behavior_assertions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("scenario")).agg(F.concat_ws(" ", F.collect_list(F.coalesce("text", F.lit("")))).alias("answer"), F.collect_list("role").alias("tools"))
+    o = c.withColumns({"sources": F.array().cast("array<string>"), "refused": F.lit(False)})
+    wanted = [("contains", "the", None, None), ("max_calls", None, None, 6), ("required_tool", "user", None, None), ("required_tool", "assistant", None, None)]
+    dim = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("tools"), F.lit(n).cast("int").alias("number")) for k, t, _, n in wanted])
+    assertions = o.select("scenario", F.explode(dim).alias("x")).select("scenario", "x.*")
+    return behavior.combine(behavior.evaluate(assertions, o), "scenario").withColumnRenamed("scenario", "conv_id")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN n IS NULL THEN 'incomplete' WHEN n >= 5 THEN 'pass' ELSE 'fail' END AS status
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey
+""")
+def verification_coverage(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") >= 5).alias("passed"))
+    return behavior.verification_coverage(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
+
+
+@query("SELECT DISTINCT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def dep_unused(spark, sf_dir):
+    return deps.unused(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"))).distinct()
+
+
+@query("SELECT l_partkey AS name, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
+def dep_anti(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("name"))
+    declared = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("name"))
+    return deps.undeclared(used, declared, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"))).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH v AS (SELECT p_partkey, p_size AS a, replace(p_brand, 'Brand#', '')::INTEGER AS b, p_partkey % 7 AS c FROM part)
+SELECT p_partkey, CASE WHEN (a, b, c) < (10, 12, 3) THEN -1 WHEN (a, b, c) > (10, 12, 3) THEN 1 ELSE 0 END::INTEGER AS cmp FROM v
+""")
+def version_compare(spark, sf_dir):
+    v = F.concat_ws(".", F.col("p_size").cast("string"), F.replace("p_brand", F.lit("Brand#"), F.lit("")), (F.col("p_partkey") % 7).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", deps.compare_versions(v, F.lit("10.12.3")).alias("cmp"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def watch_counts(spark, sf_dir):
+    return watch.hourly_counts(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
+
+
+@query("SELECT md5(user_id || '|' || event_type) AS fingerprint, 'new' AS event, 0::BIGINT AS batch FROM events WHERE user_id IS NOT NULL GROUP BY user_id, event_type")
+def watch_new_resolved(spark, sf_dir):
+    return watch.lifecycle_events(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
