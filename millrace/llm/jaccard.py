@@ -12,7 +12,6 @@ spanning links, never all pairs.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +33,11 @@ VALUES = BANDS * ROWS
 #: MinHash values looked at before each pruning decision, and the posterior below which a pair is dropped.
 STEP = 9
 TOLERANCE = 1e-4
-#: Similarity to its leader from which a text belongs to the leader's family: two texts 0.8 alike are at least 0.6 like anything that is 0.8 like one of them.
-FAMILY = 0.6
+#: Similarity to its leader that puts a text into the leader's family, and share of equal values from which it needs no further comparison in the bucket.
+#: A text 0.8 like one that is at least 0.6 like the leader is itself at least 0.4 like the leader, which the family's test lets pass.
+FAMILY, CLOSE = 0.6, 0.7
+#: Texts of a bucket's block.
+BUCKET_BLOCK = 512
 #: Texts of a block in which pairs are compared.
 BLOCK = 1024
 BATCH_BYTES = 4_000_000
@@ -177,12 +179,64 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whether each candidate pair outlives the comparison at the family's similarity."""
+    """Whether each candidate pair outlives the comparison at the family's similarity, and whether it is close beyond doubt."""
     for batch in batches:
         if len(batch):
             left, right = (np.frombuffer(b"".join(batch[c]), dtype="<u4").reshape(-1, VALUES) for c in ("va", "vb"))
             ok = survivors(left, right, FAMILY)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": ok})
+            close = ok & ((left == right).sum(axis=1) >= CLOSE * VALUES)
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": ok, "close": close})
+
+
+class _Forest:
+    """Disjoint sets of ids."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _within_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spanning pairs of the texts of a bucket's block pair that outlive the comparison; rows come ordered by bucket and block pair."""
+
+    def done(key: tuple, ids: list[int], blocks: list[int], values: list[bytes]) -> list[tuple[int, int]]:
+        v = np.frombuffer(b"".join(values), dtype="<u4").reshape(-1, VALUES)
+        rows = [k for k, b in enumerate(blocks) if b == key[1]]
+        cols = rows if key[1] == key[2] else [k for k, b in enumerate(blocks) if b == key[2]]
+        forest, out, right = _Forest(), [], v[cols]
+        for r, k in enumerate(rows):
+            first = r + 1 if key[1] == key[2] else 0
+            if first < len(cols):
+                hit = np.flatnonzero(survivors(np.broadcast_to(v[k], (len(cols) - first, VALUES)), right[first:]))
+                out += [(ids[k], ids[cols[c + first]]) for c in hit.tolist() if forest.join(ids[k], ids[cols[c + first]])]
+        return out
+
+    key, held = None, ([], [], [])
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for bucket, i, j, block, ident, value in zip(*(batch[c] for c in ("bucket", "i", "j", "block", "id", "values")), strict=True):
+            if key != (bucket, i, j):
+                if held[0]:
+                    found += done(key, *held)
+                key, held = (bucket, i, j), ([], [], [])
+            for store, x in zip(held, (int(ident), int(block), bytes(value)), strict=True):
+                store.append(x)
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    if held[0]:
+        yield pd.DataFrame(done(key, *held), columns=["a", "b"], dtype="int64")
 
 
 def _verified(texts: list[tuple[int, int, bytes, np.ndarray]], i: int, j: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -195,13 +249,7 @@ def _verified(texts: list[tuple[int, int, bytes, np.ndarray]], i: int, j: int) -
     cols = rows if i == j else [t for t in texts if t[4] == j]
     degree: dict[int, int] = {}
     span: list[tuple[int, int]] = []
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
+    forest = _Forest()
 
     cv = np.stack([np.frombuffer(t[2], dtype="<u4") for t in cols]) if cols else np.empty((0, VALUES), "<u4")
     sizes = np.array([len(t[3]) for t in cols], dtype=np.int64)
@@ -232,9 +280,7 @@ def _verified(texts: list[tuple[int, int, bytes, np.ndarray]], i: int, j: int) -
             u = cols[c]
             degree[t[0]] = degree.get(t[0], 0) + u[1]
             degree[u[0]] = degree.get(u[0], 0) + t[1]
-            x, y = find(t[0]), find(u[0])
-            if x != y:
-                root[max(x, y)] = min(x, y)
+            if forest.join(t[0], u[0]):
                 span.append((t[0], u[0]))
     return degree, span
 
@@ -286,8 +332,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     classes of their own; a text of fewer than five words is one shingle.  Repeated rows are copies.
     Null ids are allowed for texts without links; among copies they sort first.
 
-    Buckets of any size: members meet one leader a round, in a join that Spark can split;
-    those unlike their leader go on to the next round with a new one, until none is left.
+    Buckets of any size: members meet the bucket's leader in a join that Spark can split; those
+    that are not clearly close to it are compared with each other in blocks, which emit
+    spanning pairs only.
     """
     base = docs.select(F.col("doc_id"), F.xxhash64("text").alias("tx"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -299,25 +346,25 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
     bands = groups.select("id", "values").mapInPandas(_bands, "bucket long, rank long, id long")
     open_rows = stage_table(bands, "jaccard-bands")
-    found = None
     values = groups.select("id", "values")
-    while True:
-        leaders = open_rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("lead")).where("n > 1")
-        met = open_rows.join(leaders.select("bucket", F.col("lead.id").alias("leader")), "bucket").where("id <> leader")
-        met = stage_table(met.select("bucket", "rank", "id", "leader"), "jaccard-met")
-        pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        sided = pairs.join(values.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(values.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
-        judged = stage_table(sided.mapInPandas(_pruned, "a long, b long, ok boolean"), "jaccard-pairs")
-        found = judged if found is None else stage_table(found.unionByName(judged), "jaccard-found")
-        alike = found.where("ok").select("a", "b")
-        unlike = met.withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")}).join(alike, ["a", "b"], "left_anti")
-        open_rows = stage_table(unlike.select("bucket", "rank", "id"), "jaccard-open")
-        if not open_rows.limit(1).count():
-            break
-
-    links = found.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    leaders = open_rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("lead")).where("n > 1")
+    met = open_rows.join(leaders.select("bucket", F.col("lead.id").alias("leader")), "bucket").where("id <> leader")
+    met = stage_table(met.select("bucket", "rank", "id", "leader"), "jaccard-met")
+    pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    sided = pairs.join(values.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(values.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
+    judged = stage_table(sided.mapInPandas(_pruned, "a long, b long, ok boolean, close boolean"), "jaccard-pairs")
+
+    # members that are not close to their leader, with each other
+    rest = met.withColumns({"a": F.greatest("id", "leader"), "b": F.least("id", "leader")}).join(judged.where("close").select("a", "b"), ["a", "b"], "left_anti").select("bucket", "rank", "id")
+    rest = stage_table(rest, "jaccard-rest")
+    many = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(many, "bucket").withColumn("block", F.pmod("rank", "blocks").cast("int"))
+    placed = placed.select("bucket", "block", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(values, "id")
+    placed = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    inner = placed.select("bucket", "i", "j", "block", "id", "values").mapInPandas(_within_buckets, "a long, b long")
+
+    links = judged.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(inner).distinct()
     family = stage_table(components(links), "jaccard-families")
     family = family.select(F.col("node").alias("id"), F.col("component").alias("family"))
     members = family.join(groups, "id").select("id", "family", "docs", "doc_id", "tx", "values")
