@@ -91,7 +91,8 @@ def top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataFram
     rows the smallest vector asks; ties go to the smaller id; an empty table gives no rows.
 
     Queries are dealt by id into blocks of about ``BLOCK_ROWS``; each meets each packed
-    candidate block once, in a join on the block number, so no task holds all of either side.
+    candidate block once, in a join on the block's number and a share of the candidates, so
+    that no task holds all of either side.
     """
     made = quantised(rows, scale)
     asked = made.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -110,8 +111,11 @@ def top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataFram
 
     q = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     q = q.groupBy("q").applyInPandas(pack_queries, f"q int, {packed_schema}")
-    q = q.select("q", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("block").alias("q_block"))
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    q = q.select("q", share, F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("block").alias("q_block"))
     c = made.mapInPandas(pack_candidates, packed_schema)
+    c = c.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
     c = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +140,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataFram
                 yield flush()
         yield flush()
 
-    found = c.join(q, "q").mapInPandas(search, "query_id long, vec_id long, score long")
+    found = c.join(q, ["q", "share"]).mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
