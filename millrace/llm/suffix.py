@@ -182,7 +182,10 @@ def _digest(data: bytes) -> bytes:
 
 
 def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``key, frag, doc, tx, first, lead, starts`` of every fragment of the texts."""
+    """``key, frag, doc, tx, first, lead, starts, reps`` of every fragment of the texts.
+
+    In periodic text equal fragments follow each other; such a run is one row, ``reps`` times.
+    """
 
     def made(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
         hashes = gram_hashes(b"".join(x[2] for x in rows))
@@ -190,12 +193,21 @@ def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = 0
         for doc, tx, raw in rows:
             h = hashes[at : at + max(0, len(raw) - GRAM + 1)]
+            run: tuple | None = None
             for a, lo, hi in anchored(h):
-                out.append((h[a], _digest(raw[lo : hi + LENGTH]), doc, tx, lo, a - lo, hi - lo + 1))
+                found = (h[a], _digest(raw[lo : hi + LENGTH]), doc, tx, lo, a - lo, hi - lo + 1, 1)
+                if run is not None and run[:2] == found[:2]:
+                    run = (*run[:7], run[7] + 1)
+                    continue
+                if run is not None:
+                    out.append(run)
+                run = found
+            if run is not None:
+                out.append(run)
             at += len(raw)
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
         frame = {"key": _signed(np.array(cols[0], dtype=np.uint64)), "frag": list(cols[1]), "doc": pd.Series(cols[2], dtype="int64"), "tx": np.array(cols[3], dtype=np.int64)}
-        return pd.DataFrame(frame | {c: np.array(cols[4 + k], dtype=np.int32) for k, c in enumerate(("first", "lead", "starts"))})
+        return pd.DataFrame(frame | {c: np.array(cols[4 + k], dtype=np.int32) for k, c in enumerate(("first", "lead", "starts", "reps"))})
 
     for batch in batches:
         rows, held = [], 0
@@ -307,20 +319,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs``: ``doc, tx, raw``; ``doc`` and ``tx`` (a hash of the text) name a text.
     """
-    schema = "key long, frag binary, doc long, tx long, first int, lead int, starts int"
+    schema = "key long, frag binary, doc long, tx long, first int, lead int, starts int, reps int"
     found = stage_table(docs.mapInPandas(_fragments, schema), "suffix-fragments", compression="zstd")
-    groups = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("frag").alias("f1"), F.max("frag").alias("f2")).where("rows > 1")
+    groups = found.groupBy("key").agg(F.sum("reps").alias("rows"), F.min("frag").alias("f1"), F.max("frag").alias("f2")).where("rows > 1")
     groups = groups.select("key", (F.col("f1") != F.col("f2")).alias("mixed"))
     again = stage_table(found.join(groups, "key"), "suffix-again", compression="zstd")
     one = F.min(F.struct("doc", "tx", "first", "lead", "starts")).alias("at")
-    chosen = again.where("mixed").groupBy("key", "frag").agg(F.count("*").alias("n"), one)
+    chosen = again.where("mixed").groupBy("key", "frag").agg(F.sum("reps").alias("n"), one)
     wanted = chosen.groupBy(F.col("at.doc").alias("doc"), F.col("at.tx").alias("tx")).agg(F.collect_list(F.struct("key", "frag", "n", "at.first", "at.lead", "at.starts")).alias("wanted"))
     texts = docs.join(wanted, ["doc", "tx"]).select("raw", "wanted").mapInPandas(_cut_out, ROW_SCHEMA)
     rows = stage_table(texts.dropDuplicates(["key", "frag"]), "suffix-rows")
     runs = _resolve(rows, LENGTH - GRAM + 1)
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b")))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("starts") * F.col("reps")).alias("b")))
     alike = again.where("not mixed").select("doc", "tx", "first", whole.alias("runs"))
-    sorted_out = again.where("mixed").select("doc", "tx", "first", "frag").join(runs.where(F.size("runs") > 0), "frag").select("doc", "tx", "first", "runs")
+    # a fragment that follows itself is repeated throughout
+    own = F.when(F.col("reps") > 1, whole).otherwise(F.col("runs"))
+    sorted_out = again.where("mixed").join(runs.where(F.size("runs") > 0), "frag").select("doc", "tx", "first", own.alias("runs"))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     every = alike.unionByName(sorted_out).select("doc", "tx", "first", moved.alias("runs"))
     return every.groupBy("doc", "tx").agg(F.flatten(F.collect_set("runs")).alias("spans"))
@@ -337,10 +351,14 @@ def _merged(spans, size: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Names of working columns beside those of the input.
+RAW, SPANS, DOC, TX = "_millrace_raw", "_millrace_spans", "_millrace_doc", "_millrace_tx"
+
+
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for raw, spans in zip(batch["raw"], batch["spans"], strict=True):
+        for raw, spans in zip(batch[RAW], batch[SPANS], strict=True):
             raw = bytes(raw)
             cut = _merged(spans, len(raw)) if spans is not None else []
             kept, at = [], 0
@@ -350,7 +368,7 @@ def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.append(raw[at:])
             rest = b"".join(kept)
             out.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        rest = batch.drop(columns=["raw", "spans"])
+        rest = batch.drop(columns=[RAW, SPANS])
         made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=rest.index)
         if not rest.columns.empty:
             made = pd.concat([rest, made], axis=1)
@@ -370,12 +388,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     docs = docs.drop(*added)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    keyed = docs.select(F.xxhash64("doc_id").alias("doc"), F.xxhash64("text", "doc_id").alias("tx"), raw.alias("raw"))
+    keyed = docs.select(F.xxhash64("doc_id").alias("doc"), F.xxhash64("text").alias("tx"), raw.alias("raw"))
     spans = repeated_spans(keyed)
     others = [c for c in docs.columns if c != "text"]
-    all_rows = docs.select(F.xxhash64("doc_id").alias("_doc"), F.xxhash64("text", "doc_id").alias("_tx"), raw.alias("raw"), *others)
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("tx").alias("_tx"), "spans")
-    joined = all_rows.join(spans, ["_doc", "_tx"], "left").drop("_doc", "_tx")
+    all_rows = docs.select(F.xxhash64("doc_id").alias(DOC), F.xxhash64("text").alias(TX), raw.alias(RAW), *others)
+    spans = spans.select(F.col("doc").alias(DOC), F.col("tx").alias(TX), F.col("spans").alias(SPANS))
+    joined = all_rows.join(spans, [DOC, TX], "left").drop(DOC, TX)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in others]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"])
     out = joined.mapInPandas(_strip, schema)
