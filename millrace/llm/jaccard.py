@@ -330,7 +330,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     rows whose similarity with the row's text is at least 0.8, copies included.  ``keeper`` is true for
     one row of each class.  Texts without words (null, empty, punctuation) have no shingles, no links and
     classes of their own; a text of fewer than five words is one shingle.  Repeated rows are copies.
-    Null ids are allowed for texts without links; among copies they sort first.
+    Null ids are the largest.
 
     Buckets of any size: members meet the bucket's leader in a join that Spark can split; those
     that are not clearly close to it are compared with each other in blocks, which emit
@@ -340,7 +340,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = stage_table(base.mapInPandas(_sketch, f"doc_id {kind}, tx long, grams binary, size long, values binary"), "jaccard-sketch", compression="zstd")
     # one text stands for each set of shingles
-    pick = F.min(F.struct("doc_id", "tx", "values")).alias("one")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx", "values")).alias("one")
     groups = sketch.where("grams is not null").groupBy("grams").agg(F.count("*").alias("docs"), pick)
     groups = stage_table(groups.select("grams", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.tx").alias("tx"), F.col("one.values").alias("values"), F.xxhash64("grams").alias("id")), "jaccard-texts", compression="zstd")
 
