@@ -62,10 +62,10 @@ def best_in_block(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray,
         slack = 1e-6 * (1 + np.abs(q) @ (np.abs(mid).max(axis=0, initial=0) + half))
         upper = q.astype(float) @ mid.T + (np.abs(q) @ half + slack)[:, None]
     values = c.astype(object if large else float)
-    upper = np.where(qi[:, None] == ci[None, :], -np.inf, upper)
+    own = qi[:, None] == ci[None, :]
     out = []
-    for row, bound, least in zip(q, upper, floor, strict=True):
-        live = np.flatnonzero(bound >= least)
+    for row, bound, least, mine in zip(q, upper, floor, own, strict=True):
+        live = np.flatnonzero((bound >= least) & ~mine)
         live = live[np.argsort(-bound[live], kind="stable")]
         at, got = np.empty(0, dtype=int), np.empty(0, dtype=values.dtype)
         read = max(64, 4 * k)
