@@ -94,19 +94,23 @@ def directory_rollup(findings: DataFrame, categories: Iterable[str], directory:
     return totals.join(histogram("rule_id"), "directory", "left").join(histogram("severity"), "directory", "left").orderBy(F.col("total").desc(), "directory")
 
 
+#: Hundreds of points by severity, one hundred for any other.
+ACTION_RANK = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "WARN": 3, "LOW": 2}
+
+
 def action_score(f: DataFrame) -> Column:
     """Priority of a finding from severity, novelty, change, category and confidence."""
     debt = F.coalesce(F.col("category") == "debt", F.lit(False))
     bonus = lambda flag, points: F.when(F.coalesce(F.col(flag), F.lit(False)) & ~debt, points).otherwise(0)
     return (
-        severity_rank(F.col("severity")) * 100
+        F.coalesce(lookup(F.upper("severity"), ACTION_RANK), F.lit(1)) * 100
         + bonus("is_new_vs_baseline", 220)
         + bonus("is_new_since_last_scan", 140)
         + bonus("is_changed", 160)
         + F.when(F.col("category").isin("security", "secrets"), 60).otherwise(0)
         + F.when(debt, F.coalesce("priority_score", F.lit(0.0)) * 3).otherwise(0)
         - F.when(F.col("category") == "dead_code", 75).otherwise(0)
-        + F.coalesce(F.least("confidence", F.lit(100)), F.lit(0))
+        + F.when(F.col("confidence").isNotNull(), F.least("confidence", F.lit(100))).otherwise(0)
     ).cast("double")
 
 

@@ -58,10 +58,11 @@ def confidence(defs: DataFrame, dynamic_modules: DataFrame | None = None, base:
 def match_references(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """``def_key, n``: references credited to each definition.
 
-    ``refs``: a bag of ``ref, file, scope``.  Each occurrence goes to the candidates of the first stage
-    that has any: (1) the import of that name in the file and what it stands for, (2) the full
-    name, (3) the name in the own module or an enclosing scope, (4) a method of the own class for ``self.x``, (5) the only definition of
-    that simple name in the file, (6) the only one anywhere, for dotted references.
+    ``refs``: a bag of ``ref, file, scope``.  What a name begins with and what a dotted name ends in are
+    looked for apart; each goes to the candidates of the first stage that has any: (1) the import of that name in the file and what it stands for, the full
+    name, (3) the name in the own module or an enclosing scope; (4) a method of the own class for ``self.x``, (5) the only definition of
+    that simple name in the file, (6) the only one anywhere, for dotted references, (7) all methods
+    of that name, where the receiver of an attribute is not known.
     """
     bag = refs.where("ref is not null").groupBy("ref", "file", "scope").agg(F.count("*").alias("n")).withColumn("rid", F.xxhash64("ref", "file", "scope"))
     bag = stage_table(bag, "refs")
@@ -82,16 +83,22 @@ def match_references(refs: DataFrame, defs: DataFrame) -> DataFrame:
     first = F.substring_index("ref", ".", 1)
     near = bag.select("rid", F.explode(enclosing).alias("outer"), first.alias("simple_name")).withColumn("name", F.concat_ws(".", "outer", "simple_name"))
     s3 = stage(3, near.join(own.select("def_key", "name"), "name"))
-    last = F.element_at(parts, -1)
-    self_refs = bag.where("ref rlike '^(self|cls)[.]'").select("rid", "file", F.element_at(parts, 2).alias("simple_name"), F.regexp_replace("scope", r"\.[^.]+$", "").alias("cls"))
-    s4 = stage(4, self_refs.join(own.select("def_key", "simple_name", F.col("scope").alias("cls")), ["simple_name", "cls"]))
-    tail = bag.where(F.col("ref").contains(".")).select("rid", "file", last.alias("simple_name"))
+    # what a dotted name ends in, unless the whole name is known or begins outside the project
+    roots = own.select(F.substring_index("name", ".", 1).alias("root")).distinct()
+    outside = spread.join(imports, ["prefix", "file"]).join(roots, F.substring_index("prefix", ".", 1) == F.col("root"), "left_anti").select("rid")
+    whole = bag.join(own.select(F.col("name").alias("ref")), "ref").select("rid")
+    ends = bag.where(F.col("ref").contains(".")).join(outside.union(whole).distinct(), "rid", "left_anti")
+    tail = ends.select("rid", "file", F.element_at(parts, -1).alias("simple_name"))
+    own_class = ends.where("ref rlike '^(self|cls)[.]'").select("rid", F.element_at(parts, 2).alias("simple_name"), F.regexp_replace("scope", r"\.[^.]+$", "").alias("cls"))
+    s4 = stage(4, own_class.join(own.select("def_key", "simple_name", F.col("scope").alias("cls")), ["simple_name", "cls"]))
     in_file = own.withColumn("_c", F.count("*").over(Window.partitionBy("simple_name", "file"))).where("_c = 1 and type in ('method', 'function', 'class', 'variable')")
     s5 = stage(5, tail.join(in_file.select("def_key", "simple_name", "file"), ["simple_name", "file"]))
     anywhere = own.withColumn("_c", F.count("*").over(Window.partitionBy("simple_name"))).where("_c = 1 and type in ('method', 'function', 'class')")
     s6 = stage(6, tail.join(anywhere.select("def_key", "simple_name"), "simple_name"))
-    found = s1.union(s1b).union(s3).union(s4).union(s5).union(s6)
-    best = found.withColumn("_s", F.min("stage").over(Window.partitionBy("rid"))).where("stage = _s").select("rid", "def_key").distinct()
+    s7 = stage(7, tail.join(own.where("type = 'method'").select("def_key", "simple_name"), "simple_name"))
+    starts, finishes = s1.union(s1b).union(s3), s4.union(s5).union(s6).union(s7)
+    least = lambda df: df.withColumn("_s", F.min("stage").over(Window.partitionBy("rid"))).where("stage = _s").select("rid", "def_key")
+    best = least(starts).union(least(finishes)).distinct()
     return best.join(bag.select("rid", "n"), "rid").groupBy("def_key").agg(F.sum("n").alias("n"))
 
 

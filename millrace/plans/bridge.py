@@ -118,7 +118,7 @@ def directory_rollup(spark, sf_dir):
 @query(f"""
 WITH f AS (SELECT o_orderkey, o_totalprice, {ORDER_SEVERITY} AS severity, o_orderstatus, o_custkey FROM orders)
 SELECT o_orderkey, score FROM (
-  SELECT o_orderkey, (CASE severity WHEN 'CRITICAL' THEN 400 WHEN 'HIGH' THEN 300 WHEN 'MEDIUM' THEN 200 WHEN 'LOW' THEN 100 ELSE 0 END
+  SELECT o_orderkey, (CASE severity WHEN 'CRITICAL' THEN 500 WHEN 'HIGH' THEN 400 WHEN 'MEDIUM' THEN 300 WHEN 'LOW' THEN 200 ELSE 100 END
     + CASE WHEN o_orderstatus = 'O' THEN 220 ELSE 0 END + CASE WHEN o_orderstatus = 'P' THEN 140 ELSE 0 END
     + least(floor(o_totalprice / 5000)::INTEGER, 100))::DOUBLE AS score, o_custkey
   FROM f) ORDER BY score DESC, o_custkey, o_orderkey LIMIT 100

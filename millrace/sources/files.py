@@ -32,7 +32,8 @@ def file_role(path: Column) -> Column:
 def source_files(spark: SparkSession, roots: str | list[str], include: Iterable[str] = (), exclude: Iterable[str] = EXCLUDED) -> DataFrame:
     """Files under the roots as ``SOURCE_FILES``; excluded folders are left out unless ``include`` names them.
 
-    A file that several roots hold counts once.  Paths are relative to their root.
+    A file that several roots hold counts once.  Paths are relative to their root.  Files of no
+    bytes have no row: Spark's file sources pass them over.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     suffixes = ",".join(LANGUAGES)
