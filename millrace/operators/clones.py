@@ -160,12 +160,18 @@ def clone_groups(pairs: DataFrame, mode: str = "connected", k: int = 2) -> DataF
     return size.join(mean, "component").join(best, "component").orderBy(F.col("size").desc(), F.col("similarity").desc(), "component")
 
 
-def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD) -> DataFrame:
-    """Clone pairs among texts that share a digest prefix of their first or last line or of their normalised whole, by their words."""
+def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD, per_bucket: int = 250) -> DataFrame:
+    """Clone pairs among texts, compared by their words.
+
+    Texts meet that share a digest of their normalised whole, their first two lines or their last
+    two.  As for fragments, a bucket compares its first ``per_bucket`` texts by key.
+    """
     lines = F.split(F.trim(text), "\n")
     norm = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    forms = F.array(F.concat(F.lit("w:"), F.substring(F.sha1(norm), 1, 12)), F.concat(F.lit("f:"), F.substring(F.sha1(F.element_at(lines, 1)), 1, 12)), F.concat(F.lit("l:"), F.substring(F.sha1(F.element_at(lines, -1)), 1, 12)))
+    ends = {"w": norm, "f": F.array_join(F.slice(lines, 1, 2), "\n"), "l": F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")}
+    forms = F.array(*[F.concat(F.lit(f"{k}:"), F.substring(F.sha1(v), 1, 12)) for k, v in ends.items()])
     keys = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("id"), F.explode(F.array_distinct(forms)).alias("bucket"))
+    keys = keys.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("_n") <= per_bucket).drop("_n")
     pairs = keys.alias("x").join(keys.alias("y"), "bucket").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     t = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     full = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
