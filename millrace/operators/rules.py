@@ -73,6 +73,8 @@ PATTERN_RULES = {
     "nested_loop": ("SKY-P403", "LOW"),
     "unreachable": ("SKY-UC001", "MEDIUM"),
     "await_in_loop": ("SKY-Q402", "MEDIUM"),
+    "unclosed_resource": ("SKY-L008", "MEDIUM"),
+    "error_disclosure": ("SKY-L017", "MEDIUM"),
 }
 #: Calls that block, and reads that take all at once.
 BLOCKING_CALLS = ["time.sleep", "requests.get", "requests.post", "requests.put", "requests.delete", "requests.request", "urllib.request.urlopen", "subprocess.run", "subprocess.call", "subprocess.check_output", "os.system"]
@@ -252,6 +254,64 @@ def signature_mismatches(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return _rows(hit, "SKY-D224", "HIGH", "ai_defects", _say("%s is called with other arguments than it takes", "name"), value=F.col("given"), threshold=F.col("most"))
 
 
+def lock_order(locks: DataFrame) -> DataFrame:
+    """Pairs of locks that are taken in both orders: a self-join of the nesting pairs."""
+    a, b = locks.alias("a"), locks.select("name", "target").distinct().alias("b")
+    hit = a.join(b, (F.col("a.name") == F.col("b.target")) & (F.col("a.target") == F.col("b.name"))).select("a.*").dropDuplicates(["file", "line", "name", "target"])
+    return _rows(hit, "SKY-Q403", "HIGH", "quality", _say("%s and %s are taken in both orders", "name", "target"))
+
+
+def shared_state(global_writes: DataFrame, calls: DataFrame) -> DataFrame:
+    """Module state that a thread's target writes."""
+    targets = calls.where(F.col("name").isin("threading.Thread", "threading.Timer") | F.col("name").endswith(".submit"))
+    names = targets.select("file", F.explode(F.concat(F.array_compact(F.array(F.col("attrs")["kw:target"])), F.slice("items", 1, 1))).alias("t")).where("t <> ''")
+    hit = global_writes.withColumn("t", F.element_at(F.split("scope", r"\."), -1)).join(names.distinct(), ["file", "t"], "left_semi")
+    return _rows(hit, "SKY-Q404", "MEDIUM", "quality", _say("%s is written by a thread", "name"))
+
+
+def opaque_names(definitions: DataFrame) -> DataFrame:
+    """Functions and classes whose names say nothing: one letter, consonants only, or a numbered placeholder."""
+    simple = F.element_at(F.split("name", r"\."), -1)
+    hit = definitions.where("attrs['type'] in ('function', 'class', 'method')").where(simple.rlike(r"^([a-zA-Z]|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{4,}|(foo|bar|baz|tmp|temp|data|func|thing|stuff|do_it)\d*)$"))
+    return _rows(hit, "SKY-Q806", "LOW", "quality", _say("opaque name %s", "name"))
+
+
+def stale_mocks(calls: DataFrame, definitions: DataFrame, strings: DataFrame) -> DataFrame:
+    """Patched names of project modules that these do not define."""
+    patched = calls.where(F.col("name").rlike(r"(^|\.)(patch|setattr)$")).select("file", "line").distinct()
+    named = strings.join(patched, ["file", "line"], "left_semi").where(F.col("name").rlike(r"^\w+(\.\w+)+$"))
+    modules = definitions.select(F.col("scope").alias("m")).distinct()
+    inside = named.withColumn("m", F.regexp_replace("name", r"\.[^.]+$", "")).join(modules, "m", "left_semi").drop("m")
+    return _rows(inside.join(definitions.select("name").distinct(), "name", "left_anti"), "SKY-L024", "HIGH", "ai_defects", _say("patched name %s does not exist", "name"))
+
+
+def undefined_config(calls: DataFrame, declared: DataFrame) -> DataFrame:
+    """Environment names that the code reads and no configuration file declares (``declared``: ``name``)."""
+    reads = calls.where(F.col("name").isin("os.getenv", "os.environ.get") & (F.col("nums")["args"] == 1))
+    key = reads.withColumn("name", F.col("attrs")["first_text"]).where("name is not null")
+    return _rows(key.join(declared.select("name").distinct(), "name", "left_anti"), "SKY-L016", "MEDIUM", "quality", _say("%s is read and never declared", "name"))
+
+
+#: Commands that a repository of a language should run somewhere.
+POLICIES = [
+    ("SKY-R101", "python", r"\b(mypy|pyright|pytype|basedpyright)\b"),
+    ("SKY-R102", "python", r"\b(ruff|flake8|pylint)\b"),
+    ("SKY-R104", "python", r"(^|/)\.pre-commit-config\.ya?ml$"),
+    ("SKY-R105", "typescript", r"\btsc\b"),
+]
+
+
+def policy_rules(files: DataFrame) -> DataFrame:
+    """Repositories (one per table) that have files of a language and no command of a policy, in text or file name."""
+    flags = []
+    for rule, lang, pattern in POLICIES:
+        flags += [F.bool_or(F.col("lang") == lang).alias(f"has_{rule}"), F.bool_or(F.col("text").rlike(pattern) & F.col("path").rlike(r"(\.ya?ml|\.toml|\.cfg|\.ini|package\.json|Makefile)$") | F.col("path").rlike(pattern)).alias(f"ok_{rule}")]
+    one = files.agg(*flags)
+    missing = F.array(*[F.when(F.col(f"has_{r}") & ~F.coalesce(F.col(f"ok_{r}"), F.lit(False)), r) for r, _, _ in POLICIES])
+    rows = one.select(F.explode(F.array_compact(missing)).alias("r")).withColumns({"name": F.lit("repository"), "file": F.lit("."), "line": F.lit(1)})
+    return _rows(rows, F.col("r"), "MEDIUM", "quality", _say("policy %s is not met", "r"))
+
+
 def custom_rules(facts: DataFrame, rules: list[dict]) -> DataFrame:
     """Rules from data: ``{id, severity, kind: call|function|class|flow, name: glob, max: {metric: limit}}``."""
     out = []

@@ -88,6 +88,7 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
         rules.metric_rules(functions, classes, of_kind(facts, "module"), files, limits),
         rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),
         rules.literal_rules(of_kind(facts, "literal"), of_kind(facts, "pattern")), rules.coupling_rule(of_kind(facts, "class_use"), classes), rules.signature_mismatches(calls, functions),
+        rules.lock_order(of_kind(facts, "lock")), rules.shared_state(of_kind(facts, "global_write"), calls), rules.opaque_names(of_kind(facts, "definition")), rules.stale_mocks(calls, of_kind(facts, "definition"), of_kind(facts, "string")), rules.policy_rules(files),
         rules._rows(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused,
     ])
     kept = found.join(ignores.where("rule_id is null").select("file", "line"), ["file", "line"], "left_anti").join(ignores.where("rule_id is not null"), ["file", "line", "rule_id"], "left_anti")

@@ -27,6 +27,10 @@ SOURCES = ["input", "request.args", "request.form", "request.json", "request.val
 SANITIZERS = ["int", "float", "bool", "len", "shlex.quote", "html.escape", "markupsafe.escape", "escape", "urllib.parse.quote", "bleach.clean", "os.path.basename", "secure_filename", "werkzeug.utils.secure_filename"]
 
 
+#: Calls whose result must be closed.
+OPENERS = ["open", "io.open", "socket.socket", "sqlite3.connect", "urllib.request.urlopen", "tempfile.NamedTemporaryFile"]
+
+
 def dotted(node: ast.AST, aliases: dict[str, str]) -> str:
     """Dotted name of a name, attribute or call chain; ``.x`` where the start has no name."""
     if isinstance(node, ast.Name):
@@ -253,6 +257,12 @@ class Extractor:
             for node in ast.walk(part):
                 self.visit(node, scope, owner)
         self.flows(fn, name)
+        self.locks(fn.body, name)
+        self.resources(fn, name)
+        for n in own:
+            if isinstance(n, ast.Global):
+                for g in n.names:
+                    self.emit("global_write", name, g, n)
         if stub and not decorators and owner is None and any(isinstance(n, ast.Pass) for n in fn.body):
             self.emit("pattern", name, "unfinished", fn)
         self.body(fn.body, name, None)
@@ -285,14 +295,14 @@ class Extractor:
             self.emit("ref", scope, dotted(node, self.aliases) or f".{node.attr}", node, attrs={"attr": node.attr})
         elif isinstance(node, ast.Call):
             self.call(node, scope)
-        elif isinstance(node, ast.Constant) and isinstance(node.value, str) and scope != self.module and node.value.isidentifier():
+        elif isinstance(node, ast.Constant) and isinstance(node.value, str) and all(p.isidentifier() for p in node.value.split(".")):
             self.emit("string", scope, node.value, node)
         self.patterns(node, scope)
 
     def call(self, node: ast.Call, scope: str) -> None:
         name = dotted(node.func, self.aliases)
         keywords = {k.arg: ast.unparse(k.value) for k in node.keywords if k.arg}
-        self.emit("call", scope, name or f".{getattr(node.func, 'attr', '')}", node, nums={"args": len(node.args)}, attrs={f"kw:{k}": v[:200] for k, v in keywords.items()}, items=[dotted(a, self.aliases) for a in node.args])
+        self.emit("call", scope, name or f".{getattr(node.func, 'attr', '')}", node, nums={"args": len(node.args)}, attrs={f"kw:{k}": v[:200] for k, v in keywords.items()} | ({"first_text": node.args[0].value[:200]} if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else {}), items=[dotted(a, self.aliases) for a in node.args])
         if name == "getattr" and len(node.args) > 1 and isinstance(node.args[1], ast.Constant):
             self.emit("dynamic", scope, str(node.args[1].value), node)
 
@@ -302,6 +312,9 @@ class Extractor:
         if isinstance(node, ast.ExceptHandler):
             if node.type is None:
                 hit("bare_except")
+            shown = {n.id for b in node.body for r in ast.walk(b) if isinstance(r, ast.Return) for n in ast.walk(r) if isinstance(n, ast.Name)}
+            if node.name and node.name in shown:
+                hit("error_disclosure")
             kinds = {dotted(t, self.aliases) for t in (node.type.elts if isinstance(node.type, ast.Tuple) else [node.type])} if node.type else set()
             if _trivial(node.body):
                 hit("empty_handler")
@@ -330,6 +343,35 @@ class Extractor:
                 if isinstance(t, ast.Name):
                     hit("string_assignment", variable=t.id, value=node.value.value[:200])
 
+    def locks(self, body: list[ast.stmt], scope: str, held: tuple[str, ...] = ()) -> None:
+        """Pairs of locks that are taken one within the other, in order."""
+        for node in body:
+            if isinstance(node, SCOPES):
+                continue
+            inner = held
+            if isinstance(node, (ast.With, ast.AsyncWith)):
+                for item in node.items:
+                    name = dotted(item.context_expr, self.aliases)
+                    if "lock" in name.lower() or "mutex" in name.lower():
+                        for outer in inner:
+                            self.emit("lock", scope, outer, node, name)
+                        inner = (*inner, name)
+            for part in ("body", "orelse", "finalbody"):
+                self.locks(getattr(node, part, None) or [], scope, inner)
+            for handler in getattr(node, "handlers", []):
+                self.locks(handler.body, scope, inner)
+
+    def resources(self, fn, name: str) -> None:
+        """Opened files that no ``with`` holds and nothing closes."""
+        managed = {id(i.context_expr) for n in own_nodes(fn.body) if isinstance(n, (ast.With, ast.AsyncWith)) for i in n.items}
+        closed = {n.func.value.id for n in own_nodes(fn.body) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "close" and isinstance(n.func.value, ast.Name)}
+        for node in own_nodes(fn.body):
+            value = getattr(node, "value", None)
+            if isinstance(node, (ast.Assign, ast.Expr)) and isinstance(value, ast.Call) and id(value) not in managed and dotted(value.func, self.aliases) in OPENERS:
+                targets = {t.id for t in getattr(node, "targets", []) if isinstance(t, ast.Name)}
+                if not targets & closed:
+                    self.emit("pattern", name, "unclosed_resource", node)
+
     def unreachable(self, body: list[ast.stmt], scope: str) -> None:
         for block in [body, *[b for n in own_nodes(body) for b in (getattr(n, "body", None), getattr(n, "orelse", None), getattr(n, "finalbody", None)) if isinstance(b, list)]]:
             for k, node in enumerate(block[:-1]):
