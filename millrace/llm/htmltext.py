@@ -32,9 +32,11 @@ CONTAINERS = frozenset("article aside blockquote body button canvas center dd de
 NEVER_TEXT = frozenset("aside button canvas dialog fieldset footer form head header iframe input label legend menu nav noscript object option script select style svg template textarea title".split())
 NEVER_HINTS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer "
-    "cookie cookies consent notice notices alert gdpr disclaimer popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations teaser "
-    "comment comments commentlist disqus respond replies pagination pager toolbar search skip complementary contentinfo tags byline".split()
+    "cookie cookies consent notice notices alert gdpr disclaimer popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations "
+    "comment comments commentlist disqus respond replies pagination pager toolbar skip complementary contentinfo".split()
 )
+#: Parts that turn a class name into a statement about something else (``with-sidebar``).
+QUALIFIERS = frozenset("has with no without is not".split())
 ARTICLE = frozenset(["article", "main"])
 ARTICLE_HINTS = frozenset("article articlebody main content post entry story".split())
 
@@ -43,11 +45,13 @@ INNER = "inner"
 
 
 def _hints(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
+    """Lower-case parts of class names, ids, roles and labels; names like ``with-sidebar`` do not count."""
     found: set[str] = set()
-    for m in HINTS.finditer(attributes):
-        found.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    for m in HINTS.finditer(attributes) if "=" in attributes else ():
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(re.split(r"[^a-z0-9]+", name))
+            if not parts & QUALIFIERS:
+                found |= parts
     return found
 
 
@@ -100,7 +104,7 @@ def events(page: str) -> list[tuple[str, str, bool]]:
         # the header of an article holds its title, that of a page doesn't
         own_header = name == "header" and article > 0
         is_article = name in ARTICLE
-        bad = not is_article and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and not (article and hints & ARTICLE_HINTS and "header" in hints) or bool(attributes) and bool(HIDDEN.search(attributes)))
+        bad = not is_article and name not in ("html", "body") and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and not (article and hints & ARTICLE_HINTS and "header" in hints) or bool(attributes) and bool(HIDDEN.search(attributes)))
         if name in CONTAINERS or bad and name not in OPTIONAL_END:
             stack.append((name, bad, is_article))
             never += bad

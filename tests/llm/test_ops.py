@@ -384,6 +384,7 @@ def test_chat_against_brute_force(spark):
         ("<article><ul><li>a</li><li>b</li></ul><table><tr><td>c</td><td>d</td></tr></table></article>", "a\nb\nc\nd"),
         ("<article><p>x &#233; &eacute; &lt;b&gt; &unknown; &amp</p></article>", "x é é <b> &unknown; &"),
         ("<body><article><h1>T</h1><p>" + "long " * 50000 + "</p></article></body>", "T\n" + ("long " * 50000).strip()),
+        ('<body class="has-sidebar ad"><div class="page with-sidebar"><p>one two three</p><div class="sidebar">no</div><p>four five</p></div></body>', "one two three\nfour five"),
         ("<article><p hidden>no</p><p>yes</p><p style='display:none'>no</p>\n<b>bold</b>ly</article>", "yes\nboldly"),
     ],
 )
