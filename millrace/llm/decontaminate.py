@@ -28,7 +28,7 @@ WINDOW = 13
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark takes several narrow passes.
 BENCHMARK_CHARS = 1_000_000
 #: Words of documents in one shard.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 
 
 class Windows:

@@ -38,9 +38,9 @@ TOLERANCE = 1e-4
 FAMILY, CLOSE = 0.6, 0.7
 #: Texts of a bucket's block.
 BUCKET_BLOCK = 512
-#: Texts of a block in which pairs are compared.
-BLOCK = 1024
-BATCH_BYTES = 4_000_000
+#: Texts and shingles, on average, of a family's block in which pairs are compared.
+BLOCK, BLOCK_GRAMS = 4096, 1_000_000
+BATCH_BYTES = 1_000_000
 
 _BASE = np.uint64(0x100000001B3)
 
@@ -80,7 +80,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
@@ -340,9 +340,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = stage_table(base.mapInPandas(_sketch, f"doc_id {kind}, tx long, grams binary, size long, values binary"), "jaccard-sketch", compression="zstd")
     # one text stands for each set of shingles
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx", "values")).alias("one")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx", "values", "size")).alias("one")
     groups = sketch.where("grams is not null").groupBy("grams").agg(F.count("*").alias("docs"), pick)
-    groups = stage_table(groups.select("grams", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.tx").alias("tx"), F.col("one.values").alias("values"), F.xxhash64("grams").alias("id")), "jaccard-texts", compression="zstd")
+    groups = stage_table(groups.select("grams", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.tx").alias("tx"), F.col("one.values").alias("values"), F.col("one.size").alias("size"), F.xxhash64("grams").alias("id")), "jaccard-texts", compression="zstd")
 
     bands = groups.select("id", "values").mapInPandas(_bands, "bucket long, rank long, id long")
     open_rows = stage_table(bands, "jaccard-bands")
@@ -367,8 +367,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     links = judged.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(inner).distinct()
     family = stage_table(components(links), "jaccard-families")
     family = family.select(F.col("node").alias("id"), F.col("component").alias("family"))
-    members = family.join(groups, "id").select("id", "family", "docs", "doc_id", "tx", "values")
-    sizes = family.groupBy("family").agg(F.count("*").alias("n")).select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = family.join(groups, "id").select("id", "family", "docs", "doc_id", "tx", "values", "size")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    sizes = members.groupBy("family").agg(blocks.alias("blocks"))
     members = members.join(sizes, "family").withColumn("block", F.pmod("id", "blocks").cast("int"))
     members = stage_table(members, "jaccard-members", compression="zstd")
     wanted = members.select("id", "doc_id", "tx")

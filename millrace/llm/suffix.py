@@ -31,9 +31,9 @@ GRAM = 64
 #: Distinct fragments of one anchor that are sorted in one task.
 GROUP_ROWS = 256
 #: Suffix starts of a shard that is sorted at once.
-SHARD_STARTS = 150_000
+SHARD_STARTS = 100_000
 #: Bytes of texts that are hashed at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 #: Each finer round cuts a cell into so many.
 SPLIT = 7
 
