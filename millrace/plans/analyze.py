@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import configscan, graph, resolve, rules, score, textscan
+from millrace.operators import configscan, graph, langscan, resolve, rules, score, textscan
 from millrace.session import stage_table
 from millrace.sources import files as sources
 from millrace.sources.python_facts import extract, of_kind
@@ -82,9 +82,12 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
         rule = F.when(F.col("type") == k, r).otherwise(rule)
     unused = rules._rows(dead.where("decision = 'reported'"), rule, "INFO", "dead_code", rules._say("unused %s %s", "type", "name"), kind="dead_code", value=F.col("confidence"), threshold=threshold)
     text = files.where("lang is not null").select("path", "text")
-    from_text = textscan.scan_lines(text).unionByName(textscan.scan_bidi(text)).unionByName(textscan.scan_injection(text).select("path", "line", "rule_id", "severity")).unionByName(configscan.scan_config(files.select("path", "text")))
+    from_text = textscan.scan_lines(text).unionByName(textscan.scan_bidi(text)).unionByName(textscan.scan_injection(text).select("path", "line", "rule_id", "severity")).unionByName(configscan.scan_config(files.select("path", "text"))).unionByName(langscan.scan_languages(files))
     from_text = from_text.where("rule_id <> 'SKY-L009'").withColumnRenamed("path", "file").withColumn("name", F.col("file"))
+    lost, spare = langscan.ts_unused(files)
+    ts = lost.select("path", F.lit("SKY-E003").alias("r"), F.col("path").alias("name")).unionByName(spare.select("path", F.lit("SKY-E004").alias("r"), "name")).withColumnRenamed("path", "file").withColumn("line", F.lit(1))
     found = rules._all([
+        rules._rows(ts, F.col("r"), "LOW", "dead_code", rules._say("%s is not used", "name")),
         rules.metric_rules(functions, classes, of_kind(facts, "module"), files, limits),
         rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),
         rules.literal_rules(of_kind(facts, "literal"), of_kind(facts, "pattern")), rules.coupling_rule(of_kind(facts, "class_use"), classes), rules.signature_mismatches(calls, functions),
