@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stage_table
+from millrace.session import drop_staged, stage_table
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         # small star: every neighbour below a node, and the node, go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        links = stage_table(small.where("a <> b").distinct(), "components")
+        done, links = links, stage_table(small.where("a <> b").distinct(), "components")
+        drop_staged(done)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
             break
@@ -73,7 +74,8 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     n = paths.count()
     while True:
         two = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = stage_table(paths.union(two).distinct(), "closure")
+        done, paths = paths, stage_table(paths.union(two).distinct(), "closure")
+        drop_staged(done)
         now = paths.count()
         if now == n:
             return paths
@@ -86,10 +88,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Nodes that no cycle can hold (without an edge in or out among those left) are trimmed first,
     round by round, so that the closure is taken of the cyclic core alone.
     """
-    core = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    core = stage_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
     n = -1
     while True:
-        core = stage_table(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "core")
+        ends, starts = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+        done, core = core, stage_table(core.join(ends, "src", "left_semi").join(starts, "dst", "left_semi"), "core")
+        drop_staged(done)
         now = core.count()
         if now == n:
             break
@@ -134,7 +138,8 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         weak = stage_table(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") < k).select("a"), "kcore-weak")
         if not weak.limit(1).count():
             return both.select(F.col("a").alias("node")).distinct()
-        both = stage_table(both.join(weak, "a", "left_anti").join(weak.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "kcore")
+        done, both = both, stage_table(both.join(weak, "a", "left_anti").join(weak.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "kcore")
+        drop_staged(done, weak)
 
 
 def coupling(edges: DataFrame, abstractness: DataFrame | None = None) -> DataFrame:

@@ -82,13 +82,13 @@ NETWORK_CALLS = ["requests.get", "requests.post", "requests.put", "requests.dele
 DEBUG_CALLS = {"breakpoint": "HIGH", "pdb.set_trace": "HIGH", "ipdb.set_trace": "HIGH", "print": "LOW", "pprint.pprint": "LOW"}
 
 
-def _rows(df: DataFrame, rule: Column | str, severity: Column | str, category: str, message: Column, kind: str = "code", value: Column | None = None, threshold: Column | float | None = None) -> DataFrame:
+def as_findings(df: DataFrame, rule: Column | str, severity: Column | str, category: str, message: Column, kind: str = "code", value: Column | None = None, threshold: Column | float | None = None) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     limit = F.lit(None) if threshold is None else F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
     return df.select(lit(rule).alias("rule_id"), F.lit(kind).alias("kind"), lit(severity).alias("severity"), F.lit(category).alias("category"), F.col("name"), (F.lit(None) if value is None else value).cast("double").alias("value"), limit.cast("double").alias("threshold"), message.alias("message"), F.col("file"), F.col("line"))
 
 
-def _say(template: str, *columns: str) -> Column:
+def say(template: str, *columns: str) -> Column:
     return F.format_string(template, *[F.col(c).cast("string") for c in columns])
 
 
@@ -99,7 +99,7 @@ def metric_rules(functions: DataFrame, classes: DataFrame, modules: DataFrame, f
     out = []
 
     def rule(df: DataFrame, rule_id: str, key: str, limit: float, severity: Column, what: str) -> None:
-        out.append(_rows(df.where(n(key) > limit), rule_id, severity, "quality", F.format_string(f"{what}: %s", n(key).cast("int").cast("string")), value=n(key), threshold=limit))
+        out.append(as_findings(df.where(n(key) > limit), rule_id, severity, "quality", F.format_string(f"{what}: %s", n(key).cast("int").cast("string")), value=n(key), threshold=limit))
 
     c = n("complexity")
     rule(functions, "SKY-Q301", "complexity", d["complexity"], F.when(c < 15, "WARN").when(c < 25, "HIGH").otherwise("CRITICAL"), "cyclomatic complexity")
@@ -123,16 +123,16 @@ def metric_rules(functions: DataFrame, classes: DataFrame, modules: DataFrame, f
     violations = sum(((v > lim).cast("int") for v, lim in over), F.lit(0))
     worst = F.greatest(*[v / float(lim) for v, lim in over])
     god = sized.where(violations > 0)
-    out.append(_rows(god, "SKY-Q502", F.when((worst >= 1.5) | (violations >= 2), "HIGH").otherwise("MEDIUM"), "quality", _say("file of %s lines", "loc"), value=F.col("loc"), threshold=d["god_file_lines"]))
+    out.append(as_findings(god, "SKY-Q502", F.when((worst >= 1.5) | (violations >= 2), "HIGH").otherwise("MEDIUM"), "quality", say("file of %s lines", "loc"), value=F.col("loc"), threshold=d["god_file_lines"]))
     empty = modules.where(n("statements") == 0)
-    out.append(_rows(empty, "SKY-E002", "LOW", "dead_code", F.lit("file without statements")))
+    out.append(as_findings(empty, "SKY-E002", "LOW", "dead_code", F.lit("file without statements")))
     public = functions.where(~F.element_at(F.split("name", r"\."), -1).startswith("_"))
-    out.append(_rows(public.where(n("untyped") > 0), "SKY-T101", "MEDIUM", "quality", F.lit("public parameter without annotation"), value=n("untyped"), threshold=0))
-    out.append(_rows(public.where(F.col("attrs")["returns"].isNull()), "SKY-T102", "MEDIUM", "quality", F.lit("public function without return annotation")))
-    return _all(out)
+    out.append(as_findings(public.where(n("untyped") > 0), "SKY-T101", "MEDIUM", "quality", F.lit("public parameter without annotation"), value=n("untyped"), threshold=0))
+    out.append(as_findings(public.where(F.col("attrs")["returns"].isNull()), "SKY-T102", "MEDIUM", "quality", F.lit("public function without return annotation")))
+    return union_all(out)
 
 
-def _all(parts: Iterable[DataFrame]) -> DataFrame:
+def union_all(parts: Iterable[DataFrame]) -> DataFrame:
     parts = list(parts)
     out = parts[0]
     for p in parts[1:]:
@@ -146,7 +146,7 @@ def pattern_rules(patterns: DataFrame) -> DataFrame:
     for k, (r, s) in PATTERN_RULES.items():
         rule, severity = F.when(F.col("name") == k, r).otherwise(rule), F.when(F.col("name") == k, s).otherwise(severity)
     hit = patterns.withColumns({"_r": rule, "_s": severity}).where("_r is not null")
-    return _rows(hit.withColumn("name", F.col("scope")), F.col("_r"), F.col("_s"), "quality", F.concat(F.lit("pattern "), F.col("_r")))
+    return as_findings(hit.withColumn("name", F.col("scope")), F.col("_r"), F.col("_s"), "quality", F.concat(F.lit("pattern "), F.col("_r")))
 
 
 def call_rules(calls: DataFrame) -> DataFrame:
@@ -160,13 +160,13 @@ def call_rules(calls: DataFrame) -> DataFrame:
             fits = fits & ~F.coalesce(F.col("attrs")["kw:Loader"].rlike("Safe|Base"), F.lit(False))
         checks.append(F.when(fits, F.struct(F.lit(rule).alias("r"), F.lit(severity).alias("s"))))
     hit = calls.withColumn("_h", F.coalesce(*checks)).where("_h is not null")
-    return _rows(hit, F.col("_h.r"), F.col("_h.s"), "security", _say("call of %s", "name"))
+    return as_findings(hit, F.col("_h.r"), F.col("_h.s"), "security", say("call of %s", "name"))
 
 
 def random_rule(calls: DataFrame) -> DataFrame:
     """Weak random values in functions whose name says that they matter."""
     hit = calls.where(F.col("name").isin(*WEAK_RANDOM) & F.col("scope").rlike(SENSITIVE_NAME))
-    return _rows(hit, "SKY-D250", "MEDIUM", "security", _say("weak random source %s", "name"))
+    return as_findings(hit, "SKY-D250", "MEDIUM", "security", say("weak random source %s", "name"))
 
 
 def flow_rules(flows: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def flow_rules(flows: DataFrame) -> DataFrame:
             fits = fits & (a["shell"] == "True")
         checks.append(F.when(fits, F.struct(F.lit(rule).alias("r"), F.lit(severity).alias("s"))))
     hit = flows.withColumn("_h", F.coalesce(*checks)).where("_h is not null")
-    return _rows(hit, F.col("_h.r"), F.col("_h.s"), "security", _say("outside data reaches %s", "name"), kind="flow")
+    return as_findings(hit, F.col("_h.r"), F.col("_h.s"), "security", say("outside data reaches %s", "name"), kind="flow")
 
 
 def behaviour_rules(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -198,13 +198,13 @@ def behaviour_rules(calls: DataFrame, functions: DataFrame) -> DataFrame:
     whole = calls.where(F.col("name").rlike(r"\.(read|readlines)$") & (F.col("nums")["args"] == 0))
     csv = calls.where((F.col("name") == "pandas.read_csv") & F.col("attrs")["kw:chunksize"].isNull())
     chmod = calls.where(F.col("name").isin("os.chmod") & F.exists("items", lambda x: x.rlike("777|666")))
-    return _all([
-        _rows(blocking, "SKY-Q401", "HIGH", "quality", _say("%s blocks an async function", "name")),
-        _rows(no_timeout, "SKY-L031", "MEDIUM", "quality", _say("%s without timeout", "name")),
-        _rows(debug, "SKY-L009", F.col("_s"), "quality", _say("debug leftover %s", "name")),
-        _rows(whole, "SKY-P401", "LOW", "performance", F.lit("whole file in memory")),
-        _rows(csv, "SKY-P402", "LOW", "performance", F.lit("whole table in memory")),
-        _rows(chmod, "SKY-L020", "HIGH", "security", F.lit("broad file permissions")),
+    return union_all([
+        as_findings(blocking, "SKY-Q401", "HIGH", "quality", say("%s blocks an async function", "name")),
+        as_findings(no_timeout, "SKY-L031", "MEDIUM", "quality", say("%s without timeout", "name")),
+        as_findings(debug, "SKY-L009", F.col("_s"), "quality", say("debug leftover %s", "name")),
+        as_findings(whole, "SKY-P401", "LOW", "performance", F.lit("whole file in memory")),
+        as_findings(csv, "SKY-P402", "LOW", "performance", F.lit("whole table in memory")),
+        as_findings(chmod, "SKY-L020", "HIGH", "security", F.lit("broad file permissions")),
     ])
 
 
@@ -217,11 +217,11 @@ def literal_rules(literals: DataFrame, patterns: DataFrame, least: int | None =
     credential = assigned.where(F.col("name").rlike(SENSITIVE_NAME) & (F.length("v") >= 8) & ~F.col("v").rlike(r"(?i)^(<.*>|\$\{.*|your[-_ ].*|changeme|example.*|x+|\*+)$") & ~F.col("v").rlike(r"\s"))
     secret = assigned.withColumn("_s", scalar.secret_severity(F.col("v"))).where("_s is not null")
     mock = assigned.where(F.col("v").rlike(r"(?i)\b(lorem ipsum|john\.?doe|foo@bar|test@test|example\.com|dummy|placeholder)\b"))
-    return _all([
-        _rows(repeated, "SKY-L027", F.when(n >= 6, "MEDIUM").otherwise("LOW"), "quality", _say("string %s is repeated", "name"), value=n, threshold=least),
-        _rows(credential, "SKY-L014", "HIGH", "security", _say("credential in %s", "name")),
-        _rows(secret, "SKY-S101", F.col("_s"), "secrets", _say("secret in %s", "name")),
-        _rows(mock, "SKY-L032", "MEDIUM", "quality", _say("placeholder data in %s", "name")),
+    return union_all([
+        as_findings(repeated, "SKY-L027", F.when(n >= 6, "MEDIUM").otherwise("LOW"), "quality", say("string %s is repeated", "name"), value=n, threshold=least),
+        as_findings(credential, "SKY-L014", "HIGH", "security", say("credential in %s", "name")),
+        as_findings(secret, "SKY-S101", F.col("_s"), "secrets", say("secret in %s", "name")),
+        as_findings(mock, "SKY-L032", "MEDIUM", "quality", say("placeholder data in %s", "name")),
     ])
 
 
@@ -232,7 +232,7 @@ def coupling_rule(class_uses: DataFrame, classes: DataFrame, limit: int | None =
     uses = class_uses.select("file", "line", F.col("scope").alias("cls"), F.element_at(F.split("name", r"\."), -1).alias("simple"))
     counted = uses.join(known, "simple").where("cls <> target").groupBy("cls", "file").agg(F.countDistinct("target").alias("ce"), F.min("line").alias("line"))
     hit = counted.where(F.col("ce") > limit).withColumnRenamed("cls", "name")
-    return _rows(hit, "SKY-Q701", F.when(F.col("ce") > 8, "HIGH").otherwise("MEDIUM"), "architecture", _say("uses %s classes", "ce"), value=F.col("ce"), threshold=limit)
+    return as_findings(hit, "SKY-Q701", F.when(F.col("ce") > 8, "HIGH").otherwise("MEDIUM"), "architecture", say("uses %s classes", "ce"), value=F.col("ce"), threshold=limit)
 
 
 def phantom_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def phantom_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame)
     inside = calls.withColumn("m", parent).join(modules, "m", "left_semi").drop("m")
     known = definitions.select("name").union(imports.select(F.concat_ws(".", "scope", "name").alias("name"))).distinct()
     hit = inside.join(known, "name", "left_anti").where(F.col("name").contains("."))
-    return _rows(hit, "SKY-L012", "CRITICAL", "ai_defects", _say("%s does not exist", "name"))
+    return as_findings(hit, "SKY-L012", "CRITICAL", "ai_defects", say("%s does not exist", "name"))
 
 
 def signature_mismatches(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -251,14 +251,14 @@ def signature_mismatches(calls: DataFrame, functions: DataFrame) -> DataFrame:
     keywords = F.size(F.filter(F.map_keys("attrs"), lambda k: k.startswith("kw:")))
     c = calls.join(f, "name").withColumn("given", F.col("nums")["args"])
     hit = c.where((F.col("given") > F.col("most")) | (F.col("given") + keywords < F.col("least")))
-    return _rows(hit, "SKY-D224", "HIGH", "ai_defects", _say("%s is called with other arguments than it takes", "name"), value=F.col("given"), threshold=F.col("most"))
+    return as_findings(hit, "SKY-D224", "HIGH", "ai_defects", say("%s is called with other arguments than it takes", "name"), value=F.col("given"), threshold=F.col("most"))
 
 
 def lock_order(locks: DataFrame) -> DataFrame:
     """Pairs of locks that are taken in both orders: a self-join of the nesting pairs."""
     a, b = locks.alias("a"), locks.select("name", "target").distinct().alias("b")
     hit = a.join(b, (F.col("a.name") == F.col("b.target")) & (F.col("a.target") == F.col("b.name"))).select("a.*").dropDuplicates(["file", "line", "name", "target"])
-    return _rows(hit, "SKY-Q403", "HIGH", "quality", _say("%s and %s are taken in both orders", "name", "target"))
+    return as_findings(hit, "SKY-Q403", "HIGH", "quality", say("%s and %s are taken in both orders", "name", "target"))
 
 
 def shared_state(global_writes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -266,14 +266,14 @@ def shared_state(global_writes: DataFrame, calls: DataFrame) -> DataFrame:
     targets = calls.where(F.col("name").isin("threading.Thread", "threading.Timer") | F.col("name").endswith(".submit"))
     names = targets.select("file", F.explode(F.concat(F.array_compact(F.array(F.col("attrs")["kw:target"])), F.slice("items", 1, 1))).alias("t")).where("t <> ''")
     hit = global_writes.withColumn("t", F.element_at(F.split("scope", r"\."), -1)).join(names.distinct(), ["file", "t"], "left_semi")
-    return _rows(hit, "SKY-Q404", "MEDIUM", "quality", _say("%s is written by a thread", "name"))
+    return as_findings(hit, "SKY-Q404", "MEDIUM", "quality", say("%s is written by a thread", "name"))
 
 
 def opaque_names(definitions: DataFrame) -> DataFrame:
     """Functions and classes whose names say nothing: one letter, consonants only, or a numbered placeholder."""
     simple = F.element_at(F.split("name", r"\."), -1)
     hit = definitions.where("attrs['type'] in ('function', 'class', 'method')").where(simple.rlike(r"^([a-zA-Z]|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{4,}|(foo|bar|baz|tmp|temp|data|func|thing|stuff|do_it)\d*)$"))
-    return _rows(hit, "SKY-Q806", "LOW", "quality", _say("opaque name %s", "name"))
+    return as_findings(hit, "SKY-Q806", "LOW", "quality", say("opaque name %s", "name"))
 
 
 def stale_mocks(calls: DataFrame, definitions: DataFrame, strings: DataFrame) -> DataFrame:
@@ -282,14 +282,14 @@ def stale_mocks(calls: DataFrame, definitions: DataFrame, strings: DataFrame) ->
     named = strings.join(patched, ["file", "line"], "left_semi").where(F.col("name").rlike(r"^\w+(\.\w+)+$"))
     modules = definitions.select(F.col("scope").alias("m")).distinct()
     inside = named.withColumn("m", F.regexp_replace("name", r"\.[^.]+$", "")).join(modules, "m", "left_semi").drop("m")
-    return _rows(inside.join(definitions.select("name").distinct(), "name", "left_anti"), "SKY-L024", "HIGH", "ai_defects", _say("patched name %s does not exist", "name"))
+    return as_findings(inside.join(definitions.select("name").distinct(), "name", "left_anti"), "SKY-L024", "HIGH", "ai_defects", say("patched name %s does not exist", "name"))
 
 
 def undefined_config(calls: DataFrame, declared: DataFrame) -> DataFrame:
     """Environment names that the code reads and no configuration file declares (``declared``: ``name``)."""
     reads = calls.where(F.col("name").isin("os.getenv", "os.environ.get") & (F.col("nums")["args"] == 1))
     key = reads.withColumn("name", F.col("attrs")["first_text"]).where("name is not null")
-    return _rows(key.join(declared.select("name").distinct(), "name", "left_anti"), "SKY-L016", "MEDIUM", "quality", _say("%s is read and never declared", "name"))
+    return as_findings(key.join(declared.select("name").distinct(), "name", "left_anti"), "SKY-L016", "MEDIUM", "quality", say("%s is read and never declared", "name"))
 
 
 #: Commands that a repository of a language should run somewhere.
@@ -309,7 +309,7 @@ def policy_rules(files: DataFrame) -> DataFrame:
     one = files.agg(*flags)
     missing = F.array(*[F.when(F.col(f"has_{r}") & ~F.coalesce(F.col(f"ok_{r}"), F.lit(False)), r) for r, _, _ in POLICIES])
     rows = one.select(F.explode(F.array_compact(missing)).alias("r")).withColumns({"name": F.lit("repository"), "file": F.lit("."), "line": F.lit(1)})
-    return _rows(rows, F.col("r"), "MEDIUM", "quality", _say("policy %s is not met", "r"))
+    return as_findings(rows, F.col("r"), "MEDIUM", "quality", say("policy %s is not met", "r"))
 
 
 def custom_rules(facts: DataFrame, rules: list[dict]) -> DataFrame:
@@ -321,5 +321,5 @@ def custom_rules(facts: DataFrame, rules: list[dict]) -> DataFrame:
             df = df.where(F.rlike("name", scalar.glob_to_regex(F.lit(r["name"]))))
         for metric, limit in r.get("max", {}).items():
             df = df.where(F.col("nums")[metric] > limit)
-        out.append(_rows(df, r["id"], r.get("severity", "MEDIUM"), "custom", F.lit(r.get("message", r["id"])), kind=r["kind"]))
-    return _all(out)
+        out.append(as_findings(df, r["id"], r.get("severity", "MEDIUM"), "custom", F.lit(r.get("message", r["id"])), kind=r["kind"]))
+    return union_all(out)

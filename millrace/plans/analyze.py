@@ -60,8 +60,8 @@ def architecture(facts: DataFrame) -> DataFrame:
     files = of_kind(facts, "module").select(F.col("name").alias("module"), "file", "line")
     far = metrics.where("distance > 0.5 and ca + ce > 0").join(files, "module").select(F.col("module").alias("name"), "file", "line", "distance")
     inverted = graph.dependency_inversions(edges, metrics).join(files, F.col("src") == F.col("module")).select(F.col("src").alias("name"), "file", "line", "severity", F.col("dst"))
-    return rules._rows(far, "SKY-Q802", F.when(F.col("distance") > 0.7, "HIGH").otherwise("MEDIUM"), "architecture", F.lit("far from the main sequence"), value=F.col("distance"), threshold=0.5).unionByName(
-        rules._rows(inverted, "SKY-Q804", F.col("severity"), "architecture", rules._say("stable module depends on %s", "dst"))
+    return rules.as_findings(far, "SKY-Q802", F.when(F.col("distance") > 0.7, "HIGH").otherwise("MEDIUM"), "architecture", F.lit("far from the main sequence"), value=F.col("distance"), threshold=0.5).unionByName(
+        rules.as_findings(inverted, "SKY-Q804", F.col("severity"), "architecture", rules.say("stable module depends on %s", "dst"))
     )
 
 
@@ -80,19 +80,19 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     rule = F.lit(None).cast("string")
     for k, r in kinds.items():
         rule = F.when(F.col("type") == k, r).otherwise(rule)
-    unused = rules._rows(dead.where("decision = 'reported'"), rule, "INFO", "dead_code", rules._say("unused %s %s", "type", "name"), kind="dead_code", value=F.col("confidence"), threshold=threshold)
+    unused = rules.as_findings(dead.where("decision = 'reported'"), rule, "INFO", "dead_code", rules.say("unused %s %s", "type", "name"), kind="dead_code", value=F.col("confidence"), threshold=threshold)
     text = files.where("lang is not null").select("path", "text")
     from_text = textscan.scan_lines(text).unionByName(textscan.scan_bidi(text)).unionByName(textscan.scan_injection(text).select("path", "line", "rule_id", "severity")).unionByName(configscan.scan_config(files.select("path", "text"))).unionByName(langscan.scan_languages(files))
     from_text = from_text.where("rule_id <> 'SKY-L009'").withColumnRenamed("path", "file").withColumn("name", F.col("file"))
     lost, spare = langscan.ts_unused(files)
     ts = lost.select("path", F.lit("SKY-E003").alias("r"), F.col("path").alias("name")).unionByName(spare.select("path", F.lit("SKY-E004").alias("r"), "name")).withColumnRenamed("path", "file").withColumn("line", F.lit(1))
-    found = rules._all([
-        rules._rows(ts, F.col("r"), "LOW", "dead_code", rules._say("%s is not used", "name")),
+    found = rules.union_all([
+        rules.as_findings(ts, F.col("r"), "LOW", "dead_code", rules.say("%s is not used", "name")),
         rules.metric_rules(functions, classes, of_kind(facts, "module"), files, limits),
         rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),
         rules.literal_rules(of_kind(facts, "literal"), of_kind(facts, "pattern")), rules.coupling_rule(of_kind(facts, "class_use"), classes), rules.signature_mismatches(calls, functions),
         rules.lock_order(of_kind(facts, "lock")), rules.shared_state(of_kind(facts, "global_write"), calls), rules.opaque_names(of_kind(facts, "definition")), rules.stale_mocks(calls, of_kind(facts, "definition"), of_kind(facts, "string")), rules.policy_rules(files),
-        rules._rows(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused,
+        rules.as_findings(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused,
     ])
     kept = found.join(ignores.where("rule_id is null").select("file", "line"), ["file", "line"], "left_anti").join(ignores.where("rule_id is not null"), ["file", "line", "rule_id"], "left_anti")
     return Analysis(files, facts, stage_table(kept.select(*rules.COLUMNS), "findings"), dead)

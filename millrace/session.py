@@ -67,15 +67,14 @@ def stage_table(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a table that :func:`stage_table` returned."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split("://")[-1].split(":")[-1] in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`stage_table` returned and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
