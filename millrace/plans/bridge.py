@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar
 from millrace.operators import behavior, clones, deps, findings, graph, intervals, score, textscan
+from millrace.plans import sample
+from millrace.plans.analyze import analyze, module_edges
 from millrace.session import table
+from millrace.sources.files import from_texts
 from millrace.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,3 +697,30 @@ def watch_counts(spark, sf_dir):
 @query("SELECT md5(user_id || '|' || event_type) AS fingerprint, 'new' AS event, 0::BIGINT AS batch FROM events WHERE user_id IS NOT NULL GROUP BY user_id, event_type")
 def watch_new_resolved(spark, sf_dir):
     return watch.lifecycle_events(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
+
+
+# Source code ----------------------------------------------------------------------------------
+
+
+def _sample(spark):
+    return analyze(from_texts(spark, sample.FILES))
+
+
+@query(None)
+def code_findings(spark, sf_dir):
+    return _sample(spark).findings
+
+
+@query(None)
+def code_dead(spark, sf_dir):
+    return _sample(spark).dead.select("def_key", "type", "references", "confidence", "decision")
+
+
+@query(None)
+def code_module_edges(spark, sf_dir):
+    return module_edges(_sample(spark).facts)
+
+
+@query(None)
+def code_grade(spark, sf_dir):
+    return _sample(spark).grade()
