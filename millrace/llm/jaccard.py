@@ -39,7 +39,7 @@ FAMILY, CLOSE = 0.6, 0.7
 #: Texts of a bucket's block.
 BUCKET_BLOCK = 512
 #: Texts and shingles, on average, of a family's block in which pairs are compared.
-BLOCK, BLOCK_GRAMS = 4096, 1_000_000
+BLOCK, BLOCK_GRAMS = 1024, 500_000
 BATCH_BYTES = 1_000_000
 
 _BASE = np.uint64(0x100000001B3)
@@ -373,7 +373,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     members = members.join(sizes, "family").withColumn("block", F.pmod("id", "blocks").cast("int"))
     members = stage_table(members, "jaccard-members", compression="zstd")
     wanted = members.select("id", "doc_id", "tx")
-    texts = base.join(wanted, ["doc_id", "tx"]).select("id", "text").mapInPandas(_gram_bytes, "id long, grams binary")
+    # one plan at every size: whether a few members could be broadcast would otherwise hang on which side is done first
+    texts = base.join(wanted.hint("merge"), ["doc_id", "tx"]).select("id", "text").mapInPandas(_gram_bytes, "id long, grams binary")
     texts = stage_table(texts.dropDuplicates(["id"]), "jaccard-grams", compression="none")
     # each text goes to every pair of blocks that its own is part of
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
