@@ -158,6 +158,59 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least_share: int =
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words"))).drop("_hits", "_items", "_words")
 
 
+def locate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Longest verbatim matches: ``doc_id, item_id, start, words`` (in words of the document), for every run of an item's windows.
+
+    Runs of one item that overlap or touch are one match.  Rules for words, windows and missing
+    values are those of :func:`find_contamination`.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text")
+    out = None
+    for block in _benchmark_blocks(benchmark):
+        found = rows.mapInArrow(_Locate(spark.sparkContext.broadcast(cloudpickle.dumps(block))), f"doc_id {kind}, item_id string, start long, words long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+class _Locate:
+    """Matches of one block of the benchmark in Arrow batches."""
+
+    def __init__(self, block):
+        self.block = block
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = pickle.loads(self.block.value)
+        for batch in batches:
+            at_row: list[int] = []
+            found: list[tuple[str, int, int]] = []
+            for k, text in enumerate(batch.column("text")):
+                for item, start, end in self.matches(split_words(text.as_py()), windows):
+                    at_row.append(k)
+                    found.append((item, start, end - start))
+            cols = [pa.array([x[j] for x in found], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at_row, pa.int64())), *cols], names=["doc_id", "item_id", "start", "words"])
+
+    @staticmethod
+    def matches(words: list[bytes], windows: Windows) -> Iterator[tuple[str, int, int]]:
+        text = np.array([windows.ids.get(w, 0) for w in words], dtype=np.int64)
+        number, place = windows.places(*windows.suffix_array(text, np.full(len(text), len(text))))
+        spans: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for w, p in zip(number.tolist(), place.tolist(), strict=True):
+            for item in windows.items[w]:
+                spans[item].append((p, p + len(windows.keys[w])))
+        for item, found in sorted(spans.items()):
+            start, end = None, None
+            for a, b in sorted(found):
+                if start is None or a > end:
+                    if start is not None:
+                        yield item, start, end
+                    start, end = a, b
+                end = max(end, b)
+            yield item, start, end
+
+
 class _Pass:
     """One pass over Arrow batches with one block of the benchmark."""
 
