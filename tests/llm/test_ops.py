@@ -481,6 +481,16 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, chars, shard):
     assert len(clean) == len(rows) and not any(r["n_hit"] or r["contaminated"] for r in clean) and "text" not in clean[0].asDict()
 
 
+def test_locations(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BENCHMARK_CHARS", 120)
+    rng = random.Random(12)
+    item, other = words(30, rng), words(14, rng)
+    docs = spark.createDataFrame([(1, f"{words(5, rng)} {''.join(c.upper() if c.isascii() else c for c in item)}. {words(3, rng)}"), (2, " ".join(item.split()[3:20]) + " gap " + other), (3, None), (4, words(40, rng))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.locate(docs, bench).collect())
+    assert got == [(1, "1", 5, 30), (2, "1", 0, 17), (2, "2", 18, 14)]
+
+
 def test_longest_matches():
     w = decontaminate.Windows([("a", "p q r s"), ("b", "x y z")], window=4)
     ids = [w.ids.get(t.encode(), 0) for t in "p q r z x y z p q r s".split()]
