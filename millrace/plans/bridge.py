@@ -702,8 +702,15 @@ def watch_new_resolved(spark, sf_dir):
 # Source code ----------------------------------------------------------------------------------
 
 
+#: The sample's analysis by application: its tables are staged once a session.
+_ANALYSES: dict = {}
+
+
 def _sample(spark):
-    return analyze(from_texts(spark, sample.FILES))
+    key = spark.sparkContext.applicationId
+    if key not in _ANALYSES:
+        _ANALYSES[key] = analyze(from_texts(spark, sample.FILES))
+    return _ANALYSES[key]
 
 
 @query(None)
