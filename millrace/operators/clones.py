@@ -8,17 +8,23 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components, k_core
+from millrace.session import drop_staged, stage_table
 
 #: Least lines and nodes of a fragment, similarities of the clone types, and the reporting threshold.
 MIN_LINES, MIN_NODES = 8, 10
 TYPE_THRESHOLDS = {"type1": 0.98, "type2": 0.95, "type3": 0.88}
 REPORT_THRESHOLD = 0.90
 BUCKET_DIGITS = 6
+#: Words that the first words of two near texts share at least (if so many are needed in common).
+SHARED = 10
+#: Texts of the sample that tells frequent words, and words it tells at most.
+ORDER_TEXTS, ORDER_WORDS = 20_000, 50_000
 
 
 def plain_text(source: str) -> str:
@@ -160,28 +166,97 @@ def clone_groups(pairs: DataFrame, mode: str = "connected", k: int = 2) -> DataF
     return size.join(mean, "component").join(best, "component").orderBy(F.col("size").desc(), F.col("similarity").desc(), "component")
 
 
-def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD, per_bucket: int = 250) -> DataFrame:
-    """Clone pairs among texts, compared by their words.
+def word_elements(texts: list[list[str]]) -> list[np.ndarray]:
+    """The words of every text as 64-bit hashes; a word's second, third ... occurrence in a text has hashes of its own."""
+    codes, known = pd.factorize(np.array([w for words in texts for w in words], dtype=object))
+    hashes = pd.util.hash_array(known, categorize=False)[codes] if len(codes) else np.empty(0, np.uint64)
+    out, at = [], 0
+    for words in texts:
+        h = np.sort(hashes[at : at + len(words)])
+        fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        nth = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
+        x = h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(29)))
+        at += len(words)
+    return out
+
+
+def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD) -> DataFrame:
+    """All pairs ``a < b`` of texts whose words are at least ``threshold`` alike, with ``similarity`` (difflib's ratio of a's words to b's).
 
-    Texts meet that share a digest of their normalised whole, their first two lines or their last
-    two.  As for fragments, a bucket compares its first ``per_bucket`` texts by key.
+    Texts with the same words form a class, compared once.  A ratio of t needs t / 2 of both texts' words in common,
+    so of all words in one order (rare ones first) the first of each text must share ``SHARED`` (prefix filter);
+    every pair that does is compared.  Nothing is capped or sampled: the result grows with the square of a group of near copies.
+    Classes are named by 64-bit hashes of their words.
     """
-    lines = F.split(F.trim(text), "\n")
-    norm = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    ends = {"w": norm, "f": F.array_join(F.slice(lines, 1, 2), "\n"), "l": F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2)), "\n")}
-    forms = F.array(*[F.concat(F.lit(f"{k}:"), F.substring(F.sha1(v), 1, 12)) for k, v in ends.items()])
-    keys = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("id"), F.explode(F.array_distinct(forms)).alias("bucket"))
-    keys = keys.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("_n") <= per_bucket).drop("_n")
-    pairs = keys.alias("x").join(keys.alias("y"), "bucket").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    t = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    full = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    full = full.where(2 * F.least(F.length("ta"), F.length("tb")) >= threshold * (F.length("ta") + F.length("tb")))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x.split(), y.split(), threshold) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return full.select("a", "b", ratio("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+    least = threshold / (2 - threshold)
+
+    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [t.split() for t in batch["t"]]
+            names = [int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for w in words]
+            yield pd.DataFrame({"id": batch["id"], "cls": names, "n": [len(w) for w in words], "t": batch["t"]})
+
+    rows = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = stage_table(rows.mapInPandas(classed, f"id {kind}, cls long, n long, t string"), "near-texts", compression="zstd")
+    members = stage_table(rows.select("id", "cls").where("id is not null").distinct(), "near-members")
+    texts = stage_table(rows.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("t").alias("t")), "near-classes", compression="zstd")
+    drop_staged(rows)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = word_elements([t.split() for t in batch["t"]])
+            if found:
+                used, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"word": used.view(np.int64), "c": n})
+
+    # any one order is right, the counts only make it fast: those of the most frequent words of a sample do
+    part = max(1, texts.count() // ORDER_TEXTS)
+    counts = texts.where(F.pmod("cls", F.lit(part)) == 0).select("t").mapInPandas(counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 2")
+    counts = sorted((r["word"] % (1 << 64), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(ORDER_WORDS).toLocalIterator())
+    hot, count = np.array([w for w, _ in counts] or [0], dtype=np.uint64), np.array([c for _, c in counts] or [0], dtype=np.int64)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, ids, sizes = [], [], []
+            for cls, x in zip(batch["cls"], word_elements([t.split() for t in batch["t"]]), strict=True):
+                first = len(x) - int(np.ceil(len(x) * least - 1e-6)) + SHARED
+                at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+                x = x[np.lexsort((x, np.where(hot[at] == x, count[at], 0)))][:first]
+                keys.append(x.view(np.int64))
+                ids.append(np.full(len(x), cls, dtype=np.int64))
+            sizes = np.repeat(batch["n"].to_numpy(np.int64), [len(x) for x in keys])
+            yield pd.DataFrame({"word": np.concatenate(keys), "cls": np.concatenate(ids), "n": sizes}) if keys else pd.DataFrame({"word": [], "cls": [], "n": []}, dtype="int64")
+
+    words = stage_table(texts.select("cls", "n", "t").mapInPandas(prefixes, "word long, cls long, n long"), "near-words")
+    met = words.alias("x").join(words.alias("y"), "word").where("x.cls < y.cls").where(2 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    needed = F.least(F.lit(SHARED), F.ceil(threshold / 2 * (F.first("x.n") + F.first("y.n")) - 1e-6))
+    pairs = met.groupBy(F.col("x.cls").alias("p"), F.col("y.cls").alias("q")).agg(F.count("*").alias("shared"), needed.alias("needed")).where("shared >= needed").select("p", "q")
+    pairs = stage_table(pairs, "near-pairs")
+    drop_staged(words)
+    side = lambda s: texts.select(F.col("cls").alias(s), F.col("first").alias(f"first_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("t").alias(f"t_{s}"))
+    full = pairs.join(side("p"), "p").join(side("q"), "q")
+    # the ratio depends on which text comes first; classes of several rows may need it both ways
+    several = (F.col("rows_p") > 1) | (F.col("rows_q") > 1)
+
+    @F.pandas_udf("struct<pq:double,qp:double>")
+    def ratios(p: pd.Series, q: pd.Series, forth: pd.Series, back: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, f, b in zip(p, q, forth, back, strict=True):
+            x, y = x.split(), y.split()
+            out.append((similarity(x, y, threshold) if f else 0.0, similarity(y, x, threshold) if b else 0.0))
+        return pd.DataFrame(out, columns=["pq", "qp"])
+
+    forth, back = F.coalesce(several | (F.col("first_p") < F.col("first_q")), F.lit(True)), F.coalesce(several | (F.col("first_p") > F.col("first_q")), F.lit(True))
+    judged = stage_table(full.select("p", "q", ratios("t_p", "t_q", forth, back).alias("r")).select("p", "q", "r.pq", "r.qp"), "near-ratios")
+    judged = judged.where((F.col("pq") >= threshold) | (F.col("qp") >= threshold))
+    a, b = members.select(F.col("id").alias("a"), F.col("cls").alias("p")), members.select(F.col("id").alias("b"), F.col("cls").alias("q"))
+    across = judged.join(a, "p").join(b, "q").where("a <> b")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("pq")).otherwise(F.col("qp")).alias("similarity"))
+    same = a.join(b, F.col("p") == F.col("q")).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.where(F.col("similarity") >= threshold).unionByName(same)
 
 
 def digest(text: str) -> str:

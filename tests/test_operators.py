@@ -1,6 +1,7 @@
 """Operators on small tables, against labels or brute force."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,32 @@ def test_configuration(spark):
     images = spark.createDataFrame([("m", "525.60", ["sm_80"])], "image string, min_driver string, archs array<string>")
     targets = spark.createDataFrame([("old", "470.1", "sm_80"), ("new", "550", "sm_90"), ("ok", "525.60", "sm_80")], "target string, driver string, arch string")
     assert {r["target"]: r["rule_id"] for r in configscan.gpu_compatibility(images, targets).collect()} == {"old": "SKY-GPU001", "new": "SKY-GPU002"}
+
+
+def test_near_texts_are_all_pairs_of_brute_force(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    base, texts = make(60), []
+    for k in range(300):  # more copies than the former cap, with other white space
+        texts.append("  \n".join(base) if k % 2 else " ".join(base))
+    for n in (1, 2, 5, 9, 10, 11, 20, 40, 120):  # one line, edited at both ends and elsewhere
+        start = make(n)
+        for _ in range(6):
+            w = list(start)
+            for at in {0, n - 1, *rng.sample(range(n), min(n, n // 20))}:
+                w[at] = rng.choice([f"x{rng.randrange(9)}", w[at]])
+            if n > 10 and rng.random() < 0.5:
+                w.insert(rng.randrange(n), "extra")
+            texts.append(" ".join(w))
+    texts += [" ".join(base[1:-1]), " ".join(base[:30] + make(2) + base[30:]), "", None, "a" * 200 + " " + " ".join(base[1:])]
+    rows = [(k * 7 % 1009, t) for k, t in enumerate(texts)]
+    got = clones.near_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    full = sorted((i, tuple(t.split())) for i, t in rows if t)
+    want, cache = {}, {}
+    for k, (i, x) in enumerate(full):
+        for j, y in full[k + 1 :]:
+            if (x, y) not in cache:
+                cache[x, y] = SequenceMatcher(None, x, y, autojunk=False).ratio()
+            if cache[x, y] >= 0.9:
+                want[i, j] = cache[x, y]
+    assert len(got) == len(want) > 300 * 299 // 2 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
