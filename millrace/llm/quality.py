@@ -164,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Chain:
     """Fit a chain to at most ``max_docs`` labelled documents that are not held out.
 
-    Which documents is settled by a hash of the id.  Their ids (a bounded table) go to the
+    Which documents is settled by a hash of the id; of those, all lines are read.  Their ids (a bounded table) go to the
     scan of ``docs``; only features of their lines come to the driver.  Ids with contradicting or
     null labels are left out.
     """
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Cha
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = [line_features([text])[0][:LINES].astype("<f4").tobytes() for text in batch["text"]]
+            x = [line_features([text])[0].astype("<f4").tobytes() for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "q": batch["q"], "x": x})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -186,10 +186,6 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Cha
     return fit(np.vstack(parts).astype(float), np.array([len(p) for p in parts]), np.array([q for _, q in found]))
 
 
-#: Lines of a training document that the fit sees, at most.
-LINES = 200
-
-
 def score(docs: DataFrame, model: Chain) -> DataFrame:
     """Add ``score`` (0 to 1, higher: better) and ``predicted`` (1 if the score is at least a half) to ``docs``.
 

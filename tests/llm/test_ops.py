@@ -71,6 +71,17 @@ def test_quality(spark, docs, rows, empty):
     assert {r["score"] for r in quality.score(docs, neutral).collect()} == {0.5}
 
 
+def test_quality_is_fitted_to_whole_texts(spark):
+    good = "\n".join("Some words of plain prose that end here." for _ in range(250))
+    bad = good + "\n" + "\n".join("BUY | NOW | !!!" for _ in range(250))
+    texts = [(k, t, y) for k, (t, y) in enumerate([(good, 1), (bad, 0)] * 6) if zlib.crc32(str(k).encode()) % 3 != 1]
+    model = quality.train(spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in texts], "doc_id long, quality int"))
+    parts = sorted((quality.line_features([t])[0].astype("<f4").tobytes(), y) for _, t, y in texts)
+    x = [np.frombuffer(p, dtype="<f4").reshape(-1, quality.WIDTH) for p, _ in parts]
+    whole = quality.fit(np.vstack(x).astype(float), np.array([len(p) for p in x]), np.array([y for _, y in parts]))
+    assert np.allclose(model.weights, whole.weights) and np.allclose(model.moves, whole.moves)
+
+
 def test_crf_marginals_are_those_of_all_labelings():
     rng = np.random.default_rng(1)
     chain = quality.Chain(rng.normal(size=quality.WIDTH), rng.normal(size=(2, 2)))
