@@ -328,7 +328,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     Returns one row a row of ``docs``: ``doc_id, class_id, n_links, class_size, keeper``.  A class holds the rows
     that links connect; its id is its smallest ``doc_id``.  ``n_links`` counts the other
     rows whose similarity with the row's text is at least 0.8, copies included.  ``keeper`` is true for
-    one row of each class.  Texts without words (null, empty, punctuation) have no shingles, no links and
+    one row of each class (and rows with its id and text).  Texts without words (null, empty, punctuation) have no shingles, no links and
     classes of their own; a text of fewer than five words is one shingle.  Repeated rows are copies.
     Null ids are the largest.
 
@@ -374,7 +374,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     members = stage_table(members, "jaccard-members", compression="zstd")
     wanted = members.select("id", "doc_id", "tx")
     # one plan at every size: whether a few members could be broadcast would otherwise hang on which side is done first
-    texts = base.join(wanted.hint("merge"), ["doc_id", "tx"]).select("id", "text").mapInPandas(_gram_bytes, "id long, grams binary")
+    wanted = wanted.select("id", F.col("doc_id").alias("_doc"), F.col("tx").alias("_tx")).hint("merge")
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tx") == F.col("_tx"))).select("id", "text").mapInPandas(_gram_bytes, "id long, grams binary")
     texts = stage_table(texts.dropDuplicates(["id"]), "jaccard-grams", compression="none")
     # each text goes to every pair of blocks that its own is part of
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -385,16 +386,16 @@ def join_similar(docs: DataFrame) -> DataFrame:
     classes = components(verified.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
 
-    labelled = groups.select("grams", "docs", "doc_id", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    labelled = groups.select("grams", "docs", "doc_id", "tx", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    per_class = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("docs").alias("class_size"), F.min(F.struct("doc_id", "id")).alias("first"))
-    labelled = labelled.join(per_class, "component").select("grams", "class_id", "class_size", (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    per_class = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("docs").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"))
+    labelled = labelled.join(per_class, "component").select("grams", "class_id", "class_size", F.col("first.tx").alias("first_tx"), (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     out = sketch.select("doc_id", "tx", "grams").join(labelled, "grams", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("grams").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keeper"),
+        (F.col("grams").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tx") == F.col("first_tx")))).alias("keeper"),
         "tx",
     )

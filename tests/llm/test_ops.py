@@ -196,6 +196,22 @@ def test_jaccard_large_family_and_stragglers(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((r[0], *want[k]) for k, r in enumerate(rows))
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Near texts whose ids are null or the same: every link counts, one text of a class is kept."""
+    rng = random.Random(5)
+    rows = []
+    for ids in ([None, None, None], [None, 7, None], [8, 8, 8], [9, 9, None], [None, None]):
+        base = words(90, rng).split()
+        for k, i in enumerate(ids):
+            rows.append((i, " ".join([*base[: 20 * k], f"n{k}", *base[20 * k + 1 :]])))
+    rows += [rows[0], (None, words(40, rng)), (8, words(40, rng))]
+    got = jaccard.join_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = got.select("doc_id", "class_id", "n_links", "class_size").collect()
+    want = brute_classes(rows)
+    assert sorted(map(tuple, links), key=key) == sorted(((r[0], *want[k]) for k, r in enumerate(rows)), key=key)
+    assert got.where("keeper").select("doc_id", "tx").distinct().count() == 7  # one text of each of the five groups and two single texts
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))]
