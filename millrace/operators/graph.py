@@ -103,16 +103,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a.src").alias("node")).agg(F.min("a.dst").alias("component")).select("node", F.least("node", "component").alias("component"))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """``nodes`` of simple cycles of up to ``max_length``, from their least node; cycles with one node set count once."""
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """``nodes`` of simple cycles of any length, from their least node; cycles with one node set count once.
+
+    Paths grow by an edge a round until none is left; they are simple, so none outlasts its strong component.
+    """
     core = strong_components(edges)
     inside = edges.select("src", "dst").distinct().join(core.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").join(core.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("c = c2").select("src", "dst")
     inside = stage_table(inside, "cycles")
-    paths = inside.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("nodes"))
+    paths = stage_table(inside.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("nodes")), "cycles-paths")
     found = paths.where("start = at").select("nodes")
-    for _ in range(max_length - 1):
+    while True:
         paths = paths.where("at > start").where(~F.array_contains("nodes", F.col("at")))
         paths = paths.join(inside, F.col("at") == F.col("src")).where("dst >= start").select("start", F.col("dst").alias("at"), F.concat("nodes", F.array("src")).alias("nodes"))
+        paths = stage_table(paths, "cycles-paths")
+        if not paths.limit(1).count():
+            break
         found = found.union(paths.where("start = at").select("nodes"))
     once = found.groupBy(F.array_sort("nodes").alias("_k")).agg(F.min("nodes").alias("nodes"))
     return once.select("nodes", F.size("nodes").alias("length"), F.when(F.size("nodes") > 3, "HIGH").when(F.size("nodes") > 2, "MEDIUM").otherwise("LOW").alias("severity"))

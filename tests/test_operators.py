@@ -340,3 +340,9 @@ def test_near_texts_are_all_pairs_of_brute_force(spark):
             if cache[x, y] >= 0.9:
                 want[i, j] = cache[x, y]
     assert len(got) == len(want) > 300 * 299 // 2 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    found = graph.simple_cycles(spark.createDataFrame([*ring, (4, 0), (20, 21)], "src long, dst long")).collect()
+    assert sorted((r["nodes"], r["length"], r["severity"]) for r in found) == [([0, 1, 2, 3, 4], 5, "HIGH"), (list(range(9)), 9, "HIGH")]
