@@ -38,7 +38,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         if mark == (now["n"], now["h"]):
             break
         mark = (now["n"], now["h"])
-    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out.reads = links  # for drop_staged, once the result is written
+    return out
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", root: str = "node") -> DataFrame:

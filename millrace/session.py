@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,23 +42,33 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is chosen,
-    and set, so that later calls agree.
+    Only a local session (tests, a laptop) may do without the setting: there a local folder is
+    chosen, and set, so that later calls agree.  On a cluster a missing setting is an error, as
+    executors would write to separate disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables of this driver that a result may still read, by path: the Hadoop configuration that reaches them.
+_live: dict[str, object] = {}
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the shared folder, which :func:`release_staged` deletes if nothing did before."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _live[path] = spark.sparkContext._jsc.hadoopConfiguration()
+    return path
 
 
 def stage_table(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -72,9 +85,35 @@ def stage_table(df: DataFrame, label: str, **options: str) -> DataFrame:
     return out
 
 
+def _delete(path: str) -> None:
+    conf = _live.pop(path, None)
+    if conf is not None:
+        found = SparkContext._gateway.jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(conf).delete(found, True)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`stage_table` returned and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.staged_at)
+
+
+def staged_paths() -> list[str]:
+    """Tables of this driver that have not been deleted."""
+    return sorted(_live)
+
+
+def release_staged(keep: Iterable[str] = ()) -> None:
+    """Delete all tables this driver has staged, but for the paths in ``keep``: to be called when the results that read them are written.
+
+    Results are lazy, so an operator deletes what only it reads, and leaves the tables its result reads to this; it also
+    runs when the driver ends.
+    """
+    for path in set(_live) - set(keep):
+        try:
+            _delete(path)
+        except Exception:  # a gateway that is gone, or a folder that cannot be reached, must not fail the driver's end
+            _live.pop(path, None)
+
+
+atexit.register(release_staged)
