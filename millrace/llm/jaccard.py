@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import FOLD, mix64
+from millrace.llm.words import hashed_words, mix64
 from millrace.operators.graph import components
-from millrace.session import stage_table
+from millrace.session import drop_staged, stage_table
 
 #: Words of a shingle, and the similarity that makes a link.
 WORDS = 5
@@ -50,15 +49,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
     Words are runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(FOLD) for t in texts]
-    data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
-    white = data == 32
-    begin = np.flatnonzero(white[:-1] & ~white[1:]) + 1
-    end = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    # hash of a word: polynomial in an odd base, by prefix sums over the batch and division by the base's power
-    powers = _powers(len(data))
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[0][: len(data)])])
-    word = mix64((prefix[end] - prefix[begin]) * powers[1][begin] + (end - begin).astype(np.uint64))
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    word, begin, _ = hashed_words(b" ".join(raw))
     limits = np.cumsum([0, *(len(r) + 1 for r in raw)])
     first = np.searchsorted(begin, limits)
     n = max(0, len(word) - WORDS + 1)
@@ -80,18 +72,6 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_up_to(1 << max(10, (n - 1).bit_length()))
-
-
 def _salts() -> tuple[np.ndarray, np.ndarray]:
     seeds = mix64(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (seeds[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[VALUES:] >> np.uint64(32)).astype(np.uint32)
@@ -114,7 +94,6 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=64)
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Fewest equal values among ``n`` for which P(similarity >= threshold | matches) reaches the tolerance, with a uniform prior."""
     grid = np.linspace(0, 1, 4001)[1:-1]
@@ -126,13 +105,18 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
+#: Fewest matches after each step, by threshold: plain numbers, as executors have no copy of this module to keep them in.
+BOUNDS = {t: {n: least_matches(n, t) for n in range(STEP, VALUES + 1, STEP)} for t in (FAMILY, THRESHOLD)}
+
+
 def survivors(left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Which pairs of rows of MinHash values outlive the incremental comparison."""
+    """Which pairs of rows of MinHash values outlive the incremental comparison (at one of the two thresholds in use)."""
+    least = BOUNDS[threshold]
     live = np.arange(len(left))
     matches = np.zeros(len(left), dtype=np.int64)
     for n in range(STEP, VALUES + 1, STEP):
         matches[live] += (left[live, n - STEP : n] == right[live, n - STEP : n]).sum(axis=1)
-        live = live[matches[live] >= least_matches(n, threshold)]
+        live = live[matches[live] >= least[n]]
     out = np.zeros(len(left), dtype=bool)
     out[live] = True
     return out
@@ -365,8 +349,10 @@ def join_similar(docs: DataFrame) -> DataFrame:
     inner = placed.select("bucket", "i", "j", "block", "id", "values").mapInPandas(_within_buckets, "a long, b long")
 
     links = judged.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(inner).distinct()
-    family = stage_table(components(links), "jaccard-families")
-    family = family.select(F.col("node").alias("id"), F.col("component").alias("family"))
+    joined = components(links)
+    linked = stage_table(joined, "jaccard-families")
+    drop_staged(joined.reads)
+    family = linked.select(F.col("node").alias("id"), F.col("component").alias("family"))
     members = family.join(groups, "id").select("id", "family", "docs", "doc_id", "tx", "values", "size")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
     sizes = members.groupBy("family").agg(blocks.alias("blocks"))
@@ -390,6 +376,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     per_class = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("docs").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"))
     labelled = labelled.join(per_class, "component").select("grams", "class_id", "class_size", F.col("first.tx").alias("first_tx"), (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    labelled = stage_table(labelled, "jaccard-classes")
+    drop_staged(groups, open_rows, met, judged, rest, linked, members, texts, verified, classes.reads)
     out = sketch.select("doc_id", "tx", "grams").join(labelled, "grams", "left")
     return out.select(
         "doc_id",

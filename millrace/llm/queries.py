@@ -12,6 +12,8 @@ from millrace.session import small_batches, stage_path, table
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Fixed values of the contract: weights of sources in code-point order, repeating.
 MIX_WEIGHTS = (5, 2, 1)
+#: Words of a passage whose repetition op5 reports beside the strings of the contract.
+PASSAGE_WORDS = 50
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=PASSAGE_WORDS, keep_text=False)
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

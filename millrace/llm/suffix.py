@@ -1,4 +1,7 @@
-"""Removal of repeated byte strings by suffix arrays (two-stage sorting).
+"""Removal of repeated strings by suffix arrays (two-stage sorting).
+
+Strings are counted in bytes (400 by default) or in words, each of which then stands as
+eight bytes of hash, so that fifty words are a string of 400 bytes again.
 
 The suffixes of all texts are dealt out by content: the 400-byte prefix of a suffix holds a
 gram of least hash, its anchor, and equal prefixes have equal anchors.  Suffixes next to each
@@ -23,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stage_table
+from millrace.llm.words import hashed_words
+from millrace.session import drop_staged, stage_table
 
-#: Bytes of the strings that count as repeated, and of the grams whose hashes choose anchors.
+#: Default bytes of the strings that count as repeated, and bytes of the grams whose hashes choose anchors.
 LENGTH = 400
 GRAM = 64
 #: Distinct fragments of one anchor that are sorted in one task.
@@ -36,6 +40,8 @@ SHARD_STARTS = 100_000
 BATCH_BYTES = 1_000_000
 #: Each finer round cuts a cell into so many.
 SPLIT = 7
+#: Bytes that stand for a word.
+WORD = 8
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -155,9 +161,9 @@ def sort_suffixes(texts: list[bytes], starts: list[int], length: int = LENGTH) -
     return owner, array - base[owner], same
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], counts: list[int]) -> list[np.ndarray]:
-    """For each text a flag a start: whether its ``LENGTH`` bytes stand at another start, or its text is there more than once."""
-    owner, offset, same = sort_suffixes(texts, starts)
+def repeated_starts(texts: list[bytes], starts: list[int], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text a flag a start: whether its ``length`` bytes stand at another start, or its text is there more than once."""
+    owner, offset, same = sort_suffixes(texts, starts, length)
     twin = same.copy()
     twin[:-1] |= same[1:]
     out = [np.full(k, n > 1) for k, n in zip(starts, counts, strict=True)]
@@ -167,6 +173,13 @@ def repeated_starts(texts: list[bytes], starts: list[int], counts: list[int]) ->
     return [flat[b : b + k] for b, k in zip(base.tolist(), starts, strict=True)]
 
 
+def word_codes(texts: list[bytes]) -> list[bytes]:
+    """Each text as the hashes of its words (``words.split_words``), ``WORD`` bytes a word."""
+    codes, begin, _ = hashed_words(b" ".join(texts))
+    first = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    return [codes[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+
+
 def _runs(flags: np.ndarray, base: int = 0) -> list[tuple[int, int]]:
     """First and end of every run of true flags."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
@@ -181,21 +194,22 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fragments(length: int, by_words: bool):
     """``key, frag, doc, tx, first, lead, starts, reps`` of every fragment of the texts.
 
     In periodic text equal fragments follow each other; such a run is one row, ``reps`` times.
     """
 
     def made(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
-        hashes = gram_hashes(b"".join(x[2] for x in rows))
+        texts = word_codes([x[2] for x in rows]) if by_words else [x[2] for x in rows]
+        hashes = gram_hashes(b"".join(texts))
         out: list[tuple] = []
         at = 0
-        for doc, tx, raw in rows:
+        for (doc, tx, _), raw in zip(rows, texts, strict=True):
             h = hashes[at : at + max(0, len(raw) - GRAM + 1)]
             run: tuple | None = None
-            for a, lo, hi in anchored(h):
-                found = (h[a], _digest(raw[lo : hi + LENGTH]), doc, tx, lo, a - lo, hi - lo + 1, 1)
+            for a, lo, hi in anchored(h, length):
+                found = (h[a], _digest(raw[lo : hi + length]), doc, tx, lo, a - lo, hi - lo + 1, 1)
                 if run is not None and run[:2] == found[:2]:
                     run = (*run[:7], run[7] + 1)
                     continue
@@ -209,31 +223,39 @@ def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = {"key": _signed(np.array(cols[0], dtype=np.uint64)), "frag": list(cols[1]), "doc": pd.Series(cols[2], dtype="int64"), "tx": np.array(cols[3], dtype=np.int64)}
         return pd.DataFrame(frame | {c: np.array(cols[4 + k], dtype=np.int32) for k, c in enumerate(("first", "lead", "starts", "reps"))})
 
-    for batch in batches:
-        rows, held = [], 0
-        for doc, tx, raw in zip(batch["doc"], batch["tx"], batch["raw"], strict=True):
-            if len(raw) >= LENGTH:
-                rows.append((doc, tx, bytes(raw)))
-                held += len(raw)
-            if held >= BATCH_BYTES:
-                yield made(rows)
-                rows, held = [], 0
-        yield made(rows)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shortest = length // WORD * 2 - 1 if by_words else length  # a word and its separator are two bytes at least
+        for batch in batches:
+            rows, held = [], 0
+            for doc, tx, raw in zip(batch["doc"], batch["tx"], batch["raw"], strict=True):
+                if len(raw) >= shortest:
+                    rows.append((doc, tx, bytes(raw)))
+                    held += len(raw)
+                if held >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
+
+    return cut
 
 
-def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut_out(length: int, by_words: bool):
     """Bytes of the wanted fragments of every text."""
-    for batch in batches:
-        out = []
-        for raw, wanted in zip(batch["raw"], batch["wanted"], strict=True):
-            raw = bytes(raw)
-            for w in wanted:
-                out.append((w["key"], bytes(w["frag"]), w["n"], w["lead"], w["starts"], raw[w["first"] : w["first"] + w["starts"] - 1 + LENGTH]))
-                if len(out) >= 4000:
-                    yield pd.DataFrame(out, columns=ROW)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=ROW)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for raw, wanted in zip(batch["raw"], batch["wanted"], strict=True):
+                raw = word_codes([bytes(raw)])[0] if by_words else bytes(raw)
+                for w in wanted:
+                    out.append((w["key"], bytes(w["frag"]), w["n"], w["lead"], w["starts"], raw[w["first"] : w["first"] + w["starts"] - 1 + length]))
+                    if len(out) >= 4000:
+                        yield pd.DataFrame(out, columns=ROW)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=ROW)
+
+    return cut
 
 
 #: Columns of a fragment in a round: its key, its identity, its number of copies, start 0's distance before the anchor, its starts and bytes.
@@ -242,31 +264,34 @@ ROW_SCHEMA = "key long, frag binary, n long, lead int, starts int, bytes binary"
 RUNS_SCHEMA = "frag binary, runs array<struct<a:int,b:int>>"
 
 
-def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sort_groups(length: int):
     """Sort the fragments of whole groups, shard by shard; rows come ordered by key.
 
     A shard ends with a group, so that no group is cut.  Groups hold at most ``GROUP_ROWS`` rows.
     """
-    held: list[tuple] = []
-    starts, key = 0, None
 
-    def shard() -> pd.DataFrame:
-        flags = repeated_starts([x[1] for x in held], [x[2] for x in held], [x[3] for x in held])
+    def shard(held: list[tuple]) -> pd.DataFrame:
+        flags = repeated_starts([x[1] for x in held], [x[2] for x in held], [x[3] for x in held], length)
         return pd.DataFrame({"frag": [x[0] for x in held], "runs": [[{"a": a, "b": b} for a, b in _runs(f)] for f in flags]})
 
-    for batch in batches:
-        for r in zip(batch["key"], batch["frag"], batch["bytes"], batch["starts"], batch["n"], strict=True):
-            if r[0] != key and starts >= SHARD_STARTS:
-                yield shard()
-                held, starts = [], 0
-            key = r[0]
-            held.append((bytes(r[1]), bytes(r[2]), int(r[3]), int(r[4])))
-            starts += held[-1][2]
-    if held:
-        yield shard()
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        starts, key = 0, None
+        for batch in batches:
+            for r in zip(batch["key"], batch["frag"], batch["bytes"], batch["starts"], batch["n"], strict=True):
+                if r[0] != key and starts >= SHARD_STARTS:
+                    yield shard(held)
+                    held, starts = [], 0
+                key = r[0]
+                held.append((bytes(r[1]), bytes(r[2]), int(r[3]), int(r[4])))
+                starts += held[-1][2]
+        if held:
+            yield shard(held)
+
+    return ordered
 
 
-def _finer(cell: int):
+def _finer(cell: int, length: int):
     """Cut fragments into cells of ``cell`` starts, aligned to the anchor, and key each by the bytes its strings share."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,13 +299,13 @@ def _finer(cell: int):
             out = []
             for frag, n, lead, starts, raw in zip(batch["frag"], batch["n"], batch["lead"], batch["starts"], batch["bytes"], strict=True):
                 raw = bytes(raw)
-                shift = LENGTH - lead  # cells count from a fixed distance before the anchor
+                shift = length - lead  # cells count from a fixed distance before the anchor
                 lo = 0
                 while lo < starts:
                     begin = (shift + lo) // cell * cell - shift
                     hi = min(begin + cell, starts)
-                    core = raw[begin + cell - 1 : begin + LENGTH]
-                    piece = raw[lo : hi - 1 + LENGTH]
+                    core = raw[begin + cell - 1 : begin + length]
+                    piece = raw[lo : hi - 1 + length]
                     key = hashlib.blake2b(core + (begin + shift).to_bytes(4, "little"), digest_size=8).digest()
                     out.append((bytes(frag), lo, int.from_bytes(key, "little", signed=True), _digest(piece + key), n, lead - lo, hi - lo, piece))
                     lo = hi
@@ -293,43 +318,53 @@ def _finer(cell: int):
     return cut
 
 
-def _resolve(rows: DataFrame, cell: int) -> DataFrame:
-    """``frag, runs`` of repeated starts for fragments (``ROW``) that are distinct within their keys."""
+def _resolve(rows: DataFrame, cell: int, length: int, staged: list[DataFrame]) -> DataFrame:
+    """``frag, runs`` of repeated starts for fragments (``ROW``) that are distinct within their keys.
+
+    Tables written on the way are added to ``staged``.
+    """
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        staged.append(stage_table(df, label))
+        return staged[-1]
+
     per_key = rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
-    known = stage_table(per_key.where("`all` > 1 and (rows > 1)"), "suffix-keys")
+    known = keep(per_key.where("`all` > 1 and (rows > 1)"), "suffix-keys")
     single = rows.where("n > 1").select("frag", F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b"))).alias("runs"))
     shared = rows.join(known, "key")
     fits = shared.where(F.col("rows") <= GROUP_ROWS).select(*ROW)
-    sorted_runs = fits.repartition("key").sortWithinPartitions("key").mapInPandas(_sort_groups, RUNS_SCHEMA)
+    sorted_runs = fits.repartition("key").sortWithinPartitions("key").mapInPandas(_sort_groups(length), RUNS_SCHEMA)
     out = sorted_runs.unionByName(single)
     if cell > 1 and known.where(F.col("rows") > GROUP_ROWS).limit(1).count():
         cell = max(1, cell // SPLIT)
-        pieces = shared.where(F.col("rows") > GROUP_ROWS).select(*ROW).mapInPandas(_finer(cell), f"parent binary, at int, {ROW_SCHEMA}")
-        pieces = stage_table(pieces, "suffix-pieces")
+        pieces = shared.where(F.col("rows") > GROUP_ROWS).select(*ROW).mapInPandas(_finer(cell, length), f"parent binary, at int, {ROW_SCHEMA}")
+        pieces = keep(pieces, "suffix-pieces")
         distinct = pieces.groupBy("key", "frag").agg(F.sum("n").alias("n"), F.min(F.struct("lead", "starts", "bytes")).alias("x")).select("key", "frag", "n", "x.lead", "x.starts", "x.bytes")
-        deeper = _resolve(stage_table(distinct, "suffix-finer"), cell)
+        deeper = _resolve(keep(distinct, "suffix-finer"), cell, length, staged)
         back = pieces.select("parent", "at", "frag").join(deeper, "frag")
         moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
         out = out.unionByName(back.select(F.col("parent").alias("frag"), moved.alias("runs")))
     return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc, tx, spans``: for every text that has repeated strings the byte runs ``[a, b)`` of their starts.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, by_words: bool = False) -> DataFrame:
+    """``doc, tx, spans``: for every text that has repeated strings the runs ``[a, b)`` of their starts (a staged table).
 
-    ``docs``: ``doc, tx, raw``; ``doc`` and ``tx`` (a hash of the text) name a text.
+    ``docs``: ``doc, tx, raw``; ``doc`` and ``tx`` (a hash of the text) name a text.  ``length`` is in bytes, with
+    ``by_words`` in bytes of word codes, which the runs then count as well.
     """
     schema = "key long, frag binary, doc long, tx long, first int, lead int, starts int, reps int"
-    found = stage_table(docs.mapInPandas(_fragments, schema), "suffix-fragments", compression="zstd")
+    found = stage_table(docs.mapInPandas(_fragments(length, by_words), schema), "suffix-fragments", compression="zstd")
     groups = found.groupBy("key").agg(F.sum("reps").alias("rows"), F.min("frag").alias("f1"), F.max("frag").alias("f2")).where("rows > 1")
     groups = groups.select("key", (F.col("f1") != F.col("f2")).alias("mixed"))
     again = stage_table(found.join(groups, "key"), "suffix-again", compression="zstd")
+    drop_staged(found)
     one = F.min(F.struct("doc", "tx", "first", "lead", "starts")).alias("at")
     chosen = again.where("mixed").groupBy("key", "frag").agg(F.sum("reps").alias("n"), one)
     wanted = chosen.groupBy(F.col("at.doc").alias("doc"), F.col("at.tx").alias("tx")).agg(F.collect_list(F.struct("key", "frag", "n", "at.first", "at.lead", "at.starts")).alias("wanted"))
-    texts = docs.join(wanted, ["doc", "tx"]).select("raw", "wanted").mapInPandas(_cut_out, ROW_SCHEMA)
-    rows = stage_table(texts.dropDuplicates(["key", "frag"]), "suffix-rows")
-    runs = _resolve(rows, LENGTH - GRAM + 1)
+    texts = docs.join(wanted, ["doc", "tx"]).select("raw", "wanted").mapInPandas(_cut_out(length, by_words), ROW_SCHEMA)
+    staged = [stage_table(texts.dropDuplicates(["key", "frag"]), "suffix-rows")]
+    runs = _resolve(staged[0], length - GRAM + 1, length, staged)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("starts") * F.col("reps")).alias("b")))
     alike = again.where("not mixed").select("doc", "tx", "first", whole.alias("runs"))
     # a fragment that follows itself is repeated throughout
@@ -337,13 +372,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sorted_out = again.where("mixed").join(runs.where(F.size("runs") > 0), "frag").select("doc", "tx", "first", own.alias("runs"))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     every = alike.unionByName(sorted_out).select("doc", "tx", "first", moved.alias("runs"))
-    return every.groupBy("doc", "tx").agg(F.flatten(F.collect_set("runs")).alias("spans"))
+    out = stage_table(every.groupBy("doc", "tx").agg(F.flatten(F.collect_set("runs")).alias("spans")), "suffix-spans")
+    drop_staged(again, *staged)
+    return out
 
 
-def _merged(spans, size: int) -> list[tuple[int, int]]:
-    """Byte runs to remove: starts ``[a, b)`` cover ``[a, b - 1 + LENGTH)``; touching runs are one."""
+def _merged(spans, length: int) -> list[tuple[int, int]]:
+    """What repeated strings cover: starts ``[a, b)`` cover ``[a, b - 1 + length)``; touching runs are one."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((int(s["a"]), min(int(s["b"]) - 1 + LENGTH, size)) for s in spans):
+    for a, b in sorted((int(s["a"]), int(s["b"]) - 1 + length) for s in spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -351,51 +388,86 @@ def _merged(spans, size: int) -> list[tuple[int, int]]:
     return out
 
 
+def _merged_words(spans, length: int) -> list[tuple[int, int]]:
+    """The whole words that runs of word codes cover, as word numbers.
+
+    A run that does not begin with a word has a hash in common at one of its ends, which
+    makes it one of whole words.
+    """
+    return [(-(-a // WORD), b // WORD) for a, b in _merged(spans, length)]
+
+
 #: Names of working columns beside those of the input.
-RAW, SPANS, DOC, TX = "_millrace_raw", "_millrace_spans", "_millrace_doc", "_millrace_tx"
-
-
-def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for raw, spans in zip(batch[RAW], batch[SPANS], strict=True):
-            raw = bytes(raw)
-            cut = _merged(spans, len(raw)) if spans is not None else []
-            kept, at = [], 0
-            for a, b in cut:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            out.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        rest = batch.drop(columns=[RAW, SPANS])
-        made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], index=rest.index)
-        if not rest.columns.empty:
-            made = pd.concat([rest, made], axis=1)
-        yield made
-
-
-def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """Remove every byte that a repeated 400-byte string covers.
+RAW, SPANS, PASSAGES, DOC, TX = "_millrace_raw", "_millrace_spans", "_millrace_passages", "_millrace_doc", "_millrace_tx"
+
+
+def _strip(length: int, by_words: bool, passage_words: int | None):
+    def cut_spans(raw: bytes, spans) -> list[tuple[int, int]]:
+        if spans is None:
+            return []
+        if not by_words:
+            return _merged(spans, length)
+        _, begin, end = hashed_words(raw)
+        return [(int(begin[a]), int(end[b - 1])) for a, b in _merged_words(spans, length)]
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for raw, spans, passages in zip(batch[RAW], batch[SPANS], batch[PASSAGES], strict=True):
+                raw = bytes(raw)
+                cut = cut_spans(raw, spans)
+                kept, at = [], 0
+                for a, b in cut:
+                    kept.append(raw[at:a])
+                    at = b
+                kept.append(raw[at:])
+                rest = b"".join(kept)
+                n_words = sum(b - a for a, b in _merged_words(passages, passage_words * WORD)) if passages is not None else 0
+                out.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest).hexdigest(), n_words, rest.decode("utf-8", "ignore")))
+            rest = batch.drop(columns=[RAW, SPANS, PASSAGES])
+            made = pd.DataFrame(out, columns=[*ADDED, "n_passage_words", "kept"], index=rest.index)
+            if not rest.columns.empty:
+                made = pd.concat([rest, made], axis=1)
+            yield made
+
+    return strip
+
+
+ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, by_words: bool = False, passage_words: int | None = None, keep_text: bool = True) -> DataFrame:
+    """Remove every byte that a repeated string of ``length`` bytes covers, or, ``by_words``, every run of ``length`` words.
 
     A string is repeated if it starts anywhere else in any text, its own included; all its
-    places go.  Adds ``n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``, puts what
+    places go.  Adds ``n_bytes, n_removed, n_spans, kept_sha256`` (in bytes) and, with ``keep_text``, puts what
     is left into ``text`` (bytes of characters that were cut through are dropped there, not in the
-    digest).  Null text counts as empty and comes back empty; texts under 400 bytes are left as they are;
+    digest).  Words are those of ``words.split_words``, so that runs are alike whatever their case and
+    punctuation; what stands between two removed words goes with them.  With ``passage_words``
+    also adds ``n_passage_words``: words in runs of so many words that stand anywhere else too, removed or not.
+
+    Null text counts as empty and comes back empty; texts shorter than a string are left as they are;
     repeated rows are copies like any other; input columns with the names of new ones are
-    replaced; an empty table gives no rows.
+    replaced; an empty table gives no rows.  Strings must be longer than ``GRAM`` bytes (eight words).
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    docs = docs.drop(*added)
+    if (length * WORD if by_words else length) <= GRAM or passage_words is not None and passage_words * WORD <= GRAM:
+        raise ValueError(f"strings must be longer than {GRAM} bytes or {GRAM // WORD} words")
+    added = ADDED if passage_words is None else [*ADDED, "n_passage_words"]
+    docs = docs.drop(*added, "kept")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     keyed = docs.select(F.xxhash64("doc_id").alias("doc"), F.xxhash64("text").alias("tx"), raw.alias("raw"))
-    spans = repeated_spans(keyed)
     others = [c for c in docs.columns if c != "text"]
-    all_rows = docs.select(F.xxhash64("doc_id").alias(DOC), F.xxhash64("text").alias(TX), raw.alias(RAW), *others)
-    spans = spans.select(F.col("doc").alias(DOC), F.col("tx").alias(TX), F.col("spans").alias(SPANS))
-    joined = all_rows.join(spans, [DOC, TX], "left").drop(DOC, TX)
+    joined = docs.select(F.xxhash64("doc_id").alias(DOC), F.xxhash64("text").alias(TX), raw.alias(RAW), *others)
+    size = length * WORD if by_words else length
+    for name, unit in ((SPANS, (size, by_words)), (PASSAGES, (passage_words * WORD, True) if passage_words else None)):
+        if unit is None:
+            joined = joined.withColumn(name, F.lit(None).cast("array<struct<a:int,b:int>>"))
+        else:
+            spans = repeated_spans(keyed, *unit).select(F.col("doc").alias(DOC), F.col("tx").alias(TX), F.col("spans").alias(name))
+            joined = joined.join(spans, [DOC, TX], "left")
+    joined = joined.drop(DOC, TX)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in others]
-    schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"])
-    out = joined.mapInPandas(_strip, schema)
+    schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept string"])
+    out = joined.mapInPandas(_strip(size, by_words, passage_words), schema)
     out = out.withColumnRenamed("kept", "text") if keep_text else out.drop("kept")
-    return out.select(*[c for c in docs.columns if keep_text or c != "text"], *added[:-1])
+    return out.select(*[c for c in docs.columns if keep_text or c != "text"], *added)

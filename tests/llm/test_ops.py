@@ -1,18 +1,25 @@
 """Operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, htmltext, jaccard, mixing, quality, suffix, urlfilter, vectors, warc
 from millrace.llm.queries import MIX_WEIGHTS, URL_RULES
-from millrace.session import stage_path
+from millrace.llm.words import split_words
+from millrace.session import release_staged, stage_path, staged_paths
 
 RNG = random.Random(7)
 VOCABULARY = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "tu", "Sé") for b in ("ra", "ne", "si", "vo", "xu", "ß")]
@@ -306,6 +313,80 @@ def test_suffix_hot_groups_are_cut_finer(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
 
 
+def brute_passages(texts, size):
+    """Per text the flags of words (``split_words``) that a run of ``size`` words covers which starts anywhere else too."""
+    cut = [split_words(t) for t in texts]
+    seen = Counter(tuple(w[k : k + size]) for w in cut for k in range(len(w) - size + 1))
+    out = []
+    for w in cut:
+        flags = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if seen[tuple(w[k : k + size])] > 1:
+                flags[k : k + size] = [True] * size
+        out.append((w, flags))
+    return out
+
+
+def test_suffix_by_words(spark, docs, rows, empty, monkeypatch):
+    """Runs of words: other case and punctuation, both edges, and passages shorter in bytes than 400."""
+    monkeypatch.setattr(suffix, "GROUP_ROWS", 8)
+    rng = random.Random(8)
+    passage = words(51, rng).split()
+    odd = [" ".join(passage), words(9, rng) + " " + ", ".join(passage).upper() + "!", " ".join(passage[1:]) + ". " + words(5, rng), " ".join(passage[:49]), "ä ö\nü " * 60, None, "", " .,; "]
+    odd += [f"{words(rng.randrange(3, 30), rng)} {' '.join(passage[rng.randrange(0, 30):])}" for _ in range(30)]
+    texts = odd + [r[1] for r in rows]
+    got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=50, by_words=True, passage_words=20)
+    found = {r["doc_id"]: r for r in got.collect()}
+    long, short = brute_passages(texts, 50), brute_passages(texts, 20)
+    assert len(found) == len(texts) and any(len(w) > sum(f) > 0 for w, f in long)
+    for k, ((w, flags), (_, fewer)) in enumerate(zip(long, short, strict=True)):
+        assert split_words(found[k]["text"]) == [x for x, gone in zip(w, flags, strict=True) if not gone], k
+        assert found[k]["n_passage_words"] == sum(fewer)
+        assert found[k]["n_removed"] == found[k]["n_bytes"] - len(found[k]["text"].encode())
+    assert len(" ".join(passage)) < 400 and found[0]["text"] == "" and found[3]["n_removed"] == 0
+    assert suffix.remove_repeats(empty, length=50, by_words=True, passage_words=50).count() == 0
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(docs, length=8, by_words=True)
+
+
+def test_operators_leave_no_tables_behind(spark, docs):
+    """What an operator stages is deleted, but for what its result reads; the rest goes on release."""
+    release_staged()
+    assert suffix.remove_repeats(docs, passage_words=50).count() and len(staged_paths()) == 2
+    jaccard.join_similar(docs).count()
+    assert len(staged_paths()) == 2 + 2
+    paths = [Path(p.removeprefix("file://")) for p in staged_paths()]
+    assert all(p.exists() for p in paths)
+    release_staged()
+    assert not any(p.exists() for p in paths) and not staged_paths()
+
+
+ALONE = """
+import pickle, sys
+import pandas as pd
+functions, frames = pickle.load(open(sys.argv[1], "rb"))
+assert "millrace" not in sys.modules
+for f, frame in zip(functions, frames):
+    print(sum(len(x) for x in f(iter([frame]))))
+"""
+
+
+def test_functions_travel_by_value(tmp_path):
+    """Executors without the package run what is sent to them."""
+    text = words(80)
+    texts = pd.DataFrame({"doc_id": [1, 2], "tx": [1, 2], "text": [text, text + " more"]})
+    sketched = next(jaccard._sketch(iter([texts])))
+    raw = pd.DataFrame({"doc": [1, 2], "tx": [1, 2], "raw": [text.encode(), text.encode()]})
+    values = pd.DataFrame({"id": [1, 2], "values": sketched["values"]})
+    pairs = pd.DataFrame({"a": [1], "b": [2], "va": sketched["values"][:1], "vb": sketched["values"][1:].reset_index(drop=True)})
+    bucket = pd.DataFrame({"bucket": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "values": sketched["values"]})
+    family = pd.DataFrame({"family": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "docs": 1, "values": sketched["values"], "grams": [s.astype("<u8").tobytes() for s in jaccard.shingle_sets(list(texts["text"]))]})
+    calls = [(jaccard._sketch, texts), (jaccard._bands, values), (jaccard._pruned, pairs), (jaccard._within_buckets, bucket), (jaccard._families, family), (suffix._fragments(400, False), raw), (suffix._fragments(400, True), raw)]
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps(tuple(zip(*calls, strict=True))))
+    done = subprocess.run([sys.executable, "-c", ALONE, str(tmp_path / "sent")], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert done.returncode == 0 and min(map(int, done.stdout.split())) > 0, done.stderr
+
+
 def test_two_stage_sort_against_plain_sort():
     rng = random.Random(2)
     for _ in range(200):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import quality
 from millrace.llm.queries import MIX_WEIGHTS
-from tests.llm.test_ops import brute_classes, brute_hits, brute_repeats, words
+from millrace.llm.words import split_words
+from tests.llm.test_ops import brute_classes, brute_hits, brute_passages, words
 
 
 @pytest.fixture(scope="module")
@@ -52,11 +53,12 @@ def test_stages(spark, folder):
     kept = at["near_duplicates"](spark, kept, path)
     assert kept.columns == list(corpus_pipeline.COLUMNS) and keep(kept) == want
 
-    figures = brute_repeats([(t or "").encode() for _, t in want])
+    flags = brute_passages([t for _, t in want], corpus_pipeline.PASSAGE_WORDS)
     kept = at["repeats"](spark, kept, path)
     found = {r["doc_id"]: r for r in kept.collect()}
-    assert len(found) == len(want) and all(len((found[k]["text"] or "").encode()) == f[0] - f[1] and found[k]["n_chars"] == len(found[k]["text"]) for (k, _), f in zip(want, figures, strict=True))
-    assert sum(f[1] > 0 for f in figures) >= 4
+    left = [[w for w, gone in zip(*f, strict=True) if not gone] for f in flags]
+    assert len(found) == len(want) and all(split_words(found[k]["text"]) == x and found[k]["n_chars"] == len(found[k]["text"]) for (k, _), x in zip(want, left, strict=True))
+    assert sum(any(f) for _, f in flags) >= 4 and not any(passage in (r["text"] or "") for r in found.values())
 
     before = keep(kept)
     hits = brute_hits([t for _, t in before], items)
