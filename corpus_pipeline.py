@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, mixing, quality, suffix
 from millrace.llm.queries import MIX_WEIGHTS
-from millrace.session import small_batches, stage_table, table
+from millrace.session import release_staged, small_batches, stage_table, staged_paths, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a passage that is removed where it stands more than once.
+PASSAGE_WORDS = 50
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that stand anywhere else too."""
+    """Documents without the runs of 50 words that stand anywhere else too."""
     small_batches(spark)
-    kept = suffix.remove_repeats(docs.select(*COLUMNS))
+    kept = suffix.remove_repeats(docs.select(*COLUMNS), length=PASSAGE_WORDS, by_words=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -69,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = staged_paths()
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_staged(keep=[docs.staged_at, *(p for p in before if "/pipeline-" not in p)])
     return STAGES[-1][1](spark, docs, sf_dir)
