@@ -3,8 +3,8 @@
 Each Arrow batch of documents is a shard.  Its words become numbers, 0 for words that no
 benchmark window has; a suffix that cannot begin a window is left out of the array at
 once, by its first two words and the length of its run of benchmark words.  The rest is
-sorted, and every benchmark suffix is looked up by binary search, which gives its longest
-verbatim match and all places of its window.  No document crosses the network.
+sorted, and every benchmark window is looked up by binary search, which gives all its places; windows that
+follow each other both in the document and in an item make up the longest verbatim matches.  No document crosses the network.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import split_words
+from millrace.session import drop_staged, stage_table
 
 #: Words of a window.
 WINDOW = 13
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark takes several narrow passes.
 BENCHMARK_CHARS = 1_000_000
+#: Blocks of the benchmark in one plan; the hits of more are written, group by group.
+PASSES = 8
 #: Words of documents in one shard.
 SHARD_WORDS = 500_000
 
@@ -34,16 +37,18 @@ SHARD_WORDS = 500_000
 class Windows:
     """A block of the benchmark: its words as numbers and its distinct windows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
+        spots: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        for row, (_, text) in enumerate(items):
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in split_words(text)]
             n = min(window, len(words))
             for start in range(len(words) - n + 1) if words else ():
-                owners[tuple(words[start : start + n])].add(item)
-        self.window, self.keys = window, sorted(owners)
-        self.items = [sorted(owners[k]) for k in self.keys]
+                spots[tuple(words[start : start + n])].append((row, start))
+        self.window, self.keys = window, sorted(spots)
+        #: By window: where it stands (row of the block, first word), and the ids of the items.
+        self.spots = [spots[k] for k in self.keys]
+        self.items = [sorted({items[row][0] for row, _ in found if items[row][0] is not None}) for found in self.spots]
         self.lengths = np.array([len(k) for k in self.keys], dtype=np.int64)
         padded = np.zeros((len(self.keys), window), dtype=">u4")
         for row, key in enumerate(self.keys):
@@ -95,16 +100,24 @@ class Windows:
         offset = np.arange(len(number)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         return number, at[np.repeat(lo, hi - lo) + offset]
 
-    def longest(self, at: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Words of each window's longest verbatim match: the longer common prefix with its two neighbours in the array."""
-        out = np.zeros(len(self.keys), dtype=np.int64)
-        if len(at):
-            spot = np.searchsorted(_keys(words), _keys(self.padded))
-            for near in (spot - 1, spot):
-                same = words[np.clip(near, 0, len(at) - 1)] == self.padded
-                same &= np.arange(self.window) < self.lengths[:, None]
-                out = np.maximum(out, np.cumprod(same, axis=1).sum(axis=1))
-        return out
+    def longest(self, found: list[tuple[int, int]]) -> tuple[int, int]:
+        """Words and start of the longest verbatim match, from all ``(window, place)`` of a document; the first of equals.
+
+        Windows that follow each other in the document and in one item extend each other, past any window's length.
+        """
+        lines: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for w, p in found:
+            for row, start in self.spots[w]:
+                lines[row, p - start].append((p, len(self.keys[w])))
+        best = (0, 0)
+        for line in lines.values():
+            first = end = -1
+            for p, n in sorted(line):
+                if p > end - n + 1 or first < 0:
+                    first = p
+                end = p + n
+                best = max(best, (end - first, -first))
+        return best[0], -best[1]
 
 
 def _keys(words: np.ndarray) -> np.ndarray:
@@ -118,7 +131,7 @@ def _keys(words: np.ndarray) -> np.ndarray:
 def _benchmark_blocks(benchmark: DataFrame) -> Iterator[Windows]:
     """The benchmark in blocks of at most ``BENCHMARK_CHARS`` (or one item), read by the driver one after the other."""
     rows, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator():
         if rows and size + len(r[1] or "") > BENCHMARK_CHARS:
             yield Windows(rows)
             rows, size = [], 0
@@ -127,41 +140,81 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[Windows]:
     yield Windows(rows)
 
 
+#: Working columns: hit words, items, words, and the longest match (its words and its start).
+WORK = {"_hits": "array<long>", "_items": "array<string>", "_words": "long", "_longest": "array<long>"}
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start")
+
+
+def _passes(work: DataFrame, blocks: list[Windows], keep_text: bool) -> tuple[DataFrame, list]:
+    """Carry hits through one pass a block; the last leaves the texts behind.  The broadcasts come too, to be destroyed."""
+    sent = [work.sparkSession.sparkContext.broadcast(cloudpickle.dumps(block)) for block in blocks]
+    for k, block in enumerate(sent):
+        schema = work.schema if k + 1 < len(sent) or keep_text else work.drop("text").schema
+        work = work.mapInArrow(_Pass(block, schema.names), schema)
+    return work, sent
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, least_share: int = 20, keep_text: bool = True) -> DataFrame:
     """Match every document against every benchmark item.
 
-    Adds to ``docs`` (``text`` and any others) ``n_words, n_hit, n_items, items_sha256,
-    contaminated``; columns of the input with these names are replaced.  A window is 13
+    Adds to ``docs`` (``doc_id``, ``text`` and any others) ``n_words, n_hit, n_items, items_sha256,
+    contaminated, longest_match, longest_start``; columns of the input with these names are replaced.  A window is 13
     consecutive words of an item, or all words of a shorter one; a word within any
     place of a window is hit; ``n_items`` counts the items with windows in the document;
-    ``contaminated``: some word is hit and ``least_share * n_hit >= n_words``.  Null and empty texts
-    have no words and are never contaminated; items without words or without id have no
-    windows; repeated items count once; an empty benchmark hits nothing.
+    ``contaminated``: some word is hit and ``least_share * n_hit >= n_words``; ``longest_match`` and ``longest_start``: words of
+    the longest verbatim match with an item and the word it starts at (0 and null if nothing is hit).  Null and empty texts
+    have no words and are never contaminated; items without words have no
+    windows; items without id hit words but are not counted; repeated items count once; an empty benchmark hits nothing.
 
     The benchmark is read in blocks of a fixed size, each one narrow pass over the
-    documents, which carries the hits so far along; nothing is shuffled.  Without
-    ``keep_text`` the last pass leaves the texts behind.
+    documents, which carries the hits so far along; nothing is shuffled.  Beyond ``PASSES`` blocks
+    the hits of each group of blocks are written to the shared folder and its broadcasts are
+    destroyed, so that neither plan nor memory grows with the benchmark; hits are then joined to the documents
+    at the end.  Without ``keep_text`` the texts are left behind.
     """
-    spark = docs.sparkSession
-    added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    work = docs.drop(*added).withColumns({"_hits": F.array().cast("array<long>"), "_items": F.array().cast("array<string>"), "_words": F.lit(0).cast("long")})
+    empty = {name: (F.lit(0) if kind == "long" else F.array()).cast(kind) for name, kind in WORK.items()}
     blocks = _benchmark_blocks(benchmark)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        schema = work.schema if after or keep_text else work.drop("text").schema
-        work = work.mapInArrow(_Pass(spark.sparkContext.broadcast(cloudpickle.dumps(block)), schema.names), schema)
-        block = after
+    group, more = _group(blocks)
+    docs = docs.drop(*ADDED)
+    key = {"_doc": F.xxhash64("doc_id"), "_tx": F.xxhash64("text")} if more else {}
+    earlier: list[DataFrame] = []
+    while more:
+        work, sent = _passes(docs.select("text", *(c.alias(n) for n, c in key.items())).withColumns(empty), group, False)
+        earlier.append(stage_table(work.where(F.size("_hits") > 0).drop("_words"), "decontamination-hits"))
+        for block in sent:
+            block.destroy()
+        group, more = _group(blocks, more)
+    work, _ = _passes(docs.withColumns(empty | key), group, keep_text)
+    if earlier:
+        found = earlier[0]
+        for part in earlier[1:]:
+            found = found.unionByName(part)
+        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+        longest = F.min(F.struct((-F.element_at("_longest", 1)).alias("n"), F.element_at("_longest", 2).alias("at")))
+        found = stage_table(found.groupBy("_doc", "_tx").agg(flat("_hits").alias("_hits2"), flat("_items").alias("_items2"), longest.alias("_l")).select("_doc", "_tx", "_hits2", "_items2", F.array(-F.col("_l.n"), "_l.at").alias("_longest2")), "decontamination-hits")
+        drop_staged(*earlier)
+        work = work.join(found, ["_doc", "_tx"], "left")
+        both = lambda c: F.when(F.col(f"{c}2").isNull(), F.col(c)).otherwise(F.array_union(c, f"{c}2"))
+        rank = lambda c: F.struct(F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(0).cast("long")).alias("n"), -F.coalesce(F.try_element_at(c, F.lit(2)), F.lit(0).cast("long")).alias("at"))
+        work = work.withColumns({"_hits": both("_hits"), "_items": both("_items"), "_longest": F.when(rank("_longest2") > rank("_longest"), F.col("_longest2")).otherwise(F.col("_longest"))})
     ordered = F.array_join(F.array_sort("_items"), ",")
     hits = F.size("_hits").cast("long")
     out = work.withColumns({"n_words": F.col("_words"), "n_hit": hits, "n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(ordered, 256)})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words"))).drop("_hits", "_items", "_words")
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words")))
+    out = out.withColumns({"longest_match": F.coalesce(F.try_element_at("_longest", F.lit(1)), F.lit(0).cast("long")), "longest_start": F.try_element_at("_longest", F.lit(2))})
+    return out.select(*[c for c in docs.columns if keep_text or c != "text"], *ADDED)
+
+
+def _group(blocks: Iterator[Windows], first: Windows | None = None) -> tuple[list[Windows], Windows | None]:
+    """The next ``PASSES`` blocks, and the one after them if there is one."""
+    found = ([first] if first else []) + list(islice(blocks, PASSES - bool(first)))
+    return found, next(blocks, None)
 
 
 def locate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Longest verbatim matches: ``doc_id, item_id, start, words`` (in words of the document), for every run of an item's windows.
 
-    Runs of one item that overlap or touch are one match.  Rules for words, windows and missing
+    Runs of one item that overlap or touch are one match; items without id are not located.  Rules for words, windows and missing
     values are those of :func:`find_contamination`.
     """
     spark = docs.sparkSession
@@ -239,11 +292,18 @@ class _Pass:
         number, place = windows.places(at, sorted_words)
         hits: list[set[int]] = [set(x) for x in batch.column("_hits").to_pylist()]
         items: list[set[str]] = [set(x) for x in batch.column("_items").to_pylist()]
+        longest = [tuple(x) for x in batch.column("_longest").to_pylist()]
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for w, p in zip(number.tolist(), place.tolist(), strict=True):
             d = int(doc[p])
+            found[d].append((w, p - int(starts[d])))
             hits[d].update(range(p - int(starts[d]), p - int(starts[d]) + len(windows.keys[w])))
             items[d].update(windows.items[w])
-        new = {"_hits": pa.array([sorted(x) for x in hits], pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "_words": pa.array(counts)}
+        for d, pairs in found.items():
+            n, at = windows.longest(pairs)
+            if not longest[d] or (n, -at) > (longest[d][0], -longest[d][1]):
+                longest[d] = (n, at)
+        new = {"_longest": pa.array([list(x) for x in longest], pa.list_(pa.int64())), "_hits": pa.array([sorted(x) for x in hits], pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "_words": pa.array(counts)}
         return pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in self.names], names=self.names)
 
 

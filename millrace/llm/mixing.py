@@ -20,8 +20,8 @@ from millrace.session import stage_table
 CELLS = 4096
 #: Steps of virtual time in each of the two histogram levels that find the cut.
 TICKS = 1024
-#: Virtual time after which nothing can be within budget: all queues are within one document of their targets at 1.
-LAST_TIME = 4.0
+#: Virtual time of the first histogram; the next begin where it ends and are that much longer.
+FIRST_TIME = 4
 
 
 def word_count(text: Column) -> Column:
@@ -106,24 +106,27 @@ def _finish_limit(items: DataFrame, budget: int) -> float:
     """The latest finish time up to which the merged queue is within budget.
 
     ``items``: one row a document and round.  Equal finish times stand or fall together.
-    The range sort is done by ticks of virtual time: three histograms, each within the
-    critical tick of the last, of at most ``LAST_TIME * TICKS`` rows; then a running sum
-    over the finish times of a single tick of ``TICKS ** -3``.
+    The range sort is done by ticks of virtual time: histograms until one exceeds the budget (as a
+    rule the first; later ones only if a document is much larger than its source's target), then two more, each within the
+    critical tick of the last, of at most ``FIRST_TIME * TICKS`` rows; then a running sum
+    over the finish times of a single tick.
     """
-    lo, width, spent = 0.0, 1.0 / TICKS, 0
-    for level in range(3):
-        top = LAST_TIME if level == 0 else lo + width * TICKS
+    lo, width, spent, level = 0.0, 1.0 / TICKS, 0, 0
+    while level < 3:
+        top = lo + width * TICKS * (1 if level else FIRST_TIME)
         here = items.where((F.col("finish") > lo) & (F.col("finish") <= top))
         tick = F.ceil((F.col("finish") - F.lit(lo)) / F.lit(width))
         found = here.groupBy(tick.alias("tick")).agg(F.sum("size").alias("n"))
         counts = sorted((r["tick"], r["n"]) for r in found.collect())  # bounded by the number of ticks
         for at, n in counts:
             if spent + n > budget:
-                lo, width = lo + (at - 1) * width, width / TICKS
+                lo, width, level = lo + (at - 1) * width, width / TICKS, level + 1
                 break
             spent += n
         else:
-            return LAST_TIME
+            if level or not items.where(F.col("finish") > top).limit(1).count():
+                return top
+            lo, width = top, width * FIRST_TIME
     last = items.where((F.col("finish") > lo) & (F.col("finish") <= lo + width * TICKS)).groupBy("finish").agg(F.sum("size").alias("n"))
     run = F.sum("n").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0))
     found = last.withColumn("run", run + F.lit(spent)).where(F.col("run") <= budget).agg(F.max("finish").alias("limit")).first()["limit"]

@@ -166,24 +166,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 SQL_OP10 = r"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
+br AS (SELECT row_number() OVER () AS br, item, w FROM b WHERE len(w) > 0),
 d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT doc_id, row_number() OVER () AS dr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 bw AS (
-  SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS win
-  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+  SELECT br, item, n, o, array_to_string(w[o : o + n - 1], ' ') AS win
+  FROM (SELECT br, item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS o FROM br)),
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (
-  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns WHERE len(w) >= n)),
-m AS (SELECT doc_id, s, dw.n, item FROM dw JOIN bw USING (n, win)),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+  SELECT dr, n, s, array_to_string(w[s : s + n - 1], ' ') AS win
+  FROM (SELECT dr, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT dr, s, dw.n, br, item, o FROM dw JOIN bw USING (n, win)),
+hit AS (SELECT dr, count(DISTINCT p) AS n_hit FROM (SELECT dr, unnest(range(s, s + n)) AS p FROM m) GROUP BY dr),
+it AS (SELECT dr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT dr, item FROM m WHERE item IS NOT NULL) GROUP BY dr),
+runs AS (
+  SELECT dr, count(*) + any_value(n) - 1 AS words, min(s) - 1 AS start
+  FROM (SELECT dr, br, s - o AS line, s, n, s - row_number() OVER (PARTITION BY dr, br, s - o ORDER BY s) AS island FROM m)
+  GROUP BY dr, br, line, island),
+lg AS (SELECT dr, max(words) AS words, min(start) FILTER (words = most) AS start FROM (SELECT *, max(words) OVER (PARTITION BY dr) AS most FROM runs) GROUP BY dr)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(words, 0)::BIGINT AS longest_match, start::BIGINT AS longest_start
+FROM d LEFT JOIN hit USING (dr) LEFT JOIN it USING (dr) LEFT JOIN lg USING (dr)
 """
 
 ORACLES = {"op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}

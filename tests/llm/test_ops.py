@@ -557,8 +557,8 @@ def brute_hits(texts, items, window=13):
     for item, t in items:
         w = fold(t)
         n = min(window, len(w))
-        for k in range(len(w) - n + 1) if w and item is not None else ():
-            windows[tuple(w[k : k + n])].add(str(item))
+        for k in range(len(w) - n + 1) if w else ():
+            windows[tuple(w[k : k + n])].add(item)
     out = []
     for t in texts:
         w, hit, found = fold(t), set(), set()
@@ -567,23 +567,45 @@ def brute_hits(texts, items, window=13):
                 if tuple(w[k : k + n]) in windows:
                     hit.update(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
+        found = {str(x) for x in found if x is not None}
         out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
-@pytest.mark.parametrize("chars, shard", [(1_000_000, 2_000_000), (200, 40)])
-def test_decontamination(spark, docs, rows, empty, monkeypatch, chars, shard):
+def brute_longest(text, items, window=13):
+    """Words and start of the longest run of words that an item has too, of at least a window (or a whole shorter item)."""
+    w, best = split_words((text or "").encode().decode()), (0, 0)
+    for _, t in items:
+        v = split_words(t)
+        n = min(window, len(v))
+        for a in range(len(w)):
+            for b in range(len(v)):
+                if not (a and b and w[a - 1] == v[b - 1]):
+                    k = 0
+                    while a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]:
+                        k += 1
+                    if k >= n:
+                        best = max(best, (k, -a))
+    return best[0], -best[1] if best[0] else None
+
+
+@pytest.mark.parametrize("chars, shard, passes", [(1_000_000, 2_000_000, 8), (200, 40, 8), (100, 40, 2)])
+def test_decontamination(spark, docs, rows, empty, monkeypatch, chars, shard, passes):
+    monkeypatch.setattr(decontaminate, "PASSES", passes)
     monkeypatch.setattr(decontaminate, "BENCHMARK_CHARS", chars)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
     rng = random.Random(1)
     w = lambda t, a, b: " ".join(t.split()[a:b])
-    items = [(1, w(rows[0][1], 10, 40).upper()), (2, w(rows[10][1], 0, 13)), (10, w(rows[10][1], 5, 17)), (3, "one"), (4, ""), (5, None), (6, words(40, rng)), (7, w(rows[13][1], 19000, 19013)), (7, w(rows[13][1], 19000, 19013)), (None, "one"), (8, rows[12][1]), (9, words(2, rng))]
+    items = [(1, w(rows[0][1], 10, 40).upper()), (2, w(rows[10][1], 0, 13)), (10, w(rows[10][1], 5, 17)), (3, "one"), (4, ""), (5, None), (6, words(40, rng)), (7, w(rows[13][1], 19000, 19013)), (7, w(rows[13][1], 19000, 19013)), (None, "one"), (8, rows[12][1]), (9, words(2, rng)), (None, w(rows[13][1], 500, 530))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     got = decontaminate.find_contamination(docs, bench).select("doc_id", *names).collect()
     want = brute_hits([r[1] for r in rows], items)
     assert sorted(map(tuple, got), key=key) == sorted(((r[0], *x) for r, x in zip(rows, want, strict=True)), key=key)
     assert any(x[4] for x in want)
+    some = [r for r in rows if len(r[1] or "") < 2000]
+    longest = decontaminate.find_contamination(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 2000), bench).select("doc_id", "longest_match", "longest_start").collect()
+    assert sorted(map(tuple, longest), key=key) == sorted(((r[0], *brute_longest(r[1], items)) for r in some), key=key) and max(r[1] for r in longest) > 13
     assert decontaminate.find_contamination(empty, bench).count() == 0
     clean = decontaminate.find_contamination(docs, bench.where("false"), keep_text=False).collect()
     assert len(clean) == len(rows) and not any(r["n_hit"] or r["contaminated"] for r in clean) and "text" not in clean[0].asDict()
@@ -600,7 +622,8 @@ def test_locations(spark, monkeypatch):
 
 
 def test_longest_matches():
-    w = decontaminate.Windows([("a", "p q r s"), ("b", "x y z")], window=4)
-    ids = [w.ids.get(t.encode(), 0) for t in "p q r z x y z p q r s".split()]
-    at, sorted_words = w.suffix_array(np.array(ids), np.full(len(ids), len(ids)))
-    assert dict(zip([tuple(k) for k in w.keys], w.longest(at, sorted_words).tolist(), strict=True)) == {tuple(w.ids[t.encode()] for t in "p q r s".split()): 4, tuple(w.ids[t.encode()] for t in "x y z".split()): 3}
+    w = decontaminate.Windows([("a", "p q r s t"), ("b", "x y z")], window=3)
+    number = {tuple(k): j for j, k in enumerate(w.keys)}
+    at = lambda text, p: (number[tuple(w.ids[t.encode()] for t in text.split())], p)
+    assert w.longest([at("x y z", 2), at("p q r", 9), at("q r s", 10), at("r s t", 30)]) == (4, 9)
+    assert w.longest([at("x y z", 7), at("p q r", 1)]) == (3, 1)
