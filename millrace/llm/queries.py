@@ -89,6 +89,52 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+SQL_OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (
+  SELECT r, array_to_string(list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) END)), chr(10)) AS grams
+  FROM d WHERE len(w) > 0),
+c AS (SELECT min(r) AS c, grams, count(*) AS docs FROM g GROUP BY grams),
+s AS (SELECT c, docs, unnest(string_split(grams, chr(10))) AS gram FROM c),
+n AS (SELECT c, docs, count(*) AS n FROM s GROUP BY c, docs),
+p AS (SELECT a.c AS a, b.c AS b, count(*) AS same FROM s a JOIN s b ON a.gram = b.gram AND a.c <> b.c GROUP BY a.c, b.c),
+l AS (SELECT a, b, y.docs FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE same * 5 >= (x.n + y.n - same) * 4),
+t AS (SELECT c AS a, c AS b FROM c UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b),
+m AS (SELECT a AS c, min(b) AS class FROM t GROUP BY a),
+k AS (SELECT c, sum(docs) AS linked FROM (SELECT a AS c, docs FROM l) GROUP BY c),
+f AS (
+  SELECT g.r, class, coalesce(linked, 0) + docs - 1 AS n_links FROM g JOIN c USING (grams) JOIN m USING (c) LEFT JOIN k USING (c)),
+o AS (SELECT doc_id, f.n_links, CASE WHEN class IS NULL THEN -d.r ELSE class END AS class FROM d LEFT JOIN f USING (r))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+  count(*) OVER (PARTITION BY class)::BIGINT AS class_size, doc_id = min(doc_id) OVER (PARTITION BY class) AS keeper
+FROM o
+"""
+
+SQL_OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (SELECT r, n_bytes, [h[2 * z + 1 : 2 * z + 2000] for z in range(0, n_bytes, 600)] AS parts FROM d),
+x AS (SELECT r, k, hash(parts[k // 600 + 1][2 * (k % 600) + 1 : 2 * (k % 600) + 800]) AS v FROM (SELECT r, parts, unnest(range(0, n_bytes - 399)) AS k FROM b)),
+y AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY v) AS n FROM x) WHERE n > 1),
+i AS (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 400 THEN 0 ELSE 1 END AS fresh FROM y),
+j AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM i),
+u AS (SELECT r, span, min(k) AS a, max(k) + 400 AS z FROM j GROUP BY r, span),
+g AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM u),
+c AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(z) AS last FROM u GROUP BY r),
+kept AS (SELECT r, string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a) AS head FROM g JOIN d USING (r) GROUP BY r),
+pw AS (SELECT r, s, array_to_string(w[s : s + 49], ' ') AS v FROM (SELECT r, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+pt AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY v) AS n FROM pw) WHERE n > 1),
+pn AS (SELECT r, count(DISTINCT s + z) AS n FROM pt, (SELECT unnest(range(50)) AS z) GROUP BY r)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256, coalesce(n, 0)::BIGINT AS n_passage_words
+FROM d LEFT JOIN c USING (r) LEFT JOIN kept USING (r) LEFT JOIN pn USING (r)
+"""
+
 SQL_OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, text,
@@ -193,4 +239,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (dr) LEFT JOIN it USING (dr) LEFT JOIN lg USING (dr)
 """
 
-ORACLES = {"op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}
+ORACLES = {"op3_ngram_jaccard_join": SQL_OP3, "op5_suffix_dedup": SQL_OP5, "op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}
