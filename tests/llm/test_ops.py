@@ -381,7 +381,7 @@ def test_functions_travel_by_value(tmp_path):
     pairs = pd.DataFrame({"a": [1], "b": [2], "va": sketched["values"][:1], "vb": sketched["values"][1:].reset_index(drop=True)})
     bucket = pd.DataFrame({"bucket": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "values": sketched["values"]})
     family = pd.DataFrame({"family": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "docs": 1, "values": sketched["values"], "grams": [s.astype("<u8").tobytes() for s in jaccard.shingle_sets(list(texts["text"]))]})
-    calls = [(jaccard._sketch, texts), (jaccard._bands, values), (jaccard._pruned, pairs), (jaccard._within_buckets, bucket), (jaccard._families, family), (suffix._fragments(400, False), raw), (suffix._fragments(400, True), raw)]
+    calls = [(jaccard._sketch, texts), (jaccard._bands, values), (jaccard._pruned, pairs), (jaccard._within_buckets, bucket), (jaccard._families, family), (suffix._fragments(suffix.Unit(400, False)), raw), (suffix._fragments(suffix.Unit(50, True)), raw)]
     (tmp_path / "sent").write_bytes(cloudpickle.dumps(tuple(zip(*calls, strict=True))))
     done = subprocess.run([sys.executable, "-c", ALONE, str(tmp_path / "sent")], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0 and min(map(int, done.stdout.split())) > 0, done.stderr
@@ -393,10 +393,11 @@ def test_two_stage_sort_against_plain_sort():
         n = rng.choice([1, 2, 5, 8])
         letters = rng.choice([b"ab", b"abc\x00\xff", b"a"])
         starts = [rng.randint(1, 30) for _ in range(rng.randint(1, 6))]
-        texts = [bytes(rng.choice(letters) for _ in range(k - 1 + n)) for k in starts]
-        owner, offset, same = suffix.sort_suffixes(texts, starts, n)
-        got = [texts[a][b : b + n] for a, b in zip(owner, offset, strict=True)]
-        assert got == sorted(t[k : k + n] for t, s in zip(texts, starts, strict=True) for k in range(s))
+        stride = rng.choice([1, 1, 2, 3])
+        texts = [bytes(rng.choice(letters) for _ in range((k - 1) * stride + n)) for k in starts]
+        owner, offset, same = suffix.sort_suffixes(texts, starts, n, stride)
+        got = [texts[a][b * stride : b * stride + n] for a, b in zip(owner, offset, strict=True)]
+        assert got == sorted(t[k * stride : k * stride + n] for t, s in zip(texts, starts, strict=True) for k in range(s))
         assert len(set(zip(owner.tolist(), offset.tolist(), strict=True))) == sum(starts)
         assert same.tolist() == [False] + [x == y for x, y in zip(got, got[1:], strict=False)]
 
@@ -406,8 +407,10 @@ def test_anchors_are_the_leftmost_minima():
     window = suffix.LENGTH - suffix.GRAM + 1
     for _ in range(40):
         h = np.array([rng.randint(0, 5) for _ in range(rng.randint(window, 1200))], dtype=np.uint64)
-        got = [a for a, lo, hi in suffix.anchored(h) for _ in range(lo, hi + 1)]
-        assert got == [s + int(h[s : s + window].argmin()) for s in range(len(h) - window + 1)]
+        cut = sorted({0, len(h), *(rng.randint(0, len(h)) for _ in range(rng.randint(0, 2)))})
+        limits = np.array(list(zip(cut, cut[1:], strict=False)))
+        got = [(s, a) for a, lo, hi in zip(*suffix.anchored(h, limits, window), strict=True) for s in range(lo, hi + 1)]
+        assert got == [(s, s + int(h[s : s + window].argmin())) for lo, hi in limits for s in range(lo, hi - window + 1)]
 
 
 # 6 ----------------------------------------------------------------------------------------------
