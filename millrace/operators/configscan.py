@@ -30,6 +30,13 @@ LINE_RULES = [
     ("github_actions", "SKY-D303", "MEDIUM", r"if:.*contains\(\s*['\"][^'\"]*['\"]\s*,", None),
     ("github_actions", "SKY-D304", "MEDIUM", r"if:.*github\.actor\s*==\s*['\"][\w-]+\[bot\]", None),
     ("github_actions", "SKY-D306", "HIGH", r"ACTIONS_ALLOW_UNSECURE_COMMANDS:\s*['\"]?true", None),
+    ("github_actions", "SKY-D300", "HIGH", r"\$\{\{.*(github\.event|inputs|steps)\..*\}\}.*>>\s*[\"']?\$\{?GITHUB_(ENV|PATH)", None),
+    ("github_actions", "SKY-D301", "HIGH", r"^\s*password:\s*[\"']?[^\s\"'$]", None),
+    ("github_actions", "SKY-D305", "MEDIUM", r"^\s*-?\s*if:\s*[|>]", None),
+    ("github_actions", "SKY-D309", "HIGH", r"^( {2})?\w+:\s*\$\{\{\s*secrets\.", None),
+    ("github_actions", "SKY-D312", "MEDIUM", r"\b(npm\s+(ci|install)|yarn\s+install|pnpm\s+install)\b", r"--ignore-scripts"),
+    ("gitlab_ci", "SKY-D316", "HIGH", r"(?i)^\s*\w*(password|secret|token|api_?key)\w*:\s*[\"']?[^\s\"'$\[{]", None),
+    ("gitlab_ci", "SKY-D323", "MEDIUM", r"^\s*token:\s*[\"']?\$\w+", None),
     ("gitlab_ci", "SKY-D314", "HIGH", r"^\s*image:\s*[\"']?[\w./-]+(:(latest|[\w.-]+))?[\"']?\s*$", r"@sha256:"),
     ("gitlab_ci", "SKY-D315", "HIGH", r"^\s*-?\s*remote:\s*[\"']?https?://", None),
     ("gitlab_ci", "SKY-D317", "HIGH", r"\beval\b.*\$(CI_COMMIT|CI_MERGE_REQUEST)", None),
@@ -53,6 +60,17 @@ ABSENCE_RULES = [
     ("systemd", "SKY-D335", "MEDIUM", r"^\s*(ProtectSystem|NoNewPrivileges|PrivateTmp|ProtectHome)\s*=", r"^\s*ExecStart\s*="),
 ]
 
+#: Rules on a line of a file that has another line too: kind, rule, severity, pattern of the line, of the other, and of one that takes the file out.
+PAIR_RULES = [
+    ("github_actions", "SKY-D299", "HIGH", r"\$\{\{\s*secrets\.(?!GITHUB_TOKEN)\w+", r"(?i)\b(deploy|release|publish)\b", r"^\s*environment:"),
+    ("github_actions", "SKY-D302", "HIGH", r"uses:\s*actions/create-github-app-token", r"^\s*jobs:", r"^\s*permission-\w+:"),
+    ("github_actions", "SKY-D308", "HIGH", r"(uses:\s*actions/cache|^\s*cache:\s*\w)", r"(npm\s+publish|twine\s+upload|gh-action-pypi-publish|^\s*release:)", None),
+    ("github_actions", "SKY-D310", "HIGH", r"run:\s*(\./|bash\s|sh\s|make\b|npm\s+run)", r"id-token:\s*write", None),
+    ("github_actions", "SKY-D311", "MEDIUM", r"uses:\s*actions/upload-artifact", r"^\s*path:\s*[\"']?(\.|\*\*?|\$\{\{\s*github\.workspace\s*\}\})/?[\"']?\s*$", None),
+    ("gitlab_ci", "SKY-D319", "HIGH", r"^\s*-\s*[\"']?(\./|bash\s|sh\s|make\b|npm\s+run)", r"^\s*id_tokens:", None),
+    ("gitlab_ci", "SKY-D320", "HIGH", r"^\s*cache:", r"(CI_COMMIT_TAG|^\s*release:|only:\s*\[?\s*tags)", None),
+]
+
 
 def config_lines(files: DataFrame) -> DataFrame:
     """``path, config, line, text`` of configuration files (``path, text``)."""
@@ -76,9 +94,12 @@ def scan_config(files: DataFrame) -> DataFrame:
     per_file = lines.groupBy("path", "config").agg(*flags)
     missing = F.array(*[F.when((F.col("config") == kind) & F.col(f"app{i}") & ~F.col(f"has{i}"), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for i, (kind, rule, severity, _, _) in enumerate(ABSENCE_RULES)])
     absent = per_file.select("path", F.lit(1).alias("line"), F.explode(F.filter(missing, lambda h: h.isNotNull())).alias("h")).select("path", "line", "h.rule_id", "h.severity")
+    seen = [F.bool_or(F.col("text").rlike(p)).alias(f"{w}{i}") for i, (_, _, _, _, also, unless) in enumerate(PAIR_RULES) for w, p in (("also", also), ("off", unless)) if p]
+    pairs = [F.when((F.col("config") == kind) & F.col("text").rlike(at) & F.col(f"also{i}") & (~F.col(f"off{i}") if unless else F.lit(True)), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for i, (kind, rule, severity, at, _, unless) in enumerate(PAIR_RULES)]
+    paired = lines.join(lines.groupBy("path").agg(*seen), "path").select("path", "line", F.explode(F.array_compact(F.array(*pairs))).alias("h")).select("path", "line", "h.rule_id", "h.severity")
     commands = lines.where(F.col("text").rlike(r"^\s*(-?\s*run:|RUN\s|-\s|ExecStart)") | ~F.col("config").isin("compose"))
     guarded = guard_commands(commands, "text").select("path", "line", "rule_id", "severity")
-    return single.unionByName(absent).unionByName(guarded).distinct()
+    return single.unionByName(absent).unionByName(paired).unionByName(guarded).distinct()
 
 
 def exposure(ingress: DataFrame, services: DataFrame, workloads: DataFrame, routes: DataFrame) -> DataFrame:
@@ -96,9 +117,23 @@ def exposure(ingress: DataFrame, services: DataFrame, workloads: DataFrame, rout
 
 
 def gpu_compatibility(images: DataFrame, targets: DataFrame) -> DataFrame:
-    """Images (``image, min_driver, archs``) against targets (``target, driver, arch``): driver too old, architecture missing."""
+    """Images (``image, min_driver, archs``, and ``engine_arch`` where an engine is built in) against targets (``target, driver, arch``).
+
+    GPU000: the image says nothing of its driver or architectures, or a target nothing of its own; GPU001: driver too old;
+    GPU002: architecture missing; GPU003: an engine built for another architecture.
+    """
     from millrace.operators.deps import compare_versions
 
-    pairs = images.join(targets, F.col("min_driver").isNotNull() & ((compare_versions(F.col("driver"), F.col("min_driver")) < 0) | ~F.array_contains("archs", F.col("arch"))))
-    rule = F.when(compare_versions(F.col("driver"), F.col("min_driver")) < 0, "SKY-GPU001").otherwise("SKY-GPU002")
-    return pairs.select("image", "target", rule.alias("rule_id"))
+    engine = F.col("engine_arch") if "engine_arch" in images.columns else F.lit(None).cast("string")
+    unknown = F.col("min_driver").isNull() | F.col("archs").isNull() | F.col("driver").isNull() | F.col("arch").isNull()
+    found = {
+        "SKY-GPU001": compare_versions(F.col("driver"), F.col("min_driver")) < 0,
+        "SKY-GPU002": ~F.array_contains("archs", F.col("arch")),
+        "SKY-GPU003": F.col("engine") != F.col("arch"),
+    }
+    any_found = unknown
+    for condition in found.values():
+        any_found = any_found | F.coalesce(condition, F.lit(False))
+    pairs = images.select("image", "min_driver", "archs", engine.alias("engine")).join(targets.select("target", "driver", "arch"), any_found)
+    rules = F.when(unknown, F.array(F.lit("SKY-GPU000"))).otherwise(F.array_compact(F.array(*[F.when(condition, rule) for rule, condition in found.items()])))
+    return pairs.select("image", "target", F.explode(rules).alias("rule_id"))

@@ -31,6 +31,18 @@ LINE_RULES = [
     (_TS, "SKY-D253", "MEDIUM", r"(?i)(password|secret|token|hash|signature)\s*(===|==|!==)\s*\w", r"(null|undefined|[\"']{2}|typeof)"),
     (_TS, "SKY-D270", "MEDIUM", r"(?i)(local|session)Storage\.setItem\s*\(\s*[\"'][^\"']*(token|secret|password|jwt)", None),
     (_TS, "SKY-D510", "HIGH", r"\[[\"']__proto__[\"']\]|\.__proto__\s*=", None),
+    (_TS, "SKY-D216", "CRITICAL", r"\b(fetch|axios(\.\w+)?|got|request)\s*\(\s*req\.(query|body|params)", None),
+    (_TS, "SKY-D215", "HIGH", r"\b(readFile|writeFile|createReadStream|unlink)(Sync)?\s*\(\s*req\.(query|body|params)", None),
+    (_TS, "SKY-D271", "MEDIUM", r"\.(send|json|end)\s*\(.*\b(err|error|e)\.(stack|message)", None),
+    (_TS, "SKY-D281", "CRITICAL", r"\$(queryRawUnsafe|executeRawUnsafe)\s*\(", None),
+    (_TS, "SKY-S102", "HIGH", r"(NEXT_PUBLIC|REACT_APP|VITE)_\w*(SECRET|PRIVATE|PASSWORD)", None),
+    (["java", "kotlin"], "SKY-D254", "HIGH", r"[sS]ession(\(\))?\.setAttribute\s*\(.*getParameter\s*\(", None),
+    (["java", "kotlin"], "SKY-D215", "HIGH", r"new\s+File(InputStream|Reader|OutputStream)?\s*\(.*getParameter\s*\(", None),
+    (["java", "kotlin"], "SKY-D230", "HIGH", r"sendRedirect\s*\(.*getParameter\s*\(", None),
+    (["go"], "SKY-D215", "HIGH", r"os\.(Open|ReadFile|Create|Remove)\s*\(.*r\.(URL\.Query|FormValue|PostFormValue)", None),
+    (["go"], "SKY-D216", "CRITICAL", r"http\.(Get|Post|Head)\s*\(\s*r\.(URL\.Query|FormValue|PostFormValue)", None),
+    (["go"], "SKY-D230", "HIGH", r"http\.Redirect\s*\(.*r\.(URL\.Query|FormValue|PostFormValue)", None),
+    (["go"], "SKY-D252", "MEDIUM", r"\b(Secure|HttpOnly)\s*:\s*false", None),
     (["java", "kotlin"], "SKY-D203", "CRITICAL", r"Runtime\.getRuntime\(\)\.exec\s*\(|new\s+ProcessBuilder\s*\([^\"']*\+", None),
     (["java", "kotlin"], "SKY-D204", "CRITICAL", r"new\s+ObjectInputStream\s*\(|\.readObject\s*\(\s*\)", None),
     (["java", "kotlin"], "SKY-D207", "MEDIUM", r"MessageDigest\.getInstance\s*\(\s*\"MD5\"", None),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
+from millrace.sources.files import module_name
 
 COLUMNS = ["rule_id", "kind", "severity", "category", "name", "value", "threshold", "message", "file", "line"]
 
@@ -174,7 +175,7 @@ def flow_rules(flows: DataFrame) -> DataFrame:
     a = F.col("attrs")
     checks = []
     for pattern, rule, severity, need in FLOW_SINKS:
-        fits = F.col("name").rlike(pattern)
+        fits = F.col("name").rlike(pattern) & (a["any"] == "True")
         if need == "built":
             fits = fits & (a["built"] == "True") & (a["first"] == "True")
         elif need == "first":
@@ -197,7 +198,7 @@ def behaviour_rules(calls: DataFrame, functions: DataFrame) -> DataFrame:
     debug = calls.withColumn("_s", severity).where("_s is not null")
     whole = calls.where(F.col("name").rlike(r"\.(read|readlines)$") & (F.col("nums")["args"] == 0))
     csv = calls.where((F.col("name") == "pandas.read_csv") & F.col("attrs")["kw:chunksize"].isNull())
-    chmod = calls.where(F.col("name").isin("os.chmod") & F.exists("items", lambda x: x.rlike("777|666")))
+    chmod = calls.where(F.col("name").rlike(r"(^os|\.)\.?chmod$") & F.col("attrs")["args"].rlike(r"(^|[ ,])(0o?[0-7]*[2367]|511|438|S_IWOTH)$|S_IWOTH"))
     return union_all([
         as_findings(blocking, "SKY-Q401", "HIGH", "quality", say("%s blocks an async function", "name")),
         as_findings(no_timeout, "SKY-L031", "MEDIUM", "quality", say("%s without timeout", "name")),
@@ -216,7 +217,7 @@ def literal_rules(literals: DataFrame, patterns: DataFrame, least: int | None =
     assigned = patterns.where("name = 'string_assignment'").select("file", "line", F.col("attrs")["variable"].alias("name"), F.col("attrs")["value"].alias("v"))
     credential = assigned.where(F.col("name").rlike(SENSITIVE_NAME) & (F.length("v") >= 8) & ~F.col("v").rlike(r"(?i)^(<.*>|\$\{.*|your[-_ ].*|changeme|example.*|x+|\*+)$") & ~F.col("v").rlike(r"\s"))
     secret = assigned.withColumn("_s", scalar.secret_severity(F.col("v"))).where("_s is not null")
-    mock = assigned.where(F.col("v").rlike(r"(?i)\b(lorem ipsum|john\.?doe|foo@bar|test@test|example\.com|dummy|placeholder)\b"))
+    mock = assigned.where(F.col("v").rlike(r"(?i)\b(lorem ipsum|john[. ]?doe|foo@bar|test@test|example\.com|dummy|placeholder)\b"))
     return union_all([
         as_findings(repeated, "SKY-L027", F.when(n >= 6, "MEDIUM").otherwise("LOW"), "quality", say("string %s is repeated", "name"), value=n, threshold=least),
         as_findings(credential, "SKY-L014", "HIGH", "security", say("credential in %s", "name")),
@@ -249,7 +250,9 @@ def signature_mismatches(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls of project functions with more positional arguments than these have, or fewer than they need."""
     f = functions.where("attrs['type'] = 'function'").select("name", F.col("nums")["args"].alias("most"), F.col("nums")["required"].alias("least"))
     keywords = F.size(F.filter(F.map_keys("attrs"), lambda k: k.startswith("kw:")))
-    c = calls.join(f, "name").withColumn("given", F.col("nums")["args"])
+    own = F.concat_ws(".", module_name(F.col("file")), "name")
+    named = calls.where("attrs['args'] is null or attrs['args'] not rlike '(^|, )[*]'").where("attrs['kw:**'] is null").withColumn("name", F.explode(F.array_distinct(F.array(F.col("name"), own))))
+    c = named.join(f, "name").withColumn("given", F.col("nums")["args"])
     hit = c.where((F.col("given") > F.col("most")) | (F.col("given") + keywords < F.col("least")))
     return as_findings(hit, "SKY-D224", "HIGH", "ai_defects", say("%s is called with other arguments than it takes", "name"), value=F.col("given"), threshold=F.col("most"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import configscan, graph, langscan, resolve, rules, score, textscan
+from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, textscan
 from millrace.session import stage_table
 from millrace.sources import files as sources
 from millrace.sources.python_facts import extract, of_kind
@@ -76,7 +76,7 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     ignores = inline_ignores(files)
     calls, functions, classes = (of_kind(facts, k) for k in ("call", "function", "class"))
     dead = stage_table(resolve.dead_code(facts, threshold, ignores.where("rule_id is null")), "dead")
-    kinds = {"function": "SKY-U001", "method": "SKY-U001", "import": "SKY-U002", "class": "SKY-U003", "variable": "SKY-U004", "parameter": "SKY-U005"}
+    kinds = {"function": "SKY-U001", "method": "SKY-U001", "import": "SKY-U002", "class": "SKY-U004", "variable": "SKY-U003", "parameter": "SKY-U006"}
     rule = F.lit(None).cast("string")
     for k, r in kinds.items():
         rule = F.when(F.col("type") == k, r).otherwise(rule)
@@ -92,7 +92,7 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
         rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),
         rules.literal_rules(of_kind(facts, "literal"), of_kind(facts, "pattern")), rules.coupling_rule(of_kind(facts, "class_use"), classes), rules.signature_mismatches(calls, functions),
         rules.lock_order(of_kind(facts, "lock")), rules.shared_state(of_kind(facts, "global_write"), calls), rules.opaque_names(of_kind(facts, "definition")), rules.stale_mocks(calls, of_kind(facts, "definition"), of_kind(facts, "string")), rules.policy_rules(files),
-        rules.as_findings(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused,
+        rules.as_findings(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused, appsec.scan(facts),
     ])
     kept = found.join(ignores.where("rule_id is null").select("file", "line"), ["file", "line"], "left_anti").join(ignores.where("rule_id is not null"), ["file", "line", "rule_id"], "left_anti")
     return Analysis(files, facts, stage_table(kept.select(*rules.COLUMNS), "findings"), dead)

@@ -27,6 +27,10 @@ SOURCES = ["input", "request.args", "request.form", "request.json", "request.val
 SANITIZERS = ["int", "float", "bool", "len", "shlex.quote", "html.escape", "markupsafe.escape", "escape", "urllib.parse.quote", "bleach.clean", "os.path.basename", "secure_filename", "werkzeug.utils.secure_filename"]
 
 
+#: Ends of dotted names that call language models, and words of names that hold secrets.
+MODEL_CALLS = (".completions.create", ".messages.create", ".responses.create", ".generate_content", ".ChatCompletion.create", ".llm.invoke", ".chain.invoke")
+SECRET_WORDS = ("password", "passwd", "secret", "api_key", "apikey", "access_token", "private_key", "credential", "ssn")
+
 #: Calls whose result must be closed.
 OPENERS = ["open", "io.open", "socket.socket", "sqlite3.connect", "urllib.request.urlopen", "tempfile.NamedTemporaryFile"]
 
@@ -47,6 +51,17 @@ def is_source(name: str) -> bool:
     return any(f".{s}." in f".{name}." for s in SOURCES)
 
 
+def is_model_call(name: str) -> bool:
+    """Whether a dotted name is a call of a language model."""
+    return f".{name}".endswith(MODEL_CALLS)
+
+
+def names_secret(name: str) -> bool:
+    """Whether the name of a variable says that it holds a secret."""
+    parts = name.lower().replace("-", "_")
+    return any(w in parts for w in SECRET_WORDS)
+
+
 def own_nodes(body: list[ast.stmt]) -> Iterator[ast.AST]:
     """Nodes of a body without those of nested functions, classes and lambdas."""
     todo = list(reversed(body))
@@ -77,36 +92,46 @@ def cyclomatic(fn: ast.AST) -> int:
     return 1 + sum(map(branch_weight, own_nodes(fn.body)))
 
 
-def cognitive(body: list[ast.stmt], level: int = 0) -> int:
-    """Breaks in the flow, each weighed by how deep it is nested; else-if chains do not nest."""
+def cognitive(body: list[ast.stmt]) -> int:
+    """Breaks in the flow, each weighed by how deep it is nested.
+
+    An else-if costs one and nests no deeper; a chain of ``and``/``or`` costs its operands less one; what
+    nested functions and classes hold is counted too, from level 0 again.
+    """
     total = 0
-    for node in body:
+    todo = [(n, 0, False) for n in body]
+
+    def later(nodes, level: int) -> None:
+        todo.extend((n, level, False) for n in nodes)
+
+    while todo:
+        node, level, chained = todo.pop()
         if isinstance(node, SCOPES):
-            continue
-        if isinstance(node, ast.If):
-            total += 1 + level + _bool_ops(node.test) + cognitive(node.body, level + 1)
-            rest = node.orelse
-            if len(rest) == 1 and isinstance(rest[0], ast.If):
-                total += cognitive(rest, level) - level
-            elif rest:
-                total += 1 + cognitive(rest, level + 1)
+            later(ast.iter_child_nodes(node), 0)
+        elif isinstance(node, ast.If):
+            total += 1 if chained else 1 + level
+            later([node.test, *node.body], level + 1)
+            if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
+                todo.append((node.orelse[0], level, True))
+            elif node.orelse:
+                total += 1
+                later(node.orelse, level + 1)
         elif isinstance(node, LOOPS):
-            total += 1 + level + (_bool_ops(node.test) if isinstance(node, ast.While) else 0) + cognitive(node.body, level + 1) + cognitive(node.orelse, level + 1)
+            total += 1 + level
+            later([*([node.test] if isinstance(node, ast.While) else []), *node.body, *node.orelse], level + 1)
         elif isinstance(node, (ast.Try, ast.TryStar)):
-            total += cognitive(node.body, level) + sum(1 + level + cognitive(h.body, level + 1) for h in node.handlers) + cognitive(node.orelse, level) + cognitive(node.finalbody, level)
-        elif isinstance(node, (ast.With, ast.AsyncWith)):
-            total += cognitive(node.body, level)
+            total += (1 + level) * len(node.handlers)
+            later([n for h in node.handlers for n in h.body], level + 1)
+            later([*node.body, *node.orelse, *node.finalbody], level)
         elif isinstance(node, ast.Match):
-            total += 1 + level + sum(cognitive(c.body, level + 1) for c in node.cases)
+            total += 1 + level
+            later([n for c in node.cases for n in c.body], level + 1)
         else:
-            total += sum(1 + level for n in ast.walk(node) if isinstance(n, ast.IfExp)) + _bool_ops(node)
+            total += len(node.values) - 1 if isinstance(node, ast.BoolOp) else 1 + level if isinstance(node, ast.IfExp) else 0
+            later(ast.iter_child_nodes(node), level)
     return total
 
 
-def _bool_ops(node: ast.AST) -> int:
-    return sum(isinstance(n, ast.BoolOp) for n in ast.walk(node))
-
-
 def nesting(body: list[ast.stmt], level: int = 0, top: bool = True) -> int:
     """Deepest nesting of branches; an else-if chain is one level, a function's own try none."""
     deepest = level
@@ -126,8 +151,12 @@ def nesting(body: list[ast.stmt], level: int = 0, top: bool = True) -> int:
     return deepest
 
 
-def cohesion(cls: ast.ClassDef) -> tuple[int, int, int]:
-    """Methods, attributes of ``self``, and groups of methods that share attributes or call each other (LCOM4)."""
+def cohesion(cls: ast.ClassDef) -> tuple[int, int, int, int, float]:
+    """Methods, attributes of ``self``, groups of methods that share attributes or call each other (LCOM4), LCOM1 and LCOM5.
+
+    LCOM1: pairs of methods without a common attribute less those with one, 0 at least.  LCOM5 (Henderson-Sellers): (m - a) / (m - 1),
+    ``a`` the mean share of the ``m`` methods that use an attribute, times ``m``.
+    """
     methods = {m.name: m for m in cls.body if isinstance(m, FUNCTIONS)}
     uses = {}
     for name, m in methods.items():
@@ -143,7 +172,11 @@ def cohesion(cls: ast.ClassDef) -> tuple[int, int, int]:
             near = {o for o in left if o in uses[m] or m in uses[o] or uses[m] & uses[o] & attributes}
             left -= near
             todo += near
-    return len(methods), len(attributes), groups
+    own = {n: u & attributes for n, u in uses.items() if not n.startswith("__")}
+    pairs = [bool(own[a] & own[b]) for k, a in enumerate(sorted(own)) for b in sorted(own)[k + 1 :]]
+    mean = sum(map(len, own.values())) / len(attributes) if attributes else 0.0
+    lcom5 = (len(own) - mean) / (len(own) - 1) if len(own) > 1 and attributes else 0.0
+    return len(methods), len(attributes), groups, max(0, 2 * pairs.count(False) - len(pairs)), lcom5
 
 
 def _is_docstring(node: ast.stmt) -> bool:
@@ -243,6 +276,14 @@ class Extractor:
         kind = "method" if owner is not None else "function"
         attrs = {"type": kind, "owner": scope if owner is not None else None, "exported": self.exported(fn.name, scope), "async": isinstance(fn, ast.AsyncFunctionDef), "returns": ast.unparse(fn.returns) if fn.returns else None, "closure": owner is None and scope != self.module}
         self.emit("definition", scope, name, fn, attrs=attrs, items=decorators)
+        attrs |= {"doc": ast.get_docstring(fn), "signature": ast.unparse(fn.args)}
+        for node in fn.decorator_list:
+            given = node if isinstance(node, ast.Call) else None
+            text = given.args[0].value if given and given.args and isinstance(given.args[0], ast.Constant) and isinstance(given.args[0].value, str) else None
+            self.emit("decorator", name, dotted(node, self.aliases), node, nums={"def_line": fn.lineno}, attrs={"first_text": text} | ({f"kw:{k.arg or '**'}": ast.unparse(k.value) for k in given.keywords} if given else {}))
+        for a, d in [*zip(args[len(args) - len(fn.args.defaults) :], fn.args.defaults, strict=True), *zip(fn.args.kwonlyargs, fn.args.kw_defaults, strict=True)]:
+            if isinstance(d, ast.Constant) and isinstance(d.value, str):
+                self.emit("default", name, a.arg, d, attrs={"value": d.value})
         self.emit("function", scope, name, fn, nums=numbers, attrs=attrs, items=decorators)
         used = {n.id for n in ast.walk(fn) if isinstance(n, ast.Name)}
         stub = _trivial([n for n in fn.body if not _is_docstring(n)]) or any(isinstance(n, ast.Raise) and "NotImplementedError" in ast.unparse(n) for n in fn.body)
@@ -269,12 +310,12 @@ class Extractor:
 
     def klass(self, cls: ast.ClassDef, scope: str) -> None:
         name = f"{scope}.{cls.name}"
-        methods, attributes, groups = cohesion(cls)
+        methods, attributes, groups, lcom1, lcom5 = cohesion(cls)
         bases = [dotted(b, self.aliases) for b in cls.bases]
         names = {dotted(n, self.aliases) for n in ast.walk(cls) if isinstance(n, (ast.Name, ast.Attribute))}
         attrs = {"type": "class", "exported": self.exported(cls.name, scope), "owner": None, "data": any("dataclass" in dotted(d, self.aliases) for d in cls.decorator_list)}
         self.emit("definition", scope, name, cls, attrs=attrs, items=[dotted(d, self.aliases) for d in cls.decorator_list])
-        self.emit("class", scope, name, cls, nums={"methods": methods, "attributes": attributes, "lcom4": groups, "abstract": any(b.rsplit(".", 1)[-1] in ("ABC", "Protocol") for b in bases)}, attrs=attrs, items=bases)
+        self.emit("class", scope, name, cls, nums={"methods": methods, "attributes": attributes, "lcom4": groups, "lcom1": lcom1, "lcom5": lcom5, "abstract": any(b.rsplit(".", 1)[-1] in ("ABC", "Protocol") for b in bases)}, attrs=attrs, items=bases)
         for used in sorted(names):
             if used:
                 self.emit("class_use", name, used, cls)
@@ -301,8 +342,9 @@ class Extractor:
 
     def call(self, node: ast.Call, scope: str) -> None:
         name = dotted(node.func, self.aliases)
-        keywords = {k.arg: ast.unparse(k.value) for k in node.keywords if k.arg}
-        self.emit("call", scope, name or f".{getattr(node.func, 'attr', '')}", node, nums={"args": len(node.args)}, attrs={f"kw:{k}": v[:200] for k, v in keywords.items()} | ({"first_text": node.args[0].value[:200]} if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else {}), items=[dotted(a, self.aliases) for a in node.args])
+        keywords = {k.arg or "**": ast.unparse(k.value) for k in node.keywords}
+        given = {f"kw:{k}": v[:200] for k, v in keywords.items()} | {"args": ", ".join(map(ast.unparse, node.args))[:200]}
+        self.emit("call", scope, name or f".{getattr(node.func, 'attr', '')}", node, nums={"args": len(node.args)}, attrs=given | ({"first_text": node.args[0].value[:200]} if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else {}), items=[dotted(a, self.aliases) for a in node.args])
         if name == "getattr" and len(node.args) > 1 and isinstance(node.args[1], ast.Constant):
             self.emit("dynamic", scope, str(node.args[1].value), node)
 
@@ -338,10 +380,17 @@ class Extractor:
                 hit("nested_loop")
             if any(isinstance(n, ast.Await) for b in node.body for n in ast.walk(b)):
                 hit("await_in_loop")
-        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+        elif isinstance(node, ast.Assign):
             for t in node.targets:
-                if isinstance(t, ast.Name):
-                    hit("string_assignment", variable=t.id, value=node.value.value[:200])
+                if isinstance(t, (ast.Name, ast.Attribute)):
+                    variable = t.id if isinstance(t, ast.Name) else t.attr
+                    if isinstance(node.value, ast.Call):
+                        self.emit("assignment", scope, variable, node, dotted(node.value.func, self.aliases))
+                    elif isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+                        if isinstance(t, ast.Name):
+                            hit("string_assignment", variable=variable, value=node.value.value[:200])
+                    else:
+                        self.emit("assignment", scope, variable, node, attrs={"value": ast.unparse(node.value)[:200]})
 
     def locks(self, body: list[ast.stmt], scope: str, held: tuple[str, ...] = ()) -> None:
         """Pairs of locks that are taken one within the other, in order."""
@@ -380,37 +429,55 @@ class Extractor:
                     break
 
     def flows(self, fn, name: str) -> None:
-        """Calls that outside data reaches: parameters and sources are tainted; assignments carry or clear it, in textual order."""
-        tainted = {a.arg for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs] if a.arg not in ("self", "cls")}
+        """Calls that data of note reaches, with labels of where it is from; assignments carry or clear labels, in textual order.
+
+        ``input``: parameters and sources; ``llm``: answers of models; ``secret``: names and variables of the environment that name one.
+        """
+        held: dict[str, set[str]] = {a.arg: {"input"} for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs] if a.arg not in ("self", "cls")}
+
+        def union(nodes) -> set[str]:
+            return set().union(*map(labels, nodes))
 
-        def dirty(node: ast.AST | None) -> bool:
+        def labels(node: ast.AST | None) -> set[str]:
             if node is None or isinstance(node, ast.Constant):
-                return False
+                return set()
             if isinstance(node, ast.Name):
-                return node.id in tainted
+                return held.get(node.id, set()) | ({"secret"} if names_secret(node.id) else set())
             if isinstance(node, ast.Call):
                 called = dotted(node.func, self.aliases)
                 if called in SANITIZERS:
-                    return False
-                return is_source(called) or any(map(dirty, [node.func, *node.args, *[k.value for k in node.keywords]]))
+                    return set()
+                inner = union([node.func, *node.args, *[k.value for k in node.keywords]])
+                if is_model_call(called):
+                    return (inner - {"input", "secret"}) | {"llm"}
+                read = next((a.value for a in node.args if isinstance(a, ast.Constant) and isinstance(a.value, str)), "") if called in ("os.getenv", "os.environ.get") else ""
+                return inner | ({"input"} if is_source(called) else set()) | ({"secret"} if names_secret(read) else set())
+            if isinstance(node, ast.Subscript):
+                key = node.slice.value if isinstance(node.slice, ast.Constant) else ""
+                environment = dotted(node.value, self.aliases) == "os.environ" and isinstance(key, str) and names_secret(key)
+                return labels(node.value) | labels(node.slice) | ({"secret"} if environment else set())
             if isinstance(node, ast.Attribute):
-                return is_source(dotted(node, self.aliases)) or dirty(node.value)
-            return any(map(dirty, ast.iter_child_nodes(node)))
+                return labels(node.value) | ({"input"} if is_source(dotted(node, self.aliases)) else set())
+            return union(ast.iter_child_nodes(node))
 
         for node in sorted(own_nodes(fn.body), key=lambda n: (getattr(n, "lineno", 0), getattr(n, "col_offset", 0))):
             if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and node.value is not None:
                 targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                is_dirty = dirty(node.value) or isinstance(node, ast.AugAssign) and dirty(node.target)
+                found = labels(node.value) | (labels(node.target) if isinstance(node, ast.AugAssign) else set())
                 for t in [n for x in targets for n in ast.walk(x) if isinstance(n, ast.Name)]:
-                    (tainted.add if is_dirty else tainted.discard)(t.id)
-            elif isinstance(node, (ast.For, ast.AsyncFor)) and dirty(node.iter):
-                tainted |= {n.id for n in ast.walk(node.target) if isinstance(n, ast.Name)}
+                    held[t.id] = found
+            elif isinstance(node, (ast.For, ast.AsyncFor)) and labels(node.iter):
+                for t in [n for n in ast.walk(node.target) if isinstance(n, ast.Name)]:
+                    held[t.id] = labels(node.iter)
             elif isinstance(node, ast.Call):
                 called = dotted(node.func, self.aliases) or f".{getattr(node.func, 'attr', '')}"
                 first = node.args[0] if node.args else None
                 built = isinstance(first, (ast.JoinedStr, ast.BinOp)) or isinstance(first, ast.Call) and isinstance(first.func, ast.Attribute) and first.func.attr == "format"
-                if any(map(dirty, [*node.args, *[k.value for k in node.keywords]])):
-                    self.emit("flow", name, called, node, attrs={"first": dirty(first), "built": built, "shell": any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)})
+                every = union([*node.args, *[k.value for k in node.keywords]])
+                receiver = labels(node.func.value) if isinstance(node.func, ast.Attribute) else set()
+                if every or receiver:
+                    mode = next((a.value for a in [*node.args[1:2], *[k.value for k in node.keywords if k.arg == "mode"]] if isinstance(a, ast.Constant) and isinstance(a.value, str)), None)
+                    self.emit("flow", name, called, node, attrs={"any": "input" in every, "first": "input" in labels(first), "receiver": "input" in receiver, "labels": ",".join(sorted(every)), "mode": mode, "built": built, "shell": any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)})
 
 
 def own_statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:

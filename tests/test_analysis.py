@@ -139,6 +139,21 @@ def test_security_labels(spark):
     assert ("SKY-Q401", at("time.sleep")) in {(r["rule_id"], r["line"]) for r in a.findings.collect()}
 
 
+def test_cognitive_complexity_examples():
+    """Operands less one, no deeper nesting for else-if, nested functions from level 0, handlers and conditional expressions."""
+    at = lambda text: {r[3]: r[7]["cognitive"] for r in facts_of("m.py", "m", text) if r[0] == "function"}["m.f"]
+    assert at("def f(a, b, c):\n    if a and b and c:\n        return 1\n") == 3
+    assert at("def f(a, b):\n    if a:\n        return 1\n    elif b:\n        return 2\n    else:\n        return 3\n") == 3
+    assert at("def f(a):\n    for x in a:\n        if x:\n            while x:\n                x = 0\n") == 1 + 2 + 3
+    assert at("def f(a):\n    for x in a:\n        def g():\n            if x:\n                return 1\n") == 1 + 1
+    assert at("def f(a):\n    try:\n        a = 1\n    except ValueError:\n        if a:\n            a = 2\n    return 1 if a else 2\n") == 1 + 2 + 1
+
+
+def test_cohesion_examples():
+    at = {r[3]: r[7] for r in facts_of("m.py", "m", "class A:\n    def a(self):\n        return self.x\n    def b(self):\n        return self.x + self.y\n    def c(self):\n        return self.z\n") if r[0] == "class"}["m.A"]
+    assert (at["lcom4"], at["lcom1"], at["lcom5"]) == (2, 2 - 1, (3 - 4 / 3) / 2)
+
+
 def test_metrics():
     text = '''
 def f(a, b, c=1, *, d):
