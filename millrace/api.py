@@ -18,14 +18,15 @@ def analyze_path(spark: SparkSession, path: str | list[str], threshold: int = 60
     return analyze(source_files(spark, path), limits, threshold)
 
 
-def report(analysis: Analysis, most: int = 10_000) -> str:
-    """The analysis as JSON: summary, grades, incomplete files, and the first ``most`` findings by severity, file and line."""
+def report(analysis: Analysis, most: int | None = None) -> str:
+    """The analysis as JSON: summary, grades, incomplete files, and all findings (or the first ``most``) by severity, file and line."""
     order = [ops.severity_rank(F.col("severity")).desc(), "file", "line", "rule_id"]
-    rows = analysis.findings.orderBy(*order).limit(most)
+    first = lambda df: df if most is None else df.limit(most)
+    rows = first(analysis.findings.orderBy(*order))
     body = {
         "summary": {r["category"]: r["n"] for r in analysis.findings.groupBy("category").agg(F.count("*").alias("n")).collect()},
         "grades": {r["category"]: {"score": r["score"], "grade": r["grade"]} for r in analysis.grade().collect()},
-        "incomplete": [r.asDict() for r in analysis.incomplete().orderBy("file").limit(most).collect()],
+        "incomplete": [r.asDict() for r in first(analysis.incomplete().orderBy("file")).collect()],
         "findings": [r.asDict() for r in rows.collect()],
     }
     return json.dumps(body, sort_keys=True)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import normalize_message
+from millrace.operators.intervals import overlap_semi
 from millrace.schema import SEVERITY_RANK
 
 
@@ -182,11 +183,17 @@ def merge_findings(static: DataFrame, other: DataFrame, tolerance: int = 5, leas
 
 def cross_reference(external: DataFrame, dead: DataFrame, findings: DataFrame, tolerance: int = 5) -> DataFrame:
     """Label external findings: ``in_dead_code`` if in a dead definition's lines, else ``corroborated`` if one of ours is near, else ``unique``."""
-    e = external.withColumn("_row", F.monotonically_increasing_id())
-    within = e.join(dead.select(F.col("file"), F.col("line").alias("_a"), F.col("end_line").alias("_b")), "file").where("line between _a and _b").select("_row").distinct().withColumn("_dead", F.lit(True))
-    near = e.join(findings.select("file", F.col("line").alias("_l")), "file").where(F.abs(F.col("line") - F.col("_l")) <= tolerance).select("_row").distinct().withColumn("_near", F.lit(True))
+    places = external.select("file", F.col("line").alias("start"), F.col("line").alias("end")).where("file is not null and line is not null").distinct()
+    within = overlap_semi(places, dead.select("file", F.col("line").alias("start"), F.col("end_line").alias("end")), "file").select("file", F.col("start").alias("line")).withColumn("_dead", F.lit(True))
+    near = lines_around(findings, tolerance).withColumn("_near", F.lit(True))
     label = F.when(F.col("_dead"), "in_dead_code").when(F.col("_near"), "corroborated").otherwise("unique")
-    return e.join(within, "_row", "left").join(near, "_row", "left").withColumn("label", label).drop("_row", "_dead", "_near")
+    return external.join(within, ["file", "line"], "left").join(near, ["file", "line"], "left").withColumn("label", label).select(*external.columns, "label")
+
+
+def lines_around(findings: DataFrame, tolerance: int) -> DataFrame:
+    """``file, line``: every line at most ``tolerance`` from a finding, once, so that nearness is an equi-join."""
+    spread = F.explode(F.sequence(F.col("line") - tolerance, F.col("line") + tolerance))
+    return findings.where("file is not null and line is not null").select("file", "line").distinct().select("file", spread.alias("line")).distinct()
 
 
 def provenance_stats(findings: DataFrame) -> DataFrame:
@@ -198,12 +205,9 @@ def provenance_stats(findings: DataFrame) -> DataFrame:
 
 def compare_scanners(ours: DataFrame, theirs: DataFrame, tolerance: int = 3) -> DataFrame:
     """Shadow comparison: findings both have, only we have, only they have, by category."""
-    a = ours.withColumn("_row", F.monotonically_increasing_id())
-    b = theirs.withColumn("_row", F.monotonically_increasing_id())
-    pairs = a.alias("a").join(b.alias("b"), "file").where(F.abs(F.col("a.line") - F.col("b.line")) <= tolerance)
-    hits_a, hits_b = pairs.select(F.col("a._row").alias("_row")).distinct(), pairs.select(F.col("b._row").alias("_row")).distinct()
-    part = lambda d, label: d.groupBy("category").agg(F.count("*").alias("n")).withColumn("status", F.lit(label))
-    return part(a.join(hits_a, "_row", "left_semi"), "both").unionByName(part(a.join(hits_a, "_row", "left_anti"), "only_ours")).unionByName(part(b.join(hits_b, "_row", "left_anti"), "only_theirs"))
+    near_theirs, near_ours = lines_around(theirs, tolerance), lines_around(ours, tolerance)
+    part = lambda d, how, near, label: d.join(near, ["file", "line"], how).groupBy("category").agg(F.count("*").alias("n")).withColumn("status", F.lit(label))
+    return part(ours, "left_semi", near_theirs, "both").unionByName(part(ours, "left_anti", near_theirs, "only_ours")).unionByName(part(theirs, "left_anti", near_ours, "only_theirs"))
 
 
 def triage_confidence(observations: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +89,40 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes on cycles: nodes that reach each other; the least node names a component.
 
-    Nodes that no cycle can hold (without an edge in or out among those left) are trimmed first,
-    round by round, so that the closure is taken of the cyclic core alone.
+    Colouring (Orzan, 2004): every node takes the least node that leads to it as
+    its colour; a node of its own colour heads a component, which holds the nodes of that colour that lead back to it.  The
+    components found are taken out, with nodes that no edge enters or leaves, and the rest is coloured anew.  Tables have a row a
+    node or edge, never a pair of nodes that only a path joins.
     """
     core = stage_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
-    n = -1
-    while True:
-        ends, starts = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
-        done, core = core, stage_table(core.join(ends, "src", "left_semi").join(starts, "dst", "left_semi"), "core")
-        drop_staged(done)
-        now = core.count()
-        if now == n:
-            break
-        n = now
-    paths = closure(core)
-    both = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-    return both.groupBy(F.col("a.src").alias("node")).agg(F.min("a.dst").alias("component")).select("node", F.least("node", "component").alias("component"))
+    alone = core.where("src = dst").select(F.col("src").alias("node"))
+    found = []
+    while core.limit(1).count():
+        first = core.select(F.col("dst").alias("node"), F.least("src", "dst").alias("c")).union(core.select("src", "src"))
+        colours = stage_table(first.groupBy("node").agg(F.min("c").alias("c")), "colours")
+        moved = 1
+        while moved:
+            given = core.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c2"))
+            after = stage_table(colours.join(given, "node", "left").select("node", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved")), "colours")
+            moved = after.where("moved").limit(1).count()
+            drop_staged(colours)
+            colours = after.select("node", "c")
+            colours.staged_at = after.staged_at
+        own = core.join(colours.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colours.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
+        back = stage_table(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "colour-edges")
+        members = reachable(back, colours.where("node = c"))
+        part = stage_table(members.select("node").join(colours, "node").select("node", F.col("c").alias("component")), "strong")
+        found.append(part)
+        gone = part.select("node")
+        rest = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        ends, starts = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+        drop_staged(back, colours)
+        core = stage_table(rest.join(ends, "src", "left_semi").join(starts, "dst", "left_semi"), "core")
+    out = core.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
+    for part in found:
+        out = out.unionByName(part)
+    several = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(several, "component", "left_semi").union(out.join(several, "component", "left_anti").join(alone, "node", "left_semi")).select("node", "component")
 
 
 def simple_cycles(edges: DataFrame) -> DataFrame:
@@ -215,7 +235,7 @@ def map_layers(modules: DataFrame, patterns: DataFrame) -> DataFrame:
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("module", "layer")
 
 
-def transitive_dead(definitions: DataFrame, calls: DataFrame, rounds: int = 100) -> DataFrame:
+def transitive_dead(definitions: DataFrame, calls: DataFrame) -> DataFrame:
     """Least fixpoint of death: ``def_key, round``.
 
     ``definitions``: ``def_key, is_exported, references`` and optionally ``owner``; ``calls``: ``caller, callee``.
@@ -226,7 +246,7 @@ def transitive_dead(definitions: DataFrame, calls: DataFrame, rounds: int = 100)
     defs = stage_table(defs.select("def_key", "is_exported", "references", "owner"), "dead-defs")
     links = stage_table(calls.select("caller", "callee").where("caller is not null and callee is not null and caller <> callee").distinct().join(defs.select(F.col("def_key").alias("caller"), F.col("owner").alias("caller_owner")), "caller", "left"), "dead-calls")
     dead = stage_table(defs.where("not is_exported and references = 0").select("def_key", F.lit(0).alias("round")), "dead")
-    for k in range(1, rounds + 1):
+    for k in count(1):
         gone = dead.select(F.col("def_key").alias("_k"))
         state = links.join(gone.withColumn("_a", F.lit(True)), F.col("caller") == F.col("_k"), "left").drop("_k").join(gone.withColumn("_o", F.lit(True)), F.col("caller_owner") == F.col("_k"), "left").drop("_k")
         lost = F.coalesce("_a", "_o", F.lit(False))

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a line bucket.
+#: Width of a line bucket; levels of ever wider ones for long spans, each so many times as wide as the one before.
 BUCKET = 64
+LEVELS, WIDER = 8, 8
+#: Starts of ranges that are merged in one task before the islands of a group are.
+MERGE_BUCKET = 1 << 16
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:
@@ -19,28 +22,40 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 
 def overlap_semi(left: DataFrame, right: DataFrame, key: str, width: int = BUCKET) -> DataFrame:
     """Rows of ``left`` (``key, start, end``) that share a line with an interval of ``right`` of the same key; both ends inclusive."""
-    l = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", _buckets(F.col("start"), F.col("end"), width))  # noqa: E741
+    l = left.select(key, "start", "end").distinct().withColumn("_b", _buckets(F.col("start"), F.col("end"), width))  # noqa: E741
     r = right.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")).distinct().withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
     hit = l.join(r, (l[key] == r[key]) & (l["_b"] == r["_b"]) & (l["start"] <= r["_e"]) & (r["_s"] <= l["end"]), "left_semi")
-    return hit.dropDuplicates(["_row"]).drop("_row", "_b")
+    return left.join(hit.select(key, "start", "end").distinct(), [key, "start", "end"], "left_semi").select(*left.columns)
 
 
 def narrowest_enclosing(points: DataFrame, spans: DataFrame, key: str, width: int = BUCKET, order: list | None = None) -> DataFrame:
-    """Each point (``key, point_id, at``) with the smallest span (``key, span_id, start, end``) around it, ties by ``order`` or ``span_id``; points in no span are left out."""
-    s = spans.withColumn("_b", _buckets(F.col("start"), F.col("end"), width))
-    p = points.withColumn("_b", F.floor(F.col("at") / width))
-    hit = p.join(s, [key, "_b"]).where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    """Each point (``key, point_id, at``) with the smallest span (``key, span_id, start, end``) around it, ties by ``order`` or ``span_id``; points in no span are left out.
+
+    A span lies in at most ``WIDER + 1`` buckets of the level that suits its length; a point looks at all levels.
+    """
+    wide = lambda level: F.lit(float(width)) * F.pow(F.lit(float(WIDER)), level)
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.col("end") - F.col("start") <= width * WIDER ** (k + 1), k).otherwise(level)
+    s = spans.withColumn("_l", level).withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / wide(F.col("_l"))), F.floor(F.greatest("start", "end") / wide(F.col("_l"))))))
+    p = points.withColumn("_l", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("_b", F.floor(F.col("at") / wide(F.col("_l"))))
+    hit = p.join(s, [key, "_l", "_b"]).drop("_l").where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
     w = Window.partitionBy(key, "point_id").orderBy(F.col("end") - F.col("start"), *(order or ["span_id"]))
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_b")
 
 
 def merge_ranges(ranges: DataFrame, by: list[str], touch: int = 1) -> DataFrame:
     """Union of inclusive ranges per group; those that overlap or touch become one."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = ranges.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + touch), 1).otherwise(0))
-    island = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
+    def merged(rows: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("start", "end")
+        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opened = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + touch), 1).otherwise(0))
+        island = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return island.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_island")
+
+    # first within buckets of starts, so that one task never sorts all ranges of a hot group
+    counted = ranges.groupBy(*by, "start", "end").agg(F.count("*").alias("n")).withColumn("_b", F.floor(F.col("start") / MERGE_BUCKET))
+    return merged(merged(counted, [*by, "_b"]).drop("_b"), by)
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, at: str, other: str, before: int, after: int) -> DataFrame:

@@ -28,13 +28,14 @@ def agent_ranges(lines: DataFrame) -> DataFrame:
 
 def annotate(findings: DataFrame, provenance: DataFrame) -> DataFrame:
     """Findings with ``agent`` and ``ai_authored``: by file (exact, else a whole-component suffix of it) and, where known, line range."""
-    f = findings.withColumn("_row", F.monotonically_increasing_id())
     p = provenance.select(F.col("file").alias("_file"), F.col("agent").alias("_agent"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    keyed = f.select("_row", "line", F.explode(path_suffixes(F.col("file"))).alias("_file"), F.col("file"))
+    places = findings.select("file", "line").distinct()
+    keyed = places.select("line", F.explode(path_suffixes(F.col("file"))).alias("_file"), F.col("file"))
     inside = F.col("_s").isNull() | F.col("line").isNull() | F.col("line").between(F.col("_s"), F.col("_e"))
     hits = keyed.join(p, "_file").where(inside)
-    best = hits.groupBy("_row").agg(F.max(F.struct(F.length("_file").alias("l"), "_agent")).alias("b")).select("_row", F.col("b._agent").alias("agent"))
-    return f.join(best, "_row", "left").withColumn("ai_authored", F.col("agent").isNotNull()).drop("_row")
+    best = hits.groupBy(F.col("file").alias("_f"), F.col("line").alias("_l")).agg(F.max(F.struct(F.length("_file").alias("l"), "_agent")).alias("b")).select("_f", "_l", F.col("b._agent").alias("agent"))
+    joined = findings.join(best, (F.col("file") == F.col("_f")) & F.col("line").eqNullSafe(F.col("_l")), "left").drop("_f", "_l")
+    return joined.withColumn("ai_authored", F.col("agent").isNotNull())
 
 
 def risk_intersections(findings: DataFrame, provenance: DataFrame, integrations: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import glob_to_regex
 from millrace.operators.graph import closure, reachable, transitive_dead
 from millrace.session import stage_table
+from millrace.sources.files import module_name
 
 #: Points off the confidence of 100.
 PENALTIES = {"private_name": 10, "dunder_or_magic": 100, "in_init_file": 15, "dynamic_module": 10, "test_related": 100, "framework_magic": 40}
@@ -112,9 +114,93 @@ def hierarchy_references(defs: DataFrame, inherits: DataFrame) -> DataFrame:
     return methods.join(above, methods["owner"] == above["src"]).join(live, ["dst", "simple_name"]).select("def_key").distinct()
 
 
-def count_references(facts: DataFrame, defs: DataFrame) -> DataFrame:
-    """Definitions with ``references`` after all stages that count them: references, imports of what they stand for, overrides, exports' methods."""
+#: Names that other files hold: event handlers in markup, and ``package.module:function`` entry points.
+HANDLER = r"(?i)\bon[a-z]+\s*=\s*[\"']\s*#?(?:return\s+)?([A-Za-z_$][\w$]*)"
+ENTRY_POINT = r"[\"']([A-Za-z_][\w.]*:[A-Za-z_][\w.]*)[\"']"
+
+
+def outside_references(files: DataFrame) -> DataFrame:
+    """``ref, file, scope``: names that markup, forms and project files refer to (stage 0)."""
+    markup = files.where(F.col("path").rlike(r"(?i)\.(html?|xhtml|fxml|jinja2?|j2|vue)$")).select("path", F.explode(F.regexp_extract_all("text", F.lit(HANDLER), 1)).alias("ref"))
+    markup = markup.withColumn("ref", F.concat(F.lit("."), F.col("ref")))  # a name whose owner is not known
+    project = files.where(F.col("path").rlike(r"(^|/)(pyproject\.toml|setup\.(cfg|py)|entry_points\.txt)$")).select("path", F.explode(F.regexp_extract_all("text", F.lit(ENTRY_POINT), 1)).alias("ref"))
+    return markup.unionByName(project).select(F.replace("ref", F.lit(":"), F.lit(".")).alias("ref"), F.col("path").alias("file"), F.lit("").alias("scope"))
+
+
+def argument_methods(facts: DataFrame, defs: DataFrame) -> DataFrame:
+    """``def_key``: methods called on a parameter, of the classes whose instances are passed in its place (stage 2)."""
+    on = facts.where("kind = 'param_call'").select(F.col("scope").alias("fn"), F.col("nums")["position"].cast("int").alias("position"), F.col("target").alias("simple_name")).distinct()
+    passed = facts.where("kind = 'call'").select("name", "file", F.posexplode("items").alias("position", "cls")).where("cls <> ''")
+    module = module_name(F.col("file"))
+    local = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.concat_ws(".", module, c))))
+    passed = passed.withColumn("fn", local("name")).withColumn("owner", local("cls")).select("fn", "position", "owner").distinct()
+    methods = defs.where("type = 'method'").select("def_key", "simple_name", "owner")
+    return on.join(passed, ["fn", "position"]).join(methods, ["owner", "simple_name"]).select("def_key").distinct()
+
+
+def rescues(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``def_key, rescue``: definitions that are alive for a reason no reference shows (stage 3).
+
+    Fallbacks of optional imports; methods that override those of a protocol or abstract class of the project or of a base outside
+    it; methods of classes that are registered (a decorator or call named ``register``); definitions that a string names in full;
+    public methods that the documentation names with their class.
+    """
+    simple = F.element_at(F.split("name", r"\."), -1)
+    found = [facts.where("kind = 'fallback'").select(F.col("name").alias("def_key"), F.lit("optional import").alias("rescue"))]
+    classes = facts.where("kind = 'class'").select("name", simple.alias("simple"), (F.col("nums")["abstract"] > 0).alias("abstract"))
+    methods = defs.where("type = 'method'").select("def_key", "owner", "simple_name")
+    inherits = facts.where("kind = 'inherits'").select(F.col("scope").alias("owner"), simple.alias("simple"))
+    abstract = classes.where("abstract").select(F.col("name").alias("base"), "simple").join(methods.select(F.col("owner").alias("base"), "simple_name"), "base").select("simple", "simple_name").distinct()
+    found.append(methods.join(inherits, "owner").join(abstract, ["simple", "simple_name"]).select("def_key", F.lit("protocol").alias("rescue")))
+    by_decorator = facts.where("kind = 'definition' and attrs['type'] = 'class'").where(F.exists("items", lambda d: d.rlike(r"(?i)(^|[._])register"))).select(F.col("name").alias("owner"))
+    by_call = facts.where("kind = 'call'").where(F.col("name").rlike(r"(?i)(^|[._])register\w*$")).select("file", F.explode("items").alias("cls")).where("cls <> ''")
+    by_call = by_call.select(F.explode(F.array(F.col("cls"), F.concat_ws(".", module_name(F.col("file")), "cls"))).alias("owner"))
+    registered = by_decorator.unionByName(by_call).distinct()
+    found.append(methods.where("simple_name not like '\\\\_%'").join(registered, "owner", "left_semi").select("def_key", F.lit("registered class").alias("rescue")))
+    named = facts.where("kind = 'string'").select(F.col("name").alias("def_key")).where("def_key like '%.%'").distinct()
+    found.append(defs.where("type <> 'import'").join(named, "def_key", "left_semi").select("def_key", F.lit("named by a string").alias("rescue")))
+    if files is not None:
+        docs = files.where(F.col("path").rlike(r"(?i)(^|/)(readme[^/]*|docs?/.*)$|\.(md|rst)$")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]\w*\.[a-z]\w*)"), 1)).alias("said")).distinct()
+        public = methods.where("simple_name not like '\\\\_%'").withColumn("said", F.concat_ws(".", F.element_at(F.split("owner", r"\."), -1), "simple_name"))
+        found.append(public.join(docs, "said", "left_semi").select("def_key", F.lit("documented").alias("rescue")))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("def_key").agg(F.min("rescue").alias("rescue"))
+
+
+#: Places that a search quotes as evidence.
+EVIDENCE = 3
+
+
+def verify_by_text(candidates: DataFrame, files: DataFrame, facts: DataFrame) -> DataFrame:
+    """``def_key, verdict, evidence``: candidates whose simple name stands as a word where no parser looked (stage 11).
+
+    ``rescued``: in a file that is not source code (a template, a configuration), or as a string of its own in source code;
+    ``abstained``: in a source file that could not be parsed.  ``evidence`` quotes the first places.  All files are
+    searched, by an equi-join of words with names.
+    """
+    broken = facts.where("kind = 'error'").select(F.col("file").alias("path")).distinct().withColumn("_broken", F.lit(True))
+    other = files.join(broken, "path", "left").where(F.col("_broken") | F.col("lang").isNull()).where(~F.col("path").rlike(r"(?i)\.(md|rst|txt)$"))
+    lines = other.select("path", "_broken", F.posexplode(F.split("text", "\r?\n")).alias("k", "text"))
+    words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w{2,})"), 1))).alias("simple_name"), F.when(F.col("_broken"), "abstained").otherwise("rescued").alias("verdict"), F.concat_ws(":", "path", (F.col("k") + 1).cast("string")).alias("at"))
+    strings = facts.where("kind = 'string'").select(F.element_at(F.split("name", r"\."), -1).alias("simple_name"), F.lit("rescued").alias("verdict"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
+    hits = candidates.select("def_key", "simple_name").join(words.unionByName(strings), "simple_name")
+    best = hits.groupBy("def_key").agg(F.max("verdict").alias("verdict"), F.array_sort(F.collect_set("at")).alias("evidence"))
+    return best.select("def_key", "verdict", F.slice("evidence", 1, EVIDENCE).alias("evidence"))
+
+
+def whitelisted(defs: DataFrame, entries: DataFrame, today: str | None = None) -> DataFrame:
+    """``def_key`` of definitions whose full or simple name a shell pattern of ``entries`` (``pattern``, ``until`` a date or null) fits and has not run out."""
+    day = F.current_date() if today is None else F.lit(today).cast("date")
+    live = entries.where(F.col("until").isNull() | (F.col("until").cast("date") >= day)).select(glob_to_regex(F.col("pattern")).alias("_glob"))
+    return defs.join(live, F.rlike("name", F.col("_glob")) | F.rlike("simple_name", F.col("_glob")), "left_semi").select("def_key")
+
+
+def count_references(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Definitions with ``references`` after all stages that count them: references, also from other files, imports of what they stand for, overrides, exports' methods."""
     refs = facts.where("kind in ('ref', 'dynamic')").select(F.col("name").alias("ref"), "file", "scope")
+    refs = refs if files is None else refs.unionByName(outside_references(files))
     own = match_references(refs, defs)
     resolved = defs.where("type = 'import'").groupBy(F.col("target").alias("def_key")).agg(F.count("*").alias("n"))
     total = own.unionByName(resolved).groupBy("def_key").agg(F.sum("n").alias("n"))
@@ -150,14 +236,23 @@ def entry_reachable(defs: DataFrame, edges: DataFrame, modules: DataFrame) -> Da
     return reachable(edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), roots.union(mains)).select(F.col("node").alias("def_key"))
 
 
-def dead_code(facts: DataFrame, threshold: int = THRESHOLD, ignores: DataFrame | None = None) -> DataFrame:
-    """All definitions with ``decision``: ``reported``, ``in_reported_class``, ``alive`` or ``low_confidence``.
+def dead_code(facts: DataFrame, threshold: int = THRESHOLD, ignores: DataFrame | None = None, files: DataFrame | None = None, whitelist: DataFrame | None = None) -> DataFrame:
+    """All definitions with ``decision``: ``reported``, ``in_reported_class``, ``rescued``, ``abstained``, ``alive`` or ``low_confidence``.
 
-    Confidence first, then references, overrides and exports, entry reachability, and death that
-    spreads: a definition whose callers are all dead is dead.  Lines in ``ignores`` (``file, line``) are never reported.
+    Confidence first, then references, overrides and exports, methods of passed objects and rescues, entry reachability, death that
+    spreads (a definition whose callers are all dead is dead), tables of object mappers, and a search of all text that was not
+    parsed.  Lines in ``ignores`` (``file, line``) and names in ``whitelist`` (``pattern, until``) are never reported; without ``files`` no other file is searched.
     """
     defs = stage_table(confidence(definitions(facts)), "defs")
-    counted = stage_table(count_references(facts, defs), "counted")
+    counted = count_references(facts, defs, files)
+    alive = rescues(facts, defs, files).unionByName(argument_methods(facts, defs).withColumn("rescue", F.lit("passed object")))
+    if whitelist is not None:
+        alive = alive.unionByName(whitelisted(defs, whitelist).withColumn("rescue", F.lit("whitelist")))
+    alive = alive.groupBy("def_key").agg(F.min("rescue").alias("rescue"))
+    counted = counted.join(alive, "def_key", "left").withColumn("references", F.col("references") + F.col("rescue").isNotNull().cast("int"))
+    mapped = facts.where("kind = 'class'").where(F.col("attrs")["orm"] == "True").select(F.col("name").alias("_orm")).distinct()
+    counted = counted.join(mapped, F.col("name") == F.col("_orm"), "left").withColumn("confidence", F.when(F.col("_orm").isNotNull(), 0).otherwise(F.col("confidence"))).drop("_orm")
+    counted = stage_table(counted, "counted")
     edges = stage_table(call_edges(facts, counted), "edges")
     reached = entry_reachable(counted, edges, facts.where("kind = 'module'"))
     bump = reached.join(counted.where("references = 0 and not is_exported and type in ('function', 'method')").select("def_key"), "def_key", "left_semi")
@@ -174,4 +269,9 @@ def dead_code(facts: DataFrame, threshold: int = THRESHOLD, ignores: DataFrame |
     gone = counted.where("_dead and type = 'class'").select(F.col("name").alias("_c")).distinct()
     joined = counted.join(gone, F.col("owner") == F.col("_c"), "left")
     decision = F.when(F.col("_dead") & F.col("_c").isNotNull(), "in_reported_class").when(F.col("_dead"), "reported").when(dead, "low_confidence").otherwise("alive")
-    return joined.withColumn("decision", decision).drop("_dead", "_c", "_i")
+    decided = joined.withColumn("decision", decision).drop("_dead", "_c", "_i")
+    if files is None:
+        return decided.withColumn("evidence", F.array().cast("array<string>"))
+    decided = stage_table(decided, "decided")
+    said = verify_by_text(decided.where("decision = 'reported' and type in ('function', 'class', 'method')"), files, facts)
+    return decided.join(said, "def_key", "left").withColumn("decision", F.coalesce("verdict", "decision")).drop("verdict")

@@ -75,7 +75,7 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     facts = stage_table(extract(files), "facts")
     ignores = inline_ignores(files)
     calls, functions, classes = (of_kind(facts, k) for k in ("call", "function", "class"))
-    dead = stage_table(resolve.dead_code(facts, threshold, ignores.where("rule_id is null")), "dead")
+    dead = stage_table(resolve.dead_code(facts, threshold, ignores.where("rule_id is null"), files), "dead")
     kinds = {"function": "SKY-U001", "method": "SKY-U001", "import": "SKY-U002", "class": "SKY-U004", "variable": "SKY-U003", "parameter": "SKY-U006"}
     rule = F.lit(None).cast("string")
     for k, r in kinds.items():

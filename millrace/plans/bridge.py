@@ -521,7 +521,7 @@ def cycles_scc(spark, sf_dir):
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * n_nationkey + n_regionkey) % 25 AS dst FROM nation),
 p AS (SELECT src AS start, dst AS cur, [src] AS nodes FROM e WHERE src <= dst
-  UNION ALL SELECT p.start, e.dst, list_append(p.nodes, e.src) FROM p JOIN e ON p.cur = e.src WHERE p.cur > p.start AND e.dst >= p.start AND NOT list_contains(p.nodes, p.cur) AND len(p.nodes) < 6),
+  UNION ALL SELECT p.start, e.dst, list_append(p.nodes, e.src) FROM p JOIN e ON p.cur = e.src WHERE p.cur > p.start AND e.dst >= p.start AND NOT list_contains(p.nodes, p.cur)),
 f AS (SELECT min(nodes) AS nodes FROM p WHERE start = cur GROUP BY list_sort(nodes))
 SELECT array_to_string(nodes, '>') AS nodes, len(nodes)::INTEGER AS length, CASE WHEN len(nodes) > 3 THEN 'HIGH' WHEN len(nodes) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM f
 """)

@@ -947,6 +947,177 @@ Be kind.
 }
 
 
+FAMILIES["dead"] = {
+    "app/__init__.py": "",
+    "app/__main__.py": '''
+from app.core import start, drive, Engine
+
+start()
+drive(Engine())
+''',
+    "app/core.py": '''
+import json  #! U002
+import os
+import sys
+from abc import ABC, abstractmethod
+
+LIMIT = 3
+SPARE = 4  #! U003
+
+def start():
+    helper()
+    return LIMIT, os.name
+
+def helper():
+    if sys.version_info >= (3, 0):
+        return 1
+    return 2
+
+def unused():  #! U001
+    return only_for_unused()
+
+def only_for_unused():  #! U001
+    return 1
+
+def takes(a, b):  #! U006
+    return a
+
+def uses():
+    return takes(1, 2)
+
+if uses():
+    LIMIT = 5
+
+class Engine:
+    def turn(self):
+        return 1
+
+    def stall(self):  #! U001
+        return 2
+
+def drive(machine):
+    return machine.turn()
+
+class Lost:  #! U004
+    def method(self):
+        return 1
+
+class Shape(ABC):
+    @abstractmethod
+    def area(self):
+        ...
+
+class Square(Shape):
+    def area(self):
+        return 4
+
+def shapes():
+    return [Square()]
+
+shapes()
+
+try:
+    import fast
+except ImportError:
+    def fast():
+        return None
+
+fast()
+
+def exported_handler():
+    return 1
+
+def clicked():
+    return 1
+
+def templated():
+    return 1
+
+def mentioned_in_broken():
+    return 1
+
+def by_name():
+    return 1
+
+def plugin():
+    return 1
+
+PLUGINS = ["app.core.plugin"]
+
+def chooser(name):
+    return getattr(sys.modules[name], "by_name")
+
+chooser(PLUGINS)
+
+class Table:
+    __tablename__ = "t"
+
+class Documented:
+    def shown(self):
+        return 1
+
+    def hidden(self):  #! U001
+        return 2
+
+Documented()
+
+def register(cls):
+    return cls
+
+@register
+class Plugin:
+    def run_it(self):
+        return 1
+
+class Visitor:
+    def visit_Name(self, node):
+        return node
+
+Visitor()
+
+def _private():  #! U001
+    return 1
+
+def test_like():
+    return 1
+
+if False:
+    unused()
+''',
+    "app/broken.py": "def (\nmentioned_in_broken()\n",
+    "web/page.html": '<button onclick="clicked()">x</button>\n',
+    "web/list.tmpl": "{{ templated }}\n",
+    "pyproject.toml": '[project.scripts]\nrun = "app.core:exported_handler"\n',
+    "README.md": "Call `Documented.shown` first.\n",
+    "tests/test_core.py": '''
+from app.core import uses
+
+def test_uses():
+    assert uses() == 1
+''',
+}
+
+
+#: What the stages of dead code say of names in the family ``dead``: name, decision, reason and first place of evidence.
+DECISIONS = [
+    ("app.core.Documented.shown", "alive", "documented", ""),
+    ("app.core.Engine.turn", "alive", "passed object", ""),
+    ("app.core.Lost", "reported", "", ""),
+    ("app.core.Lost.method", "in_reported_class", "", ""),
+    ("app.core.Plugin.run_it", "alive", "registered class", ""),
+    ("app.core.Square.area", "alive", "protocol", ""),
+    ("app.core.Table", "alive", "", ""),
+    ("app.core.by_name", "alive", "", ""),
+    ("app.core.clicked", "alive", "", ""),
+    ("app.core.exported_handler", "alive", "", ""),
+    ("app.core.fast", "alive", "optional import", ""),
+    ("app.core.mentioned_in_broken", "abstained", "", "app/broken.py:2"),
+    ("app.core.only_for_unused", "reported", "", ""),
+    ("app.core.plugin", "alive", "named by a string", ""),
+    ("app.core.templated", "rescued", "", "web/list.tmpl:1"),
+]
+
+
 def sources(family: str) -> dict[str, str]:
     """Path to text, without marks."""
     return {path: "\n".join(MARK.sub("", line) for line in text.split("\n")) for path, text in FAMILIES[family].items()}
@@ -962,6 +1133,12 @@ def expected(family: str) -> list[tuple[str, int, str]]:
     return sorted(out)
 
 
+def decisions_sql() -> str:
+    """The decisions as SQL: ``name, decision, rescue, evidence``."""
+    rows = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in DECISIONS)
+    return f"SELECT name, decision, rescue, evidence FROM (VALUES {rows}) v(name, decision, rescue, evidence)"
+
+
 def expected_sql(family: str) -> str:
     """The marks as SQL: ``file, line, rule_id``."""
     rows = ", ".join(f"('{f}', {n}, '{r}')" for f, n, r in expected(family))

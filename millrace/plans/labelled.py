@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import appsec, configscan, langscan, rules, textscan
+from millrace.operators import appsec, configscan, langscan, resolve, rules, textscan
 from millrace.plans import cases
+from millrace.session import stage_table
 from millrace.sources.files import from_texts
 from millrace.sources.python_facts import extract, of_kind
 
@@ -43,6 +44,16 @@ def _text(files: DataFrame, facts: DataFrame) -> DataFrame:
     return _by_path(found)
 
 
+#: Rules by kind of dead definition.
+UNUSED = {"function": "SKY-U001", "method": "SKY-U001", "import": "SKY-U002", "variable": "SKY-U003", "class": "SKY-U004", "parameter": "SKY-U006"}
+
+
+def _dead(files: DataFrame, facts: DataFrame) -> DataFrame:
+    facts = stage_table(facts, "facts")
+    rule = F.create_map(*[F.lit(x) for pair in UNUSED.items() for x in pair])[F.col("type")]
+    return resolve.dead_code(facts, files=files).where("decision = 'reported'").select("file", "line", rule.alias("rule_id"))
+
+
 #: Rules of each family, over its files and their facts.
 RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "calls": _calls,
@@ -56,6 +67,7 @@ RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "config": lambda files, facts: _by_path(configscan.scan_config(files.select("path", "text"))),
     "languages": lambda files, facts: _by_path(langscan.scan_languages(files)),
     "text": _text,
+    "dead": _dead,
 }
 
 
@@ -68,5 +80,13 @@ def _query(family: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {f"rules_{family}": _query(family) for family in RULES}
-ORACLES = {f"rules_{family}": cases.expected_sql(family) for family in RULES}
+def dead_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions, reasons and evidence for the names that the corpus states."""
+    files = stage_table(from_texts(spark, cases.sources("dead")), "files")
+    decided = resolve.dead_code(stage_table(extract(files), "facts"), files=files).where(F.col("type") != "import")
+    stated = decided.where(F.col("name").isin(*[d[0] for d in cases.DECISIONS]))
+    return stated.select("name", "decision", F.coalesce("rescue", F.lit("")).alias("rescue"), F.coalesce(F.try_element_at("evidence", F.lit(1)), F.lit("")).alias("evidence"))
+
+
+QUERIES = {f"rules_{family}": _query(family) for family in RULES} | {"dead_decisions": dead_decisions}
+ORACLES = {f"rules_{family}": cases.expected_sql(family) for family in RULES} | {"dead_decisions": cases.decisions_sql()}

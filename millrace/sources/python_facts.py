@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 from collections import Counter
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -297,6 +298,10 @@ class Extractor:
         for part in [*fn.decorator_list, *defaults, *([fn.returns] if fn.returns else []), *[a.annotation for a in args if a.annotation]]:
             for node in ast.walk(part):
                 self.visit(node, scope, owner)
+        places = {a.arg: k for k, a in enumerate(plain)}
+        for n in own:
+            if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) and n.func.value.id in places:
+                self.emit("param_call", name, n.func.value.id, n, n.func.attr, nums={"position": places[n.func.value.id]})
         self.flows(fn, name)
         self.locks(fn.body, name)
         self.resources(fn, name)
@@ -314,6 +319,7 @@ class Extractor:
         bases = [dotted(b, self.aliases) for b in cls.bases]
         names = {dotted(n, self.aliases) for n in ast.walk(cls) if isinstance(n, (ast.Name, ast.Attribute))}
         attrs = {"type": "class", "exported": self.exported(cls.name, scope), "owner": None, "data": any("dataclass" in dotted(d, self.aliases) for d in cls.decorator_list)}
+        attrs["orm"] = any(isinstance(n, (ast.Assign, ast.AnnAssign)) and "__tablename__" in {t.id for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name)} for n in cls.body)
         self.emit("definition", scope, name, cls, attrs=attrs, items=[dotted(d, self.aliases) for d in cls.decorator_list])
         self.emit("class", scope, name, cls, nums={"methods": methods, "attributes": attributes, "lcom4": groups, "lcom1": lcom1, "lcom5": lcom5, "abstract": any(b.rsplit(".", 1)[-1] in ("ABC", "Protocol") for b in bases)}, attrs=attrs, items=bases)
         for used in sorted(names):
@@ -368,8 +374,10 @@ class Extractor:
             for op, right in zip(node.ops, node.comparators, strict=True):
                 if isinstance(op, (ast.Eq, ast.NotEq)) and isinstance(right, ast.Constant) and (right.value is None or isinstance(right.value, bool)):
                     hit("constant_comparison", value=right.value)
-        elif isinstance(node, (ast.Try, ast.TryStar)) and len(node.body) > 15:
-            hit("long_try", statements=len(node.body))
+        elif isinstance(node, (ast.Try, ast.TryStar)):
+            if len(node.body) > 15:
+                hit("long_try", statements=len(node.body))
+            self.fallbacks(node, scope)
         elif isinstance(node, ast.Expr) and isinstance(node.value, (ast.Compare, ast.Name, ast.Attribute, ast.BinOp)):
             hit("no_effect")
         elif isinstance(node, ast.If):
@@ -392,6 +400,16 @@ class Extractor:
                     else:
                         self.emit("assignment", scope, variable, node, attrs={"value": ast.unparse(node.value)[:200]})
 
+    def fallbacks(self, node: ast.Try, scope: str) -> None:
+        """Names that a handler defines in place of an import that failed."""
+        wanted = {(a.asname or a.name).split(".")[0] for n in node.body if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names}
+        for handler in node.handlers:
+            if handler.type is not None and {"ImportError", "ModuleNotFoundError"} & set(ast.unparse(handler.type).replace("(", "").replace(")", "").split(", ")):
+                for n in handler.body:
+                    names = [n.name] if isinstance(n, (*FUNCTIONS, ast.ClassDef)) else [t.id for t in n.targets if isinstance(t, ast.Name)] if isinstance(n, ast.Assign) else []
+                    for found in wanted & set(names):
+                        self.emit("fallback", scope, f"{scope}.{found}", n)
+
     def locks(self, body: list[ast.stmt], scope: str, held: tuple[str, ...] = ()) -> None:
         """Pairs of locks that are taken one within the other, in order."""
         for node in body:
@@ -491,21 +509,70 @@ def own_statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
         todo.extend(reversed([n for n in ast.iter_child_nodes(node) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case))]))
 
 
-def facts_of(path: str, module: str, text: str | None) -> list[tuple]:
-    """Rows of one file; one ``error`` row if it cannot be parsed (its analysis is incomplete, not clean)."""
+def static_value(node: ast.AST, python: tuple[int, int]) -> bool | None:
+    """What a condition always is, null if that is not known: constants, ``not``, ``and``, ``or``, and lower bounds of the version at least ``python``."""
+    if isinstance(node, ast.Constant):
+        return bool(node.value)
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+        inner = static_value(node.operand, python)
+        return None if inner is None else not inner
+    if isinstance(node, ast.BoolOp):
+        decides = isinstance(node.op, ast.Or)
+        found = [static_value(v, python) for v in node.values]
+        return decides if decides in found else None if None in found else not decides
+    if isinstance(node, ast.Compare) and len(node.ops) == 1 and ast.unparse(node.left) == "sys.version_info" and isinstance(node.comparators[0], ast.Tuple):
+        bound = tuple(e.value for e in node.comparators[0].elts if isinstance(e, ast.Constant))[:2]
+        if bound <= python and isinstance(node.ops[0], (ast.GtE, ast.Lt)):
+            return isinstance(node.ops[0], ast.GtE)
+    return None
+
+
+class _Fold(ast.NodeTransformer):
+    """Take out branches that never run, and the bodies of functions and classes that a mask names."""
+
+    def __init__(self, python: tuple[int, int], mask: dict[str, list[str]]):
+        self.python, self.mask = python, mask
+
+    def masked(self, node) -> bool:
+        fits = lambda kind, names: any(fnmatchcase(n, g) for n in names for g in self.mask.get(kind, ()))
+        decorators = [dotted(d, {}) for d in node.decorator_list]
+        return fits("names", [node.name]) or fits("decorators", decorators) or fits("bases", [dotted(b, {}) for b in getattr(node, "bases", [])])
+
+    def visit_definition(self, node):
+        if self.masked(node):
+            node.body = [ast.copy_location(ast.Expr(ast.copy_location(ast.Constant(...), node)), node)]
+            return node
+        return self.generic_visit(node)
+
+    visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = visit_definition
+
+    def visit_If(self, node: ast.If):
+        self.generic_visit(node)
+        always = static_value(node.test, self.python)
+        if always is None:
+            return node
+        return (node.body if always else node.orelse) or ast.copy_location(ast.Pass(), node)
+
+
+def facts_of(path: str, module: str, text: str | None, python: tuple[int, int] = (3, 0), mask: dict[str, list[str]] | None = None) -> list[tuple]:
+    """Rows of one file; one ``error`` row if it cannot be parsed (its analysis is incomplete, not clean).
+
+    ``python``: the oldest version that the code must run on; ``mask``: shell patterns of ``names``, ``decorators`` and
+    ``bases`` whose bodies are not looked into.
+    """
     try:
-        tree = ast.parse(text or "")
+        tree = _Fold(python, mask or {}).visit(ast.parse(text or ""))
     except (SyntaxError, ValueError, RecursionError) as e:
         return [("error", path, module, type(e).__name__, None, getattr(e, "lineno", None) or 1, 1, {}, {}, [])]
     return Extractor(path, module).run(tree)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Facts of all Python files of a ``SOURCE_FILES`` table."""
+def extract(files: DataFrame, python: tuple[int, int] = (3, 0), mask: dict[str, list[str]] | None = None) -> DataFrame:
+    """Facts of all Python files of a ``SOURCE_FILES`` table; for ``python`` and ``mask`` see :func:`facts_of`."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, m, t in zip(batch["path"], batch["module"], batch["text"], strict=True) for r in facts_of(p, m, t)]
+            rows = [r for p, m, t in zip(batch["path"], batch["module"], batch["text"], strict=True) for r in facts_of(p, m, t, python, mask)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.where("lang = 'python'").select("path", "module", "text").mapInPandas(walk, SCHEMA)
