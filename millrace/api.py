@@ -41,7 +41,7 @@ def verify_change(analysis: Analysis, ranges: DataFrame, baseline: DataFrame | N
 
 def gate(analysis: Analysis, strict: bool = False, allow_incomplete: bool = True) -> DataFrame:
     """One row: whether the findings pass the gate, and why not.  Unless ``allow_incomplete``, files that could not be analysed fail it."""
-    f = analysis.findings.where("kind <> 'dead_code'").withColumns({"project": F.lit("project"), "complete": F.lit(True)})
+    f = ops.without_advisory(analysis.findings.where("kind <> 'dead_code'")).withColumns({"project": F.lit("project"), "complete": F.lit(True)})
     if not allow_incomplete:
         f = f.withColumn("complete", F.lit(analysis.incomplete().limit(1).count() == 0))
     return score.gate(f, ["project"], strict=strict)

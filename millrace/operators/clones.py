@@ -122,10 +122,10 @@ def bucket_keys(fragments: DataFrame) -> DataFrame:
     return fragments.select("frag_id", F.explode(forms).alias("bucket"))
 
 
-def clone_pairs(fragments: DataFrame, per_bucket: int | None = 250, threshold: float = REPORT_THRESHOLD) -> DataFrame:
+def clone_pairs(fragments: DataFrame, per_bucket: int | None = None, threshold: float = REPORT_THRESHOLD) -> DataFrame:
     """``a, b, similarity, clone_type`` of fragments that share a bucket; the first type that fits.
 
-    ``per_bucket``: fragments of a bucket that are compared, in order of id (null: all).
+    ``per_bucket``: fragments of a bucket that are compared, in order of id; null, the default: all, exactly.
     """
     keys = bucket_keys(fragments).distinct()
     if per_bucket is not None:

@@ -67,6 +67,25 @@ def drop_ignored_rules(findings: DataFrame, ignored: Iterable[str]) -> DataFrame
     return findings.where(~F.col("rule_id").isin(*ignored))
 
 
+#: Advisory rules, whose findings are shown but never fail a gate.
+ADVISORY = ["SKY-Q802", "SKY-Q803"]
+
+
+def without_advisory(findings: DataFrame, rules: Iterable[str] = ADVISORY) -> DataFrame:
+    """Findings that count for the gate."""
+    return findings.where(~F.coalesce(F.col("rule_id").isin(*rules), F.lit(False)))
+
+
+def select_for_cleanup(findings: DataFrame, types: Iterable[str], least_confidence: int) -> DataFrame:
+    """Dead definitions of these types with at least this confidence."""
+    return findings.where(F.col("type").isin(*types) & (F.col("confidence") >= least_confidence))
+
+
+def snooze_expired(until: Column, now: Column) -> Column:
+    """Whether a snooze has run out; one without an end never does."""
+    return F.coalesce(until.cast("timestamp") < now.cast("timestamp"), F.lit(False))
+
+
 def fingerprint(*columns: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 

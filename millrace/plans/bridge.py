@@ -20,20 +20,24 @@ from millrace.session import table
 from millrace.sources.files import from_texts
 from millrace.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+def query_registry():
+    """A table of queries, one of their SQL, and the decorator that fills both under the function's name."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
 
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where there is one."""
+        return keep
 
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+    return queries, oracles, query
 
-    return keep
+
+QUERIES, ORACLES, query = query_registry()
 
 
 # Adapters -------------------------------------------------------------------------------------
