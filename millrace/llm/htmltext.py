@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-HINTS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+HINTS = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+HIDDEN = re.compile(r"(?:^|\s)(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none)", re.IGNORECASE)
 
 #: Elements of the HTML vocabulary by role.
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
@@ -35,26 +36,36 @@ NEVER_HINTS = frozenset(
     "cookie cookies consent notice notices alert gdpr disclaimer popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations "
     "comment comments commentlist disqus respond replies pagination pager toolbar skip complementary contentinfo".split()
 )
-#: Parts that turn a class name into a statement about something else (``with-sidebar``).
-QUALIFIERS = frozenset("has with no without is not".split())
+#: Parts of names that say nothing themselves; a name counts if all its other parts do (``site-footer``, not ``related-work`` or ``with-sidebar``).
+NEUTRAL = frozenset("site page global main top bottom left right upper lower primary secondary inner outer box bar block list section area container wrapper wrap inline slot unit buttons button links items posts post text content widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup title".split())
 ARTICLE = frozenset(["article", "main"])
 ARTICLE_HINTS = frozenset("article articlebody main content post entry story".split())
+OWN_HEADER = frozenset(f".{x}" for x in ARTICLE_HINTS)
 
 #: Kind under which tags within an article are scored.
 INNER = "inner"
 
 
 def _hints(attributes: str) -> set[str]:
-    """Lower-case parts of class names, ids, roles and labels; names like ``with-sidebar`` do not count."""
+    """Lower-case words for what an element is, from class names, ids, roles and labels of which every part counts; parts of other names come with a dot."""
     found: set[str] = set()
     for m in HINTS.finditer(attributes) if "=" in attributes else ():
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = set(re.split(r"[^a-z0-9]+", name))
-            if not parts & QUALIFIERS:
-                found |= parts
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for name in [value] if m[1].lower() == "aria-label" else value.split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+            telling = [x for x in parts if x not in NEUTRAL or x in NEVER_HINTS]
+            whole = all(x in NEVER_HINTS or x in ARTICLE_HINTS for x in telling)
+            found.update(telling if whole else (f".{x}" for x in parts))
+            found.update(f".{x}" for x in parts)
     return found
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the element is not shown: the attribute ``hidden`` itself, ``aria-hidden`` or a style."""
+    return "hidden" in VALUES.sub("", attributes).lower().split() or bool(HIDDEN.search(attributes))
+
+
 def events(page: str) -> list[tuple[str, str, bool]]:
     """The page in order: ``(kind, text, inner)``, kind ``text`` (in the article), ``stray`` (elsewhere), ``skip`` (never text) or a tag name; closing tags begin with ``/``.
 
@@ -104,7 +115,7 @@ def events(page: str) -> list[tuple[str, str, bool]]:
         # the header of an article holds its title, that of a page doesn't
         own_header = name == "header" and article > 0
         is_article = name in ARTICLE
-        bad = not is_article and name not in ("html", "body") and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and not (article and hints & ARTICLE_HINTS and "header" in hints) or bool(attributes) and bool(HIDDEN.search(attributes)))
+        bad = not is_article and name not in ("html", "body") and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and name not in HEADINGS and not (article and hints & OWN_HEADER and "header" in hints) or bool(attributes) and _hidden(attributes))
         if name in CONTAINERS or bad and name not in OPTIONAL_END:
             stack.append((name, bad, is_article))
             never += bad
@@ -118,23 +129,24 @@ def events(page: str) -> list[tuple[str, str, bool]]:
     return out if any_article else [("text" if kind == "stray" else kind, raw, inner) for kind, raw, inner in out]
 
 
-#: Labelled pages: the markup, and the article's blocks.  Written for this purpose.
+#: Labelled pages: the markup, and the article's blocks.  Written for this purpose; half of them mark neither article nor menus.
 LABELLED_PAGES: list[tuple[str, list[str]]] = [
     ('<html><head><title>t</title></head><body><nav><ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li></ul></nav><div class="ad">buy this now</div><article><h1>Rain ahead</h1><p>Clouds move in from the west.</p><p>Wind grows.<br>Later it calms.</p></article><footer>c site</footer></body></html>', ["Rain ahead", "Clouds move in from the west.", "Wind grows.", "Later it calms."]),
     ('<html><body><header><a href="/">Home</a></header><div><p>Bread needs four things: flour, water, salt and time.</p><p>Mix, wait, fold, bake.</p></div><aside><h3>More</h3><ul><li><a href="/c">Cakes</a></li></ul></aside><footer>Imprint</footer></body></html>', ["Bread needs four things: flour, water, salt and time.", "Mix, wait, fold, bake."]),
     ('<html><body><div>Welcome</div><main><h1>Bees</h1><p>A hive has one queen.</p><ul><li>workers</li><li>drones</li></ul><p>They live on <a href="/n">nectar</a> and pollen.</p></main><form><input name="q"><button>Go</button></form><section id="comments"><p>Nice!</p></section></body></html>', ["Bees", "A hive has one queen.", "workers", "drones", "They live on nectar and pollen."]),
     ('<html><body><table><tr><td><a href="/1">A</a></td><td><a href="/2">B</a></td></tr></table><div><h2>Tides</h2><p>The moon pulls the sea twice a day, and <b>spring</b> tides are the highest.</p></div><div><a href="/x">x</a> <a href="/y">y</a></div></body></html>', ["Tides", "The moon pulls the sea twice a day, and spring tides are the highest."]),
     ('<html><body><div class="menu"><a href="/">Home</a></div><div><h2>Soil</h2><div class="text"><p>Clay holds water.</p><div class="ad">Buy pots</div><p>Sand lets it run.</p></div><div><p>Loam does both.</p></div><div><div><p>Peat is sour.</p></div></div><p>Test it first.</p></div><div class="footer">Imprint</div></body></html>', ["Soil", "Clay holds water.", "Sand lets it run.", "Loam does both.", "Peat is sour.", "Test it first."]),
+    ('<html><body><table><tr><td><a href="/">Home</a></td><td><a href="/n">News</a></td><td><a href="/c">Contact</a></td></tr></table><table><tr><td><h1>Glaciers</h1><p>Ice that lasts for years begins to flow under its own weight.</p><p>It carves valleys and <i>carries</i> stones along.</p></td><td><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li><li><a href="/3">Three</a></li></ul></td></tr></table></body></html>', ["Glaciers", "Ice that lasts for years begins to flow under its own weight.", "It carves valleys and carries stones along."]),
+    ('<body><div><a href="/">Start</a> <a href="/a">About</a> <a href="/m">Map</a></div><div><h2>Clocks</h2><p>A pendulum keeps time because each swing takes as long as the last.</p><p>Springs made clocks small enough to carry in a pocket.</p></div><div><a href="/p">Privacy</a> <a href="/t">Terms</a></div></body>', ["Clocks", "A pendulum keeps time because each swing takes as long as the last.", "Springs made clocks small enough to carry in a pocket."]),
+    ('<body><div><p>Salt was once worth its weight in silver, and roads were built to move it.</p><aside>Buy salt</aside><p>Today it melts the ice on them.</p><form><input><button>Send</button></form><p>Too much of it harms the soil beside the road.</p></div><div><ul><li><a href="/x">x</a></li><li><a href="/y">y</a></li></ul></div></body>', ["Salt was once worth its weight in silver, and roads were built to move it.", "Today it melts the ice on them.", "Too much of it harms the soil beside the road."]),
+    ('<body><div><ul><li><a href="/1">a</a></li><li><a href="/2">b</a></li><li><a href="/3">c</a></li><li><a href="/4">d</a></li></ul></div><div><h1>Tea</h1><p>Leaves are picked by hand, <a href="/w">withered</a>, rolled and dried.</p><blockquote>A cup of tea makes everything better.</blockquote><p>Water just off the boil suits <a href="/g">green</a> tea best.</p></div></body>', ["Tea", "Leaves are picked by hand, withered, rolled and dried.", "A cup of tea makes everything better.", "Water just off the boil suits green tea best."]),
+    ('<body><div>Our paper is free for readers of this site and will stay so as long as many of you help us to pay for it</div><main><h1>Wells</h1><p>Water stands in them at the level of the ground water.</p></main><div>Write to us</div></body>', ["Wells", "Water stands in them at the level of the ground water."]),
+    ('<body><article><h1>Knots</h1><section id="related-work"><h2 id="related">Kinds</h2><p title="the hidden end">A bowline holds and comes undone with ease.</p></section><dl><dt>Hitch</dt><dd>ties a rope to a post</dd></dl><pre>over under</pre></article><div><a href="/k">k</a></div></body>', ["Knots", "Kinds", "A bowline holds and comes undone with ease.", "Hitch", "ties a rope to a post", "over under"]),
 ]
 
 
-def learn_weights(labelled: Sequence[tuple[str, list[str]]], word: float = 1.0, scale: float = 4.0) -> dict[str, float]:
-    """Scores of words and tags: log odds of standing inside the article, tags never above zero.
-
-    A tag counts as inside if article text precedes and follows it.  ``word`` scales the score
-    of a word, ``scale`` that of a tag, so that a tag that only stands around articles outweighs
-    a few words.
-    """
+def _counted(labelled: Sequence[tuple[str, list[str]]]) -> tuple[dict[str, float], dict[str, float]]:
+    """How often words and tags of each kind stand inside an article of the labelled pages, and in all."""
     inside: dict[str, float] = defaultdict(float)
     seen: dict[str, float] = defaultdict(float)
     for page, blocks in labelled:
@@ -142,22 +154,45 @@ def learn_weights(labelled: Sequence[tuple[str, list[str]]], word: float = 1.0,
         found = events(page)
         hit = [kind in ("text", "stray") and bool(wanted & set(html.unescape(raw).split())) for kind, raw, _ in found]
         first, last = hit.index(True), len(hit) - 1 - hit[::-1].index(True)
+        # the tags around the first and the last block are part of them
+        while first and found[first - 1][0] not in CONTAINERS and not found[first - 1][0].startswith("/") and found[first - 1][0] not in ("text", "stray", "skip"):
+            first -= 1
+        while last + 1 < len(found) and found[last + 1][0].startswith("/") and found[last + 1][0][1:] not in CONTAINERS:
+            last += 1
         for k, (kind, raw, inner) in enumerate(found):
             n = len(raw.split()) if kind in ("text", "stray") else 0 if kind == "skip" else 1
-            kind = INNER if inner else kind
+            kind = f"{INNER}:{kind}" if inner else kind
             seen[kind] += n
             inside[kind] += n * (first <= k <= last)
-    weights = {}
-    for kind, n in seen.items():
-        odds = math.log((inside[kind] + 0.05) / (n - inside[kind] + 0.05))
-        weights[kind] = word * odds if kind in ("text", "stray") else min(-0.01, scale * odds)
-    weights["text"] = max(weights.get("text", 0.0), word)
-    weights["stray"] = min(weights.get("stray", -word), -word / 2)
-    return weights
+    return inside, seen
+
+
+#: How much an odd tag may weigh against a word, and what is added to counts before odds are taken: the first pair that reads most labelled pages right is taken.
+SCALES, SMOOTHS = (0.5, 1.0, 2.0, 3.0, 4.0), (1.0, 0.5, 0.25, 0.05)
+
+
+def learn_weights(labelled: Sequence[tuple[str, list[str]]], word: float = 1.0) -> dict[str, float]:
+    """Scores of words and tags: log odds of standing inside the article, tags never above zero.
+
+    ``word`` is the least score of a word.  How tags weigh against words is fitted on the same pages.
+    """
+    inside, seen = _counted(labelled)
+
+    def weighed(scale: float, smooth: float) -> dict[str, float]:
+        weights = {}
+        for kind, n in seen.items():
+            odds = math.log((inside[kind] + smooth) / (n - inside[kind] + smooth))
+            weights[kind] = word * odds if kind in ("text", "stray") else min(UNSEEN_INNER, scale * odds)
+        weights["text"] = word
+        weights["stray"] = min(weights.get("stray", -word), -word / 2)
+        return weights
+
+    tried = [weighed(scale, smooth) for smooth in SMOOTHS for scale in SCALES]
+    return max(tried, key=lambda w: sum(main_text(page, w).split("\n") == blocks for page, blocks in labelled))
 
 
-#: Score of tags that no labelled page has.
-UNSEEN = -0.1
+#: Score of tags that no labelled page has, and of those within an article.
+UNSEEN, UNSEEN_INNER = -0.1, -0.01
 
 
 def best_region(found: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int]:
@@ -166,7 +201,7 @@ def best_region(found: list[tuple[str, str, bool]], weights: dict[str, float]) -
     for k, (kind, raw, inner) in enumerate(found):
         if kind == "skip":
             continue
-        score = weights.get(INNER if inner else kind, UNSEEN) * (len(raw.split()) if kind in ("text", "stray") else 1)
+        score = (weights.get(f"{INNER}:{kind}", UNSEEN_INNER) if inner else weights.get(kind, UNSEEN)) * (len(raw.split()) if kind in ("text", "stray") else 1)
         if total <= 0:
             total, start = 0.0, k
         total += score
