@@ -49,12 +49,12 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     field = warc.header_field
-    return warc.describe_records(spark, path).select(
-        warc.page_of("WARC-Record-ID").alias("page_id"),
+    return warc.check_records(spark, path).select(
+        warc.page_of("WARC-Record-ID").cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         field("WARC-Type").alias("record_type"),
-        warc.page_of("WARC-Refers-To").alias("refers_to"),
+        warc.page_of("WARC-Refers-To").cast("long").alias("refers_to"),
     )
 
 

@@ -17,23 +17,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled hosts and paths, 1 where a crawl would block them.
-LABELLED_URLS = [
-    ("spam-farm.example.org/es/750", 1), ("www.spam-farm.example.com/en/12", 1), ("m.spam-farm.example.net/de/9.html", 1), ("spam-farm.net/", 1),
-    ("spam-links.example.net/fr/81", 1), ("link-farm.example.com/en/4", 1), ("seo-spam.example.org/page/2", 1), ("cheap-pills.example.net/en/77", 1),
-    ("free-bets.example.net/en/26109/", 1), ("www.free-bets.example.com/fr/3", 1), ("blog.free-bets.example.org/es/55.html", 1), ("free-bets.com/bonus", 1),
-    ("best-bets.example.org/de/8", 1), ("free-casino.example.com/en/91", 1), ("online-casino.example.net/slots/1", 1), ("poker-bonus.example.org/en/14", 1),
-    ("adult-x.example.net/en/196", 1), ("m.adult-x.example.com/de/37/", 1), ("www.adult-x.example.org/fr/5", 1), ("adult-x.org/gallery", 1),
-    ("adult-cam.example.com/es/21", 1), ("xxx-tube.example.net/en/66", 1), ("porn-hub.example.org/video/2", 1), ("sex-chat.example.com/en/30", 1),
-    ("malware-drop.example.net/exe/1", 1), ("phish-login.example.org/account/verify", 1), ("warez-crack.example.com/download/5", 1), ("free-prizes.example.net/win/2", 1),
-    ("ththre.example.com/fr/825", 0), ("m.ththth.example.net/en/742/", 0), ("blog.tiontion.example.com/en/214", 0), ("www.ththhe.example.com/en/773", 0),
-    ("blog.tionsh.example.net/en/27", 0), ("www.tionble.example.com/fr/748", 0), ("ththwh.example.org/de/511", 0), ("blog.ththan.example.net/en/78", 0),
-    ("thernt.example.net/en/699/", 0), ("m.theron.example.com/fr/357", 0), ("therat.example.net/en/627/", 0), ("ththing.example.net/en/125/", 0),
-    ("news.example.com/world/2020/story.html", 0), ("en.wikipedia.example.org/wiki/Suffix_array", 0), ("docs.example.net/guide/install", 0), ("university.example.org/courses/algebra", 0),
-    ("weather.example.com/city/paris", 0), ("library.example.net/books/123", 0), ("shop.example.com/garden/tools", 0), ("museum.example.org/de/ausstellung", 0),
-    ("cooking.example.net/recipes/bread", 0), ("blog.example.com/2019/05/travel-notes", 0), ("forum.example.org/thread/881", 0), ("science.example.net/papers/4512", 0),
-    ("thersh.example.org/fr/4634", 0), ("m.tiontion.example.com/en/493", 0), ("ththor.example.net/es/949", 0), ("www.ththou.example.net/fr/39886/", 0),
-]
+#: Labelled names of hosts, 1 where a crawl would block them; written for this purpose, from no table of urls.
+LABELLED_HOSTS = {
+    1: "spam-links link-spam seo-spam spamfarm farm-links bulk-spam pills-online cheap-meds discount-pills pillshop generic-viagra betting-tips best-bets bets-online sportbets bet-now casino-online casinoroyal win-casino free-casino "
+    "jackpot-win lucky-win poker-bonus slots-free free-slots free-prizes adult-video adultchat adult-cams xxx-tube sexchat porn-clips hot-adult ads-network track-ads adtracker click-track popup-ads malware-drop phish-login warez-crack payday-loan",
+    0: "morning-paper evening-news weather-now city-library open-university river-museum mountain-club garden-tips slow-cooking bread-and-salt bike-repair train-times school-board chess-club bird-watch map-room quiet-reading stonework "
+    "old-harbour new-theatre history-notes physics-letters math-forum code-handbook film-review jazz-radio choir village-hall town-council water-works farmers-market forest-walks sail-training paper-mill print-shop clockmaker "
+    "translations grammar-school dictionary encyclopedia law-review health-advice nursing chemistry geology astronomy botany zoology architecture economics philosophy thesaurus atlas gazette chronicle tribune herald observer "
+    "inn theatre hearth earth north weather leather brother ration station nation mention action section edition tradition thread threshold three thing think then thesis within rather gather father entrance interest winter printer",
+}
+#: Prefixes, domains and paths that the names get in turn, the same for both labels, so that the model cannot learn them.
+PREFIXES, DOMAINS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org")
+PATHS = ("/en/12", "/fr/907", "/de/31.html", "/es/4/", "/", "/en/2048", "/page/3", "/fr/55.html", "/de/7/")
+
+
+def _in_turn() -> list[tuple[str, int]]:
+    out = []
+    for label, names in LABELLED_HOSTS.items():
+        for k, name in enumerate(names.split()):
+            out.append((f"{PREFIXES[k % 4]}{name}.{DOMAINS[k % 3]}{PATHS[k % 9]}", label))
+    return out
+
+
+#: The labelled table: host and path, and label.
+LABELLED_URLS = _in_turn()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:

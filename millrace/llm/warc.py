@@ -51,7 +51,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     lead = slim.groupBy("digest").agg(F.min(order).alias("lead"))
     joined = slim.join(lead, "digest")
     response = (F.col("row") == F.col("lead.row")) | (F.col("length") < min_revisit_bytes)
-    identity = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.concat(F.lit("row-"), row.cast("string"))), F.lit(">"))
+    identity = lambda page, row: F.concat(F.coalesce(F.concat(F.lit("<urn:page:"), page.cast("string")), F.concat(F.lit("<urn:row:"), row.cast("string"))), F.lit(">"))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _field("WARC-Type", F.when(response, "response").otherwise("revisit")),
@@ -86,14 +86,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("header", "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
-def describe_records(spark: SparkSession, path: str) -> DataFrame:
-    """``header, payload_bytes, payload_digest`` of every record, measured on the stored payloads.
+def check_records(spark: SparkSession, path: str) -> DataFrame:
+    """``header, payload_bytes, payload_digest, record_bytes`` of every record, measured on the records as they are rebuilt.
 
-    The same join as :func:`read_records`, but each payload is read, verified and measured where it
-    is stored, once, and only the figures go to its records.
+    A response is rebuilt by joining its payload, which crosses the network once, and must have the length and digest that its
+    header states, else an error is raised.  A revisit's block is empty; its payload's figures are those of the stored payload, and only
+    they are joined to it.
     """
-    measured = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    return read_headers(spark, path).join(measured, "digest").drop("digest")
+    headers = read_headers(spark, path)
+    payloads = read_payloads(spark, path)
+    is_revisit = F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
+    length, sha1 = F.octet_length("payload").cast("long"), base32_sha1(F.col("payload"))
+    rebuilt = headers.where(~is_revisit).join(payloads, "digest")
+    rebuilt = rebuilt.select("header", length.alias("payload_bytes"), sha1.alias("payload_digest"), F.octet_length(F.concat(F.encode("header", "UTF-8"), F.col("payload"), F.lit(b"\r\n\r\n"))).cast("long").alias("record_bytes"))
+    sound = (header_field("Content-Length") == F.col("payload_bytes").cast("string")) & (header_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
+    wrong = F.raise_error(F.concat(F.lit("record is not what its header says: "), F.col("header")))
+    rebuilt = rebuilt.withColumn("payload_bytes", F.when(F.coalesce(sound, F.lit(False)), F.col("payload_bytes")).otherwise(wrong))
+    measured = payloads.select("digest", length.alias("payload_bytes"), sha1.alias("payload_digest"))
+    revisits = headers.where(is_revisit).join(measured, "digest").select("header", "payload_bytes", "payload_digest", (F.octet_length(F.encode("header", "UTF-8")) + 4).cast("long").alias("record_bytes"))
+    return rebuilt.unionByName(revisits)
 
 
 def header_field(name: str) -> Column:
@@ -103,9 +114,6 @@ def header_field(name: str) -> Column:
 
 
 def page_of(name: str) -> Column:
-    """The page id in a record-id field; null for a record of a page without id."""
-    return F.expr(f"try_cast(regexp_extract({_sql_field(name)}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-
-
-def _sql_field(name: str) -> str:
-    return rf"regexp_extract(header, '\\r\\n{name}: ([^\\r\\n]*)\\r\\n', 1)"
+    """The page id in a record-id field, as text; null for a record of a page without id."""
+    found = F.regexp_extract(header_field(name), r"^<urn:page:(.*)>$", 1)
+    return F.when(header_field(name).startswith("<urn:page:"), found)

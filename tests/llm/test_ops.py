@@ -445,6 +445,21 @@ def test_warc(spark):
     assert warc.read_records(spark, none).count() == 0
 
 
+def test_warc_checks_what_it_rebuilds(spark):
+    pages = [("a", "u", "<p>é</p>"), ("row-1", "u", "<p>é</p>"), (None, None, "x"), ("b", "v", None)]
+    path = stage_path(spark, "t")
+    warc.write_archive(spark.createDataFrame(pages, "page_id string, url string, html string"), path)
+    whole = {r["header"]: r for r in warc.read_records(spark, path).collect()}
+    got = warc.check_records(spark, path).withColumns({"page": warc.page_of("WARC-Record-ID"), "to": warc.page_of("WARC-Refers-To")}).collect()
+    assert sorted((r["page"], r["to"]) for r in got if r["page"]) == [("a", None), ("b", None), ("row-1", "a")] and len(got) == 4
+    assert all((r["payload_bytes"], r["record_bytes"]) == (len(whole[r["header"]]["payload"]), len(whole[r["header"]]["record"])) for r in got)
+    other = stage_path(spark, "t")
+    warc.read_headers(spark, path).withColumn("header", F.replace("header", F.lit("Content-Length: 1"), F.lit("Content-Length: 2"))).write.parquet(f"{other}/records")
+    warc.read_payloads(spark, path).write.parquet(f"{other}/payloads")
+    with pytest.raises(Exception, match="record is not what its header says"):
+        warc.check_records(spark, other).collect()
+
+
 def test_warc_notices_damage(spark):
     path = stage_path(spark, "t")
     warc.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
