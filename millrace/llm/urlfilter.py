@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: Labelled names of hosts, 1 where a crawl would block them; written for this purpose, from no table of urls.
 LABELLED_HOSTS = {
     1: "spam-links link-spam seo-spam spamfarm farm-links bulk-spam pills-online cheap-meds discount-pills pillshop generic-viagra betting-tips best-bets bets-online sportbets bet-now casino-online casinoroyal win-casino free-casino "
+    "spambot spam-mails linkfarm pill-deals pharm-pills bigbets bets-bets jackpots adultfilm adult-dates clicktrack tracker-click warez-files crackwarez "
     "jackpot-win lucky-win poker-bonus slots-free free-slots free-prizes adult-video adultchat adult-cams xxx-tube sexchat porn-clips hot-adult ads-network track-ads adtracker click-track popup-ads malware-drop phish-login warez-crack payday-loan",
     0: "morning-paper evening-news weather-now city-library open-university river-museum mountain-club garden-tips slow-cooking bread-and-salt bike-repair train-times school-board chess-club bird-watch map-room quiet-reading stonework "
     "old-harbour new-theatre history-notes physics-letters math-forum code-handbook film-review jazz-radio choir village-hall town-council water-works farmers-market forest-walks sail-training paper-mill print-shop clockmaker "
