@@ -97,28 +97,31 @@ def metric_rules(functions: DataFrame, classes: DataFrame, modules: DataFrame, f
     """Complexity, nesting, length, argument and size rules, with their severity bands."""
     d = DEFAULTS | (limits or {})
     n = lambda k: F.col("nums")[k]
-    out = []
-
-    def rule(df: DataFrame, rule_id: str, key: str, limit: float, severity: Column, what: str) -> None:
-        out.append(as_findings(df.where(n(key) > limit), rule_id, severity, "quality", F.format_string(f"{what}: %s", n(key).cast("int").cast("string")), value=n(key), threshold=limit))
-
-    c = n("complexity")
-    rule(functions, "SKY-Q301", "complexity", d["complexity"], F.when(c < 15, "WARN").when(c < 25, "HIGH").otherwise("CRITICAL"), "cyclomatic complexity")
-    g = n("cognitive")
-    rule(functions, "SKY-Q306", "cognitive", d["cognitive"], F.when(g <= 30, "MEDIUM").when(g <= 50, "HIGH").otherwise("CRITICAL"), "cognitive complexity")
-    x = n("nesting")
-    rule(functions, "SKY-Q302", "nesting", d["nesting"], F.when(x <= d["nesting"] + 2, "MEDIUM").when(x <= d["nesting"] + 5, "HIGH").otherwise("CRITICAL"), "nesting depth")
-    rule(functions, "SKY-C303", "required", d["required_args"], F.lit("MEDIUM"), "required arguments")
-    rule(functions.where(n("required") <= d["required_args"]), "SKY-C303", "args", d["total_args"], F.lit("LOW"), "arguments")
-    rule(functions, "SKY-C304", "length", d["max_lines"], F.when(n("length") < 100, "MEDIUM").otherwise("HIGH"), "lines in function")
-    rule(functions, "SKY-L028", "returns", d["returns"], F.lit("MEDIUM"), "return statements")
-    rule(functions, "SKY-L029", "boolean_args", 1, F.lit("MEDIUM"), "boolean parameters")
-    rule(functions.where(n("bare_returns") > 0), "SKY-L006", "value_returns", 0, F.lit("MEDIUM"), "returns with a value among returns without")
-    rule(classes, "SKY-Q501", "methods", d["methods"], F.lit("MEDIUM"), "methods")
-    rule(classes.where(n("methods") <= d["methods"]), "SKY-Q501", "attributes", d["attributes"], F.lit("MEDIUM"), "attributes")
+    simple = F.element_at(F.split("name", r"\."), -1)
+    public = ~simple.startswith("_")
+    c, g, x = n("complexity"), n("cognitive"), n("nesting")
+    typed = F.col("attrs")["returns"].isNotNull()
+    # one pass over functions and one over classes: rule, metric, limit, severity, what it counts, further condition
+    of_functions = [
+        ("SKY-Q301", c, d["complexity"], F.when(c < 15, "WARN").when(c < 25, "HIGH").otherwise("CRITICAL"), "cyclomatic complexity", None),
+        ("SKY-Q306", g, d["cognitive"], F.when(g <= 30, "MEDIUM").when(g <= 50, "HIGH").otherwise("CRITICAL"), "cognitive complexity", None),
+        ("SKY-Q302", x, d["nesting"], F.when(x <= d["nesting"] + 2, "MEDIUM").when(x <= d["nesting"] + 5, "HIGH").otherwise("CRITICAL"), "nesting depth", None),
+        ("SKY-C303", n("required"), d["required_args"], F.lit("MEDIUM"), "required arguments", None),
+        ("SKY-C303", n("args"), d["total_args"], F.lit("LOW"), "arguments", n("required") <= d["required_args"]),
+        ("SKY-C304", n("length"), d["max_lines"], F.when(n("length") < 100, "MEDIUM").otherwise("HIGH"), "lines in function", None),
+        ("SKY-L028", n("returns"), d["returns"], F.lit("MEDIUM"), "return statements", None),
+        ("SKY-L029", n("boolean_args"), 1, F.lit("MEDIUM"), "boolean parameters", None),
+        ("SKY-L006", n("value_returns"), 0, F.lit("MEDIUM"), "returns with a value among returns without", n("bare_returns") > 0),
+        ("SKY-T101", n("untyped"), 0, F.lit("MEDIUM"), "public parameters without annotation", public),
+        ("SKY-T102", (~typed).cast("double"), 0, F.lit("MEDIUM"), "public function without return annotation", public),
+    ]
     tolerated = F.when(F.col("attrs")["data"] == "True", 6).otherwise(d["lcom4"])
-    cohesion = classes.where(n("lcom4") > tolerated)
-    rule(cohesion, "SKY-Q702", "lcom4", d["lcom4"], F.when(n("lcom4") > 4, "HIGH").otherwise("MEDIUM"), "groups of unrelated methods")
+    of_classes = [
+        ("SKY-Q501", n("methods"), d["methods"], F.lit("MEDIUM"), "methods", None),
+        ("SKY-Q501", n("attributes"), d["attributes"], F.lit("MEDIUM"), "attributes", n("methods") <= d["methods"]),
+        ("SKY-Q702", n("lcom4"), d["lcom4"], F.when(n("lcom4") > 4, "HIGH").otherwise("MEDIUM"), "groups of unrelated methods", n("lcom4") > tolerated),
+    ]
+    out = [_over(functions, of_functions), _over(classes, of_classes)]
     sized = modules.join(files.select(F.col("path").alias("file"), "loc"), "file")
     over = [(F.col("loc"), d["god_file_lines"]), (n("definitions"), d["god_file_definitions"]), (n("top_level"), d["god_file_top_level"])]
     violations = sum(((v > lim).cast("int") for v, lim in over), F.lit(0))
@@ -127,12 +130,20 @@ def metric_rules(functions: DataFrame, classes: DataFrame, modules: DataFrame, f
     out.append(as_findings(god, "SKY-Q502", F.when((worst >= 1.5) | (violations >= 2), "HIGH").otherwise("MEDIUM"), "quality", say("file of %s lines", "loc"), value=F.col("loc"), threshold=d["god_file_lines"]))
     empty = modules.where(n("statements") == 0)
     out.append(as_findings(empty, "SKY-E002", "LOW", "dead_code", F.lit("file without statements")))
-    public = functions.where(~F.element_at(F.split("name", r"\."), -1).startswith("_"))
-    out.append(as_findings(public.where(n("untyped") > 0), "SKY-T101", "MEDIUM", "quality", F.lit("public parameter without annotation"), value=n("untyped"), threshold=0))
-    out.append(as_findings(public.where(F.col("attrs")["returns"].isNull()), "SKY-T102", "MEDIUM", "quality", F.lit("public function without return annotation")))
     return union_all(out)
 
 
+def _over(rows: DataFrame, checks: list[tuple]) -> DataFrame:
+    """Findings of rows that exceed limits, all checks in one pass."""
+    hits = []
+    for rule, metric, limit, severity, what, also in checks:
+        over = metric > limit if also is None else (metric > limit) & also
+        message = F.format_string(f"{what}: %s", metric.cast("int").cast("string"))
+        hits.append(F.when(over, F.struct(F.lit(rule).alias("r"), severity.alias("s"), metric.cast("double").alias("v"), F.lit(float(limit)).alias("t"), message.alias("m"))))
+    found = rows.withColumn("_h", F.explode(F.array_compact(F.array(*hits))))
+    return as_findings(found, F.col("_h.r"), F.col("_h.s"), "quality", F.col("_h.m"), value=F.col("_h.v"), threshold=F.col("_h.t"))
+
+
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
     parts = list(parts)
     out = parts[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar
 from millrace.operators import behavior, clones, deps, findings, graph, intervals, score, textscan
 from millrace.plans import sample
-from millrace.plans.analyze import analyze, module_edges
+from millrace.plans.analyze import analyze
 from millrace.session import table
 from millrace.sources.files import from_texts
 from millrace.streaming import watch
@@ -750,32 +750,10 @@ def watch_new_resolved(spark, sf_dir):
 # Source code ----------------------------------------------------------------------------------
 
 
-#: The sample's analysis by application: its tables are staged once a session.
-_ANALYSES: dict = {}
+_SAMPLE_SQL = ", ".join(f"('{file}', {line}, 'SKY-{rule}')" for file, lines in sample.EXPECTED.items() for line, found in lines.items() for rule in found.split())
 
 
-def _sample(spark):
-    key = spark.sparkContext.applicationId
-    if key not in _ANALYSES:
-        _ANALYSES[key] = analyze(from_texts(spark, sample.FILES))
-    return _ANALYSES[key]
-
-
-@query(None)
+@query(f"SELECT file, line::INTEGER AS line, rule_id FROM (VALUES {_SAMPLE_SQL}) v(file, line, rule_id)")
 def code_findings(spark, sf_dir):
-    return _sample(spark).findings
-
-
-@query(None)
-def code_dead(spark, sf_dir):
-    return _sample(spark).dead.select("def_key", "type", "references", "confidence", "decision")
-
-
-@query(None)
-def code_module_edges(spark, sf_dir):
-    return module_edges(_sample(spark).facts)
-
-
-@query(None)
-def code_grade(spark, sf_dir):
-    return _sample(spark).grade()
+    """The whole analysis of a small project in several languages."""
+    return analyze(from_texts(spark, sample.FILES)).findings.select("file", F.col("line").cast("int").alias("line"), "rule_id").distinct()

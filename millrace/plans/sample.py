@@ -62,3 +62,15 @@ class Unused:
     ".github/workflows/ci.yml": "on: pull_request_target\njobs:\n  build:\n    steps:\n      - uses: actions/checkout@v4\n      - run: curl http://example.org/x.sh | sh\n",
     "Dockerfile": "FROM python\nADD https://example.org/x.tgz /x\nENV API_TOKEN=abcdef\n",
 }
+
+#: What the analysis must report: file to line to rules, without their common prefix.
+EXPECTED = {
+    ".": {1: "R101 R102 R104 R105"},
+    ".github/workflows/ci.yml": {1: "D291 D307", 5: "D292", 6: "D328"},
+    "Dockerfile": {2: "D342", 3: "D343"},
+    "shop/base.py": {1: "Q802", 2: "T102", 6: "T102"},
+    "shop/orders.py": {1: "Q802", 2: "U002", 9: "L001 T101 T102", 11: "D211", 14: "D209 D212", 18: "T101 T102", 22: "T102", 26: "T102 U001", 30: "T102 U001", 35: "T102", 38: "T102", 41: "T102 U001", 45: "U004", 46: "T102", 49: "L002 L007"},
+    "tests/test_orders.py": {4: "T102"},
+    "web/src/old.ts": {1: "E003"},
+    "web/src/view.ts": {1: "D226 E004"},
+}
