@@ -394,13 +394,15 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     """
     schema = "key long, frag binary, doc long, tx long, first int, lead int, starts int, reps int"
     found = stage_table(docs.mapInPandas(_fragments(unit), schema), "suffix-fragments", compression="zstd")
-    groups = found.groupBy("key").agg(F.sum("reps").alias("rows"), F.min("frag").alias("f1"), F.max("frag").alias("f2")).where("rows > 1")
+    # numbers of fixed width only, so that Spark aggregates by hashing: digests are compared by a hash, any one place stands for a fragment
+    name = F.xxhash64("frag")
+    groups = found.groupBy("key").agg(F.sum("reps").alias("rows"), F.min(name).alias("f1"), F.max(name).alias("f2")).where("rows > 1")
     groups = groups.select("key", (F.col("f1") != F.col("f2")).alias("mixed"))
     again = stage_table(found.join(groups, "key"), "suffix-again", compression="zstd")
     drop_staged(found)
-    one = F.min(F.struct("doc", "tx", "first", "lead", "starts")).alias("at")
-    chosen = again.where("mixed").groupBy("key", "frag").agg(F.sum("reps").alias("n"), one)
-    wanted = chosen.groupBy(F.col("at.doc").alias("doc"), F.col("at.tx").alias("tx")).agg(F.collect_list(F.struct("key", "frag", "n", "at.first", "at.lead", "at.starts")).alias("wanted"))
+    place = ("doc", "tx", "first", "lead", "starts")
+    chosen = again.where("mixed").groupBy("key", "frag").agg(F.sum("reps").alias("n"), *[F.first(c).alias(c) for c in place])
+    wanted = chosen.groupBy("doc", "tx").agg(F.collect_list(F.struct("key", "frag", "n", "first", "lead", "starts")).alias("wanted"))
     texts = docs.join(wanted, ["doc", "tx"]).select("raw", "wanted").mapInPandas(_cut_out(unit), ROW_SCHEMA)
     staged = [stage_table(texts.dropDuplicates(["key", "frag"]), "suffix-rows")]
     runs = _resolve(staged[0], unit.window, unit, staged)
