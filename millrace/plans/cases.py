@@ -1118,6 +1118,74 @@ DECISIONS = [
 ]
 
 
+_BODY = """    total = 0
+    for item in items:
+        if item > limit:
+            total += item
+        else:
+            total -= 1
+    name = 'sum'
+    print(name, total)
+    return total
+"""
+#: Functions of which some are copies: the text, the same with other names, the same shape, and one that is alone.
+FAMILIES["clones"] = {
+    "clones/a.py": "def first(items, limit):\n" + _BODY,
+    "clones/b.py": "x = 1\n\n\ndef first(items, limit):\n" + _BODY,
+    "clones/c.py": "def other(things, bound):\n" + _BODY.replace("items", "things").replace("item", "thing").replace("limit", "bound").replace("total", "amount"),
+    "clones/d.py": "def alone(path):\n    with open(path) as f:\n        lines = f.readlines()\n    out = {}\n    while lines:\n        line = lines.pop()\n        out[line] = len(line)\n    return sorted(out, key=out.get)\n\n",
+}
+
+#: Manifests, and what they declare.
+MANIFESTS = {
+    "requirements.txt": "# pinned\nFlask==2.0.1  # web\nmy_lib[extra] >= 1.0, <2 ; python_version > '3'\n-r other.txt\n\nplain\n",
+    "package.json": '{"dependencies": {"left-pad": "^1.3.0"}, "devDependencies": {"jest": "29.0.0"}}',
+    "go.mod": "module example.org/m\n\nrequire github.com/a/b v1.2.3\nrequire (\n\tgolang.org/x/text v0.3.0 // indirect\n)\n",
+    "pyproject.toml": '[project]\nname = "x"\ndependencies = [\n  "requests>=2",\n  "Typing_Extensions",\n]\n',
+}
+DECLARED = [
+    ("requirements.txt", "PyPI", "flask", "==2.0.1"), ("requirements.txt", "PyPI", "my-lib", ">=1.0,<2"), ("requirements.txt", "PyPI", "plain", ""), ("package.json", "npm", "left-pad", "^1.3.0"), ("package.json", "npm", "jest", "29.0.0"),
+    ("go.mod", "Go", "github.com/a/b", "v1.2.3"), ("go.mod", "Go", "golang.org/x/text", "v0.3.0"), ("pyproject.toml", "PyPI", "requests", ">=2"), ("pyproject.toml", "PyPI", "typing-extensions", ""),
+]
+
+#: Model calls, one guarded and one not, and the checks that each passes.
+FAMILIES["defend"] = {
+    "bot/guarded.py": '''
+import json
+import logging
+from openai import OpenAI
+
+client = OpenAI()
+
+def answer(question):
+    logging.info("asked")
+    limiter.throttle()
+    text = quote(truncate(question))
+    reply = client.chat.completions.create(model="gpt-4-0613", messages=[text], max_tokens=100)
+    return json.loads(redact(reply))
+''',
+    "bot/open.py": '''
+from openai import OpenAI
+
+client = OpenAI()
+
+def answer(question):
+    reply = client.chat.completions.create(model="gpt-4", messages=[question], tools=[run])
+    return eval(reply)
+''',
+}
+PASSED = {
+    "bot/guarded.py": "cost-controls input-length-limit logging-present model-pinned no-dangerous-sink output-pii-filter output-validation prompt-delimiter rag-context-isolation rate-limiting tool-schema-present tool-scope untrusted-input-to-prompt",
+    "bot/open.py": "rag-context-isolation",
+}
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    """Rows of texts as SQL."""
+    found = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {found}) v({names})"
+
+
 def sources(family: str) -> dict[str, str]:
     """Path to text, without marks."""
     return {path: "\n".join(MARK.sub("", line) for line in text.split("\n")) for path, text in FAMILIES[family].items()}

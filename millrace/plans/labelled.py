@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import appsec, configscan, langscan, resolve, rules, textscan
+from millrace.operators import appsec, clones, configscan, defend, deps, langscan, resolve, rules, textscan
 from millrace.plans import cases
 from millrace.session import stage_table
 from millrace.sources.files import from_texts
@@ -88,5 +88,32 @@ def dead_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated.select("name", "decision", F.coalesce("rescue", F.lit("")).alias("rescue"), F.coalesce(F.try_element_at("evidence", F.lit(1)), F.lit("")).alias("evidence"))
 
 
-QUERIES = {f"rules_{family}": _query(family) for family in RULES} | {"dead_decisions": dead_decisions}
-ORACLES = {f"rules_{family}": cases.expected_sql(family) for family in RULES} | {"dead_decisions": cases.decisions_sql()}
+def manifest_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame(list(cases.MANIFESTS.items()), "path string, text string")
+    of = lambda name: files.where(F.col("path") == name)
+    parts = [deps.requirements(of("requirements.txt")).drop("line"), deps.package_json(of("package.json")), deps.go_mod(of("go.mod")), deps.pyproject(of("pyproject.toml"))]
+    return rules.union_all([p.select("path", "eco", "name", "spec") for p in parts])
+
+
+def clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of copies with their type, and the group that joins them."""
+    fragments = stage_table(clones.extract_fragments(from_texts(spark, cases.sources("clones")).select("path", "text")), "fragments")
+    pairs = stage_table(clones.clone_pairs(fragments), "pairs")
+    group = clones.clone_groups(pairs).select(F.explode("members").alias("a"), "size")
+    return pairs.join(group, "a").select("a", "b", "clone_type", F.col("size").cast("string").alias("size"))
+
+
+def guardrail_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that model calls pass."""
+    facts = stage_table(extract(from_texts(spark, cases.sources("defend"))), "facts")
+    calls, flows = of_kind(facts, "call"), of_kind(facts, "flow").where("attrs['any'] = 'True'")
+    return defend.checks(defend.integrations(calls), calls, flows).where("passed").select("file", "plugin")
+
+
+QUERIES = {f"rules_{family}": _query(family) for family in RULES} | {f.__name__: f for f in (dead_decisions, manifest_dependencies, clone_pairs, guardrail_checks)}
+ORACLES = {f"rules_{family}": cases.expected_sql(family) for family in RULES} | {
+    "dead_decisions": cases.decisions_sql(),
+    "manifest_dependencies": cases.values_sql(cases.DECLARED, "path, eco, name, spec"),
+    "clone_pairs": cases.values_sql([(f"clones/{x}.py:{m:07}", f"clones/{y}.py:{n:07}", t, 3) for x, m, y, n, t in (("a", 1, "b", 4, "type1"), ("a", 1, "c", 1, "type2"), ("b", 4, "c", 1, "type2"))], "a, b, clone_type, size"),
+    "guardrail_checks": cases.values_sql([(file, plugin) for file, found in cases.PASSED.items() for plugin in found.split()], "file, plugin"),
+}
