@@ -66,15 +66,16 @@ def mix(docs: DataFrame, weights: Sequence[int], share_percent: int = 150, max_r
     and are never taken; a null source is a source of its own; repeated rows are
     rows of their own (full ties are interchangeable); an empty table gives no rows;
     other columns are ignored.  Documents are taken whole; a source therefore ends within one
-    document of its target.  The order within a source is that of md5(doc_id), so that
-    reruns agree.
+    document of its target.  The order within a source is that of md5(doc_id) (of the text's hash
+    where there is no id), so that reruns agree.
 
     Running sums never put a source in one task: a source is cut into ``CELLS`` cells
     of its shuffled order, cells are summed first, and only rows of one cell are sorted
     together.  The cut is found from two histograms of virtual time, then exactly
     within one tick.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # documents without id are spread by their texts, so that they are not one cell
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string"))))
     sized = docs.select(
         "doc_id",
         "source",

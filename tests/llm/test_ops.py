@@ -267,6 +267,29 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty, MIX_WEIGHTS).count() == 0
 
 
+def test_mixing_goes_on_until_the_budget_is_used(spark):
+    """A document much larger than its source's target finishes late; what is cut is what plain fair queueing cuts."""
+    rng = random.Random(3)
+    sizes = [(k, f"s{k % 59:02}", rng.randint(20, 120)) for k in range(590)]
+    sizes.append((999, "z", sum(n for _, _, n in sizes) // 3))
+    df = spark.createDataFrame([(k, "w " * n, s) for k, s, n in sizes], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df, MIX_WEIGHTS).collect()}
+    target = {r["source"]: r["target"] for r in got.values()}
+    per, cum = Counter(), {}
+    for k, s, n in sorted(sizes, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        per[s] += n
+        cum[k] = per[s]
+    finish = sorted((cum[k] + r * per[s], target[s], n, k) for k, s, n in sizes for r in (0, 1))
+    finish = sorted(((c / t, n, k) for c, t, n, k in finish))
+    budget, run, taken = sum(per.values()) * 150 // 100, 0, Counter()
+    for f, n, k in finish:
+        run += n
+        if run > budget:
+            break
+        taken[k] += n
+    assert finish[0][0] < 4 < max(f for f, _, k in finish) and {k: r["taken"] for k, r in got.items()} == {k: taken[k] for k in got}
+
+
 def test_mixing_of_nothing(spark):
     got = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string"), MIX_WEIGHTS).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in got] == [(0, 0, 0.0)] * 2
