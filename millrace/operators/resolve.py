@@ -142,7 +142,7 @@ def rescues(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -
     """``def_key, rescue``: definitions that are alive for a reason no reference shows (stage 3).
 
     Fallbacks of optional imports; methods that override those of a protocol or abstract class of the project or of a base outside
-    it; methods of classes that are registered (a decorator or call named ``register``); definitions that a string names in full;
+    it; methods of classes that are registered (a decorator or call named ``register``); what ``getattr`` finds by a name made at run time; definitions that a string names in full;
     public methods that the documentation names with their class.
     """
     simple = F.element_at(F.split("name", r"\."), -1)
@@ -157,6 +157,8 @@ def rescues(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -
     by_call = by_call.select(F.explode(F.array(F.col("cls"), F.concat_ws(".", module_name(F.col("file")), "cls"))).alias("owner"))
     registered = by_decorator.unionByName(by_call).distinct()
     found.append(methods.where("simple_name not like '\\\\_%'").join(registered, "owner", "left_semi").select("def_key", F.lit("registered class").alias("rescue")))
+    patterns = facts.where("kind = 'dynamic_pattern'").select(F.col("name").alias("_pattern")).distinct()
+    found.append(defs.where("type in ('function', 'method', 'class')").join(patterns, F.rlike("simple_name", F.col("_pattern")), "left_semi").select("def_key", F.lit("name made at run time").alias("rescue")))
     named = facts.where("kind = 'string'").select(F.col("name").alias("def_key")).where("def_key like '%.%'").distinct()
     found.append(defs.where("type <> 'import'").join(named, "def_key", "left_semi").select("def_key", F.lit("named by a string").alias("rescue")))
     if files is not None:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.extend import Extensions
 from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, textscan
 from millrace.session import stage_table
 from millrace.sources import files as sources
@@ -65,14 +66,15 @@ def architecture(facts: DataFrame) -> DataFrame:
     )
 
 
-def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resolve.THRESHOLD) -> Analysis:
+def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resolve.THRESHOLD, extensions: Extensions | None = None) -> Analysis:
     """All findings of a ``SOURCE_FILES`` table.
 
     Facts are extracted once and staged; each rule is a query over them.  Lines with an ignore
-    comment give no findings.
+    comment give no findings.  ``extensions``: rules, visitors and words of the user's own.
     """
     files = stage_table(files, "files")
-    facts = stage_table(extract(files), "facts")
+    facts = extract(files)
+    facts = stage_table(facts if extensions is None else facts.unionByName(extensions.facts(files)), "facts")
     ignores = inline_ignores(files)
     calls, functions, classes = (of_kind(facts, k) for k in ("call", "function", "class"))
     dead = stage_table(resolve.dead_code(facts, threshold, ignores.where("rule_id is null"), files), "dead")
@@ -94,5 +96,7 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
         rules.lock_order(of_kind(facts, "lock")), rules.shared_state(of_kind(facts, "global_write"), calls), rules.opaque_names(of_kind(facts, "definition")), rules.stale_mocks(calls, of_kind(facts, "definition"), of_kind(facts, "string")), rules.policy_rules(files),
         rules.as_findings(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused, appsec.scan(facts),
     ])
+    if extensions is not None:
+        found = found.unionByName(extensions.findings(facts))
     kept = found.join(ignores.where("rule_id is null").select("file", "line"), ["file", "line"], "left_anti").join(ignores.where("rule_id is not null"), ["file", "line", "rule_id"], "left_anti")
     return Analysis(files, facts, stage_table(kept.select(*rules.COLUMNS), "findings"), dead)

@@ -1052,6 +1052,14 @@ chooser(PLUGINS)
 class Table:
     __tablename__ = "t"
 
+def handle_start():
+    return 1
+
+def dispatch(name):
+    return getattr(sys.modules[name], f"handle_{name}")
+
+dispatch("start")
+
 class Documented:
     def shown(self):
         return 1
@@ -1111,6 +1119,7 @@ DECISIONS = [
     ("app.core.clicked", "alive", "", ""),
     ("app.core.exported_handler", "alive", "", ""),
     ("app.core.fast", "alive", "optional import", ""),
+    ("app.core.handle_start", "alive", "name made at run time", ""),
     ("app.core.mentioned_in_broken", "abstained", "", "app/broken.py:2"),
     ("app.core.only_for_unused", "reported", "", ""),
     ("app.core.plugin", "alive", "named by a string", ""),

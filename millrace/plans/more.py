@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
-from millrace.operators import configscan, deps, findings, graph, intervals, langscan, provenance, regression, resolve, rules, score, textscan
+from millrace.operators import configscan, context, deps, findings, graph, intervals, langscan, provenance, regression, resolve, rules, score, textscan
 from millrace.plans import cases
 from millrace.plans.bridge import ORDER_SEVERITY, PART_EDGES, part_edges, priority_severity, query_registry
 from millrace.session import stage_path, stage_table, table
@@ -416,6 +416,34 @@ def impacted_files(spark, sf_dir):
     return graph.impacted_files(changed, part_edges(spark, sf_dir)).select("file")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_regionkey < 2),
+p AS (SELECT n_nationkey AS node, [n_nationkey] AS trace FROM nation WHERE n_nationkey IN (3, 8) UNION ALL SELECT e.b, list_append(trace, e.b) FROM p JOIN e ON e.a = node WHERE len(trace) < 12 AND NOT list_contains(trace, e.b)),
+s AS (SELECT node, min(len(trace)) AS steps FROM p GROUP BY 1)
+SELECT node::VARCHAR AS scope, len(trace)::INTEGER AS steps, trace[1] IN (3, 8) AS from_entry FROM (SELECT node, arg_min(trace, len(trace)) AS trace FROM p GROUP BY 1) WHERE node % 2 = 0
+""")
+def threat_traces(spark, sf_dir):
+    """Nations as functions: shortest chains from two entries to every second one."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey")
+    text = lambda c: c.cast("int").cast("string")
+    calls = n.select(text(F.col("k")).alias("caller"), text((F.col("k") * 2 + 1) % 25).alias("callee")).union(n.where("n_regionkey < 2").select(text(F.col("k")), text((F.col("k") + 7) % 25)))
+    dangers = n.where("k % 2 = 0").select(text(F.col("k")).alias("scope"), F.lit("R").alias("rule_id"), F.lit(1).alias("line"))
+    found = context.threat_traces(dangers, calls, n.where("k in (3, 8)").select(text(F.col("k")).alias("node")))
+    return found.select("scope", F.size("trace").alias("steps"), F.element_at("trace", 1).isin("3", "8").alias("from_entry"))
+
+
+@query(f"""
+WITH f AS (SELECT 'src/c' || k || '.py' AS path FROM (SELECT DISTINCT o_custkey % 60 AS k FROM orders)), n AS (SELECT file AS path, count(*) AS n, count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS s FROM ({_FINDINGS_SQL}) GROUP BY 1),
+i AS (SELECT 'src/c' || s_nationkey || '.py' AS path, count(DISTINCT s_suppkey) AS i FROM supplier GROUP BY 1)
+SELECT path, (coalesce(n, 0) * 2 + coalesce(s, 0) * 10 + coalesce(i, 0) + CASE WHEN path IN (SELECT 'src/c' || n_nationkey * 2 || '.py' FROM nation) THEN 50 ELSE 0 END)::DOUBLE AS score FROM f LEFT JOIN n USING (path) LEFT JOIN i USING (path) ORDER BY score DESC, path LIMIT 20
+""")
+def files_to_read(spark, sf_dir):
+    found = _order_findings(spark, sf_dir)
+    imports = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.format_string("src/c%d.py", "s_nationkey").alias("dst"))
+    changed = table(spark, sf_dir, "nation").select(F.format_string("src/c%d.py", F.col("n_nationkey") * 2).alias("path"))
+    return context.rank_files(found.select(F.col("file").alias("path")).distinct(), found, imports, changed, 20)
+
+
 # Changes --------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ that rules are filters and joins over tables.
 from __future__ import annotations
 
 import ast
+import re
 from collections import Counter
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
@@ -351,8 +352,13 @@ class Extractor:
         keywords = {k.arg or "**": ast.unparse(k.value) for k in node.keywords}
         given = {f"kw:{k}": v[:200] for k, v in keywords.items()} | {"args": ", ".join(map(ast.unparse, node.args))[:200]}
         self.emit("call", scope, name or f".{getattr(node.func, 'attr', '')}", node, nums={"args": len(node.args)}, attrs=given | ({"first_text": node.args[0].value[:200]} if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else {}), items=[dotted(a, self.aliases) for a in node.args])
-        if name == "getattr" and len(node.args) > 1 and isinstance(node.args[1], ast.Constant):
-            self.emit("dynamic", scope, str(node.args[1].value), node)
+        if name == "getattr" and len(node.args) > 1:
+            if isinstance(node.args[1], ast.Constant):
+                self.emit("dynamic", scope, str(node.args[1].value), node)
+            elif isinstance(node.args[1], ast.JoinedStr):
+                parts = [str(v.value) if isinstance(v, ast.Constant) else None for v in node.args[1].values]
+                if any(parts):
+                    self.emit("dynamic_pattern", scope, "^" + "".join(r"\w*" if p is None else re.escape(p) for p in parts) + "$", node)
 
     def patterns(self, node: ast.AST, scope: str) -> None:
         """Syntax that rules look for."""

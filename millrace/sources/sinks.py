@@ -39,6 +39,15 @@ def append_history(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("append").parquet(path)
 
 
+def cache_trace(calls: DataFrame, path: str, signature: str) -> DataFrame:
+    """Keep a trace (``file, function, line``) under the signature of the code it ran on, and read it back; one that is there is not written again."""
+    place = f"{path}/signature={signature}"
+    hadoop = calls.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    if not hadoop.getFileSystem(calls.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        calls.write.parquet(place)
+    return calls.sparkSession.read.schema(calls.schema).parquet(place)
+
+
 def attestation(findings: DataFrame, files: DataFrame) -> DataFrame:
     """One row: digests of the sorted findings and of the sorted files."""
     f = findings.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("rule_id", "file", "line", "severity")))), 256).alias("findings_sha256"), F.count("*").alias("findings"))
