@@ -86,6 +86,52 @@ def scan_languages(files: DataFrame) -> DataFrame:
     return lines.select("path", (F.col("k") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line", "h.rule_id", "h.severity")
 
 
+#: Shapes of definitions: languages, type, pattern with the name as its group, pattern of lines whose names others may use (null: the name decides).
+DEFINITIONS = [
+    (["go"], "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", None),
+    (["go"], "class", r"^type\s+(\w+)\s+(?:struct|interface|\w)", None),
+    (["java", "kotlin", "csharp"], "function", r"^\s*(?:(?:public|private|protected|internal|static|final|override|async|virtual|synchronized)\s+)+(?:fun\s+|[\w<>\[\],.?]+\s+)+(\w+)\s*\([^;]*$", r"^(?!.*\bprivate\b)"),
+    (["java", "kotlin", "csharp"], "class", r"\b(?:class|interface|enum|record)\s+(\w+)", r"^(?!.*\bprivate\b)"),
+    (_TS, "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)", r"\bexport\b"),
+    (_TS, "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", r"\bexport\b"),
+    (_TS, "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", r"\bexport\b"),
+    (["rust"], "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)", r"\bpub\b"),
+    (["rust"], "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", r"\bpub\b"),
+    (["php"], "function", r"^\s*(?:(?:public|private|protected|static|final)\s+)*function\s+(\w+)\s*\(", r"^(?!.*\bprivate\b)"),
+    (["shell"], "function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{?", r"^$"),
+]
+#: Names that run by themselves.
+SELF_RUN = r"^(main|init|setUp|tearDown|[tT]est\w*|_+\w*)$"
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """``path, lang, line, type, name, private``: functions and types that lines of other languages than Python define."""
+    lines = files.where("lang is not null and lang <> 'python'").select("path", "lang", F.posexplode(F.split("text", "\r?\n")).alias("k", "text")).where(~F.col("text").rlike(COMMENT))
+    hits = []
+    for langs, kind, shape, shared in DEFINITIONS:
+        name = F.regexp_extract("text", shape, 1)
+        public = name.rlike(r"^[A-Z]") if shared is None else F.col("text").rlike(shared)
+        hits.append(F.when(F.col("lang").isin(*langs) & (name != ""), F.struct(F.lit(kind).alias("type"), name.alias("name"), (~public).alias("private"))))
+    found = lines.select("path", "lang", (F.col("k") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return found.select("path", "lang", "line", "h.*").distinct()
+
+
+def unused_private(files: DataFrame) -> DataFrame:
+    """``path, line, type, name``: definitions that only their own file (in Go: their folder) can use and that nothing in it names.
+
+    Names are counted in the code without comments and texts; one that stands nowhere but where it is defined is unused.
+    """
+    scope = F.when(F.col("lang") == "go", F.regexp_replace("path", r"[^/]*$", "")).otherwise(F.col("path"))
+    bare = F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*|(?m)^\s*#[^\n]*|\"(?:[^\"\\\\\n]|\\\\.)*\"|'(?:[^'\\\\\n]|\\\\.)*'", " ")
+    words = files.where("lang is not null and lang <> 'python'").select(scope.alias("scope"), F.explode(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)"), 1)).alias("name"))
+    counts = words.groupBy("scope", "name").agg(F.count("*").alias("n"))
+    d = definitions(files).withColumn("scope", scope)
+    own = d.groupBy("scope", "name").agg(F.count("*").alias("defined"), F.bool_and("private").alias("private")).where("private")
+    lone = own.join(counts, ["scope", "name"]).where("n <= defined")
+    hit = d.join(lone.select("scope", "name"), ["scope", "name"], "left_semi").where(~F.col("name").rlike(SELF_RUN))
+    return hit.select("path", "line", "type", "name")
+
+
 def _normal(path: Column) -> Column:
     """Path without ``.`` and ``..`` parts."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

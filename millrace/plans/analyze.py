@@ -88,7 +88,9 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     from_text = from_text.where("rule_id <> 'SKY-L009'").withColumnRenamed("path", "file").withColumn("name", F.col("file"))
     lost, spare = langscan.ts_unused(files)
     ts = lost.select("path", F.lit("SKY-E003").alias("r"), F.col("path").alias("name")).unionByName(spare.select("path", F.lit("SKY-E004").alias("r"), "name")).withColumnRenamed("path", "file").withColumn("line", F.lit(1))
+    unnamed = langscan.unused_private(files).withColumnRenamed("path", "file")
     found = rules.union_all([
+        rules.as_findings(unnamed, F.when(F.col("type") == "class", "SKY-U004").otherwise("SKY-U001"), "INFO", "dead_code", rules.say("unused %s %s", "type", "name"), kind="dead_code"),
         rules.as_findings(ts, F.col("r"), "LOW", "dead_code", rules.say("%s is not used", "name")),
         rules.metric_rules(functions, classes, of_kind(facts, "module"), files, limits),
         rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),

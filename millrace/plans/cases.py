@@ -928,6 +928,70 @@ echo done
 ''',
 }
 
+FAMILIES["other_dead"] = {
+    "pkg/a.go": '''package pkg
+
+type used struct{}
+
+type lost struct{}  #! U004
+
+func Exported() used { return helper() }
+
+func helper() used { return used{} }
+
+func (u used) gone() int {  #! U001
+	return 1 // gone
+}
+
+func main() {}
+
+func TestIt() {}
+''',
+    "pkg/b.go": '''package pkg
+
+func Other() { shared() }
+''',
+    "pkg/c.go": '''package pkg
+
+func shared() {}
+
+func alone() { println("alone") }  #! U001
+''',
+    "web/a.ts": '''export function shown() { return inner() }
+function inner() { return 1 }
+function never() { return "never" }  #! U001
+const arrow = (x) => x  #! U001
+const kept = (x) => x
+class Hidden {}  #! U004
+export class Shown {}
+kept(1)
+''',
+    "src/B.java": '''public class B {
+  public void open() { used(); }
+  private void used() {
+  }
+  private int lost(int x) {  #! U001
+    return x;
+  }
+}
+''',
+    "src/b.rs": '''pub fn open() { used(); }
+fn used() {}
+fn lost() {}  #! U001
+struct Gone;  #! U004
+fn main() {}
+''',
+    "bin/run.sh": '''#!/bin/sh
+start() {
+  echo start
+}
+stop() {  #! U001
+  echo "stop"
+}
+start
+''',
+}
+
 FAMILIES["text"] = {
     "text/a.py": '''x = 1
 # TODO check the password here  #! L010

@@ -66,6 +66,7 @@ RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "project": _project,
     "config": lambda files, facts: _by_path(configscan.scan_config(files.select("path", "text"))),
     "languages": lambda files, facts: _by_path(langscan.scan_languages(files)),
+    "other_dead": lambda files, facts: langscan.unused_private(files).select(F.col("path").alias("file"), "line", F.when(F.col("type") == "class", "SKY-U004").otherwise("SKY-U001").alias("rule_id")),
     "text": _text,
     "dead": _dead,
 }

@@ -30,9 +30,11 @@ def test_works_without_the_llm_folders(tmp_path):
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 def test_queries_match_their_sql(spark):
+    """Some of the first module's queries, and all of the labelled corpus and of the second module."""
     import duckdb
 
-    from millrace.plans import bridge
+    from millrace.plans import bridge, labelled, more
+    from millrace.session import release_staged
 
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -42,13 +44,15 @@ def test_queries_match_their_sql(spark):
         return round(v, 6) if isinstance(v, float) else v
 
     wrong = []
-    for name in ["finding_filter", "directory_rollup", "severity_grade", "debt_hotspots", "merge_ranges", "narrowest_enclosing", "reachable", "kcore", "transitive_dead", "gate_reasons", "debt_baseline_status", "provenance_stats", "watch_new_resolved"]:
-        got = bridge.QUERIES[name](spark, str(DATA))
-        want = db.sql(bridge.ORACLES[name])
+    for name in ["finding_filter", "directory_rollup", "severity_grade", "debt_hotspots", "merge_ranges", "narrowest_enclosing", "reachable", "kcore", "transitive_dead", "gate_reasons", "debt_baseline_status", "provenance_stats", "watch_new_resolved", "cycles_scc", "simple_cycles", "scanner_comparison", "diff_overlap_semi", "injection_scan", "base64_blobs", "homoglyphs", *labelled.QUERIES, *more.QUERIES]:
+        queries, oracles = bridge.QUERIES | labelled.QUERIES | more.QUERIES, bridge.ORACLES | labelled.ORACLES | more.ORACLES
+        got = queries[name](spark, str(DATA))
+        want = db.sql(oracles[name])
         cols = sorted(got.columns)
         assert cols == sorted(want.columns), name
         rows = sorted((repr([norm(r[c]) for c in cols]) for r in got.collect()))
         other = sorted(repr([norm(r[want.columns.index(c)]) for c in cols]) for r in want.fetchall())
         if rows != other:
             wrong.append(name)
+        release_staged()
     assert wrong == []
