@@ -6,7 +6,8 @@ MinHash value, and dropped as soon as the posterior probability of reaching the
 threshold is below a tolerance (BayesLSH, Satuluri and Parthasarathy 2012).  What is left
 joins texts into families; within families every pair goes through the same pruning
 and is verified on its exact shingle sets.  Families are worked on in blocks, which emit counts and
-spanning links, never all pairs.
+spanning links, never all pairs.  In a family of several blocks the distances from one of its texts settle
+most pairs beforehand, as Jaccard distance obeys the triangle inequality: near copies of one text cost a look at each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import hashed_words, mix64
@@ -40,6 +41,8 @@ BUCKET_BLOCK = 512
 #: Texts and shingles, on average, of a family's block in which pairs are compared.
 BLOCK, BLOCK_GRAMS = 1024, 500_000
 BATCH_BYTES = 1_000_000
+#: Steps into which the distance from a family's leader is cut, and how many of them a link may span.
+STEPS, SPAN = 100, 20
 
 _BASE = np.uint64(0x100000001B3)
 
@@ -297,6 +300,27 @@ def _families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
+def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``id, step, near``: a text's Jaccard distance from its family's leader in hundredths, cut, and whether the two are linked.
+
+    Rows come by family and part, the leader (``rank`` 0) before the texts.
+    """
+    lead = np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        ids, steps, near = [], [], []
+        for rank, ident, grams in zip(batch["rank"], batch["id"], batch["grams"], strict=True):
+            own = np.frombuffer(grams, dtype="<u8")
+            if rank == 0:
+                lead = own
+                continue
+            common = len(np.intersect1d(own, lead, assume_unique=True))
+            union = len(own) + len(lead) - common
+            ids.append(ident)
+            steps.append(STEPS * (union - common) // union)
+            near.append(common * 5 >= union * 4)
+        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "step": pd.Series(steps, dtype="int32"), "near": pd.Series(near, dtype="bool")})
+
+
 def _gram_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = list(batch["text"])
@@ -306,6 +330,40 @@ def _gram_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["id"], "grams": [s.astype("<u8").tobytes() for s in sets]})
 
 
+def _blocks() -> Column:
+    """Blocks of a group of texts (``size`` shingles each)."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+
+
+def _large_families(members: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """Settle by distance from the leader what pairs of families of several blocks it settles.
+
+    Jaccard distance is a metric: two texts whose distances from the leader add up to 0.2 at most are linked, two whose
+    distances differ by more are not.  So a family of near copies, however large, needs a look at each text alone.  Returns what is settled (``a, b, n``: counts of links, where ``b`` is null, and links with the leader),
+    the members of the pairs of blocks that are left to verify (``family, i, j, block, id, docs, values``), and the tables staged on the way.
+    """
+    part = F.pmod("id", "blocks").cast("int")
+    asked = members.select("family", part.alias("part"), F.lit(1).alias("rank"), "id")
+    leads = members.where("id = family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("rank"), "id")
+    dealt = asked.unionByName(leads).join(texts, "id").repartition("family", "part").sortWithinPartitions("family", "part", "rank")
+    far = dealt.select("rank", "id", "grams").mapInPandas(_distances, "id long, step int, near boolean")
+    far = stage_table(members.select("family", "id", "docs", "values", "size").join(far, "id"), "jaccard-distances", compression="zstd")
+    close = far.where("near and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b"), F.lit(0).cast("long").alias("n"))
+    steps = stage_table(far.groupBy("family", "step").agg(F.sum("docs").alias("docs"), _blocks().alias("parts")), "jaccard-steps")
+    # at most STEPS rows a family on each side
+    pairs = steps.alias("x").join(steps.alias("y"), "family").select("family", F.col("x.step").alias("step"), F.col("x.parts").alias("parts"), F.col("y.step").alias("other"), F.col("y.docs").alias("n"), F.col("y.parts").alias("others"))
+    linked = F.col("step") + F.col("other") + 2 <= SPAN
+    apart = F.abs(F.col("step") - F.col("other")) - 1 >= SPAN
+    counts = pairs.where(linked).groupBy("family", "step").agg(F.sum("n").alias("all"))
+    own = F.when(2 * F.col("step") + 2 <= SPAN, F.col("docs")).otherwise(0)
+    sure = far.join(counts, ["family", "step"]).select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("all") - own).cast("long").alias("n"))
+    open_pairs = pairs.where(~linked & ~apart).select("family", "step", "parts", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("with"))
+    place = lambda step, part: (F.col(step).cast("long") * (1 << 40) + part).cast("long")
+    dealt = far.join(open_pairs, ["family", "step"]).withColumn("block", place("step", F.pmod("id", "parts"))).withColumn("other", place("other", F.col("with")))
+    unsure = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "docs", "values")
+    return [sure, close], unsure, [far, steps]
+
+
 def join_similar(docs: DataFrame) -> DataFrame:
     """Near-duplicate classes of ``docs`` (``doc_id, text``) at five-word shingles and similarity 0.8.
 
@@ -354,21 +412,25 @@ def join_similar(docs: DataFrame) -> DataFrame:
     drop_staged(joined.reads)
     family = linked.select(F.col("node").alias("id"), F.col("component").alias("family"))
     members = family.join(groups, "id").select("id", "family", "docs", "doc_id", "tx", "values", "size")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
-    sizes = members.groupBy("family").agg(blocks.alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod("id", "blocks").cast("int"))
+    sizes = members.groupBy("family").agg(_blocks().alias("blocks"))
+    members = members.join(sizes, "family")
     members = stage_table(members, "jaccard-members", compression="zstd")
     wanted = members.select("id", "doc_id", "tx")
     # one plan at every size: whether a few members could be broadcast would otherwise hang on which side is done first
     wanted = wanted.select("id", F.col("doc_id").alias("_doc"), F.col("tx").alias("_tx")).hint("merge")
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tx") == F.col("_tx"))).select("id", "text").mapInPandas(_gram_bytes, "id long, grams binary")
     texts = stage_table(texts.dropDuplicates(["id"]), "jaccard-grams", compression="none")
-    # each text goes to every pair of blocks that its own is part of
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = members.select("family", "block", "id", "docs", "values", other.alias("other"))
-    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "docs", "values")
-    placed = placed.join(texts, "id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    verified = stage_table(placed.select("family", "i", "j", "block", "id", "docs", "values", "grams").mapInPandas(_families, "a long, b long, n long"), "jaccard-verified")
+    small = members.where("blocks = 1").select("family", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), "id", "docs", "values")
+    large = members.where("blocks > 1")
+    settled, done = [], []
+    if large.limit(1).count():
+        settled, unsure, done = _large_families(large, texts)
+        small = small.unionByName(unsure)
+    placed = small.join(texts, "id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    checked = placed.select("family", "i", "j", "block", "id", "docs", "values", "grams").mapInPandas(_families, "a long, b long, n long")
+    for part in settled:
+        checked = checked.unionByName(part)
+    verified = stage_table(checked, "jaccard-verified")
     classes = components(verified.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
 
@@ -377,7 +439,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     per_class = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("docs").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"))
     labelled = labelled.join(per_class, "component").select("grams", "class_id", "class_size", F.col("first.tx").alias("first_tx"), (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
     labelled = stage_table(labelled, "jaccard-classes")
-    drop_staged(groups, open_rows, met, judged, rest, linked, members, texts, verified, classes.reads)
+    drop_staged(groups, open_rows, met, judged, rest, linked, members, texts, verified, classes.reads, *done)
     out = sketch.select("doc_id", "tx", "grams").join(labelled, "grams", "left")
     return out.select(
         "doc_id",

@@ -203,6 +203,24 @@ def test_jaccard_large_family_and_stragglers(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((r[0], *want[k]) for k, r in enumerate(rows))
 
 
+@pytest.mark.parametrize("edits, block", [(2, 4), (12, 4), (30, 8)])
+def test_jaccard_distances_settle_large_families(spark, monkeypatch, edits, block):
+    """Near copies at all distances from the leader, copies of texts among them: counts are those of brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(edits)
+    base = words(150, rng).split()
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, edits)):
+            w[at] = f"w{at}{rng.randrange(2)}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, rng.choice(rows)[1]) for k in range(20)]
+    got = jaccard.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links", "class_size").collect()
+    want = brute_classes(rows)
+    assert sorted(map(tuple, got)) == sorted((r[0], *want[k]) for k, r in enumerate(rows))
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     """Near texts whose ids are null or the same: every link counts, one text of a class is kept."""
     rng = random.Random(5)
