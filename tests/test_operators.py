@@ -1,5 +1,6 @@
 """Operators on small tables, against labels or brute force."""
 
+import base64
 import random
 from difflib import SequenceMatcher
 
