@@ -423,6 +423,10 @@ def test_functions_travel_by_value(tmp_path):
     bucket = pd.DataFrame({"bucket": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "values": sketched["values"]})
     family = pd.DataFrame({"family": [1, 1], "i": 0, "j": 0, "block": 0, "id": [1, 2], "docs": 1, "values": sketched["values"], "grams": [s.astype("<u8").tobytes() for s in jaccard.shingle_sets(list(texts["text"]))]})
     calls = [(jaccard._sketch, texts), (jaccard._bands, values), (jaccard._pruned, pairs), (jaccard._within_buckets, bucket), (jaccard._families, family), (suffix._fragments(suffix.Unit(400, False)), raw), (suffix._fragments(suffix.Unit(50, True)), raw)]
+    rows = pd.DataFrame({"key": [1, 2], "vec_id": [1, 2], "v": [[1, 2], [3, 4]], "q": 0})
+    met = pd.concat([next(vectors._pack_cells(iter([rows]))), vectors._pack_queries(rows)], axis=1)
+    far = pd.DataFrame({"rank": [0, 1], "id": [1, 2], "grams": family["grams"]})
+    calls += [(vectors._pack_cells, rows), (vectors._scan(1), met), (jaccard._distances, far), (jaccard._gram_bytes, texts.assign(id=[1, 2]))]
     (tmp_path / "sent").write_bytes(cloudpickle.dumps(tuple(zip(*calls, strict=True))))
     done = subprocess.run([sys.executable, "-c", ALONE, str(tmp_path / "sent")], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0 and min(map(int, done.stdout.split())) > 0, done.stderr
