@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.words import hashed_words, mix64
@@ -347,21 +347,27 @@ def _large_families(members: DataFrame, texts: DataFrame) -> tuple[list[DataFram
     leads = members.where("id = family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("rank"), "id")
     dealt = asked.unionByName(leads).join(texts, "id").repartition("family", "part").sortWithinPartitions("family", "part", "rank")
     far = dealt.select("rank", "id", "grams").mapInPandas(_distances, "id long, step int, near boolean")
-    far = stage_table(members.select("family", "id", "docs", "values", "size").join(far, "id"), "jaccard-distances", compression="zstd")
+    far = table = stage_table(members.select("family", "id", "docs", "values", "size").join(far, "id"), "jaccard-distances", compression="zstd")
     close = far.where("near and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b"), F.lit(0).cast("long").alias("n"))
-    steps = stage_table(far.groupBy("family", "step").agg(F.sum("docs").alias("docs"), _blocks().alias("parts")), "jaccard-steps")
-    # at most STEPS rows a family on each side
-    pairs = steps.alias("x").join(steps.alias("y"), "family").select("family", F.col("x.step").alias("step"), F.col("x.parts").alias("parts"), F.col("y.step").alias("other"), F.col("y.docs").alias("n"), F.col("y.parts").alias("others"))
-    linked = F.col("step") + F.col("other") + 2 <= SPAN
-    apart = F.abs(F.col("step") - F.col("other")) - 1 >= SPAN
-    counts = pairs.where(linked).groupBy("family", "step").agg(F.sum("n").alias("all"))
-    own = F.when(2 * F.col("step") + 2 <= SPAN, F.col("docs")).otherwise(0)
-    sure = far.join(counts, ["family", "step"]).select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("all") - own).cast("long").alias("n"))
-    open_pairs = pairs.where(~linked & ~apart).select("family", "step", "parts", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("with"))
-    place = lambda step, part: (F.col(step).cast("long") * (1 << 40) + part).cast("long")
-    dealt = far.join(open_pairs, ["family", "step"]).withColumn("block", place("step", F.pmod("id", "parts"))).withColumn("other", place("other", F.col("with")))
+    # neighbouring steps share a group as long as they fill no block; at most STEPS rows a family
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)
+    steps = far.groupBy("family", "step").agg(F.sum("docs").alias("docs"), weight.alias("weight"))
+    before = Window.partitionBy("family").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = stage_table(steps.withColumn("group", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0))).cast("long")), "jaccard-steps")
+    groups = steps.groupBy("family", "group").agg(F.min("step").alias("lo"), F.max("step").alias("hi"), F.sum("docs").alias("all"), F.ceil(F.sum("weight")).cast("int").alias("parts"))
+    groups = stage_table(groups, "jaccard-groups")
+    side = lambda s: groups.select("family", *[F.col(c).alias(f"{c}_{s}") for c in ("group", "lo", "hi", "all", "parts")])
+    pairs = side("x").join(side("y"), "family")
+    linked = F.col("hi_x") + F.col("hi_y") + 2 <= SPAN
+    apart = F.greatest(F.col("lo_x") - F.col("hi_y"), F.col("lo_y") - F.col("hi_x")) - 1 >= SPAN
+    counts = pairs.where(linked).groupBy("family", F.col("group_x").alias("group")).agg(F.sum("all_y").alias("all"), F.bool_or(F.col("group_x") == F.col("group_y")).alias("own"))
+    far = far.join(steps.select("family", "step", "group"), ["family", "step"])
+    sure = far.join(counts, ["family", "group"]).select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("all") - F.when(F.col("own"), F.col("docs")).otherwise(0)).cast("long").alias("n"))
+    open_pairs = pairs.where(~linked & ~apart).select("family", F.col("group_x").alias("group"), F.col("parts_x").alias("parts"), F.col("group_y").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts_y") - 1)).alias("with"))
+    place = lambda group, part: (F.col(group) * (1 << 31) + part).cast("long")
+    dealt = far.join(open_pairs, ["family", "group"]).withColumn("block", place("group", F.pmod("id", "parts"))).withColumn("other", place("other", F.col("with")))
     unsure = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "docs", "values")
-    return [sure, close], unsure, [far, steps]
+    return [sure, close], unsure, [table, steps, groups]
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
