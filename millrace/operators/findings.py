@@ -204,15 +204,24 @@ def cross_reference(external: DataFrame, dead: DataFrame, findings: DataFrame, t
     """Label external findings: ``in_dead_code`` if in a dead definition's lines, else ``corroborated`` if one of ours is near, else ``unique``."""
     places = external.select("file", F.col("line").alias("start"), F.col("line").alias("end")).where("file is not null and line is not null").distinct()
     within = overlap_semi(places, dead.select("file", F.col("line").alias("start"), F.col("end_line").alias("end")), "file").select("file", F.col("start").alias("line")).withColumn("_dead", F.lit(True))
-    near = lines_around(findings, tolerance).withColumn("_near", F.lit(True))
+    near = near_places(external, findings, tolerance).withColumn("_near", F.lit(True))
     label = F.when(F.col("_dead"), "in_dead_code").when(F.col("_near"), "corroborated").otherwise("unique")
     return external.join(within, ["file", "line"], "left").join(near, ["file", "line"], "left").withColumn("label", label).select(*external.columns, "label")
 
 
-def lines_around(findings: DataFrame, tolerance: int) -> DataFrame:
-    """``file, line``: every line at most ``tolerance`` from a finding, once, so that nearness is an equi-join."""
-    spread = F.explode(F.sequence(F.col("line") - tolerance, F.col("line") + tolerance))
-    return findings.where("file is not null and line is not null").select("file", "line").distinct().select("file", spread.alias("line")).distinct()
+def near_places(findings: DataFrame, others: DataFrame, tolerance: int) -> DataFrame:
+    """``file, line`` of findings at most ``tolerance`` lines from one of the others, each place once.
+
+    Lines are cut into buckets of ``tolerance + 1``: all of one bucket are near each other, and of the next ones the
+    last and the first line tell.  So a bucket is one row, and no pairs are made, however many findings a file has.
+    """
+    wide = tolerance + 1
+    bucket = F.floor(F.col("line") / wide)
+    places = findings.where("file is not null and line is not null").select("file", "line").distinct()
+    ends = others.where("file is not null and line is not null").groupBy("file", bucket.alias("at")).agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    asked = places.select("file", "line", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("at"))
+    hit = asked.join(ends, ["file", "at"]).where((F.col("lo") <= F.col("line") + tolerance) & (F.col("hi") >= F.col("line") - tolerance))
+    return hit.select("file", "line").distinct()
 
 
 def provenance_stats(findings: DataFrame) -> DataFrame:
@@ -224,7 +233,7 @@ def provenance_stats(findings: DataFrame) -> DataFrame:
 
 def compare_scanners(ours: DataFrame, theirs: DataFrame, tolerance: int = 3) -> DataFrame:
     """Shadow comparison: findings both have, only we have, only they have, by category."""
-    near_theirs, near_ours = lines_around(theirs, tolerance), lines_around(ours, tolerance)
+    near_theirs, near_ours = near_places(ours, theirs, tolerance), near_places(theirs, ours, tolerance)
     part = lambda d, how, near, label: d.join(near, ["file", "line"], how).groupBy("category").agg(F.count("*").alias("n")).withColumn("status", F.lit(label))
     return part(ours, "left_semi", near_theirs, "both").unionByName(part(ours, "left_anti", near_theirs, "only_ours")).unionByName(part(theirs, "left_anti", near_ours, "only_theirs"))
 
