@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, htmltext, jaccard, mixing, quality, suffix, urlfilter, vectors, warc
+from millrace.llm import chat, decontaminate, htmltext, infill, jaccard, mixing, periodic, pieces, quality, suffix, urlfilter, vectors, warc
 from millrace.session import small_batches, stage_path, table
 
 #: Fixed values of the contract: action, host, path.
@@ -14,6 +16,9 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 MIX_WEIGHTS = (5, 2, 1)
 #: Words of a passage whose repetition op5 reports beside the strings of the contract.
 PASSAGE_WORDS = 50
+#: Folder of public tokenizers, unless ``MILLRACE_TOKENIZERS`` names another; and the model of op13.
+TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +81,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
 
 
+def repeated_tail(doc_id: Column, words: Column) -> Column:
+    """The words of a text, of every tenth text (by crc32 of the id) with a tail that repeats a short stretch."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    at = (g % n).cast("int")
+    period = (1 + F.floor((n - at) / (3 + g % 8))).cast("int")
+    times = (F.floor((n - at) / period) + 1).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, at + 1, period), times))
+    return F.when((h % 10 == 0) & (n > 0), F.slice(F.concat(F.slice(words, F.lit(1), at), tail), F.lit(1), n.cast("int"))).otherwise(words)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("words"))
+    found = periodic.find_runs(docs.select("doc_id", F.array_join(repeated_tail(F.col("doc_id"), F.col("words")), " ").alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    exponent = F.floor(1000 * length / period)
+    return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    made = infill.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "") -> DataFrame:
+    small_batches(spark)
+    vocabulary = pieces.load(model or f"{TOKENIZERS}/{PIECE_MODEL}")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, packed=True)
+    decoded = pieces.decode(encoded.drop("text"), vocabulary)
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return decoded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
@@ -87,6 +131,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_topk": op9_exact_topk,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 SQL_OP3 = r"""
@@ -239,4 +286,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (dr) LEFT JOIN it USING (dr) LEFT JOIN lg USING (dr)
 """
 
-ORACLES = {"op3_ngram_jaccard_join": SQL_OP3, "op5_suffix_dedup": SQL_OP5, "op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10}
+SQL_OP11 = r"""
+WITH RECURSIVE c AS (
+  SELECT row_number() OVER () AS dr, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (
+  SELECT dr, range(256)::UINTEGER[] AS t, 0 AS r FROM (SELECT 0 AS dr)
+  UNION ALL SELECT dr, list_transform(t, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UINTEGER) ELSE x >> 1 END), r + 1 FROM b WHERE r < 8),
+h AS (
+  SELECT dr, doc_id, w, len(w)::BIGINT AS n,
+    xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UINTEGER)),
+      lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1])), 4294967295::UINTEGER)::BIGINT AS h
+  FROM c, (SELECT t FROM b WHERE r = 8)),
+a AS (SELECT dr, doc_id, w, n, h % 10 = 0 AND n > 0 AS turned, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS k FROM h),
+d AS (
+  SELECT dr, doc_id, n, CASE WHEN turned THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END + 1]) ELSE w END AS w
+  FROM a),
+x AS (SELECT dr, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+l AS (
+  SELECT 1::BIGINT AS size, dr, i, hash(word) AS v FROM x
+  UNION ALL
+  SELECT size * 2, dr, i, hash(v, y) FROM (SELECT size, dr, i, v, lead(v, size) OVER (PARTITION BY dr ORDER BY i) AS y FROM l) WHERE y IS NOT NULL AND size < 1048576),
+q AS (SELECT size, dr, i, lead(i) OVER (PARTITION BY size, dr, v ORDER BY i) - i AS period FROM l),
+s AS (SELECT size, dr, i, period, i - row_number() OVER (PARTITION BY size, dr, period ORDER BY i) AS island FROM q WHERE period <= size AND period > size // 2),
+r AS (
+  SELECT dr, min(i) AS start, count(*) + size + period - 1 AS length, period FROM s GROUP BY size, dr, period, island
+  HAVING count(*) + size + period - 1 >= greatest(6, 4 * period)),
+g AS (
+  SELECT dr, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS best
+  FROM r GROUP BY dr),
+o AS (SELECT DISTINCT dr, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT dr, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN o USING (dr, i) GROUP BY dr)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+  (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN g USING (dr) LEFT JOIN k USING (dr)
+"""
+
+SQL_OP12 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x
+  FROM documents),
+h AS (SELECT doc_id, text, w, len(w)::BIGINT AS n, list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(x, 1 + 8 * k, 8))::BIGINT) AS h FROM t),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, array_to_string(w[1 : a], '') AS prefix, array_to_string(w[a + 1 : b], '') AS middle, array_to_string(w[b + 1 :], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op3_ngram_jaccard_join": SQL_OP3, "op5_suffix_dedup": SQL_OP5, "op4_source_mixing": SQL_OP4, "op6_warc_archive": SQL_OP6, "op7_chat_formatting": SQL_OP7, "op9_exact_topk": SQL_OP9, "op10_decontamination": SQL_OP10, "op11_periodic_runs": SQL_OP11, "op12_fill_in_middle": SQL_OP12}
