@@ -104,9 +104,9 @@ def rearrange(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int
             yield out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
     made = F.pandas_udf(run, "n long, form string, prefix_chars long, middle_chars long, output string")
-    rest = df.drop("n", "form", "prefix_chars", "middle_chars", "output", "_made")
+    rest, held = df.drop("n", "form", "prefix_chars", "middle_chars", "output"), max(df.columns, key=len) + "_"  # a name that no column has
     draws = [_draw(F.col(key), seed, k) for k in range(4)]
-    return rest.withColumn("_made", made(F.col(text), *draws)).select(*rest.columns, "_made.*")
+    return rest.withColumn(held, made(F.col(text), *draws)).select(*rest.columns, f"{held}.*")
 
 
 def restore(output: Column, form: Column) -> Column:

@@ -164,5 +164,5 @@ def find_runs(df: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["runs", "n_words", "collapsed"])
 
     found = F.pandas_udf(run, f"runs {RUNS}, n_words long, collapsed string")
-    rest = df.drop("runs", "n_words", "collapsed", "_found")
-    return rest.withColumn("_found", found(F.col(text))).select(*rest.columns, "_found.*")
+    rest, held = df.drop("runs", "n_words", "collapsed"), max(df.columns, key=len) + "_"  # a name that no column has
+    return rest.withColumn(held, found(F.col(text))).select(*rest.columns, f"{held}.*")
