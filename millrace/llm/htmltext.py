@@ -2,8 +2,9 @@
 
 A page becomes a sequence of words and tags.  Words score positive and tags negative, with
 weights estimated from labelled pages; one linear scan finds the contiguous region with
-the best sum.  Text in elements that are never article text (menus, adverts, forms,
-scripts, comments, ...) is no word of the sequence and never part of the result.
+the best sum.  What markup says of a word (that it stands in an article, outside of the page's article, in
+a menu, an advert or a footer) is evidence: a weight, learned like those of tags.  Menus and adverts before and after a page's other text are left out
+because their words score negative; those with other text on both sides are cut out.  Scripts, styles and form fields are no words.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -41,10 +42,16 @@ NEUTRAL = frozenset("site page global main top bottom left right upper lower pri
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup title".split())
 ARTICLE = frozenset(["article", "main"])
 ARTICLE_HINTS = frozenset("article articlebody main content post entry story".split())
+#: Elements whose text nobody reads as text.
+NO_WORDS = frozenset("canvas head iframe input object option script select style svg template textarea title".split())
 OWN_HEADER = frozenset(f".{x}" for x in ARTICLE_HINTS)
 
 #: Kind under which tags within an article are scored.
 INNER = "inner"
+#: Kinds of words: in the page's article (or on a page without one), outside of it, in a menu, advert or the like.
+WORDS = ("text", "stray", "menu")
+#: An article element that holds less than this share of a page's words (a teaser) is no evidence.
+CREDIBLE = 0.25
 
 
 def _hints(attributes: str) -> set[str]:
@@ -67,19 +74,30 @@ def _hidden(attributes: str) -> bool:
 
 
 def events(page: str) -> list[tuple[str, str, bool]]:
-    """The page in order: ``(kind, text, inner)``, kind ``text`` (in the article), ``stray`` (elsewhere), ``skip`` (never text) or a tag name; closing tags begin with ``/``.
+    """The page in order: ``(kind, text, inner)``, kind one of ``WORDS``, ``skip`` (no words) or a tag name; closing tags begin with ``/``.
 
-    Texts are raw.  A page without any article element has no stray text: all is ``text``.
-    ``inner`` tags stand within an article; of a part that is never text only the outermost tags are events.
+    Texts are raw.  Text in a menu, an advert or the like is ``menu`` before and after all other words, ``skip`` between them.  On a page whose article
+    elements hold less than ``CREDIBLE`` of its words, or that has none, words are ``text`` wherever they stand.
+    ``inner`` tags stand within an article; of a part that is never article text only the outermost tags are events.
     """
     out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, never text, article
-    never, article, at, n = 0, 0, 0, len(page)
-    any_article = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, never text, no words, article
+    open_now: Counter[str] = Counter()
+    never, wordless, article, at, n = 0, 0, 0, 0, len(page)
+    held: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw:
-            out.append(("skip" if never else "text" if article else "stray", raw, False))
+            kind = "skip" if wordless else "menu" if never else "text" if article else "stray"
+            held[kind] += len(raw.split())
+            out.append((kind, raw, False))
+
+    def close() -> str:
+        nonlocal never, wordless, article
+        name, bad, mute, is_article = stack.pop()
+        open_now[name] -= 1
+        never, wordless, article = never - bad, wordless - mute, article - is_article
+        return name
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -93,13 +111,9 @@ def events(page: str) -> list[tuple[str, str, bool]]:
             continue  # comment, doctype or processing instruction
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
-            if any(name == x[0] for x in stack):
-                while True:
-                    top = stack.pop()
-                    never -= top[1]
-                    article -= top[2]
-                    if top[0] == name:
-                        break
+            if open_now[name]:
+                while close() != name:
+                    pass
             if not never:
                 out.append((f"/{name}", "", article > 0))
             continue
@@ -115,18 +129,24 @@ def events(page: str) -> list[tuple[str, str, bool]]:
         # the header of an article holds its title, that of a page doesn't
         own_header = name == "header" and article > 0
         is_article = name in ARTICLE
-        bad = not is_article and name not in ("html", "body") and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and name not in HEADINGS and not (article and hints & OWN_HEADER and "header" in hints) or bool(attributes) and _hidden(attributes))
-        if name in CONTAINERS or bad and name not in OPTIONAL_END:
-            stack.append((name, bad, is_article))
-            never += bad
-            article += is_article
-            any_article |= is_article
-        elif bad:  # an element whose end may be left out: up to its end tag or the next of its kind
-            stack.append((name, bad, False))
-            never += 1
-        elif name in OPTIONAL_END and stack and stack[-1][0] == name:
-            never -= stack.pop()[1]
-    return out if any_article else [("text" if kind == "stray" else kind, raw, inner) for kind, raw, inner in out]
+        hidden = bool(attributes) and _hidden(attributes)
+        bad = not is_article and name not in ("html", "body") and (name in NEVER_TEXT and not own_header or bool(hints & NEVER_HINTS) and name not in HEADINGS and not (article and hints & OWN_HEADER and "header" in hints) or hidden)
+        mute = bad and (name in NO_WORDS or hidden)
+        if not (name in CONTAINERS or bad):
+            if name in OPTIONAL_END and stack and stack[-1][0] == name:
+                close()
+            continue
+        # an element whose end may be left out goes up to its end tag or the next of its kind
+        counts = name in CONTAINERS or name not in OPTIONAL_END
+        stack.append((name, bad, mute, is_article and counts))
+        open_now[name] += 1
+        never, wordless, article = never + bad, wordless + mute, article + (is_article and counts)
+    own = [k for k, (kind, raw, _) in enumerate(out) if kind in WORDS[:2] and raw.strip()]
+    if own:
+        out[own[0] : own[-1]] = [("skip" if kind == "menu" else kind, raw, inner) for kind, raw, inner in out[own[0] : own[-1]]]
+    if held["text"] and held["text"] >= CREDIBLE * (held["text"] + held["stray"]):
+        return out
+    return [("text" if kind == "stray" else kind, raw, False) for kind, raw, _ in out]
 
 
 #: Labelled pages: the markup, and the article's blocks.  Written for this purpose; half of them mark neither article nor menus.
@@ -152,15 +172,15 @@ def _counted(labelled: Sequence[tuple[str, list[str]]]) -> tuple[dict[str, float
     for page, blocks in labelled:
         wanted = set(" ".join(blocks).split())
         found = events(page)
-        hit = [kind in ("text", "stray") and bool(wanted & set(html.unescape(raw).split())) for kind, raw, _ in found]
+        hit = [kind in WORDS[:2] and bool(wanted & set(html.unescape(raw).split())) for kind, raw, _ in found]
         first, last = hit.index(True), len(hit) - 1 - hit[::-1].index(True)
         # the tags around the first and the last block are part of them
-        while first and found[first - 1][0] not in CONTAINERS and not found[first - 1][0].startswith("/") and found[first - 1][0] not in ("text", "stray", "skip"):
+        while first and found[first - 1][0] not in CONTAINERS and not found[first - 1][0].startswith("/") and found[first - 1][0] not in (*WORDS, "skip"):
             first -= 1
         while last + 1 < len(found) and found[last + 1][0].startswith("/") and found[last + 1][0][1:] not in CONTAINERS:
             last += 1
         for k, (kind, raw, inner) in enumerate(found):
-            n = len(raw.split()) if kind in ("text", "stray") else 0 if kind == "skip" else 1
+            n = len(raw.split()) if kind in WORDS else 0 if kind == "skip" else 1
             kind = f"{INNER}:{kind}" if inner else kind
             seen[kind] += n
             inside[kind] += n * (first <= k <= last)
@@ -182,9 +202,10 @@ def learn_weights(labelled: Sequence[tuple[str, list[str]]], word: float = 1.0)
         weights = {}
         for kind, n in seen.items():
             odds = math.log((inside[kind] + smooth) / (n - inside[kind] + smooth))
-            weights[kind] = word * odds if kind in ("text", "stray") else min(UNSEEN_INNER, scale * odds)
+            weights[kind] = word * odds if kind in WORDS else min(UNSEEN_INNER, scale * odds)
         weights["text"] = word
-        weights["stray"] = min(weights.get("stray", -word), -word / 2)
+        for kind in WORDS[1:]:
+            weights[kind] = max(-word, min(weights.get(kind, -word), -word / 2))
         return weights
 
     tried = [weighed(scale, smooth) for smooth in SMOOTHS for scale in SCALES]
@@ -201,7 +222,7 @@ def best_region(found: list[tuple[str, str, bool]], weights: dict[str, float]) -
     for k, (kind, raw, inner) in enumerate(found):
         if kind == "skip":
             continue
-        score = (weights.get(f"{INNER}:{kind}", UNSEEN_INNER) if inner else weights.get(kind, UNSEEN)) * (len(raw.split()) if kind in ("text", "stray") else 1)
+        score = (weights.get(f"{INNER}:{kind}", UNSEEN_INNER) if inner else weights.get(kind, UNSEEN)) * (len(raw.split()) if kind in WORDS else 1)
         if total <= 0:
             total, start = 0.0, k
         total += score
@@ -213,8 +234,8 @@ def best_region(found: list[tuple[str, str, bool]], weights: dict[str, float]) -
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The article's blocks, one a line; empty for null, empty and textless pages.
 
-    Character references are decoded after the markup is read, white space inside a block
-    becomes one space.
+    All words of the best region.  Character references are decoded after the
+    markup is read, white space inside a block becomes one space.
     """
     if not page:
         return ""
@@ -222,7 +243,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     start, end = best_region(found, weights)
     blocks: list[list[str]] = [[]]
     for kind, raw, _ in found[start:end]:
-        if kind == "text":
+        if kind in WORDS:
             blocks[-1].append(raw)
         elif kind.lstrip("/") in BLOCKS and blocks[-1]:
             blocks.append([])

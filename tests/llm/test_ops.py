@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -125,7 +126,7 @@ def judge(url):
 
 
 def test_urls(spark):
-    urls = ["http://a.ORG/x", "https://www.example.org/es/7?q", "http://example.org/en/1234", "http://example.org/en/2", "http://example.org", "http://q.com/fr/1#f", "http://q.com/de/", "http://notorg/x", "http://xexample.org/es/1", None, "", "no scheme", "://", "a://b://c/d", "http://spam-farm.example.net/x", "http://free-bets.example.com/en/3", "http://adult-x.example.net/", "http://ththan.example.net/en/5", "HTTP://É.Org/ü", "http://h\nost.org/a\nb?c"]
+    urls = ["http://a.ORG/x", "https://www.example.org/es/7?q", "http://example.org/en/1234", "http://example.org/en/2", "http://example.org", "http://q.com/fr/1#f", "http://q.com/de/", "http://notorg/x", "http://xexample.org/es/1", None, "", "no scheme", "://", "a://b://c/d", "http://backlinkspam.example.net/x", "http://pokerstar-slots.example.com/en/3", "http://adult-x.example.net/", "http://lakeside-hotels.example.net/en/5", "HTTP://É.Org/ü", "http://h\nost.org/a\nb?c"]
     df = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit("x"), "action": F.lit(2)})
     got = sorted(urlfilter.filter_urls(df, URL_RULES).collect(), key=lambda r: r["page_id"])
     assert len(got) == len(urls) + 1
@@ -141,7 +142,13 @@ def test_urls(spark):
 def test_url_model_learns_its_table_and_generalises():
     w, b = urlfilter.train(urlfilter.LABELLED_URLS)
     p = lambda u: w[urlfilter.grams(*urlfilter._cut(u))].sum() / np.sqrt(len(urlfilter.grams(*urlfilter._cut(u)))) + b
-    assert np.mean([(p(u) >= 0) == y for u, y in urlfilter.LABELLED_URLS]) == 1.0
+    assert np.mean([(p(u) >= 0) == y for u, y in urlfilter.LABELLED_URLS]) >= 0.97
+    # names of which no word is in the table
+    known = set(f"{urlfilter.BLOCKED_WORDS} {urlfilter.ORDINARY_WORDS}".split())
+    bad = "onlinecasinos bettings jackpotcity lotteryland bannerads adtracking trackers phishkit crackedgames freeprizes torrentz spambots malwares".split()
+    good = "gardening universities poets weatherstation museums bakeries mathforum lakehotels historians languages concerts gardenersworld cityhall rivers".split()
+    assert not known & {*bad, *good}
+    assert [p(f"{x}.org/") >= 0 for x in bad + good] == [True] * len(bad) + [False] * len(good)
     held = urlfilter.LABELLED_URLS[::4]
     w, b = urlfilter.train([x for k, x in enumerate(urlfilter.LABELLED_URLS) if k % 4])
     assert np.mean([(p(u) >= 0) == y for u, y in held]) >= 0.75
@@ -548,7 +555,10 @@ def test_chat_against_brute_force(spark):
     "page, text",
     [
         (None, ""), ("", ""), ("plain text only", "plain text only"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("<nav>x</nav>", ""), ("<!-- never closed <p>x</p>", ""), ("<script>var a = '<p>no</p>'", ""),
-        ("<article><p>short</p></article><div>" + "x " * 60 + "</div>", "short"),
+        ("<article><p>short</p></article><div>" + "x " * 60 + "</div>", ("x " * 60).strip()),
+        ("<article><h1>Teaser</h1></article><p>" + "prose " * 150 + "</p><footer>f</footer>", "Teaser\n" + ("prose " * 150).strip()),
+        ("<nav>n n n</nav><article><p>" + "a b " * 20 + "</p></article><div>also here</div>", ("a b " * 20).strip()),
+        ("<nav>n</nav><article><p>one two three</p></article><div class='ad'>buy now</div><article><p>four five six</p></article><footer>f</footer>", "one two three\nfour five six"),
         ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>a b &amp; c&nbsp;d<!-- x --> e</p><aside>side <p>note</p></aside><p>f <span class=\"ad-banner\">buy</span> g</p><div class='comments'><p>hi</p></div></article>", "Title\na b & c d e\nf g"),
         ('<div class="content"><p>one two three four five</p><div class="ad"><ul><li><a>b</a></li></ul></div><p>six seven</p></div><footer>x</footer>', "one two three four five\nsix seven"),
         ('<article>x<script>if(a<b){document.write("<p>no</p>")}</script>y<form>f</form></article>', "xy"),
@@ -582,6 +592,16 @@ def test_html_labelled_pages_and_table(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+def test_html_depth():
+    """Time is linear in the depth of markup, closed or not, and in tags that close nothing."""
+    weights = htmltext.learn_weights(htmltext.LABELLED_PAGES)
+    for n in (20000, 200000):
+        page = "<div>" * n + "</b>x" * n + "<p>" * n + "</div>" * n
+        start = time.perf_counter()
+        text = htmltext.main_text(page, weights)
+        assert text.count("x") == n and time.perf_counter() - start < n / 2000
+
+
 def test_best_region_is_the_best_of_all():
     rng = random.Random(8)
     weights = {"text": 1.0, "stray": -0.5, "p": -0.3, "div": -1.5, f"{htmltext.INNER}:p": -0.1}
