@@ -10,7 +10,7 @@ from millrace.plans import cases
 from millrace.plans.bridge import ORDER_SEVERITY, PART_EDGES, part_edges, priority_severity, query_registry
 from millrace.session import stage_path, stage_table, table
 from millrace.sources import files as sources
-from millrace.sources import sinks
+from millrace.sources import sinks, tree
 from millrace.sources.python_facts import extract, of_kind
 from millrace.streaming import watch
 
@@ -45,6 +45,37 @@ def discovered_files(spark, sf_dir):
     return sources.describe(kept).select("path", "lang", "role")
 
 
+#: Patterns of the tree that :func:`source_tree` writes; SQL states their effect.
+TREE_IGNORES = "*.log\n!*5.log\n/src/deep/1*/\nnode_modules/\n"
+
+
+@query("""
+WITH f AS (
+  SELECT p_partkey AS k, p_name AS text, CASE p_partkey % 8
+    WHEN 0 THEN 'src/_p' || p_partkey || '.py' WHEN 1 THEN '.github/workflows/w' || p_partkey || '.yml' WHEN 2 THEN 'src/__init' || p_partkey || '__/Dockerfile'
+    WHEN 3 THEN 'build/o' || p_partkey || '.py' WHEN 4 THEN 'logs/l' || p_size || '/' || p_partkey // 8 || '.log' WHEN 5 THEN 'node_modules/keep/k' || p_partkey || '.js'
+    WHEN 6 THEN 'docs/' || p_partkey || '.md' ELSE 'src/deep/' || p_size || '/t' || p_partkey || '.ts' END AS path
+  FROM part)
+SELECT path, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256,
+  CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.ts' THEN 'typescript' END AS lang
+FROM f
+WHERE CASE k % 8 WHEN 3 THEN false WHEN 4 THEN path LIKE '%5.log' WHEN 7 THEN path NOT LIKE 'src/deep/1%' ELSE true END
+""")
+def source_tree(spark, sf_dir):
+    """Parts written out as a tree with ignore patterns, and read back: hidden, private and unusual names, ignored and brought back ones."""
+    k, size, digits = F.col("p_partkey"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    shapes = [
+        F.concat(F.lit("src/_p"), digits, F.lit(".py")), F.concat(F.lit(".github/workflows/w"), digits, F.lit(".yml")), F.concat(F.lit("src/__init"), digits, F.lit("__/Dockerfile")),
+        F.concat(F.lit("build/o"), digits, F.lit(".py")), F.concat(F.lit("logs/l"), size, F.lit("/"), F.floor(k / 8).cast("string"), F.lit(".log")), F.concat(F.lit("node_modules/keep/k"), digits, F.lit(".js")),
+        F.concat(F.lit("docs/"), digits, F.lit(".md")), F.concat(F.lit("src/deep/"), size, F.lit("/t"), digits, F.lit(".ts")),
+    ]
+    path = F.element_at(F.array(*shapes), (k % 8).cast("int") + 1)
+    root = stage_path(spark, "tree")
+    tree.write_tree(table(spark, sf_dir, "part").select(path.alias("path"), F.col("p_name").alias("text")), root)
+    tree.write_tree(spark.createDataFrame([(".git/info/exclude", TREE_IGNORES)], "path string, text string"), root)
+    return sources.source_files(spark, root, include=["keep"]).select("path", "bytes", "sha256", "lang")
+
+
 @query("""
 SELECT CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'java' WHEN 3 THEN 'go' WHEN 5 THEN 'rust' END AS lang, count(*) AS files,
   CASE WHEN page_id % 6 = 0 THEN 'complete' ELSE 'incomplete' END AS status

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tree import read_tree
+
 #: Languages by suffix, and folders that are never read.
 LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "go": "go", "kt": "kotlin", "php": "php", "rs": "rust", "dart": "dart", "cs": "csharp", "sh": "shell"}
 EXCLUDED = ["__pycache__", ".git", ".venv", "venv", "node_modules", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", "htmlcov", ".eggs"]
@@ -29,26 +31,20 @@ def file_role(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$"), "test").when(path.rlike(r"(^|/)docs?/"), "docs").when(path.rlike(r"(^|/)(examples?|benchmarks?|scripts?)/"), "support").otherwise("source")
 
 
-def source_files(spark: SparkSession, roots: str | list[str], include: Iterable[str] = (), exclude: Iterable[str] = EXCLUDED) -> DataFrame:
-    """Files under the roots as ``SOURCE_FILES``; excluded folders are left out unless ``include`` names them.
+def source_files(spark: SparkSession, roots: str | list[str], include: Iterable[str] = (), exclude: Iterable[str] = EXCLUDED, ignore: str = "git") -> DataFrame:
+    """All files under the roots as ``SOURCE_FILES``, code or not; excluded folders are left out unless ``include`` names them.
 
-    A file that several roots hold counts once.  Paths are relative to their root.  Files of no
-    bytes have no row: Spark's file sources pass them over.
+    A file that several roots hold counts once, with the path below the first of them.  Paths are relative to their root.
+    Binary files have a null text.  See :func:`millrace.sources.tree.read_tree`.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    suffixes = ",".join(LANGUAGES)
-    out = None
-    for root in roots:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{suffixes}}}").load(root)
-        base = root.rstrip("/").split("://")[-1]
-        rel = F.regexp_replace("path", rf"^.*?\Q{base}\E/", "")
-        rows = raw.select(F.col("path").alias("full"), rel.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
-        out = rows if out is None else out.unionByName(rows)
-    out = out.dropDuplicates(["full"]).drop("full")
-    keep = ~excluded(F.col("path"), exclude)
-    for folder in include:
-        keep = keep | F.col("path").startswith(f"{folder.rstrip('/')}/")
-    return describe(out.where(keep))
+    found = read_tree(spark, roots, exclude, include, ignore)
+    if len(roots) > 1:
+        absolute = F.concat_ws("/", F.regexp_replace("root", "^file:(//)?|/+$", ""), "path")
+        order = F.create_map(*[x for k, r in enumerate(roots) for x in (F.lit(r), F.lit(k))])
+        first = found.withColumns({"full": absolute, "rank": order[F.col("root")]})
+        found = first.withColumn("least", F.min("rank").over(Window.partitionBy("full"))).where("rank = least").dropDuplicates(["full"])
+    return describe(found)
 
 
 def describe(files: DataFrame) -> DataFrame:
