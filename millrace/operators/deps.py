@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalar import LABEL_SCORES, cvss_severity, dependency_name, exact_npm_version, version_key
+from millrace.functions.scalar import LABEL_SCORES, cvss_severity, dependency_name, exact_npm_version
+from millrace.functions.versions import BOTTOM, TOP, semver_key, version_order, with_intervals
 from millrace.operators.findings import lookup
 
 
@@ -68,26 +69,51 @@ def not_in_registry(deps: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("_eco", "_name", "_version")
 
 
-def compare_versions(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 by the numbers of dotted versions, missing parts as 0."""
-    x, y = version_key(a), version_key(b)
-    n = F.greatest(F.size(x), F.size(y))
-    pad = lambda v: F.transform(F.sequence(F.lit(1), n), lambda k: F.coalesce(F.try_element_at(v, k), F.lit(0)))
-    return F.when(pad(x) < pad(y), -1).when(pad(x) > pad(y), 1).otherwise(0)
+def compare_versions(a: Column, b: Column, eco: Column | None = None) -> Column:
+    """-1, 0 or 1 by the precedence of the ecosystem's versions (semantic versioning without one), null if either is no version."""
+    x, y = (semver_key(a), semver_key(b)) if eco is None else (version_order(a, eco), version_order(b, eco))
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def advisory_intervals(advisories: DataFrame) -> DataFrame:
+    """Advisories with ``_low, _high``: keys of ``[introduced, fixed)``; null ends are open.  One whose ends can't be read is taken to be open there."""
+    low = F.coalesce(version_order(F.col("introduced"), F.col("eco")), F.lit(BOTTOM))
+    return advisories.withColumns({"_low": low, "_high": F.coalesce(version_order(F.col("fixed"), F.col("eco")), F.lit(TOP))})
+
+
+def _severity(found: DataFrame) -> DataFrame:
+    score = F.coalesce(F.col("cvss"), lookup(F.upper("label"), LABEL_SCORES))
+    return found.withColumn("severity", cvss_severity(score))
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies with an advisory whose range ``[introduced, fixed)`` holds their exact version.
+    """Dependencies with an advisory whose range ``[introduced, fixed)`` holds their exact version, by the ecosystem's precedence.
 
     ``advisories``: ``eco, name, advisory, introduced, fixed, cvss, label``; null ``fixed`` is open.
     Severity by CVSS score, else by label.
     """
     exact = F.coalesce(exact_npm_version(F.col("spec")), F.regexp_extract("spec", r"^==\s*([0-9][^,\s]*)$", 1))
-    d = deps.withColumn("version", F.when(exact != "", exact)).where("version is not null")
-    joined = d.join(advisories, ["eco", "name"])
-    inside = (compare_versions(F.col("version"), F.coalesce("introduced", F.lit("0"))) >= 0) & (F.col("fixed").isNull() | (compare_versions(F.col("version"), F.coalesce("fixed", F.lit("0"))) < 0))
-    score = F.coalesce(F.col("cvss"), lookup(F.upper("label"), LABEL_SCORES))
-    return joined.where(inside).withColumn("severity", cvss_severity(score))
+    d = deps.withColumn("version", F.when(exact != "", exact)).withColumn("_key", version_order(F.col("version"), F.col("eco"))).where("_key is not null")
+    joined = d.join(advisory_intervals(advisories), ["eco", "name"]).where("_low <= _key and _key < _high")
+    return _severity(joined.drop("_key", "_low", "_high"))
+
+
+def affected(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependencies whose requirement, exact or a range, allows a version that an advisory names: each pair once, with ``certain`` and ``severity``.
+
+    ``certain``: every version that the requirement allows is affected.  An equi-join by package; intervals of keys that
+    overlap are kept.  Requirements that can't be read are in :func:`unreadable`, never silently clean.
+    """
+    ranged = with_intervals(deps).where("_ranges is not null")
+    joined = ranged.join(advisory_intervals(advisories), ["eco", "name"])
+    meets = F.exists("_ranges", lambda x: (x["low"] < F.col("_high")) & (F.col("_low") < x["high"]))
+    inside = F.forall("_ranges", lambda x: (F.col("_low") <= x["low"]) & (x["high"] <= F.col("_high")))
+    return _severity(joined.where(meets).withColumn("certain", inside).drop("_ranges", "_low", "_high"))
+
+
+def unreadable(deps: DataFrame) -> DataFrame:
+    """Dependencies whose requirement is no range of versions (a url, a tag)."""
+    return with_intervals(deps).where("_ranges is null").drop("_ranges")
 
 
 def reachability(findings: DataFrame, imports: DataFrame, covered: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions import scalar
+from millrace.functions import scalar, versions
 from millrace.operators import configscan, context, deps, findings, graph, intervals, langscan, provenance, regression, resolve, rules, score, textscan
 from millrace.plans import cases
 from millrace.plans.bridge import ORDER_SEVERITY, PART_EDGES, part_edges, priority_severity, query_registry
@@ -382,6 +383,60 @@ def vulnerable_dependencies(spark, sf_dir):
     return deps.vulnerable(d, a).select("p_partkey", "s_suppkey", "severity")
 
 
+#: Parts as versions: three numbers, and a suffix by the id whose place in the order SQL states.
+_VERSION_SUFFIXES = {"PyPI": [".dev4", "a1", "b2", "rc1", "", ".post3"], "npm": ["-0", "-alpha.1", "-alpha.beta", "-rc.2", "", "+build"]}
+_VERSION_SQL = "p_size % 13 AS a, p_partkey % 11 AS b, p_partkey % 3 AS c, CASE p_partkey % 6 WHEN 5 THEN {last} ELSE p_partkey % 6 END AS d, CASE WHEN p_partkey % 2 = 0 THEN 'PyPI' ELSE 'npm' END AS eco"
+
+
+def _part_versions(spark, sf_dir):
+    k = F.col("p_partkey")
+    suffix = F.when(k % 2 == 0, F.element_at(F.array(*map(F.lit, _VERSION_SUFFIXES["PyPI"])), (k % 6 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, _VERSION_SUFFIXES["npm"])), (k % 6 + 1).cast("int")))
+    version = F.concat_ws(".", (F.col("p_size") % 13).cast("string"), (k % 11).cast("string"), (k % 3).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(k % 2 == 0, "PyPI").otherwise("npm").alias("eco"), F.concat(version, suffix).alias("version"))
+
+
+@query(f"""
+WITH v AS (SELECT p_partkey, p_brand, {_VERSION_SQL.format(last="CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 4 END")} FROM part)
+SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand, eco ORDER BY a, b, c, d)::INTEGER AS place FROM v
+""")
+def version_ranks(spark, sf_dir):
+    """Versions with pre-, post- and development releases and build data, in order within brand and ecosystem."""
+    v = _part_versions(spark, sf_dir).withColumn("key", versions.version_order(F.col("version"), F.col("eco")))
+    return v.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand", "eco").orderBy("key")).alias("place"))
+
+
+@query(f"""
+WITH d AS (
+  SELECT p_partkey, p_partkey % 3 AS shape, {_VERSION_SQL.format(last="CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 4 END")} FROM part),
+r AS (
+  SELECT p_partkey, eco, CASE shape WHEN 0 THEN (a, b, c, d) ELSE (a, b, 0, 4) END AS lo, shape,
+    CASE shape WHEN 0 THEN (a, b, c, d) WHEN 1 THEN CASE WHEN eco = 'npm' THEN CASE WHEN a > 0 THEN (a + 1, 0, 0, -1) ELSE (a, b + 1, 0, -1) END ELSE (a + 1, 0, 0, -1) END ELSE (a + 2, 0, 0, -1) END AS hi
+  FROM d),
+s AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'PyPI' ELSE 'npm' END AS eco, (s_nationkey % 13, s_suppkey % 5, 0, 4) AS since,
+    CASE WHEN s_suppkey % 7 = 0 THEN (99, 0, 0, 0) ELSE (s_nationkey % 13 + s_suppkey % 3, 5, 0, 4) END AS until
+  FROM supplier)
+SELECT p_partkey, s_suppkey, since <= lo AND (hi < until OR shape > 0 AND hi <= until) AS certain
+FROM r JOIN s ON p_partkey % 50 = s_suppkey % 50
+WHERE lo < until AND (since < hi OR shape = 0 AND since <= hi)
+""")
+def affected_ranges(spark, sf_dir):
+    """Parts as requirements (exact, caret or compatible, bounded) against suppliers as advisories of fifty packages."""
+    k = F.col("p_partkey")
+    two = F.regexp_extract("version", r"^(\d+\.\d+)", 1)
+    first = F.regexp_extract("version", r"^(\d+)", 1).cast("int")
+    top = (first + 2).cast("string")
+    pypi = F.when(k % 3 == 0, F.concat(F.lit("=="), F.col("version"))).when(k % 3 == 1, F.concat(F.lit("~="), two)).otherwise(F.concat(F.lit(">="), two, F.lit(", <"), top))
+    npm = F.when(k % 3 == 0, F.col("version")).when(k % 3 == 1, F.concat(F.lit("^"), two, F.lit(".0"))).otherwise(F.concat(F.lit(">="), two, F.lit(" <"), top))
+    d = _part_versions(spark, sf_dir).select("p_partkey", "eco", (k % 50).cast("string").alias("name"), F.when(F.col("eco") == "PyPI", pypi).otherwise(npm).alias("spec"))
+    s, n = F.col("s_suppkey"), F.col("s_nationkey") % 13
+    a = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(s % 2 == 0, "PyPI").otherwise("npm").alias("eco"), (s % 50).cast("string").alias("name"), F.concat(n.cast("string"), F.lit("."), (s % 5).cast("string")).alias("introduced"),
+        F.when(s % 7 != 0, F.concat((n + s % 3).cast("string"), F.lit(".5"))).alias("fixed"), F.lit(5.0).alias("cvss"), F.lit(None).cast("string").alias("label"),
+    )
+    return deps.affected(d, a).select("p_partkey", "s_suppkey", "certain")
+
+
 # Graphs ---------------------------------------------------------------------------------------
 
 
