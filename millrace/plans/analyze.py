@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.extend import Extensions
-from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, textscan
+from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, taint, textscan
 from millrace.session import stage_table
 from millrace.sources import files as sources
 from millrace.sources.python_facts import extract, of_kind
@@ -89,11 +89,15 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     lost, spare = langscan.ts_unused(files)
     ts = lost.select("path", F.lit("SKY-E003").alias("r"), F.col("path").alias("name")).unionByName(spare.select("path", F.lit("SKY-E004").alias("r"), "name")).withColumnRenamed("path", "file").withColumn("line", F.lit(1))
     unnamed = langscan.unused_private(files).withColumnRenamed("path", "file")
+    flows = rules.flow_rules(of_kind(facts, "flow"))
+    # what a function's own parameters tell is said already; this adds what only its callers and callees tell
+    across = taint.taint_findings(facts).join(flows.select("file", "line", "rule_id").distinct(), ["file", "line", "rule_id"], "left_anti").select(*rules.COLUMNS)
     found = rules.union_all([
+        across,
         rules.as_findings(unnamed, F.when(F.col("type") == "class", "SKY-U004").otherwise("SKY-U001"), "INFO", "dead_code", rules.say("unused %s %s", "type", "name"), kind="dead_code"),
         rules.as_findings(ts, F.col("r"), "LOW", "dead_code", rules.say("%s is not used", "name")),
         rules.metric_rules(functions, classes, of_kind(facts, "module"), files, limits),
-        rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), rules.flow_rules(of_kind(facts, "flow")), rules.behaviour_rules(calls, functions),
+        rules.pattern_rules(of_kind(facts, "pattern")), rules.call_rules(calls), rules.random_rule(calls), flows, rules.behaviour_rules(calls, functions),
         rules.literal_rules(of_kind(facts, "literal"), of_kind(facts, "pattern")), rules.coupling_rule(of_kind(facts, "class_use"), classes), rules.signature_mismatches(calls, functions),
         rules.lock_order(of_kind(facts, "lock")), rules.shared_state(of_kind(facts, "global_write"), calls), rules.opaque_names(of_kind(facts, "definition")), rules.stale_mocks(calls, of_kind(facts, "definition"), of_kind(facts, "string")), rules.policy_rules(files),
         rules.as_findings(from_text, F.col("rule_id"), F.col("severity"), "security", F.col("rule_id"), kind="text"), architecture(facts), unused, appsec.scan(facts),

@@ -37,7 +37,7 @@ def source_files(spark: SparkSession, roots: str | list[str], include: Iterable[
     A file that several roots hold counts once, with the path below the first of them.  Paths are relative to their root.
     Binary files have a null text.  See :func:`millrace.sources.tree.read_tree`.
     """
-    roots = [roots] if isinstance(roots, str) else list(roots)
+    roots = [roots] if isinstance(roots, str) else list(dict.fromkeys(roots))
     found = read_tree(spark, roots, exclude, include, ignore)
     if len(roots) > 1:
         absolute = F.concat_ws("/", F.regexp_replace("root", "^file:(//)?|/+$", ""), "path")

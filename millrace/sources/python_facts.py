@@ -304,6 +304,7 @@ class Extractor:
             if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) and n.func.value.id in places:
                 self.emit("param_call", name, n.func.value.id, n, n.func.attr, nums={"position": places[n.func.value.id]})
         self.flows(fn, name)
+        self.values(fn, name)
         self.locks(fn.body, name)
         self.resources(fn, name)
         for n in own:
@@ -504,6 +505,69 @@ class Extractor:
                     self.emit("flow", name, called, node, attrs={"any": "input" in every, "first": "input" in labels(first), "receiver": "input" in receiver, "labels": ",".join(sorted(every)), "mode": mode, "built": built, "shell": any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)})
 
 
+    def values(self, fn, name: str) -> None:
+        """Where values of a function go: rows ``value`` from an origin to a return or to an argument of a call, and its ``parameter`` rows.
+
+        Origins: ``p:x`` a parameter, ``s:name`` a source of outside data, ``c:line:column`` what the call that ends there returns; a call that cleans returns
+        nothing of note.  Whether a call passes its arguments on is left to who knows the function called: ``items`` are the names it may have.
+        Assignments carry or clear origins in textual order, loops are read twice.
+        """
+        places = [a.arg for a in [*fn.args.posonlyargs, *fn.args.args] if a.arg not in ("self", "cls")]
+        for k, arg in enumerate([*places, *[a.arg for a in fn.args.kwonlyargs]]):
+            self.emit("parameter", name, arg, fn, nums={"position": k} if k < len(places) else {})
+        held: dict[str, set[str]] = {a: {f"p:{a}"} for a in [*places, *[a.arg for a in fn.args.kwonlyargs]]}
+        for extra in (fn.args.vararg, fn.args.kwarg):
+            if extra is not None:
+                held[extra.arg] = {f"p:{extra.arg}"}
+
+        def origins(node: ast.AST | None) -> set[str]:
+            if node is None or isinstance(node, (ast.Constant, ast.Lambda, *FUNCTIONS)):
+                return set()
+            if isinstance(node, ast.Name):
+                return held.get(node.id, set())
+            if isinstance(node, ast.Call):
+                called = dotted(node.func, self.aliases)
+                return set() if called in SANITIZERS else {f"s:{called}"} if is_source(called) else {f"c:{node.end_lineno}:{node.end_col_offset}"}
+            if isinstance(node, ast.Attribute) and is_source(full := dotted(node, self.aliases)):
+                return {f"s:{full}"}
+            return set().union(*map(origins, ast.iter_child_nodes(node)))
+
+        nodes = sorted(own_nodes(fn.body), key=lambda n: (getattr(n, "lineno", 0), getattr(n, "col_offset", 0)))
+        looped = any(isinstance(n, LOOPS) for n in nodes)
+        for last in (False, True) if looped else (True,):
+            for node in nodes:
+                if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)) and node.value is not None:
+                    found = origins(node.value) | (origins(node.target) if isinstance(node, ast.AugAssign) else set())
+                    for t in [n for x in (node.targets if isinstance(node, ast.Assign) else [node.target]) for n in ast.walk(x) if isinstance(n, ast.Name)]:
+                        held[t.id] = found | (held.get(t.id, set()) if looped and not last else set())
+                elif isinstance(node, (ast.For, ast.AsyncFor, ast.withitem)):
+                    target, value = (node.optional_vars, node.context_expr) if isinstance(node, ast.withitem) else (node.target, node.iter)
+                    for t in [n for n in ast.walk(target) if isinstance(n, ast.Name)] if target is not None else []:
+                        held[t.id] = origins(value)
+                elif last and isinstance(node, (ast.Return, ast.Yield, ast.YieldFrom)):
+                    for origin in sorted(origins(node.value)):
+                        self.emit("value", name, origin, node, "ret")
+                elif last and isinstance(node, ast.Call):
+                    self.arguments(node, name, origins)
+
+    def arguments(self, node: ast.Call, name: str, origins) -> None:
+        """Rows ``value`` into the arguments of a call, and its row ``value_call``."""
+        called = dotted(node.func, self.aliases) or f".{getattr(node.func, 'attr', '')}"
+        ref, owner = f"{node.end_lineno}:{node.end_col_offset}", name.rpartition(".")[0]
+        may_be = [f"{owner}.{called.removeprefix('self.').removeprefix('cls.')}"] if called.startswith(("self.", "cls.")) else [called, f"{self.module}.{called}", f"{owner}.{called}", f"{name}.{called}"]
+        may_be = sorted({*may_be, *(f"{x}.__init__" for x in may_be)})
+        first = node.args[0] if node.args else None
+        built = isinstance(first, (ast.JoinedStr, ast.BinOp)) or isinstance(first, ast.Call) and isinstance(first.func, ast.Attribute) and first.func.attr == "format"
+        shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
+        self.emit("value_call", name, called, node, f"c:{ref}", attrs={"built": built, "shell": shell, "cleans": called in SANITIZERS}, items=may_be)
+        given = [(str(k), a) for k, a in enumerate(node.args)] + [(k.arg or "**", k.value) for k in node.keywords]
+        if isinstance(node.func, ast.Attribute):
+            given.append(("self", node.func.value))
+        for at, value in given:
+            for origin in sorted(origins(value)):
+                self.emit("value", name, origin, node, f"a:{ref}:{at}")
+
+
 def own_statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
     """Definitions of a body at any depth of plain blocks, without those inside other definitions."""
     todo = list(reversed(body))
