@@ -28,9 +28,9 @@ class Analysis:
         return score.severity_score(self.findings, ["category"])
 
     def incomplete(self) -> DataFrame:
-        """Files whose facts could not be extracted: unsupported languages and syntax errors.  Never counted as clean."""
+        """Files of code whose facts could not be extracted: unsupported languages and syntax errors.  Never counted as clean."""
         broken = of_kind(self.facts, "error").select("file", F.col("name").alias("reason"))
-        other = self.files.where(~F.coalesce(F.col("lang").isin(*sources.SUPPORTED), F.lit(False))).select(F.col("path").alias("file"), F.lit("unsupported language").alias("reason"))
+        other = self.files.where(F.col("lang").isNotNull() & ~F.col("lang").isin(*sources.SUPPORTED)).select(F.col("path").alias("file"), F.lit("unsupported language").alias("reason"))
         return broken.unionByName(other)
 
 

@@ -204,7 +204,7 @@ def test_sources_from_disk(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
     got = {r["path"]: (r["lang"], r["module"], r["loc"], r["role"]) for r in sources.source_files(spark, [str(tmp_path / "src"), str(tmp_path / "src")], include=["build"]).collect()}
-    assert got == {"a.py": ("python", "a", 1, "source"), "build/keep.py": ("python", "build.keep", 1, "source"), "t/test_a.py": ("python", "t.test_a", 0, "test")}
+    assert got == {"a.py": ("python", "a", 1, "source"), "build/keep.py": ("python", "build.keep", 1, "source"), "t/test_a.py": ("python", "t.test_a", 0, "test"), "n.md": (None, "n.md", 1, "source")}
     (tmp_path / "trace.json").write_text(json.dumps({"calls": [{"file": "a.py", "function": "f", "line": 3}]}))
     assert [tuple(r) for r in sources.trace_calls(spark, str(tmp_path / "trace.json")).collect()] == [("a.py", "f", 3)]
     bits = spark.createDataFrame([("a.py", bytearray([0b00000110, 0b1]))], "file string, numbits binary")
