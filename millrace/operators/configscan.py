@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.textscan import guard_commands
+from millrace.sources.yaml_nodes import config_nodes
 
 #: Kinds of configuration by path.
 KINDS = {
@@ -60,7 +61,8 @@ ABSENCE_RULES = [
     ("systemd", "SKY-D335", "MEDIUM", r"^\s*(ProtectSystem|NoNewPrivileges|PrivateTmp|ProtectHome)\s*=", r"^\s*ExecStart\s*="),
 ]
 
-#: Rules on a line of a file that has another line too: kind, rule, severity, pattern of the line, of the other, and of one that takes the file out.
+#: Rules on a line of a job that has another line too: kind, rule, severity, pattern of the line, of the other, and of one that takes the job out.
+#: Lines outside of all jobs count for every job, but the other line for those only that have no ``OVERRIDES`` of their own.
 PAIR_RULES = [
     ("github_actions", "SKY-D299", "HIGH", r"\$\{\{\s*secrets\.(?!GITHUB_TOKEN)\w+", r"(?i)\b(deploy|release|publish)\b", r"^\s*environment:"),
     ("github_actions", "SKY-D302", "HIGH", r"uses:\s*actions/create-github-app-token", r"^\s*jobs:", r"^\s*permission-\w+:"),
@@ -72,6 +74,45 @@ PAIR_RULES = [
 ]
 
 
+#: Keys that make a job's own settings take the place of the file's, by rule.
+OVERRIDES = {"SKY-D310": r"^\s+permissions:", "SKY-D319": r"^\s+id_tokens:"}
+#: Keys of a pipeline file that are no jobs.
+GITLAB_KEYS = ["default", "include", "stages", "variables", "workflow", "image", "services", "cache", "before_script", "after_script", "spec", "pages_defaults"]
+
+
+def job_lines(files: DataFrame) -> DataFrame:
+    """``path, job, start, end``: lines of the jobs of workflow and pipeline files (``path, text``)."""
+    yaml = files.where(F.col("path").rlike(KINDS["github_actions"]) | F.col("path").rlike(KINDS["gitlab_ci"]))
+    nodes = config_nodes(yaml).where("kind = 'key'")
+    github = F.col("path").rlike(KINDS["github_actions"]) & (F.col("depth") == 1) & (F.col("trail")[0] == "jobs")
+    gitlab = F.col("path").rlike(KINDS["gitlab_ci"]) & (F.col("depth") == 0) & ~F.col("key").isin(GITLAB_KEYS)
+    return nodes.where(github | gitlab).select("path", F.col("key").alias("job"), F.col("line").alias("start"), F.col("end_line").alias("end"))
+
+
+def _paired(lines: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Hits of ``PAIR_RULES``: a file's lines dealt to its jobs, each job judged by its own lines and those outside of any."""
+    many = jobs.groupBy("path").agg(F.collect_list(F.struct("job", "start", "end")).alias("_jobs"))
+    mine = F.filter("_jobs", lambda j: (j["start"] <= F.col("line")) & (F.col("line") <= j["end"]))
+    dealt = lines.join(many, "path", "left").withColumn("job", F.try_element_at(mine, F.lit(1))["job"]).drop("_jobs")
+    flags = []
+    for i, (_, rule, _, _, also, unless) in enumerate(PAIR_RULES):
+        flags.append(F.bool_or(F.col("text").rlike(also)).alias(f"also{i}"))
+        flags.append((F.bool_or(F.col("text").rlike(unless)) if unless else F.lit(False)).alias(f"off{i}"))
+        flags.append((F.bool_or(F.col("text").rlike(OVERRIDES[rule])) if rule in OVERRIDES else F.lit(False)).alias(f"own{i}"))
+    units = dealt.groupBy("path", "config", "job").agg(*flags)
+    around = units.where("job is null").select("path", *[F.col(f"{w}{i}").alias(f"_{w}{i}") for i in range(len(PAIR_RULES)) for w in ("also", "off")])
+    judged = units.where("job is not null").join(around, "path", "left")
+    alone = units.where("job is null").join(jobs.select("path").distinct(), "path", "left_anti")
+    no = F.lit(False)
+    ok = [(F.col(f"also{i}") | F.coalesce(F.col(f"_also{i}"), no) & ~F.col(f"own{i}")) & ~F.col(f"off{i}") for i in range(len(PAIR_RULES))]
+    verdicts = judged.select("path", "job", *[x.alias(f"ok{i}") for i, x in enumerate(ok)])
+    whole = verdicts.groupBy("path").agg(*[F.bool_or(f"ok{i}").alias(f"ok{i}") for i in range(len(PAIR_RULES))]).unionByName(alone.select("path", *[(F.col(f"also{i}") & ~F.col(f"off{i}")).alias(f"ok{i}") for i in range(len(PAIR_RULES))]))
+    outer = dealt.where("job is null").join(whole, "path").drop("job")
+    inner = dealt.where("job is not null").join(verdicts, ["path", "job"]).drop("job")
+    hits = [F.when((F.col("config") == kind) & F.col("text").rlike(at) & F.col(f"ok{i}"), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for i, (kind, rule, severity, at, _, _) in enumerate(PAIR_RULES)]
+    return outer.unionByName(inner).select("path", "line", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line", "h.rule_id", "h.severity")
+
+
 def config_lines(files: DataFrame) -> DataFrame:
     """``path, config, line, text`` of configuration files (``path, text``)."""
     kind = F.lit(None).cast("string")
@@ -94,9 +135,7 @@ def scan_config(files: DataFrame) -> DataFrame:
     per_file = lines.groupBy("path", "config").agg(*flags)
     missing = F.array(*[F.when((F.col("config") == kind) & F.col(f"app{i}") & ~F.col(f"has{i}"), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for i, (kind, rule, severity, _, _) in enumerate(ABSENCE_RULES)])
     absent = per_file.select("path", F.lit(1).alias("line"), F.explode(F.filter(missing, lambda h: h.isNotNull())).alias("h")).select("path", "line", "h.rule_id", "h.severity")
-    seen = [F.bool_or(F.col("text").rlike(p)).alias(f"{w}{i}") for i, (_, _, _, _, also, unless) in enumerate(PAIR_RULES) for w, p in (("also", also), ("off", unless)) if p]
-    pairs = [F.when((F.col("config") == kind) & F.col("text").rlike(at) & F.col(f"also{i}") & (~F.col(f"off{i}") if unless else F.lit(True)), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for i, (kind, rule, severity, at, _, unless) in enumerate(PAIR_RULES)]
-    paired = lines.join(lines.groupBy("path").agg(*seen), "path").select("path", "line", F.explode(F.array_compact(F.array(*pairs))).alias("h")).select("path", "line", "h.rule_id", "h.severity")
+    paired = _paired(lines, job_lines(files))
     commands = lines.where(F.col("text").rlike(r"^\s*(-?\s*run:|RUN\s|-\s|ExecStart)") | ~F.col("config").isin("compose"))
     guarded = guard_commands(commands, "text").select("path", "line", "rule_id", "severity")
     return single.unionByName(absent).unionByName(paired).unionByName(guarded).distinct()

@@ -64,3 +64,40 @@ def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = taint.find_flows(taint.python_program(facts))
     inside = facts.where("kind = 'value_call'").select(F.struct("file", "line").alias("at"), F.element_at(F.split("scope", r"\."), -1).alias("function"), "name")
     return found.select(F.struct("sink.file", "sink.line").alias("at")).join(inside.where("name = 'os.system'"), "at").select("function", F.col("at.file").alias("file")).distinct()
+
+
+#: Part ``k`` is a job of workflow ``k // 3``: what it holds goes by ``k % 7``, and whether it may ask for a token by its size.
+@query("""
+WITH j AS (
+  SELECT p_partkey // 3 AS w, p_partkey % 3 AS at, p_partkey % 7 AS t, p_size % 4 = 0 AS token, p_size % 4 = 1 AS own, p_partkey % 5 = 0 AS environment, p_partkey AS k FROM part),
+f AS (SELECT w, w % 4 = 0 AS top FROM j GROUP BY w),
+x AS (SELECT j.*, top, token OR top AND NOT own AS may FROM j JOIN f USING (w))
+SELECT '.github/workflows/w' || w || '.yml' AS path, 'job' || k AS job, 'SKY-' || r AS rule_id
+FROM (
+  SELECT w, k, 'D310' AS r FROM x WHERE t IN (0, 5) AND may
+  UNION ALL SELECT w, k, 'D299' FROM x WHERE t = 1 AND NOT environment
+  UNION ALL SELECT w, k, 'D308' FROM x WHERE t = 2)
+""")
+def config_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflows whose rules take two places of one job: a token and a script, a secret and a deployment, a cache and a publication."""
+    from millrace.operators import configscan
+    from millrace.sources import yaml_nodes
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    steps = _pick(
+        k, "      - run: ./build.sh\n", "      - run: echo deploy\n        env:\n          K: ${{ secrets.K }}\n", "      - uses: actions/cache@PIN\n      - run: npm publish\n", "      - run: npm publish\n",
+        "      - uses: actions/cache@PIN\n", "      - name: make it\n        run: make all\n", "      - run: echo ${{ secrets.K }}\n",
+    )
+    settings = F.when(size % 4 == 0, "    permissions:\n      id-token: write\n").when(size % 4 == 1, "    permissions:\n      contents: read\n").otherwise("")
+    place = F.when(k % 5 == 0, "    environment: live\n").otherwise("")
+    text = F.concat(F.lit("  job"), k.cast("string"), F.lit(":\n"), settings, place, F.lit("    steps:\n"), F.replace(steps, F.lit("PIN"), F.lit("0" * 40)))
+    w = F.floor(k / 3)
+    jobs = table(spark, sf_dir, "part").select(w.alias("w"), F.struct(k.alias("key"), text.alias("text")).alias("part"))
+    files = jobs.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("body"))
+    head = F.when(F.col("w") % 4 == 0, "name: w\non: push\npermissions:\n  id-token: write\njobs:\n").otherwise("name: w\non: push\njobs:\n")
+    files = stage_table(files.select(F.concat(F.lit(".github/workflows/w"), F.col("w").cast("string"), F.lit(".yml")).alias("path"), F.concat(head, F.col("body")).alias("text")), "workflows")
+    hits = configscan.scan_config(files).where(F.col("rule_id").isin("SKY-D299", "SKY-D308", "SKY-D310"))
+    nodes = yaml_nodes.config_nodes(files)
+    outer = nodes.where("depth = 1 and trail[0] = 'jobs'").select("path", "pre", "post", F.col("key").alias("job"))
+    lines = yaml_nodes.inside(nodes.select("path", "pre", "line", "trail"), outer).select("path", "job", "line").distinct()
+    return hits.join(lines, ["path", "line"]).select("path", "job", "rule_id").distinct()
