@@ -69,7 +69,7 @@ def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Part ``k`` is a job of workflow ``k // 3``: what it holds goes by ``k % 7``, and whether it may ask for a token by its size.
 @query("""
 WITH j AS (
-  SELECT p_partkey // 3 AS w, p_partkey % 3 AS at, p_partkey % 7 AS t, p_size % 4 = 0 AS token, p_size % 4 = 1 AS own, p_partkey % 5 = 0 AS environment, p_partkey AS k FROM part),
+  SELECT p_partkey // 3 AS w, p_partkey % 7 AS t, p_size % 4 = 0 AS token, p_size % 4 = 1 AS own, p_partkey % 5 = 0 AS environment, p_partkey AS k FROM part),
 f AS (SELECT w, w % 4 = 0 AS top FROM j GROUP BY w),
 x AS (SELECT j.*, top, token OR top AND NOT own AS may FROM j JOIN f USING (w))
 SELECT '.github/workflows/w' || w || '.yml' AS path, 'job' || k AS job, 'SKY-' || r AS rule_id
@@ -101,3 +101,78 @@ def config_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = nodes.where("depth = 1 and trail[0] = 'jobs'").select("path", "pre", "post", F.col("key").alias("job"))
     lines = yaml_nodes.inside(nodes.select("path", "pre", "line", "trail"), outer).select("path", "job", "line").distinct()
     return hits.join(lines, ["path", "line"]).select("path", "job", "rule_id").distinct()
+
+
+# Rules over rendered code ---------------------------------------------------------------------
+
+#: Statements that a rendered function may hold, and the rule that reports each, or none.
+CALL_LINES = [
+    ("eval(x)", "D201"), ("os.system('ls')", "D203"), ("pickle.loads(x)", "D205"), ("hashlib.md5(x)", "D207"), ("subprocess.run('ls', shell=True)", "D209"), ("requests.get('https://a', verify=False)", "D210"), ("yaml.safe_load(x)", None),
+    ("hashlib.sha256(x)", None), ("marshal.loads(x)", "D233"), ("tempfile.mktemp()", "D348"), ("literal_eval(x)", None),
+]
+FLOW_LINES = [
+    ("os.popen(x)", "D212"), ("os.popen(shlex.quote(x))", None), ("open(x)", "D215"), ("c.execute('select ' + x)", "D211"), ("c.execute('select ?', x)", None), ("requests.get(x)", "D216"), ("y = x; os.popen(y)", "D212"), ("x = 1; os.popen(x)", None),
+    ("c.execute(f'select {x}')", "D211"), ("os.popen(int(x))", None), ("requests.get('https://a', x)", None), ("y = request.args.get('a'); os.popen(y)", "D212"),
+]
+HEAD = "import hashlib, marshal, os, pickle, requests, shlex, subprocess, tempfile, yaml\nfrom ast import literal_eval\nfrom flask import request\n\n"
+
+
+def _rendered_functions(spark: SparkSession, sf_dir: str, lines: list[tuple[str, str | None]]) -> DataFrame:
+    """Parts as functions of three lines and a blank one, whose second line goes by the part's size and key."""
+    k = F.col("p_partkey")
+    body = _pick(k + F.col("p_size"), *[text for text, _ in lines])
+    text = F.concat(F.lit("def f"), k.cast("string"), F.lit("(x, c):\n    "), body, F.lit("\n    return x\n"))
+    return rendered(table(spark, sf_dir, "part"), "p_partkey", text, HEAD)
+
+
+def _lines_sql(lines: list[tuple[str, str | None]]) -> str:
+    rules = " ".join(f"WHEN {i} THEN 'SKY-{rule}'" for i, (_, rule) in enumerate(lines) if rule)
+    return f"""
+WITH p AS (
+  SELECT p_partkey // {ROWS_A_FILE} AS cell, row_number() OVER (PARTITION BY p_partkey // {ROWS_A_FILE} ORDER BY p_partkey) AS pos,
+    CASE (p_partkey + p_size) % {len(lines)} {rules} END AS rule_id
+  FROM part)
+SELECT 'm' || cell || '.py' AS file, ({HEAD.count(chr(10))} + 4 * (pos - 1) + 2)::INTEGER AS line, rule_id FROM p WHERE rule_id IS NOT NULL
+"""
+
+
+@query(_lines_sql(CALL_LINES))
+def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangerous calls in code that parts are rendered into."""
+    from millrace.operators import rules
+    from millrace.sources.python_facts import of_kind
+
+    facts = extract(_rendered_functions(spark, sf_dir, CALL_LINES))
+    return rules.call_rules(of_kind(facts, "call")).select("file", "line", "rule_id")
+
+
+@query(_lines_sql(FLOW_LINES))
+def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outside data in sinks, through locals, cleaned or overwritten on the way, in code that parts are rendered into."""
+    from millrace.operators import rules
+    from millrace.sources.python_facts import of_kind
+
+    facts = extract(_rendered_functions(spark, sf_dir, FLOW_LINES))
+    return rules.flow_rules(of_kind(facts, "flow")).select("file", "line", "rule_id")
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part),
+f AS (SELECT p_partkey AS k, CASE WHEN p_size % 3 > 0 AND p_partkey < n THEN least(n, p_partkey + 1 + p_size) END AS g, p_partkey % 7 = 0 AS root FROM part, n),
+live(k) AS (SELECT k FROM f WHERE root UNION SELECT f.g FROM f JOIN live USING (k) WHERE f.g IS NOT NULL)
+SELECT 'm' || k // {ROWS_A_FILE} || '.py' AS file, 'm' || k // {ROWS_A_FILE} || '.work' || k AS name FROM f ANTI JOIN live USING (k)
+""")
+def code_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that nothing alive calls, over modules, in code that parts are rendered into: every seventh is called by its module."""
+    from millrace.operators import resolve
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    sized = parts.crossJoin(F.broadcast(parts.agg(F.max("p_partkey").alias("n"))))  # one row
+    k, g = F.col("p_partkey"), F.least(F.col("n"), F.col("p_partkey") + 1 + F.col("p_size"))
+    target = F.concat(F.lit("m"), F.floor(g / ROWS_A_FILE).cast("string"))
+    called = F.concat(F.lit("    import "), target, F.lit("\n    "), target, F.lit(".work"), g.cast("string"), F.lit("()\n"))
+    body = F.when((F.col("p_size") % 3 > 0) & (k < F.col("n")), called).otherwise(F.lit("    print('done')\n"))
+    text = F.concat(F.lit("def work"), k.cast("string"), F.lit("():\n"), body, F.when(k % 7 == 0, F.concat(F.lit("\nwork"), k.cast("string"), F.lit("()\n"))).otherwise(""))
+    files = stage_table(rendered(sized, "p_partkey", text), "code")
+    facts = stage_table(extract(files), "facts")
+    return resolve.dead_code(facts, files=files).where("decision = 'reported' and type = 'function'").select("file", "name")

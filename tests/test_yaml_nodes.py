@@ -56,7 +56,7 @@ def test_nodes(spark):
     by = {r["pre"]: r for r in rows}
     assert all(r["parent"] is None or by[r["parent"]]["pre"] < r["pre"] <= by[r["parent"]]["post"] for r in rows)
     build = next(r for r in rows if r["trail"] == ["jobs", "build"])
-    assert (build["line"], build["end_line"]) == (10, 21)
+    assert (build["line"], build["end_line"]) == (11, 22)
 
 
 def test_inside_is_containment(spark):
