@@ -148,13 +148,25 @@ def cap_per_group(findings: DataFrame, group: list[str], order: list, k: int) ->
     return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
+def _islands(rows: DataFrame, by: list[str], tolerance: int) -> DataFrame:
+    """Add ``_island``: rows of a group share it if a chain of lines no more than ``tolerance`` apart joins them."""
+    w = Window.partitionBy(*by).orderBy("line")
+    gap = F.col("line") - F.lag("line").over(w) > tolerance
+    marked = rows.withColumn("_fresh", F.coalesce(gap, F.lit(True)).cast("int"))
+    return marked.withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
 def dedupe_near_lines(findings: DataFrame, tolerance: int = 2, prefix: int = 50) -> DataFrame:
     """Drop findings within ``tolerance`` lines of an earlier kept one with one file and message start.
 
-    First wins, in the order of ``seq``; which are kept depends on all kept before, so a group
-    (file and normalised message start) is walked in order.
+    First wins, in the order of ``seq``; which are kept depends on all kept before, but never across a gap of
+    more than ``tolerance`` lines.  So a group (file and normalised message start) is cut at its gaps; a finding alone between gaps is kept as it is,
+    others are walked in order, one island at a time.
     """
-    keyed = findings.withColumn("_key", F.substring(normalize_message(F.coalesce("message", F.lit(""))), 1, prefix))
+    given = findings.schema
+    keyed = findings.withColumns({"_key": F.substring(normalize_message(F.coalesce("message", F.lit(""))), 1, prefix), "_line": F.col("line"), "line": F.coalesce("line", F.lit(0))})
+    by = ["file", "_key", "_island"]
+    cut = _islands(keyed, by[:2], tolerance).withColumn("line", F.col("_line")).drop("_line").withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq", kind="stable")
@@ -165,7 +177,8 @@ def dedupe_near_lines(findings: DataFrame, tolerance: int = 2, prefix: int = 50)
                 kept.add(line)
         return part[keep]
 
-    return keyed.groupBy("file", "_key").applyInPandas(walk, keyed.schema).drop("_key")
+    walked = cut.where("_n > 1").groupBy(*by).applyInPandas(walk, cut.schema)
+    return cut.where("_n = 1").unionByName(walked).select(*given.names)
 
 
 def merge_findings(static: DataFrame, other: DataFrame, tolerance: int = 5, least_ratio: float = 0.5) -> DataFrame:
@@ -173,31 +186,41 @@ def merge_findings(static: DataFrame, other: DataFrame, tolerance: int = 5, leas
 
     Alike: one category, or similar messages, or one rule-id start of three.  Returns
     ``seq, source`` with ``both``, ``static`` or ``other``; ``match_seq`` names the partner.
+
+    Files are cut where two lines of either side are further apart than ``tolerance``, as no pair crosses such a gap; only pieces that hold findings
+    of both sides are walked, and there a finding meets only those on near lines.
     """
     cols = ["seq", "file", "line", "category", "message", "rule_id"]
 
     def alike(a, b) -> bool:
-        if abs(int(a.line) - int(b.line)) > tolerance:
-            return False
         if a.category and b.category and a.category.lower() == b.category.lower():
             return True
         if a.norm and b.norm and SequenceMatcher(None, a.norm, b.norm).ratio() >= least_ratio:
             return True
         return bool(a.rule_id and b.rule_id and a.rule_id.lower()[:3] == b.rule_id.lower()[:3])
 
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (x.sort_values("seq").astype({"line": int}) for x in (left, right))
-        rest, out = list(right.itertuples(index=False)), []
-        for a in left.itertuples(index=False):
-            hit = next((b for b in rest if alike(a, b)), None)
-            if hit is not None:
-                rest.remove(hit)
-            out.append((a.seq, "static" if hit is None else "both", None if hit is None else hit.seq))
-        out += [(b.seq, "other", None) for b in rest]
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(part.sort_values("seq", kind="stable").itertuples(index=False))
+        free: dict[int, list] = {}
+        for b in rows:
+            if b.side == 1:
+                free.setdefault(int(b.line), []).append(b)
+        out = []
+        for a in rows:
+            if a.side == 0:
+                near = sorted((b.seq, k, int(b.line)) for line in range(int(a.line) - tolerance, int(a.line) + tolerance + 1) for k, b in enumerate(free.get(line, ())))
+                hit = next(((line, k) for _, k, line in near if alike(a, free[line][k])), None)
+                out.append((a.seq, "static" if hit is None else "both", None if hit is None else free[hit[0]].pop(hit[1]).seq))
+        out += [(b.seq, "other", None) for left in free.values() for b in left]
         return pd.DataFrame({"seq": [x[0] for x in out], "source": [x[1] for x in out], "match_seq": pd.Series([x[2] for x in out], dtype="Int64")})
 
-    ready = lambda d: d.select(*cols).withColumns({"line": F.coalesce("line", F.lit(0)), "norm": normalize_message(F.coalesce("message", F.lit("")))}).groupBy("file")
-    return ready(static).cogroup(ready(other)).applyInPandas(walk, "seq long, source string, match_seq long")
+    ready = lambda d, side: d.select(*cols).withColumns({"line": F.coalesce("line", F.lit(0)), "norm": normalize_message(F.coalesce("message", F.lit(""))), "side": F.lit(side)}).drop("message")
+    cut = _islands(ready(static, 0).unionByName(ready(other, 1)), ["file"], tolerance)
+    w = Window.partitionBy("file", "_island")
+    cut = cut.withColumn("_both", F.min("side").over(w) < F.max("side").over(w))
+    schema = f"seq {static.schema['seq'].dataType.simpleString()}, source string, match_seq long"
+    alone = cut.where("not _both").select("seq", F.when(F.col("side") == 0, "static").otherwise("other").alias("source"), F.lit(None).cast("long").alias("match_seq"))
+    return alone.unionByName(cut.where("_both").groupBy("file", "_island").applyInPandas(walk, schema))
 
 
 def cross_reference(external: DataFrame, dead: DataFrame, findings: DataFrame, tolerance: int = 5) -> DataFrame:
