@@ -86,24 +86,48 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         n = now
 
 
+#: Steps that a round takes in one plan before it is written: fewer writes for long paths, plans that stay short.
+STEPS_A_ROUND = 3
+
+
+def _trimmed(edges: DataFrame, label: str) -> DataFrame:
+    """Edges without those into nodes that none leaves or out of nodes that none enters, until no such node is left: what can be on a cycle, written."""
+    now, size, last = edges, -1, None
+    while True:
+        for _ in range(STEPS_A_ROUND):
+            ends, starts = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
+            now = now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst")
+        now = stage_table(now, label)
+        if last is not None:
+            drop_staged(last)
+        before, last, size = size, now, now.count()
+        if size == 0 or size == before:
+            return now
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes on cycles: nodes that reach each other; the least node names a component.
 
     Colouring (Orzan, 2004): every node takes the least node that leads to it as
     its colour; a node of its own colour heads a component, which holds the nodes of that colour that lead back to it.  The
-    components found are taken out, with nodes that no edge enters or leaves, and the rest is coloured anew.  Tables have a row a
+    components found are taken out, with nodes that no edge enters or leaves (before the first colours too, so that a graph
+    without cycles is never coloured), and the rest is coloured anew.  Tables have a row a
     node or edge, never a pair of nodes that only a path joins.
     """
-    core = stage_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
-    alone = core.where("src = dst").select(F.col("src").alias("node"))
+    whole = stage_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
+    alone = whole.where("src = dst").select(F.col("src").alias("node"))
+    core = _trimmed(whole, "core")
     found = []
     while core.limit(1).count():
         first = core.select(F.col("dst").alias("node"), F.least("src", "dst").alias("c")).union(core.select("src", "src"))
         colours = stage_table(first.groupBy("node").agg(F.min("c").alias("c")), "colours")
         moved = 1
         while moved:
-            given = core.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c2"))
-            after = stage_table(colours.join(given, "node", "left").select("node", F.least("c", "c2").alias("c"), (F.col("c2") < F.col("c")).alias("moved")), "colours")
+            after = colours.withColumn("moved", F.lit(False))
+            for _ in range(STEPS_A_ROUND):
+                given = core.join(after.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c2"))
+                after = after.join(given, "node", "left").select("node", F.least("c", "c2").alias("c"), (F.col("moved") | F.coalesce(F.col("c2") < F.col("c"), F.lit(False))).alias("moved"))
+            after = stage_table(after, "colours")
             moved = after.where("moved").limit(1).count()
             drop_staged(colours)
             colours = after.select("node", "c")
@@ -115,9 +139,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found.append(part)
         gone = part.select("node")
         rest = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        ends, starts = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
         drop_staged(back, colours)
-        core = stage_table(rest.join(ends, "src", "left_semi").join(starts, "dst", "left_semi"), "core")
+        core = _trimmed(rest, "core")
     out = core.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     for part in found:
         out = out.unionByName(part)
