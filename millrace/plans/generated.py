@@ -176,3 +176,33 @@ def code_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stage_table(rendered(sized, "p_partkey", text), "code")
     facts = stage_table(extract(files), "facts")
     return resolve.dead_code(facts, files=files).where("decision = 'reported' and type = 'function'").select("file", "name")
+
+
+#: Part ``k`` is a function that calls ``(k // 3 * 2 + k % 7) % n``; ``k % 5`` tells what it does with its parameter and names a class.
+@query(f"""
+WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS n FROM part),
+f AS (SELECT k, {_CALLED} AS g, k % 5 AS t, k % 11 % 4 AS c FROM (SELECT p_partkey AS k FROM part), n),
+param(k, c) AS (SELECT g, c FROM f WHERE t = 3 UNION SELECT f.g, param.c FROM f JOIN param USING (k) WHERE t IN (1, 4)),
+ret(k, c) AS (
+  SELECT k, c FROM f WHERE t = 0 UNION SELECT k, param.c FROM f JOIN param USING (k) WHERE t IN (2, 3)
+  UNION SELECT f.k, ret.c FROM f JOIN ret ON f.g = ret.k WHERE t = 1)
+SELECT 'f' || k AS function, 'c.C' || c AS cls, CASE WHEN c = 3 THEN 'c.C1.run' ELSE 'c.C' || c || '.run' END AS method
+FROM (SELECT k, param.c FROM f JOIN param USING (k) WHERE t = 2 UNION SELECT f.k, ret.c FROM f JOIN ret ON f.g = ret.k WHERE t = 4)
+""")
+def receiver_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods that calls on parameters and on returned values reach, by the classes of the instances passed around."""
+    from millrace.operators import receivers
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    sized = parts.crossJoin(F.broadcast(parts.agg(F.count("*").alias("n"))))  # one row
+    k = F.col("k")
+    g = (F.floor(k / 3) * 2 + k % 7) % F.col("n")
+    called = F.concat(F.lit("m"), F.floor(g / ROWS_A_FILE).cast("string"), F.lit(".f"), g.cast("string"))
+    made = F.concat(F.lit("c.C"), (k % 11 % 4).cast("string"), F.lit("()"))
+    shape = _pick(k, "    return NEW", "    return G(x)", "    x.run()\n    return x", "    y = NEW\n    G(y)\n    return x", "    G(x).run()")
+    text = F.concat(F.lit("def f"), k.cast("string"), F.lit("(x):\n"), F.replace(F.replace(shape, F.lit("G("), F.concat(called, F.lit("("))), F.lit("NEW"), made))
+    classes = "\n".join(f"class C{i}{'(C1)' if i == 3 else ''}:\n    {'limit = 3' if i == 3 else 'def run(self):' + chr(10) + '        return 1'}\n" for i in range(4))
+    files = rendered(sized, "k", text, "import c, m0\n").unionByName(describe(spark.createDataFrame([("c.py", classes)], "path string, text string").withColumns({"bytes": F.octet_length("text").cast("long"), "sha256": F.sha2("text", 256)})))
+    facts = stage_table(extract(files), "facts")
+    found = receivers.receiver_methods(facts)
+    return found.select(F.element_at(F.split("fn", r"\."), -1).alias("function"), "cls", F.col("callee").alias("method")).distinct()
