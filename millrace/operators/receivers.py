@@ -85,7 +85,16 @@ def receiver_methods(facts: DataFrame) -> DataFrame:
     return out
 
 
-def instance_references(facts: DataFrame) -> DataFrame:
-    """``ref, file, scope``: references to the very methods that calls on known receivers reach, to be added to those by name."""
-    where = of_kind(facts, "value_call").select(F.col("scope").alias("fn"), F.col("target").alias("result"), "file").distinct()
-    return receiver_methods(facts).join(where, ["fn", "result"]).select(F.col("callee").alias("ref"), "file", F.col("fn").alias("scope")).distinct()
+def sure_receivers(facts: DataFrame) -> DataFrame:
+    """``file, scope, ref, calls, callee``: methods that the dotted name ``ref`` calls in a function, where all its receivers are made there of known classes.
+
+    Only what one function tells counts: a parameter, or the return of a call, may be anything.  ``calls`` is how often the name is called.
+    """
+    calls = of_kind(facts, "value_call").select("file", F.col("scope").alias("fn"), F.col("target").alias("result"), F.col("name").alias("ref"), "items").where("ref like '%.%'")
+    made = of_kind(facts, "value_call").select(F.col("scope").alias("fn"), F.col("target").alias("origin"), F.explode("items").alias("cls")).join(of_kind(facts, "class").select(F.col("name").alias("cls")).distinct(), "cls").distinct()
+    parts = F.split("target", ":")
+    held = of_kind(facts, "value").where("target like '%:self'").select(F.col("scope").alias("fn"), F.col("name").alias("origin"), F.concat_ws(":", F.lit("c"), parts[1], parts[2]).alias("result")).distinct()
+    typed = held.join(made, ["fn", "origin"], "left").groupBy("fn", "result").agg(F.bool_and(F.col("cls").isNotNull()).alias("sure"), F.collect_set("cls").alias("classes"))
+    named = calls.join(typed, ["fn", "result"], "left").groupBy("file", "fn", "ref").agg(F.count("*").alias("calls"), F.bool_and(F.coalesce("sure", F.lit(False))).alias("sure"), F.array_distinct(F.flatten(F.collect_list("classes"))).alias("classes"))
+    of_class = named.where("sure").select("file", F.col("fn").alias("scope"), "ref", "calls", F.explode("classes").alias("cls"), F.element_at(F.split("ref", r"\."), -1).alias("simple"))
+    return of_class.join(method_table(facts), ["cls", "simple"]).select("file", "scope", "ref", "calls", "callee").distinct()

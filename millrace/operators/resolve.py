@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import glob_to_regex
 from millrace.operators.graph import closure, reachable, transitive_dead
+from millrace.operators.receivers import sure_receivers
 from millrace.session import stage_table
 from millrace.sources.files import module_name
 
@@ -57,14 +58,15 @@ def confidence(defs: DataFrame, dynamic_modules: DataFrame | None = None, base:
     return d.withColumn("confidence", F.when(zero, 0).otherwise(F.greatest(points, F.lit(0)))).drop("_dyn")
 
 
-def match_references(refs: DataFrame, defs: DataFrame) -> DataFrame:
+def match_references(refs: DataFrame, defs: DataFrame, sure: DataFrame | None = None) -> DataFrame:
     """``def_key, n``: references credited to each definition.
 
     ``refs``: a bag of ``ref, file, scope``.  What a name begins with and what a dotted name ends in are
     looked for apart; each goes to the candidates of the first stage that has any: (1) the import of that name in the file and what it stands for, the full
     name, (3) the name in the own module or an enclosing scope; (4) a method of the own class for ``self.x``, (5) the only definition of
     that simple name in the file, (6) the only one anywhere, for dotted references, (7) all methods
-    of that name, where the receiver of an attribute is not known.
+    of that name, where the receiver of an attribute is not known.  ``sure`` (see :func:`millrace.operators.receivers.sure_receivers`): methods of
+    receivers whose classes are known, which go with stage 4.
     """
     bag = refs.where("ref is not null").groupBy("ref", "file", "scope").agg(F.count("*").alias("n")).withColumn("rid", F.xxhash64("ref", "file", "scope"))
     bag = stage_table(bag, "refs")
@@ -93,6 +95,9 @@ def match_references(refs: DataFrame, defs: DataFrame) -> DataFrame:
     tail = ends.select("rid", "file", F.element_at(parts, -1).alias("simple_name"))
     own_class = ends.where("ref rlike '^(self|cls)[.]'").select("rid", F.element_at(parts, 2).alias("simple_name"), F.regexp_replace("scope", r"\.[^.]+$", "").alias("cls"))
     s4 = stage(4, own_class.join(own.select("def_key", "simple_name", F.col("scope").alias("cls")), ["simple_name", "cls"]))
+    if sure is not None:  # a name that is also passed on without a call may be called anywhere
+        exact = ends.join(sure, ["file", "scope", "ref"]).where(F.col("n") == F.col("calls"))
+        s4 = s4.union(stage(4, exact.select("rid", F.col("callee").alias("name")).join(own.select("def_key", "name"), "name")))
     in_file = own.withColumn("_c", F.count("*").over(Window.partitionBy("simple_name", "file"))).where("_c = 1 and type in ('method', 'function', 'class', 'variable')")
     s5 = stage(5, tail.join(in_file.select("def_key", "simple_name", "file"), ["simple_name", "file"]))
     anywhere = own.withColumn("_c", F.count("*").over(Window.partitionBy("simple_name"))).where("_c = 1 and type in ('method', 'function', 'class')")
@@ -203,7 +208,7 @@ def count_references(facts: DataFrame, defs: DataFrame, files: DataFrame | None
     """Definitions with ``references`` after all stages that count them: references, also from other files, imports of what they stand for, overrides, exports' methods."""
     refs = facts.where("kind in ('ref', 'dynamic')").select(F.col("name").alias("ref"), "file", "scope")
     refs = refs if files is None else refs.unionByName(outside_references(files))
-    own = match_references(refs, defs)
+    own = match_references(refs, defs, sure_receivers(facts))
     resolved = defs.where("type = 'import'").groupBy(F.col("target").alias("def_key")).agg(F.count("*").alias("n"))
     total = own.unionByName(resolved).groupBy("def_key").agg(F.sum("n").alias("n"))
     counted = defs.join(total, "def_key", "left").withColumn("references", F.coalesce("n", F.lit(0)).cast("int")).drop("n")

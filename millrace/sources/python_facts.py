@@ -510,7 +510,7 @@ class Extractor:
 
         Origins: ``p:x`` a parameter, ``s:name`` a source of outside data, ``c:line:column`` what the call that ends there returns; a call that cleans returns
         nothing of note.  Whether a call passes its arguments on is left to who knows the function called: ``items`` are the names it may have.
-        Assignments carry or clear origins in textual order, loops are read twice.
+        Assignments carry origins in textual order and clear them if they always run; loops are read twice.
         """
         places = [a.arg for a in [*fn.args.posonlyargs, *fn.args.args] if a.arg not in ("self", "cls")]
         for k, arg in enumerate([*places, *[a.arg for a in fn.args.kwonlyargs]]):
@@ -534,12 +534,13 @@ class Extractor:
 
         nodes = sorted(own_nodes(fn.body), key=lambda n: (getattr(n, "lineno", 0), getattr(n, "col_offset", 0)))
         looped = any(isinstance(n, LOOPS) for n in nodes)
+        certain = {id(n) for n in fn.body}  # statements that always run: what others assign is added to what a name held
         for last in (False, True) if looped else (True,):
             for node in nodes:
                 if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)) and node.value is not None:
                     found = origins(node.value) | (origins(node.target) if isinstance(node, ast.AugAssign) else set())
                     for t in [n for x in (node.targets if isinstance(node, ast.Assign) else [node.target]) for n in ast.walk(x) if isinstance(n, ast.Name)]:
-                        held[t.id] = found | (held.get(t.id, set()) if looped and not last else set())
+                        held[t.id] = found | (held.get(t.id, set()) if id(node) not in certain or looped and not last else set())
                 elif isinstance(node, (ast.For, ast.AsyncFor, ast.withitem)):
                     target, value = (node.optional_vars, node.context_expr) if isinstance(node, ast.withitem) else (node.target, node.iter)
                     for t in [n for n in ast.walk(target) if isinstance(n, ast.Name)] if target is not None else []:
