@@ -22,9 +22,9 @@ from millrace.sources.python_facts import of_kind
 class Program:
     """Tables of a program's values.
 
-    ``moves``: ``fn, origin, target``, within a function; origins begin with ``p:`` (parameter), ``s:`` (source) or ``c:`` (a call's
-    result), targets are ``ret`` or an argument.  ``binds``: ``fn, target, result, callee, param``, an argument that becomes a parameter of a known function.
-    ``results``: ``fn, result, callee``, a call of a known function.  ``passes``: ``fn, target, result``, an argument of an unknown function, which its result may hold.
+    ``moves``: ``fn, origin, target``, within a function; origins begin with ``p:`` (parameter), ``s:`` (source), ``c:`` (a call's
+    result) or ``v:`` (a variable as one place assigns it, which is a target too), other targets are ``ret`` or an argument.  ``binds``: ``fn, target, result, callee, param``, an argument that becomes a parameter of a known function.
+    ``results``: ``fn, result, callee``, a call of a known function.  ``passes``: ``fn, target, result``, an argument of an unknown function, which its result may hold, or a variable twice.
     ``sinks``: ``fn, target, sink``.
     """
 
@@ -77,7 +77,7 @@ def find_flows(program: Program) -> DataFrame:
     known, and writes what is new; rounds are as many as calls on the longest way.  Recursion ends, as nothing new comes of it.  An empty program has no rows; repeated rows count once.
     """
     p = Program(*(stage_table(t, "taint") for t in (program.moves, program.binds, program.results, program.passes, program.sinks)))
-    begun = p.moves.where("origin not like 'c:%'").select("fn", F.col("origin").alias("start"), F.col("origin").alias("node")).distinct()
+    begun = p.moves.where("origin like 'p:%' or origin like 's:%'").select("fn", F.col("origin").alias("start"), F.col("origin").alias("node")).distinct()
     front = stage_table(begun.withColumn("way", F.array("fn")), "taint")
     nodes, ends, spent = front, None, [front]
     while front.limit(1).count():
