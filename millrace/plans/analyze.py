@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.extend import Extensions
-from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, taint, textscan
+from millrace.operators import appsec, configscan, graph, langscan, resolve, rules, score, taint, textscan, tokenflow
 from millrace.session import stage_table
 from millrace.sources import files as sources
 from millrace.sources.python_facts import extract, of_kind
+from millrace.sources.tokens import LANGUAGES, tokens
 
 
 @dataclass
@@ -92,6 +93,10 @@ def analyze(files: DataFrame, limits: dict | None = None, threshold: int = resol
     flows = rules.flow_rules(of_kind(facts, "flow"))
     # what a function's own parameters tell is said already; this adds what only its callers and callees tell
     across = taint.taint_findings(facts).join(flows.select("file", "line", "rule_id").distinct(), ["file", "line", "rule_id"], "left_anti").select(*rules.COLUMNS)
+    other = files.where(F.col("lang").isin(*LANGUAGES))
+    if other.limit(1).count():
+        told = from_text.select("file", "line", "rule_id").distinct()
+        across = across.unionByName(tokenflow.flow_findings(tokens(other)).join(told, ["file", "line", "rule_id"], "left_anti").select(*rules.COLUMNS))
     found = rules.union_all([
         across,
         rules.as_findings(unnamed, F.when(F.col("type") == "class", "SKY-U004").otherwise("SKY-U001"), "INFO", "dead_code", rules.say("unused %s %s", "type", "name"), kind="dead_code"),

@@ -17,12 +17,12 @@ QUERIES, ORACLES, query = query_registry()
 ROWS_A_FILE = 50
 
 
-def rendered(rows: DataFrame, key: str, text: Column, head: str = "", name: str = "m", suffix: str = ".py") -> DataFrame:
+def rendered(rows: DataFrame, key: str, text: Column, head: str = "", name: str = "m", suffix: str = ".py", tail: str = "") -> DataFrame:
     """Source files of ``ROWS_A_FILE`` rows each, in order of the integer ``key``: every row's text one after the other."""
     cell = F.floor(F.col(key) / ROWS_A_FILE)
     parts = rows.select(cell.alias("cell"), F.struct(F.col(key).alias("key"), text.alias("text")).alias("part"))
     whole = parts.groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n").alias("body"))
-    out = whole.select(F.concat(F.lit(name), F.col("cell").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.col("body"), F.lit("\n")).alias("text"))
+    out = whole.select(F.concat(F.lit(name), F.col("cell").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.col("body"), F.lit("\n" + tail)).alias("text"))
     return describe(out.withColumns({"bytes": F.octet_length("text").cast("long"), "sha256": F.sha2("text", 256)}))
 
 
@@ -206,3 +206,52 @@ def receiver_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = stage_table(extract(files), "facts")
     found = receivers.receiver_methods(facts)
     return found.select(F.element_at(F.split("fn", r"\."), -1).alias("function"), "cls", F.col("callee").alias("method")).distinct()
+
+
+#: Shapes of a function in three languages: ``G`` is the function it calls, ``IN`` outside data, ``RUN`` a command, ``CLEAN`` what makes it harmless, ``VAR`` a declaration.
+_SHAPES = [
+    "return G(x);", "VAR y = IN; return G(y);", "G('safe'); return CLEAN(x);", "RUN(x); return 'done';", "return x.trim();", "RUN(G('safe')); return 'done';", "VAR z = G(IN); RUN(z); return 'done';", "G(x); return G('safe');",
+    "VAR w = 'a'; FOR { w = G(x); } return w;", "VAR v = IN; v = 'safe'; RUN(v); return 'done';", "VAR v = 'safe'; IF { v = IN; } RUN(v); return 'done';",
+]
+#: By language: suffix, head and tail of a file, function around a shape, and what the words of shapes stand for.
+_TONGUES = [
+    (".ts", "import { exec } from 'child_process'\n", "", "export function fK(x: string): string {\n  // RUN(IN)\n  BODY\n}", {"IN": "process.argv[2]", "RUN": "exec", "CLEAN": "encodeURIComponent", "VAR": "let", "FOR": "for (const i of [1, 2])", "IF": "if (x > 'a')"}),
+    (".java", "class M {\n", "}\n", "  static String fK(final String x) {\n    /* RUN(IN) */\n    BODY\n  }", {"IN": 'request.getParameter("a")', "RUN": "Runtime.getRuntime().exec", "CLEAN": "Integer.parseInt", "VAR": "String", "FOR": "while (x != null)", "IF": "if (x.isEmpty())", "'": '"'}),
+    (".go", 'package m\n\nimport "os/exec"\n', "", "func fK(x string) string {\n\t// RUN(IN)\n\tBODY\n}", {"IN": 'os.Getenv("A")', "RUN": "exec.Command", "CLEAN": "url.QueryEscape", "VAR y =": "y :=", "VAR z =": "z :=", "VAR w =": "w :=", "VAR v =": "v :=", "FOR": "for i := range xs", "IF": "if x != \"\"", "'": '"', "x.trim()": "strings.TrimSpace(x)", "; ": "\n\t", "{ ": "{\n\t", "} ": "}\n\t", ";": ""}),
+]
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT count(*)::BIGINT AS n FROM part),
+f AS (SELECT k, {_CALLED} AS g, k % 11 AS t, k // {ROWS_A_FILE} % 3 = ({_CALLED}) // {ROWS_A_FILE} % 3 AS known FROM (SELECT p_partkey AS k FROM part), n),
+ret(k) AS (SELECT k FROM f WHERE t = 4 OR t IN (0, 8) AND NOT known UNION SELECT f.k FROM f JOIN ret ON f.g = ret.k WHERE t IN (0, 8) AND known),
+sink(k, s) AS (SELECT k, k FROM f WHERE t = 3 UNION SELECT f.k, s FROM f JOIN sink ON f.g = sink.k WHERE t IN (0, 7, 8) AND known),
+src(k) AS (
+  SELECT f.k FROM f LEFT JOIN ret ON f.g = ret.k WHERE t = 1 AND (NOT known OR ret.k IS NOT NULL) UNION SELECT f.k FROM f JOIN src ON f.g = src.k WHERE t IN (0, 1, 7, 8) AND known),
+hit AS (
+  SELECT s FROM f JOIN sink ON f.g = sink.k WHERE t IN (1, 6) AND known UNION SELECT f.k FROM f JOIN src ON f.g = src.k WHERE t IN (5, 6) AND known
+  UNION SELECT f.k FROM f JOIN ret ON f.g = ret.k WHERE t = 6 AND known UNION SELECT k FROM f WHERE t = 6 AND NOT known OR t = 10)
+SELECT DISTINCT 'f' || s AS function, 'm' || s // {ROWS_A_FILE} || CASE s // {ROWS_A_FILE} % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.java' ELSE '.go' END AS file FROM hit
+""")
+def token_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of TypeScript, Java and Go whose command outside data reaches, over variables, branches, loops and calls of the same language."""
+    from millrace.operators import tokenflow
+    from millrace.sources.tokens import tokens
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    sized = parts.crossJoin(F.broadcast(parts.agg(F.count("*").alias("n"))))  # one row
+    k, files = F.col("k"), None
+    g = (F.floor(k / 3) * 2 + k % 7) % F.col("n")
+    for i, (suffix, head, tail, around, words) in enumerate(_TONGUES):
+        shapes = []
+        for shape in _SHAPES:
+            text = around.replace("BODY", shape)
+            for word, stands in words.items():
+                text = text.replace(word, stands)
+            shapes.append(text)
+        text = F.replace(F.replace(_pick(k, *shapes), F.lit("fK("), F.concat(F.lit("f"), k.cast("string"), F.lit("("))), F.lit("G("), F.concat(F.lit("f"), g.cast("string"), F.lit("(")))
+        part = rendered(sized.where(F.floor(k / ROWS_A_FILE) % 3 == i), "k", text, head, suffix=suffix, tail=tail)
+        files = part if files is None else files.unionByName(part)
+    values = tokenflow.program(tokens(stage_table(files, "code")))
+    found = taint.find_flows(values).select("sink").distinct().join(values.sinks.select("fn", "sink"), "sink")
+    return found.select(F.split("fn", ":")[1].alias("function"), F.col("sink.file").alias("file")).distinct()

@@ -153,3 +153,38 @@ def test_flows(spark):
     assert {(r["file"], r["line"], r["rule_id"]) for r in found} == _marks(CODE)
     assert len(found) == len(_marks(CODE))
     release_staged()
+
+
+def test_places(spark):
+    text = "const f = async (a, b) => g(a, { k: b })\nx.y?.z(1)\n  .then((r) => r.v)\nlet re = /[/'\"]/, s = `a${`b${c}`}`\n"
+    rows = {(r["name"], r["line"]): r for r in tokens(from_texts(spark, {"a.ts": text})).where("name is not null").collect()}
+    assert (rows["a", 1]["arg"], rows["b", 1]["arg"]) == (0, 1)
+    assert rows["x.y.z", 2]["chain"] > 0 and ("x.y.z().then", 3) in rows
+    assert rows["c", 4]["eq"] >= 0 and ("b", 4) not in rows
+
+
+def test_texts_without_grammar(spark):
+    """Null and empty texts, brackets that do not match, repeated rows, and other languages: defined, and no finding."""
+    texts = {"a.ts": "", "b.ts": "}}}))) ]](", "c.go": "func (", "d.java": "class { \"", "e.ts": "`${`${", "f.py": "exec(req.query.a)", "g.ts": "=> = , ; :=", "h.ts": "/* exec(req.query.a)"}
+    files = from_texts(spark, texts)
+    files = files.unionByName(files.withColumn("text", files["text"].cast("string").substr(0, 0))).unionByName(files.limit(1).selectExpr("path", "lang", "cast(null as string) text"), allowMissingColumns=True)
+    assert tokenflow.flow_findings(tokens(files)).count() == 0
+    twice = from_texts(spark, {"a.ts": "exec(req.query.a)"})
+    assert tokenflow.flow_findings(tokens(twice.unionByName(twice))).count() == 1
+    release_staged()
+
+
+def test_long_files_take_linear_time():
+    """Minified code of one line and one statement, and deep nesting."""
+    import time
+
+    from millrace.sources.tokens import _structure
+
+    def took(text):
+        start = time.time()
+        n = sum(1 for _ in _structure("typescript", text))
+        return time.time() - start, n
+
+    for make in (lambda n: "var " + ",".join(f"a{k}=b{k}" for k in range(n)), lambda n: "f(" * n + ")" * n, lambda n: "x={a:1};" * n, lambda n: "`${" * n, lambda n: "f(a=>a,b);" * n):
+        (a, _), (b, n) = took(make(4000)), took(make(16000))
+        assert n > 4000 and b < 12 * a + 1
