@@ -245,14 +245,21 @@ def layer_violations(edges: DataFrame, layers: DataFrame, allow: DataFrame, deny
     return out.select("src", "dst", "src_layer", "dst_layer", "reason", F.when(F.col("reason") == "unknown_layer", "MEDIUM").otherwise("HIGH").alias("severity"))
 
 
+#: Stand-ins for characters that a prefix means literally.
+_STAR, _MARK = "\u0001", "\u0002"
+
+
 def map_layers(modules: DataFrame, patterns: DataFrame) -> DataFrame:
     """Each module's layer by its most specific pattern (most dots, then longest, then by layer name)."""
     from pyspark.sql import Window
 
     from millrace.functions.scalar import glob_to_regex
+    from millrace.operators.patterns import matches
 
-    fits = F.rlike(F.col("module"), glob_to_regex(F.col("pattern"))) | F.col("module").startswith(F.concat(F.col("pattern"), F.lit(".")))
-    hit = modules.join(patterns, fits)
+    as_globs = F.array(F.col("pattern"), F.concat(F.replace(F.replace("pattern", F.lit("*"), F.lit(_STAR)), F.lit("?"), F.lit(_MARK)), F.lit(".*")))
+    regex = F.replace(F.replace(glob_to_regex(F.col("glob")), F.lit(_STAR), F.lit(r"\*")), F.lit(_MARK), F.lit(r"\?"))
+    globs = patterns.select("pattern", "layer", F.explode(as_globs).alias("glob")).select("pattern", "layer", regex.alias("_regex"))
+    hit = modules.join(matches(modules, "module", globs, "_regex"), "module").join(globs, "_regex")
     dots = F.size(F.split("pattern", r"\."))
     w = Window.partitionBy("module").orderBy(dots.desc(), F.length("pattern").desc(), "layer")
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("module", "layer")

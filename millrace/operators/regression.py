@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.deps import added_lines
+from millrace.operators.patterns import matches
 
 #: Controls whose removal is reported: name, pattern, and whether an added line of the hunk makes up for it.
 CONTROLS = [
@@ -53,12 +54,14 @@ def permission_expansion(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def unguarded_routes(routes: DataFrame, contract: DataFrame) -> DataFrame:
     """Routes that a contract (``prefix, guard``) wants guarded and whose decorators lack the guard."""
-    joined = routes.join(contract, F.col("route").startswith(F.col("prefix")))
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.char_length("route")), lambda n: F.left(F.col("route"), n)))
+    pairs = routes.select("route").where("route is not null").distinct().select("route", starts.alias("prefix"))
+    joined = routes.join(pairs.join(contract.select("prefix").distinct(), "prefix", "left_semi"), "route").join(contract, "prefix")
     return joined.where(~F.array_contains("decorators", F.col("guard"))).withColumns({"rule_id": F.lit("SKY-A105"), "severity": F.lit("HIGH")})
 
 
 def untested_changes(changed: DataFrame, risky: DataFrame) -> DataFrame:
     """High-risk changed files (``file``, rule table ``pattern``) of a change without any test file."""
     tests = changed.agg(F.coalesce(F.bool_or(F.col("file").rlike(r"(^|/)tests?/|(^|/)test_|_test\.")), F.lit(False)).alias("tested"))
-    hit = changed.join(risky, F.rlike(F.col("file"), F.col("pattern")), "left_semi")
+    hit = changed.join(matches(changed, "file", risky, "pattern").select("file").distinct(), "file", "left_semi")
     return hit.join(tests.where("not tested"), F.lit(True)).select("file").withColumns({"rule_id": F.lit("SKY-A102"), "severity": F.lit("LOW")})

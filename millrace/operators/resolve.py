@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import glob_to_regex
 from millrace.operators.graph import closure, reachable, transitive_dead
+from millrace.operators.patterns import matches
 from millrace.operators.receivers import sure_receivers
 from millrace.session import stage_table
 from millrace.sources.files import module_name
@@ -163,7 +164,9 @@ def rescues(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -
     registered = by_decorator.unionByName(by_call).distinct()
     found.append(methods.where("simple_name not like '\\\\_%'").join(registered, "owner", "left_semi").select("def_key", F.lit("registered class").alias("rescue")))
     patterns = facts.where("kind = 'dynamic_pattern'").select(F.col("name").alias("_pattern")).distinct()
-    found.append(defs.where("type in ('function', 'method', 'class')").join(patterns, F.rlike("simple_name", F.col("_pattern")), "left_semi").select("def_key", F.lit("name made at run time").alias("rescue")))
+    callables = defs.where("type in ('function', 'method', 'class')")
+    made = matches(callables, "simple_name", patterns, "_pattern").select("simple_name").distinct()
+    found.append(callables.join(made, "simple_name", "left_semi").select("def_key", F.lit("name made at run time").alias("rescue")))
     named = facts.where("kind = 'string'").select(F.col("name").alias("def_key")).where("def_key like '%.%'").distinct()
     found.append(defs.where("type <> 'import'").join(named, "def_key", "left_semi").select("def_key", F.lit("named by a string").alias("rescue")))
     if files is not None:
@@ -201,7 +204,8 @@ def whitelisted(defs: DataFrame, entries: DataFrame, today: str | None = None) -
     """``def_key`` of definitions whose full or simple name a shell pattern of ``entries`` (``pattern``, ``until`` a date or null) fits and has not run out."""
     day = F.current_date() if today is None else F.lit(today).cast("date")
     live = entries.where(F.col("until").isNull() | (F.col("until").cast("date") >= day)).select(glob_to_regex(F.col("pattern")).alias("_glob"))
-    return defs.join(live, F.rlike("name", F.col("_glob")) | F.rlike("simple_name", F.col("_glob")), "left_semi").select("def_key")
+    said = defs.select("def_key", F.explode(F.array_distinct(F.array("name", "simple_name"))).alias("said"))
+    return said.join(matches(said, "said", live, "_glob").select("said").distinct(), "said", "left_semi").select("def_key").distinct()
 
 
 def count_references(facts: DataFrame, defs: DataFrame, files: DataFrame | None = None) -> DataFrame:

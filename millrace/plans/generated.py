@@ -255,3 +255,20 @@ def token_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = tokenflow.program(tokens(stage_table(files, "code")))
     found = taint.find_flows(values).select("sink").distinct().join(values.sinks.select("fn", "sink"), "sink")
     return found.select(F.split("fn", ":")[1].alias("function"), F.col("sink.file").alias("file")).distinct()
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+g AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name[:6] || '%' WHEN 1 THEN '%' || p_name[-5:] ELSE '%' || p_name[3:6] || '%' END AS pattern FROM part)
+SELECT replace(pattern, '%', '*') AS pattern, count(*) AS n FROM g JOIN n ON name LIKE pattern GROUP BY pattern
+""")
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that fit each of the patterns made of parts: beginnings, ends and pieces of names."""
+    from millrace.functions.scalar import glob_to_regex
+    from millrace.operators.patterns import matches
+
+    names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    star, name, by = F.lit("*"), F.col("name"), F.col("p_partkey") % 3
+    glob = F.when(by == 0, F.concat(F.left(name, F.lit(6)), star)).when(by == 1, F.concat(star, F.right(name, F.lit(5)))).otherwise(F.concat(star, F.substring(name, 3, 4), star))
+    globs = names.select(glob.alias("pattern")).distinct().withColumn("regex", glob_to_regex(F.col("pattern")))
+    return matches(names, "name", globs, "regex").join(globs, "regex").groupBy("pattern").agg(F.count("*").alias("n"))
