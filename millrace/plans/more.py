@@ -162,14 +162,16 @@ def annotations(spark, sf_dir):
 
 
 @query(f"""
-WITH f AS ({_FINDINGS_SQL} WHERE o_orderkey % 100 = 0)
+WITH f AS ({_FINDINGS_SQL})
 SELECT rule_id, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, message, file, greatest(line, 1) AS line FROM f
 """)
 def sarif_report(spark, sf_dir):
-    """Every hundredth order as a report, parsed again."""
-    report = sinks.sarif(_order_findings(spark, sf_dir).where("o_orderkey % 100 = 0"))
-    shape = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
-    r = report.select(F.explode(F.element_at(F.from_json("sarif", shape)["runs"], 1)["results"]).alias("r"))
+    """All orders as a report, written in parts, whose results are parsed again."""
+    path = stage_path(spark, "sarif")
+    sinks.write_sarif(_order_findings(spark, sf_dir), path)
+    shape = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
+    pieces = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit(",")).alias("text")).where(F.col("text").startswith('{"ruleId"'))
+    r = pieces.select(F.from_json("text", shape).alias("r"))
     place = F.element_at("r.locations", 1)["physicalLocation"]
     return r.select(F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("file"), place["region"]["startLine"].alias("line"))
 
@@ -214,6 +216,17 @@ def attestation(spark, sf_dir):
     return sinks.attestation(_order_findings(spark, sf_dir), files)
 
 
+@query(f"""
+WITH f AS ({_FINDINGS_SQL}),
+l AS (SELECT sha256('{{"rule_id":"' || rule_id || '","file":"' || file || '","line":' || line || ',"message":"' || message || '"}}') AS d FROM f),
+l0 AS (SELECT d AS place, d || ':' || count(*) AS d, count(*) AS n FROM l GROUP BY 1),
+{", ".join(f"l{i + 1} AS (SELECT place[:{n}] AS place, sha256(string_agg(d, ',' ORDER BY place)) AS d, sum(n) AS n FROM l{i} GROUP BY 1)" for i, n in enumerate((6, 4, 2)))}
+SELECT sha256(string_agg(d, ',' ORDER BY place)) AS root, sum(n)::BIGINT AS rows FROM l3
+""")
+def merkle_attestation(spark, sf_dir):
+    return sinks.merkle(_order_findings(spark, sf_dir), "rule_id", "file", "line", "message")
+
+
 # Selections -----------------------------------------------------------------------------------
 
 
