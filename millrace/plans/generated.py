@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import taint
 from millrace.plans.bridge import query_registry
-from millrace.session import stage_table, table
+from millrace.session import stage_path, stage_table, table
 from millrace.sources.files import describe
 from millrace.sources.python_facts import extract
 
@@ -272,3 +272,22 @@ def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     glob = F.when(by == 0, F.concat(F.left(name, F.lit(6)), star)).when(by == 1, F.concat(star, F.right(name, F.lit(5)))).otherwise(F.concat(star, F.substring(name, 3, 4), star))
     globs = names.select(glob.alias("pattern")).distinct().withColumn("regex", glob_to_regex(F.col("pattern")))
     return matches(names, "name", globs, "regex").join(globs, "regex").groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS k, p_size = 7 AS edited, p_partkey // {ROWS_A_FILE} AS cell FROM part),
+c AS (SELECT cell, bool_or(edited) AS again FROM p GROUP BY cell)
+SELECT CASE WHEN edited THEN 'g' ELSE 'f' END || k AS function, CASE WHEN again THEN 2 ELSE 1 END AS run, (SELECT count(*) FROM c WHERE again) AS parsed FROM p JOIN c USING (cell)
+""")
+def incremental_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions, some renamed before a second run: the run that parsed each function's file, and how many files the second one parsed."""
+    from millrace.sources.fact_store import facts_of
+
+    k, edited, store = F.col("p_partkey").cast("string"), F.col("p_size") == 7, stage_path(spark, "store")
+    parts = table(spark, sf_dir, "part")
+    text = lambda name: F.concat(F.lit("def "), name, k, F.lit("(x):\n    return x\n"))
+    first = facts_of(rendered(parts, "p_partkey", text(F.lit("f"))), store)
+    second = facts_of(rendered(parts, "p_partkey", text(F.when(edited, "g").otherwise("f"))), store)
+    runs = first.facts.select("run").distinct().withColumn("n", F.lit(1))
+    functions = second.facts.where("kind = 'function'").join(runs, "run", "left")
+    return functions.select(F.element_at(F.split("name", r"\."), -1).alias("function"), F.coalesce("n", F.lit(2)).alias("run"), F.lit(second.parsed).cast("long").alias("parsed"))
