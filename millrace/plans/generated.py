@@ -81,7 +81,6 @@ FROM (
 def config_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workflows whose rules take two places of one job: a token and a script, a secret and a deployment, a cache and a publication."""
     from millrace.operators import configscan
-    from millrace.sources import yaml_nodes
 
     k, size = F.col("p_partkey"), F.col("p_size")
     steps = _pick(
@@ -96,11 +95,11 @@ def config_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = jobs.groupBy("w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("body"))
     head = F.when(F.col("w") % 4 == 0, "name: w\non: push\npermissions:\n  id-token: write\njobs:\n").otherwise("name: w\non: push\njobs:\n")
     files = stage_table(files.select(F.concat(F.lit(".github/workflows/w"), F.col("w").cast("string"), F.lit(".yml")).alias("path"), F.concat(head, F.col("body")).alias("text")), "workflows")
-    hits = configscan.scan_config(files).where(F.col("rule_id").isin("SKY-D299", "SKY-D308", "SKY-D310"))
-    nodes = yaml_nodes.config_nodes(files)
-    outer = nodes.where("depth = 1 and trail[0] = 'jobs'").select("path", "pre", "post", F.col("key").alias("job"))
-    lines = yaml_nodes.inside(nodes.select("path", "pre", "line", "trail"), outer).select("path", "job", "line").distinct()
-    return hits.join(lines, ["path", "line"]).select("path", "job", "rule_id").distinct()
+    jobs = stage_table(configscan.job_lines(files), "jobs")
+    hits = configscan.scan_config(files, jobs).where(F.col("rule_id").isin("SKY-D299", "SKY-D308", "SKY-D310"))
+    # jobs are as many as parts, which the size of their files does not tell: no broadcast
+    held = hits.join(jobs.hint("merge"), "path").where((F.col("line") > F.col("start")) & (F.col("line") <= F.col("end")))
+    return held.select("path", "job", "rule_id").distinct()
 
 
 # Rules over rendered code ---------------------------------------------------------------------
