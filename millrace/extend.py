@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import rules
 from millrace.operators.score import defense_score
+from millrace.sources.frames import frames
 from millrace.sources.python_facts import COLUMNS, SCHEMA
 
 #: A rule takes the table of facts and gives findings (columns of ``rules.COLUMNS``).
@@ -49,7 +50,7 @@ class Extensions:
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame([r for p, m, t in zip(batch["path"], batch["module"], batch["text"], strict=True) for r in seen(p, m, t)], columns=COLUMNS)
+                yield from frames((r for p, m, t in zip(batch["path"], batch["module"], batch["text"], strict=True) for r in seen(p, m, t)), COLUMNS)
 
         return files.where("lang = 'python'").select("path", "module", "text").mapInPandas(walk, SCHEMA)
 

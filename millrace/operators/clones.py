@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import components, k_core
 from millrace.session import drop_staged, stage_table
+from millrace.sources.frames import frames
 
 #: Least lines and nodes of a fragment, similarities of the clone types, and the reporting threshold.
 MIN_LINES, MIN_NODES = 8, 10
@@ -93,8 +94,8 @@ def extract_fragments(files: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, t in zip(batch["path"], batch["text"], strict=True) for r in fragments_of(p, t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            rows = (tuple(r.values()) for p, t in zip(batch["path"], batch["text"], strict=True) for r in fragments_of(p, t or ""))
+            yield from frames(rows, [c.split()[0] for c in schema.split(", ")])
 
     out = files.select("path", "text").mapInPandas(walk, schema)
     return out.withColumn("frag_id", F.concat_ws(":", "file", F.lpad(F.col("start_line").cast("string"), 7, "0")))

@@ -15,3 +15,33 @@ def test_jobs_of_many_files_are_not_broadcast(spark):
     assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
     pairs = {(r["path"][-5:], r["line"], r["rule_id"]) for r in hits.where("rule_id in ('SKY-D299', 'SKY-D310')").collect()}
     assert pairs == {("a.yml", 8, "SKY-D310"), ("b.yml", 3, "SKY-D299"), ("d.yml", 2, "SKY-D310")}
+
+
+def test_frames_of_facts_are_bounded(spark):
+    """A batch of files has many facts: frames of them must not grow with the batch."""
+    import pandas as pd
+
+    from millrace.sources import frames, python_facts, yaml_nodes
+
+    files = pd.DataFrame({"path": [f"m{i}.py" for i in range(600)], "module": [f"m{i}" for i in range(600)], "lang": "python", "text": ["def f(x):\n    g(x)\n    return x\n"] * 600})
+    configs = pd.DataFrame({"path": [f"{i}.yml" for i in range(3000)], "text": ["a: 1\nb:\n  c: 2\n"] * 3000})
+    for table, make in ((files, python_facts.extract), (configs, yaml_nodes.config_nodes)):
+        seen = []
+        real = pd.DataFrame
+
+        class Frames:  # the operator's own function, run here on one batch
+            def __init__(self, df):
+                self.df = df
+
+            def where(self, *_):
+                return self
+
+            select = where
+
+            def mapInPandas(self, f, _):
+                seen.extend(len(x) for x in f(iter([self.df])))
+
+        make(Frames(real(table)))
+        assert len(seen) > 1 and max(seen) <= frames.FRAME_ROWS
+    rows = python_facts.extract(spark.createDataFrame(files)).groupBy("file").count().agg({"count": "min", "*": "count"}).first()
+    assert rows["count(1)"] == 600 and rows["min(count)"] * 600 == sum(1 for t in files["text"] for _ in python_facts.facts_of("m.py", "m", t))
