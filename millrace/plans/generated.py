@@ -21,6 +21,8 @@ def rendered(rows: DataFrame, key: str, text: Column, head: str = "", name: str
     """Source files of ``ROWS_A_FILE`` rows each, in order of the integer ``key``: every row's text one after the other."""
     cell = F.floor(F.col(key) / ROWS_A_FILE)
     parts = rows.select(cell.alias("cell"), F.struct(F.col(key).alias("key"), text.alias("text")).alias("part"))
+    # a small table renders into much code, which its size does not tell: every task gets cells
+    parts = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
     whole = parts.groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n").alias("body"))
     out = whole.select(F.concat(F.lit(name), F.col("cell").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.col("body"), F.lit("\n" + tail)).alias("text"))
     return describe(out.withColumns({"bytes": F.octet_length("text").cast("long"), "sha256": F.sha2("text", 256)}))
