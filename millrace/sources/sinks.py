@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.findings import fingerprint
-from millrace.session import drop_staged, stage_table
+from millrace.session import drop_staged, small_batches, stage_table
 
 #: The SARIF schema that reports name.
 SARIF_SCHEMA, SARIF_VERSION = "https://json.schemastore.org/sarif-2.1.0.json", "2.1.0"
@@ -54,11 +58,40 @@ def cache_trace(calls: DataFrame, path: str, signature: str) -> DataFrame:
     return calls.sparkSession.read.schema(calls.schema).parquet(place)
 
 
+def _digest(rows: DataFrame, columns: list[str], digest: str, count: str) -> DataFrame:
+    """One row: SHA-256 of the JSON array of the rows' ``columns``, sorted by them, and their number.
+
+    All tasks sort (by ranges) and render; what they render is staged as chunks of a batch each.  The digest of one string is a chain, so one
+    task has to read the chunks in order: it holds a batch of them at once, never the string.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"at": [batch["at"].iloc[0]], "text": [",".join(batch["text"])], "n": [len(batch)]})
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, n = hashlib.sha256(b"["), 0
+        for batch in batches:
+            for text, more in zip(batch["text"], batch["n"], strict=True):
+                if more:
+                    state.update(("," + text if n else text).encode())
+                    n += more
+        state.update(b"]")
+        yield pd.DataFrame({"digest": [state.hexdigest()], "n": [n]})
+
+    placed = rows.select(*columns).orderBy(*columns).select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*columns)).alias("text"))
+    staged = stage_table(placed.mapInPandas(chunks, "at long, text string, n long"), "attested")
+    start = spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))  # so that no rows have a digest too
+    one = staged.unionByName(start).repartitionByRange(1, "at").sortWithinPartitions("at").select("text", "n")
+    return one.mapInPandas(chained, "digest string, n long").select(F.col("digest").alias(digest), F.col("n").alias(count))
+
+
 def attestation(findings: DataFrame, files: DataFrame) -> DataFrame:
     """One row: digests of the sorted findings and of the sorted files."""
-    f = findings.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("rule_id", "file", "line", "severity")))), 256).alias("findings_sha256"), F.count("*").alias("findings"))
-    s = files.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "sha256")))), 256).alias("files_sha256"), F.count("*").alias("files"))
-    return f.join(s)
+    return _digest(findings, ["rule_id", "file", "line", "severity"], "findings_sha256", "findings").join(_digest(files, ["path", "sha256"], "files_sha256", "files"))
 
 
 def write_sarif(findings: DataFrame, path: str, tool: str = "millrace") -> None:

@@ -45,3 +45,21 @@ def test_frames_of_facts_are_bounded(spark):
         assert len(seen) > 1 and max(seen) <= frames.FRAME_ROWS
     rows = python_facts.extract(spark.createDataFrame(files)).groupBy("file").count().agg({"count": "min", "*": "count"}).first()
     assert rows["count(1)"] == 600 and rows["min(count)"] * 600 == sum(1 for t in files["text"] for _ in python_facts.facts_of("m.py", "m", t))
+
+
+def test_attestation_collects_no_rows(spark):
+    """Digests of sorted rows without a list of all rows in one group; nulls and no rows included."""
+    import hashlib
+    import json
+
+    from millrace.sources import sinks
+
+    rows = [("r", f"f{i * 7919 % 5000}", i % 9, "HIGH" if i % 5 else None) for i in range(5000)] + [("r", 'a"é', 1, "LOW")] * 2
+    findings, files = spark.createDataFrame(rows, "rule_id string, file string, line int, severity string").repartition(7), spark.createDataFrame([], "path string, sha256 string")
+    out = sinks.attestation(findings, files)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+    text = ",".join(json.dumps({k: v for k, v in zip(("rule_id", "file", "line", "severity"), r, strict=True) if v is not None}, separators=(",", ":"), ensure_ascii=False) for r in ordered)
+    got = out.first()
+    assert (got["findings"], got["files"]) == (5002, 0)
+    assert got["findings_sha256"] == hashlib.sha256(f"[{text}]".encode()).hexdigest() and got["files_sha256"] == hashlib.sha256(b"[]").hexdigest()
