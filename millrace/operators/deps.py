@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalar import LABEL_SCORES, cvss_severity, dependency_name, exact_npm_version
 from millrace.functions.versions import BOTTOM, TOP, semver_key, version_order, with_intervals
 from millrace.operators.findings import lookup
+from millrace.session import stage_table
 
 
 def requirements(files: DataFrame) -> DataFrame:
@@ -101,14 +102,23 @@ def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 def affected(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies whose requirement, exact or a range, allows a version that an advisory names: each pair once, with ``certain`` and ``severity``.
 
-    ``certain``: every version that the requirement allows is affected.  An equi-join by package; intervals of keys that
-    overlap are kept.  Requirements that can't be read are in :func:`unreadable`, never silently clean.
+    ``certain``: every version that the requirement allows is affected.  Different requirements meet different advisories of their package once; intervals of keys that
+    overlap are kept, and only such pairs are expanded into rows, so that the work grows with the result.  Requirements that can't be read are in :func:`unreadable`, never silently clean.
     """
-    ranged = with_intervals(deps).where("_ranges is not null")
-    joined = ranged.join(advisory_intervals(advisories), ["eco", "name"])
+    wanted, named = ["eco", "name", "spec"], ["eco", "name", "introduced", "fixed"]
+    asked = stage_table(with_intervals(deps.select(*wanted).distinct()).where("_ranges is not null").withColumn("_ask", F.monotonically_increasing_id()), "asked")
+    told = stage_table(advisory_intervals(advisories.select(*named).distinct()).withColumn("_tell", F.monotonically_increasing_id()), "told")
+    joined = asked.join(told.drop("introduced", "fixed"), ["eco", "name"])
     meets = F.exists("_ranges", lambda x: (x["low"] < F.col("_high")) & (F.col("_low") < x["high"]))
     inside = F.forall("_ranges", lambda x: (F.col("_low") <= x["low"]) & (x["high"] <= F.col("_high")))
-    return _severity(joined.where(meets).withColumn("certain", inside).drop("_ranges", "_low", "_high"))
+    pairs = stage_table(joined.where(meets).select("_ask", "_tell", inside.alias("certain")), "affected")
+    # a null spec has no ranges, so equality is enough there; null ends of advisories are equal to each other
+    mine = deps.join(asked.select(*wanted, "_ask"), wanted)
+    # a row here may make many, which the size of a small table does not tell: all tasks take a share
+    mine = mine.repartition(int(deps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = told.select(*[F.col(c).alias(f"_{c}") for c in named], "_tell")
+    theirs = advisories.join(t, (F.col("eco") == F.col("_eco")) & (F.col("name") == F.col("_name")) & F.col("introduced").eqNullSafe(F.col("_introduced")) & F.col("fixed").eqNullSafe(F.col("_fixed"))).drop("eco", "name", *[f"_{c}" for c in named])
+    return _severity(mine.join(pairs, "_ask").join(theirs, "_tell")).select(*deps.columns, *[c for c in advisories.columns if c not in ("eco", "name")], "certain", "severity")
 
 
 def unreadable(deps: DataFrame) -> DataFrame:
