@@ -63,3 +63,17 @@ def test_attestation_collects_no_rows(spark):
     got = out.first()
     assert (got["findings"], got["files"]) == (5002, 0)
     assert got["findings_sha256"] == hashlib.sha256(f"[{text}]".encode()).hexdigest() and got["files_sha256"] == hashlib.sha256(b"[]").hexdigest()
+
+
+def test_equal_requirements_meet_equal_advisories_once(spark):
+    from millrace.operators import deps
+    from millrace.session import release_staged, staged_paths
+
+    release_staged()
+    d = spark.range(50).selectExpr("id", "'npm' eco", "'p' name", "'^1.2.0' spec")
+    a = spark.range(40).selectExpr("id advisory", "'npm' eco", "'p' name", "'1.0.0' introduced", "cast(null as string) fixed", "5.0D cvss", "cast(null as string) label")
+    out = deps.affected(d, a)
+    assert out.select("id", "advisory").distinct().count() == out.where("certain").count() == out.count() == 2000
+    compared = [p for p in staged_paths() if "/affected-" in p]
+    assert [spark.read.parquet(p).count() for p in compared] == [1]
+    release_staged()
