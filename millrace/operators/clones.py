@@ -10,11 +10,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components, k_core
-from millrace.session import drop_staged, stage_table
+from millrace.session import drop_staged, small_batches, stage_table
 from millrace.sources.frames import frames
 
 #: Least lines and nodes of a fragment, similarities of the clone types, and the reporting threshold.
@@ -22,10 +22,14 @@ MIN_LINES, MIN_NODES = 8, 10
 TYPE_THRESHOLDS = {"type1": 0.98, "type2": 0.95, "type3": 0.88}
 REPORT_THRESHOLD = 0.90
 BUCKET_DIGITS = 6
-#: Words that the first words of two near texts share at least (if so many are needed in common).
-SHARED = 10
-#: Texts of the sample that tells frequent words, and words it tells at most.
-ORDER_TEXTS, ORDER_WORDS = 20_000, 50_000
+#: Grams that the first grams of two near texts share at least (if so many are needed in common).
+SHARED = 4
+#: Texts of the sample that tells frequent grams, and grams it tells at most.
+ORDER_TEXTS, ORDER_GRAMS = 4_000, 50_000
+#: Bits of a gram's hash that are dealt out: grams that fall together add pairs to compare, and lose none.
+GRAM_BITS = (1 << 40) - 1
+#: If more pairs are left than this, each text's likeliest is compared first, as long as one in so many is a link.
+MANY_PAIRS, LEAST_LINKED = 200_000, 20
 
 
 def plain_text(source: str) -> str:
@@ -101,14 +105,31 @@ def extract_fragments(files: DataFrame) -> DataFrame:
     return out.withColumn("frag_id", F.concat_ws(":", "file", F.lpad(F.col("start_line").cast("string"), 7, "0")))
 
 
+def places_of(a: str | list[str]) -> dict[str, int]:
+    """Where each letter (or word) stands, as bits."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def common_length(n: int, places: dict[str, int], b: str | list[str]) -> int:
+    """Length of the longest common subsequence of ``b`` and what has ``n`` letters at these places, by a vector of bits (Hyyrö, 2004)."""
+    full = free = (1 << n) - 1
+    for x in b:
+        hit = free & places.get(x, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & full
+    return n - free.bit_count()
+
+
 def similarity(a: str | list[str], b: str | list[str], threshold: float) -> float:
-    """difflib's ratio of texts (or word lists), 0 where lengths or letters alone rule the threshold out."""
+    """difflib's ratio of texts (or word lists), 0 where lengths or the longest common subsequence, which no blocks exceed, rule the threshold out."""
     if a == b:
         return 1.0
-    if not a or not b or 2 * min(len(a), len(b)) / (len(a) + len(b)) < threshold:
+    if not a or not b or 2 * min(len(a), len(b)) / (len(a) + len(b)) < threshold or 2.0 * common_length(len(a), places_of(a), b) / (len(a) + len(b)) < threshold:
         return 0.0
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.quick_ratio() >= threshold else 0.0
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def exact_clones(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,13 +188,32 @@ def clone_groups(pairs: DataFrame, mode: str = "connected", k: int = 2) -> DataF
     return size.join(mean, "component").join(best, "component").orderBy(F.col("size").desc(), F.col("similarity").desc(), "component")
 
 
-def word_elements(texts: list[list[str]]) -> list[np.ndarray]:
-    """The words of every text as 64-bit hashes; a word's second, third ... occurrence in a text has hashes of its own."""
+def gram_length(threshold: float) -> int:
+    """Words of a gram: as many, three at most, as leave texts of any length a gram in common (see :func:`least_shared`)."""
+    return max(q for q in (1, 2, 3) if q == 1 or threshold / 2 > 2 * (q - 1) * (1 - threshold))
+
+
+def least_shared(threshold: float) -> tuple[float, int]:
+    """``per, less``: two different texts at the ratio ``threshold`` with ``s`` words together share ``per * s - less`` grams, and one, at least.
+
+    At most ``(1 - threshold) * s`` words are outside of difflib's blocks, so there is at most one block more than that, and a block of m words
+    has m - q + 1 grams.  Texts of so few words that none may differ are equal.
+    """
+    q = gram_length(threshold)
+    return threshold / 2 - (q - 1) * (1 - threshold), q - 1
+
+
+def word_grams(texts: list[list[str]], q: int) -> list[np.ndarray]:
+    """Runs of ``q`` words of every text as 64-bit hashes; a gram's second, third ... occurrence in a text has hashes of its own."""
     codes, known = pd.factorize(np.array([w for words in texts for w in words], dtype=object))
     hashes = pd.util.hash_array(known, categorize=False)[codes] if len(codes) else np.empty(0, np.uint64)
     out, at = [], 0
     for words in texts:
-        h = np.sort(hashes[at : at + len(words)])
+        x = hashes[at : at + len(words)]
+        h = x[: max(0, len(x) - q + 1)]
+        for k in range(1, q):
+            h = h * np.uint64(0x100000001B3) + x[k : k + len(h)]
+        h = np.sort(h)
         fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         nth = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
         x = h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -183,15 +223,9 @@ def word_elements(texts: list[list[str]]) -> list[np.ndarray]:
     return out
 
 
-def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD) -> DataFrame:
-    """All pairs ``a < b`` of texts whose words are at least ``threshold`` alike, with ``similarity`` (difflib's ratio of a's words to b's).
-
-    Texts with the same words form a class, compared once.  A ratio of t needs t / 2 of both texts' words in common,
-    so of all words in one order (rare ones first) the first of each text must share ``SHARED`` (prefix filter);
-    every pair that does is compared.  Nothing is capped or sampled: the result grows with the square of a group of near copies.
-    Classes are named by 64-bit hashes of their words.
-    """
-    least = threshold / (2 - threshold)
+def _word_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``id, cls`` of every row with a text, and the texts of different words: ``cls, first, last, rows, n, t`` (ids, rows, words, text)."""
+    small_batches(docs.sparkSession)
 
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,57 +236,105 @@ def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_T
     rows = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("id"), F.col(text).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
     rows = stage_table(rows.mapInPandas(classed, f"id {kind}, cls long, n long, t string"), "near-texts", compression="zstd")
-    members = stage_table(rows.select("id", "cls").where("id is not null").distinct(), "near-members")
-    texts = stage_table(rows.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("t").alias("t")), "near-classes", compression="zstd")
+    members = stage_table(rows.select("id", "cls"), "near-members")
+    one = [F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("t").alias("t")]
+    texts = stage_table(rows.groupBy("cls").agg(*one), "near-classes", compression="zstd")
     drop_staged(rows)
+    return members, texts
+
+
+def _gram_lists(texts: DataFrame, threshold: float) -> DataFrame:
+    """``gram, cls, n, lead``: the first grams of every text (rare ones first) that are first grams of other texts too; ``lead``: one of the gram's texts (``cls, n``).
+
+    Of two texts at the ratio ``threshold`` these share ``SHARED``, or all that must be shared if that is less (prefix filter).
+    """
+    q, (per, less) = gram_length(threshold), least_shared(threshold)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = word_elements([t.split() for t in batch["t"]])
+            found = word_grams([t.split() for t in batch["t"]], q)
             if found:
                 used, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pd.DataFrame({"word": used.view(np.int64), "c": n})
+                yield pd.DataFrame({"gram": used.view(np.int64), "c": n})
 
-    # any one order is right, the counts only make it fast: those of the most frequent words of a sample do
+    # any one order is right, the counts only make it fast: those of the most frequent grams of a sample do
     part = max(1, texts.count() // ORDER_TEXTS)
-    counts = texts.where(F.pmod("cls", F.lit(part)) == 0).select("t").mapInPandas(counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 2")
-    counts = sorted((r["word"] % (1 << 64), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(ORDER_WORDS).toLocalIterator())
+    counts = texts.where(F.pmod("cls", F.lit(part)) == 0).select("t").mapInPandas(counted, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2")
+    counts = sorted((r["gram"] % (1 << 64), r["c"]) for r in counts.orderBy(F.col("c").desc(), "gram").limit(ORDER_GRAMS).toLocalIterator())
     hot, count = np.array([w for w, _ in counts] or [0], dtype=np.uint64), np.array([c for _, c in counts] or [0], dtype=np.int64)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, ids, sizes = [], [], []
-            for cls, x in zip(batch["cls"], word_elements([t.split() for t in batch["t"]]), strict=True):
-                first = len(x) - int(np.ceil(len(x) * least - 1e-6)) + SHARED
+            keys = [np.empty(0, np.int64)]
+            for n, x in zip(batch["n"], word_grams([t.split() for t in batch["t"]], q), strict=True):
+                # the shortest text that can be near has the fewest grams in common
+                first = len(x) - max(1, int(np.ceil(per * 2 * n / (2 - threshold) - less - 1e-6))) + SHARED
                 at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-                x = x[np.lexsort((x, np.where(hot[at] == x, count[at], 0)))][:first]
-                keys.append(x.view(np.int64))
-                ids.append(np.full(len(x), cls, dtype=np.int64))
-            sizes = np.repeat(batch["n"].to_numpy(np.int64), [len(x) for x in keys])
-            yield pd.DataFrame({"word": np.concatenate(keys), "cls": np.concatenate(ids), "n": sizes}) if keys else pd.DataFrame({"word": [], "cls": [], "n": []}, dtype="int64")
-
-    words = stage_table(texts.select("cls", "n", "t").mapInPandas(prefixes, "word long, cls long, n long"), "near-words")
-    met = words.alias("x").join(words.alias("y"), "word").where("x.cls < y.cls").where(2 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")) - 1e-6)
-    needed = F.least(F.lit(SHARED), F.ceil(threshold / 2 * (F.first("x.n") + F.first("y.n")) - 1e-6))
-    pairs = met.groupBy(F.col("x.cls").alias("p"), F.col("y.cls").alias("q")).agg(F.count("*").alias("shared"), needed.alias("needed")).where("shared >= needed").select("p", "q")
-    pairs = stage_table(pairs, "near-pairs")
-    drop_staged(words)
-    side = lambda s: texts.select(F.col("cls").alias(s), F.col("first").alias(f"first_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("t").alias(f"t_{s}"))
-    full = pairs.join(side("p"), "p").join(side("q"), "q")
-    # the ratio depends on which text comes first; classes of several rows may need it both ways
-    several = (F.col("rows_p") > 1) | (F.col("rows_q") > 1)
+                keys.append(x[np.lexsort((x, np.where(hot[at] == x, count[at], 0)))][: max(0, first)].view(np.int64) & GRAM_BITS)
+            sizes = [len(x) for x in keys[1:]]
+            yield pd.DataFrame({"gram": np.concatenate(keys), "cls": np.repeat(batch["cls"].to_numpy(np.int64), sizes), "n": np.repeat(batch["n"].to_numpy(np.int64), sizes)})
+
+    found = texts.select("cls", "n", "t").mapInPandas(prefixes, "gram long, cls long, n long")
+    by = Window.partitionBy("gram")
+    found = found.withColumns({"_m": F.count("*").over(by), "lead": F.min(F.struct("cls", "n")).over(by)})
+    return stage_table(found.where("_m > 1").drop("_m"), "near-grams")
+
+
+def _ordered() -> list[Column]:
+    """``p, q, n_p, n_q`` of ``cls, n, other, m``."""
+    swap = F.col("cls") < F.col("other")
+    return [F.least("cls", "other").alias("p"), F.greatest("cls", "other").alias("q"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("n_p"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n_q")]
+
+
+def _shared(met: DataFrame, threshold: float) -> DataFrame:
+    """``p, q, shared`` of the pairs ``p, q, n_p, n_q`` (one row a gram in common) that share enough and are of like size."""
+    per, less = least_shared(threshold)
+    fit = met.where(2 * F.least("n_p", "n_q") >= threshold * (F.col("n_p") + F.col("n_q")) - 1e-6)
+    needed = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.ceil(per * (F.first("n_p") + F.first("n_q")) - less - 1e-6)))
+    return fit.groupBy("p", "q").agg(F.count("*").alias("shared"), needed.alias("needed")).where("shared >= needed").drop("needed")
+
+
+def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float, either: bool) -> DataFrame:
+    """``p, q, pq, qp`` of pairs of classes, staged: difflib's ratios both ways, 0 where below the threshold or no ids are in that order; ``either``: or where the first one does."""
+    wanted = pairs.select(F.col("p").alias("cls")).union(pairs.select("q")).distinct()
+    asked = stage_table(texts.join(wanted, "cls", "left_semi"), "near-asked", compression="zstd")
+    side = lambda s: asked.select(F.col("cls").alias(s), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}"), F.col("t").alias(f"t_{s}"))
+    full = pairs.select("p", "q").join(side("p"), "p").join(side("q"), "q")
 
     @F.pandas_udf("struct<pq:double,qp:double>")
     def ratios(p: pd.Series, q: pd.Series, forth: pd.Series, back: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, f, b in zip(p, q, forth, back, strict=True):
-            x, y = x.split(), y.split()
-            out.append((similarity(x, y, threshold) if f else 0.0, similarity(y, x, threshold) if b else 0.0))
+        out, held, y, places = [], None, [], {}
+        for x, last, f, b in zip(p, q, forth, back, strict=True):
+            if last != held:  # rows come by q
+                held, y = last, last.split()
+                places = places_of(y)
+            x = x.split()
+            fits = 2 * min(len(x), len(y)) >= threshold * (len(x) + len(y)) - 1e-6 and 2.0 * common_length(len(y), places, x) / (len(x) + len(y)) >= threshold
+            there = SequenceMatcher(None, x, y, autojunk=False).ratio() if f and fits else 0.0
+            out.append((there, SequenceMatcher(None, y, x, autojunk=False).ratio() if b and fits and not (either and there >= threshold) else 0.0))
         return pd.DataFrame(out, columns=["pq", "qp"])
 
-    forth, back = F.coalesce(several | (F.col("first_p") < F.col("first_q")), F.lit(True)), F.coalesce(several | (F.col("first_p") > F.col("first_q")), F.lit(True))
+    # the ratio depends on which text comes first: that with the smaller id, and classes of several rows may have both orders
+    forth, back = F.coalesce(F.col("first_p") < F.col("last_q"), F.lit(True)), F.coalesce(F.col("first_q") < F.col("last_p"), F.lit(True))
     judged = stage_table(full.select("p", "q", ratios("t_p", "t_q", forth, back).alias("r")).select("p", "q", "r.pq", "r.qp"), "near-ratios")
-    judged = judged.where((F.col("pq") >= threshold) | (F.col("qp") >= threshold))
+    drop_staged(asked)
+    return judged
+
+
+def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD) -> DataFrame:
+    """All pairs ``a < b`` of texts whose words are at least ``threshold`` alike, with ``similarity`` (difflib's ratio of a's words to b's).
+
+    Texts with the same words form a class, compared once.  A ratio of t needs so many grams in common that of all grams in one order (rare ones first)
+    the first of each text must share ``SHARED`` (prefix filter); every pair that does is compared.  Nothing is capped or sampled: the result grows with the
+    square of a group of near copies, see :func:`near_classes`.  Classes are named by 64-bit hashes of their words.
+    """
+    members, texts = _word_classes(docs, key, text)
+    members = members.where("id is not null").distinct()
+    lists = _gram_lists(texts, threshold)
+    met = lists.alias("x").join(lists.alias("y"), "gram").where("x.cls < y.cls")
+    pairs = stage_table(_shared(met.select(F.col("x.cls").alias("p"), F.col("y.cls").alias("q"), F.col("x.n").alias("n_p"), F.col("y.n").alias("n_q")), threshold), "near-pairs")
+    judged = _ratios(pairs, texts, threshold, either=False).where((F.col("pq") >= threshold) | (F.col("qp") >= threshold))
+    drop_staged(lists, pairs, texts)
     a, b = members.select(F.col("id").alias("a"), F.col("cls").alias("p")), members.select(F.col("id").alias("b"), F.col("cls").alias("q"))
     across = judged.join(a, "p").join(b, "q").where("a <> b")
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("pq")).otherwise(F.col("qp")).alias("similarity"))
@@ -260,5 +342,58 @@ def near_texts(docs: DataFrame, key: str, text: str, threshold: float = REPORT_T
     return across.where(F.col("similarity") >= threshold).unionByName(same)
 
 
+def near_classes(docs: DataFrame, key: str, text: str, threshold: float = REPORT_THRESHOLD) -> DataFrame:
+    """Every row's ``id, class_id, class_size, copies``: what the pairs of :func:`near_texts` connect is a class, named by its smallest id; ``copies``: rows of the same words.
+
+    Each text is first compared with the one that most of its grams have as their lead; then texts of a gram that are not connected yet meet, and all
+    that share enough are compared (if they are many, first each text's likeliest pair, as links leave fewer apart).  What is left out lies within one class
+    already, so near copies that are linked are not expanded into pairs; texts that are nearly alike enough, but not linked, still are.
+    Rows without a text are classes of their own; a row without id may stand before or behind every other.
+    """
+    members, texts = _word_classes(docs, key, text)
+    lists = _gram_lists(texts, threshold)
+    near, spent, links = (F.col("pq") >= threshold) | (F.col("qp") >= threshold), [lists, texts], None
+    of = F.coalesce("component", "cls")
+
+    def best(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of each text's pairs the one with most grams in common, compared; the links found, and the classes by all links so far."""
+        nonlocal links
+        one = stage_table(pairs.groupBy("q").agg(F.max_by("p", F.struct("shared", "p")).alias("p")), "near-pairs")
+        judged = _ratios(one, texts, threshold, either=True)
+        found = judged.where(near).select(F.col("p").alias("src"), F.col("q").alias("dst"))
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+        spent.extend([one, judged, groups.reads])
+        return one, found, groups.withColumnRenamed("node", "cls")
+
+    led = lists.where("cls <> lead.cls").select("cls", "n", F.col("lead.cls").alias("other"), F.col("lead.n").alias("m"))
+    done, _, groups = best(_shared(led.select(*_ordered()), threshold))
+    gram = Window.partitionBy("gram")
+    apart = lists.select("gram", "cls", "n").join(groups, "cls", "left").select("gram", "cls", "n", of.alias("g"))
+    apart = stage_table(apart.withColumns({"_lo": F.min("g").over(gram), "_hi": F.max("g").over(gram)}).where("_lo < _hi").drop("_lo", "_hi"), "near-apart")
+    others = apart.select("gram", "g").distinct()
+    others = others.join(others.withColumnRenamed("g", "h"), "gram").where("g < h")
+    met = apart.join(others, ["gram", "g"]).join(apart.select("gram", F.col("g").alias("h"), F.col("cls").alias("other"), F.col("n").alias("m")), ["gram", "h"])
+    rest = stage_table(_shared(met.select(*_ordered()), threshold).join(done, ["p", "q"], "left_anti"), "near-pairs")
+    spent += [apart, rest]
+    while rest.count() > MANY_PAIRS:
+        done, found, groups = best(rest)
+        side = lambda c: groups.select(F.col("cls").alias(c), F.col("component").alias(f"g_{c}"))
+        open_pairs = rest.join(done, ["p", "q"], "left_anti").join(side("p"), "p", "left").join(side("q"), "q", "left")
+        rest = stage_table(open_pairs.where(F.coalesce("g_p", "p") != F.coalesce("g_q", "q")).select("p", "q", "shared"), "near-pairs")
+        spent.append(rest)
+        if found.count() * LEAST_LINKED <= done.count():
+            break
+    more = _ratios(rest, texts, threshold, either=True)
+    classes = components(links.unionByName(more.where(near).select(F.col("p").alias("src"), F.col("q").alias("dst"))))
+    spent += [more, classes.reads]
+    one = texts.select("cls", "first", "rows").join(classes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", of).drop("component")
+    sized = one.groupBy("g").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
+    named = stage_table(one.join(sized, "g").select("cls", "class_id", "class_size", F.col("rows").alias("copies")), "near-named")
+    drop_staged(*spent)
+    none = docs.where(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0).select(F.col(key).alias("id"), F.col(key).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("copies"))
+    return members.join(named, "cls").select("id", "class_id", "class_size", "copies").unionByName(none)
+
+
 def digest(text: str) -> str:
     return hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()

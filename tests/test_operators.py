@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -351,6 +352,40 @@ def test_near_texts_are_all_pairs_of_brute_force(spark):
     assert len(got) == len(want) > 300 * 299 // 2 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
 
 
+@pytest.mark.parametrize("many", [0, 200_000])
+def test_near_classes_are_what_all_pairs_connect(spark, monkeypatch, many):
+    """Copies and near copies in large groups: classes as by the pairs, without the pairs; no text and no id included."""
+    rng = random.Random(5)
+    texts, rows = [], []
+    for n, size, edits in ((60, 60, 2), (60, 40, 5), (25, 30, 2), (12, 30, 1), (6, 10, 1), (5, 10, 1), (1, 3, 1)):
+        base = [f"w{rng.randrange(90)}" for _ in range(n)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(n), rng.randint(0, edits)):
+                w[at : at + 1] = rng.choice([[], [f"x{rng.randrange(99)}"], [w[at], "more"]])
+            texts.append(" ".join(w))
+    texts += [texts[0] + " "] * 300 + ["", None, "  "]
+    rows = [(k * 7 % 1009, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string")
+    monkeypatch.setattr(clones, "MANY_PAIRS", many)
+    got = clones.near_classes(docs, "doc_id", "text").collect()
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in clones.near_texts(docs, "doc_id", "text").select("a", "b").collect():
+        a, b = find(r["a"]), find(r["b"])
+        root[max(a, b)] = min(a, b)
+    of = {r["id"]: r["class_id"] for r in got}
+    assert len(got) == len(rows) + 1 and len(set(root.values())) > 20
+    assert of == {i: find(i) for i in root} | {None: find(rows[0][0])}
+    sizes = Counter(r["class_id"] for r in got)
+    assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
+
+
 def test_cycles_of_any_length(spark):
     ring = [(k, (k + 1) % 9) for k in range(9)]
     found = graph.simple_cycles(spark.createDataFrame([*ring, (4, 0), (20, 21)], "src long, dst long")).collect()
