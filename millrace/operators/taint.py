@@ -91,7 +91,10 @@ def find_flows(program: Program) -> DataFrame:
         through = lambda a, r: a.join(r, (a["callee"] == r["callee"]) & (F.concat(F.lit("p:"), a["param"]) == r["_start"])).select("fn", "start", F.col("result").alias("node"), F.concat("way", "_way").alias("way"))
         steps = [fresh.join(p.passes, ["fn", "target"]).select("fn", "start", F.col("result").alias("node"), "way"), through(into(fresh), back(ends))]
         if before is not None:
-            steps.append(through(into(before), back(fresh)))
+            # what is new is the smaller side: it meets the arguments bound to it first, then all that reached them
+            new = back(fresh).withColumnRenamed("callee", "_callee")
+            bound = p.binds.join(new, (F.col("callee") == F.col("_callee")) & (F.concat(F.lit("p:"), "param") == F.col("_start"))).select("fn", "target", F.col("result").alias("node"), "_way")
+            steps.append(before.join(bound, ["fn", "target"]).select("fn", "start", "node", F.concat("way", "_way").alias("way")))
         brought = back(fresh).where("_start like 's:%'").join(p.results, "callee")
         steps.append(brought.select("fn", F.col("_start").alias("start"), F.col("result").alias("node"), F.concat("_way", F.array("fn")).alias("way")))
         found = steps[0]

@@ -125,10 +125,13 @@ def program(tokens: DataFrame) -> taint.Program:
     A call goes to the functions of its last name in its own file, else (Go) in its folder, else to those of the project if that name has one only.
     Functions without a name belong to the one around them, their parameters hide its variables.  Fields are not told apart: a dotted name has the value of its first part.
     """
-    tokens = stage_table(tokens.distinct(), "tokens")
+    tokens = stage_table(tokens, "tokens")
     fns = stage_table(functions(tokens), "functions")
     heads = fns.select("path", F.col("head").alias("up"))
-    t = stage_table(scoped(tokens, fns).join(heads.distinct(), ["path", "up"], "left_anti").join(fns.where("head <> head_end").select("path", (F.col("head") - 1).alias("k")).distinct(), ["path", "k"], "left_anti"), "scoped")
+    # only names and assignments have values: nothing else goes through the windows, and no column that is not asked for below
+    valued = tokens.where("kind = 'assign' or kind = 'name' and name is not null").drop("part", "stmt", "mate", "head", "assigned")
+    valued = valued.join(heads.distinct(), ["path", "up"], "left_anti").join(fns.where("head <> head_end").select("path", (F.col("head") - 1).alias("k")).distinct(), ["path", "k"], "left_anti")
+    t = stage_table(scoped(valued, fns), "scoped")
     # what takes the value at a token: an argument of a call, a variable, the return
     own = lambda c: F.when(F.col(c) > F.col("fn_lo"), F.col(c)).otherwise(-1)
     call, eq = own("call"), own("eq")

@@ -171,6 +171,7 @@ def test_texts_without_grammar(spark):
     assert tokenflow.flow_findings(tokens(files)).count() == 0
     twice = from_texts(spark, {"a.ts": "exec(req.query.a)"})
     assert tokenflow.flow_findings(tokens(twice.unionByName(twice))).count() == 1
+    assert tokens(twice.unionByName(twice)).count() == tokens(twice).count() > 0  # repeated files are dropped before they are tokens
     release_staged()
 
 
