@@ -390,3 +390,20 @@ def test_cycles_of_any_length(spark):
     ring = [(k, (k + 1) % 9) for k in range(9)]
     found = graph.simple_cycles(spark.createDataFrame([*ring, (4, 0), (20, 21)], "src long, dst long")).collect()
     assert sorted((r["nodes"], r["length"], r["severity"]) for r in found) == [([0, 1, 2, 3, 4], 5, "HIGH"), (list(range(9)), 9, "HIGH")]
+
+
+def test_matched_words_are_difflibs():
+    """Long texts: edits of all kinds, repeated passages, few words, nothing in common."""
+    rng = random.Random(3)
+    for n, vocabulary, edits in ((160, 4, 10), (160, 50, 20), (400, 30, 60), (400, 2, 40), (900, 3000, 90), (300, 1, 3), (600, 5000, 600)):
+        for _ in range(6):
+            a = [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+            a[50:50] = a[:30]
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b))
+                b[at : at + rng.choice([0, 1, 1, 2])] = rng.choice([[], [f"x{rng.randrange(9)}"], b[at : at + 6], a[:5]])
+            for x, y in ((a, b), (b, a)):
+                assert clones.matched_words(x, y) == sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    once = ["Esin"] * 8000
+    assert clones.matched_words(once, [*once[:4000], "La", *once[4100:]]) == 7900
